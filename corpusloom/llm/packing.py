@@ -13,6 +13,8 @@ bucket counts, so no length, however common, is ranked in one task.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -27,39 +29,59 @@ from corpusloom.plans.staging import stage, table
 
 CAPACITY = 2048
 BUCKETS = 256
-CACHED = 300_000
-_tokenizers: dict[str, tuple] = {}
+CACHED = 600_000
+_LETTER = "a-zß-öø-ÿ"
+_PIECE = re.compile(rf"[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
+_PLAIN = re.compile(rf"[\t\n\r -&(-~À-Ö\u00d8-Þ{_LETTER}]*")
+_pieces: dict[str, _Pieces] = {}
 
 
-def _word_ids(path: str) -> tuple:
-    """A tokenizer and its cache, once per Python worker."""
-    if path not in _tokenizers:
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
+
+
+class _Pieces(dict):
+    """Little-endian 32-bit ids by pre-token, for as many as the bound allows; one per tokenizer and Python worker."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    return _tokenizers[path]
+        self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
+        self.model = self.tokenizer.model
+        self.by_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHED:
+            self.clear()
+        signs = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+        self[piece] = ids = b"".join([self.by_id[t.id] for t in self.model.tokenize(signs)])
+        return ids
 
-def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Little-endian 32-bit ids of each whole text.
+    def encode(self, text: str) -> bytes:
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
+        if " " in text or "\n" in text:
+            return b"".join([self.encode(w) for w in text.replace("\n", " ").split(" ") if w])
+        return b"".join([self.by_id[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
-    The tokenizer drops white space and forms no token across it, so a text's
-    ids are those of its parts between spaces and line feeds; each part is
-    encoded once while the bounded cache holds it.
+
+def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
+    """Little-endian 32-bit ids of each whole text, as the tokenizer at ``path`` gives them.
+
+    That tokenizer lower-cases, drops white space and cuts texts into runs of
+    letters, single digits and runs of other characters before it merges. In
+    texts of plain Latin letters, digits and ASCII signs without apostrophes
+    the cut is made here and each pre-token is merged by the tokenizer's model
+    once while the bounded cache holds it. In other texts that holds for their
+    plain words; the rest goes through the tokenizer whole.
     """
-    tokenizer, cache = _word_ids(path)
-    parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    out = []
-    for words in parts:
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > CACHED:
-                cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
-        out.append(b"".join(map(cache.__getitem__, words)))
-    return out
+    if path not in _pieces:
+        _pieces[path] = _Pieces(path)
+    return [_pieces[path].encode(t or "") for t in texts]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
