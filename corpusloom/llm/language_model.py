@@ -113,8 +113,8 @@ class Lanes:
     active: np.ndarray = field(default=None)
 
 
-def lanes(docs: list[np.ndarray], width: int) -> Lanes:
-    """``docs``: places, each with the end as its last one. The longest documents are dealt first, each to the shortest lane."""
+def lanes(docs: list[np.ndarray], width: int, lead: np.ndarray | None = None) -> Lanes:
+    """``docs``: places; ``lead``: what stands before each, if not an end. The longest are dealt first, each to the shortest lane."""
     width = max(1, min(width, len(docs)))
     heap, dealt = [(0, k) for k in range(width)], [[] for _ in range(width)]
     for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
@@ -134,7 +134,10 @@ def lanes(docs: list[np.ndarray], width: int) -> Lanes:
             at += n
     before = np.zeros_like(tokens)
     before[1:] = tokens[:-1]
+    start = first & (doc >= 0)
     before[first] = 0  # a document starts after an end
+    if lead is not None:
+        before[start] = lead[doc[start]]
     return Lanes(tokens, before, first, doc, (doc >= 0).sum(axis=1))
 
 
@@ -195,8 +198,12 @@ class Trainer:
         self.net, self.rate, self.tokens, self.t = Net(net.flat.copy()), rate, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
-    def learn(self, docs: list[np.ndarray], width: int = 512, window: int = 16) -> None:
-        run, net = lanes(docs, width), self.net
+    def learn(self, docs: list[np.ndarray], width: int = 512, window: int = 16, part: int = 256) -> None:
+        """One pass over all of ``docs``, cut into parts that start from an empty state, so that no long text stands alone at the end."""
+        draw = np.random.default_rng(self.t)
+        parts = [(d[a : a + part], d[a - 1] if a else 0) for d in docs for a in range(0, len(d), part)]
+        parts = [parts[i] for i in draw.permutation(len(parts))]
+        run, net = lanes([p for p, _ in parts], width, np.array([x for _, x in parts], np.int32)), self.net
         h = np.zeros((run.tokens.shape[1], STATE), np.float32)
         for a in range(0, len(run.tokens), window):
             b, n = min(a + window, len(run.tokens)), int(run.active[a])

@@ -11,6 +11,8 @@ with equal sets form a class, and classes are joined with each other:
   one of their rarest n - ceil(t n) + 1 words, so only these are indexed;
 * length filter: neither set may be shorter than t times the other;
 * positional filter: what is left behind the shared word must still suffice;
+* parity filter: a set's words flip the bits of one long; two sets differ in
+  at least as many words as their longs in bits;
 * candidates are verified on the words of both lines.
 
 A line is removed if an earlier line (by document id, then place) matches it,
@@ -22,15 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.staging import stage, table
+from corpusloom.plans.staging import drop_stage, stage, table
 
 BUCKETS = 1 << 18
 ABOVE, BELOW = 4, 5  # the threshold as a fraction
 CLASS = ["set_key", "n"]
+SPACE = "[ \\t-\\r]+"
 
 
 def _hashes(line: Column | str) -> Column:
-    words = F.filter(F.split(F.lower(line), "[ \\t-\\r]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -40,8 +43,8 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _rarity(lines: DataFrame) -> Column:
     """Level of the frequency of every hash bucket, as a constant of BUCKETS small numbers."""
-    bucket = F.pmod("w", F.lit(BUCKETS)).cast("int").alias("bucket")
-    counts = lines.select(F.explode(_hashes("line")).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
+    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    counts = lines.select(F.explode(F.split(F.lower("line"), SPACE)).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
     levels = ["0"] * BUCKETS
     for r in counts.select("bucket", F.floor(4 * F.log2("count")).cast("int").alias("level")).collect():  # BUCKETS rows at most
         levels[r["bucket"]] = str(r["level"])
@@ -49,28 +52,31 @@ def _rarity(lines: DataFrame) -> Column:
 
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, place, set_key, n, prefix) of every line, staged; blank lines have n = 0."""
+    """(row, id, place, set_key, n, prefix, parity) of every line, staged; blank lines have n = 0."""
     lines = _numbered(docs, id_col, text_col).select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     levels = _rarity(lines)
     token = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     sets = lines.select("row", "id", "place", F.sort_array(F.transform(_hashes("line"), token)).alias("tokens"))
     n = F.size("tokens")
-    return stage(sets.select("row", "id", "place", F.xxhash64("tokens").alias("set_key"), n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * ABOVE / BELOW).cast("int") + 1).alias("prefix")), "line-sets")
+    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+    return stage(sets.select("row", "id", "place", F.xxhash64("tokens").alias("set_key"), n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * ABOVE / BELOW).cast("int") + 1).alias("prefix"), parity.alias("parity")), "line-sets")
 
 
 def line_links(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, links): each class with its first line, and all verified pairs of classes (a_key, a_n, b_key, b_n)."""
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place", "prefix")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place", "prefix", "parity")).alias("first")
     classes = stage(lines.filter("n > 0").groupBy(*CLASS).agg(first, F.count("*").alias("lines")), "line-classes")
     # sets of up to BELOW - 2 words have no partner but themselves
-    index = classes.filter(F.col("n") > BELOW - 2).select(*CLASS, F.posexplode("first.prefix").alias("at", "token"))
-    a = index.select(F.col("token").alias("token"), F.col("set_key").alias("a_key"), F.col("n").alias("a_n"), F.col("at").alias("a_at"))
-    b = index.select(F.col("token").alias("token"), F.col("set_key").alias("b_key"), F.col("n").alias("b_n"), F.col("at").alias("b_at"))
+    index = classes.filter(F.col("n") > BELOW - 2).select(*CLASS, F.col("first.parity").alias("parity"), F.posexplode("first.prefix").alias("at", "token"))
+    a = index.select(F.col("token").alias("token"), F.col("set_key").alias("a_key"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("parity").alias("a_parity"))
+    b = index.select(F.col("token").alias("token"), F.col("set_key").alias("b_key"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("parity").alias("b_parity"))
     both = F.col("a_n") + F.col("b_n")
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
     long_enough = F.col("a_n") * BELOW >= F.col("b_n") * ABOVE
     reachable = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (ABOVE + BELOW) >= both * ABOVE
-    met = a.join(b, "token").filter(ordered & long_enough & reachable)
+    # similar sets have (both - 2 x shared) words in one only, and shared x (ABOVE + BELOW) >= both x ABOVE
+    even = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) * (ABOVE + BELOW) <= both * (BELOW - ABOVE)
+    met = a.join(b, "token").filter(ordered & long_enough & reachable & even)
     pairs = stage(met.groupBy("a_key", "a_n", "b_key", "b_n").agg(F.count("*").alias("shared")).drop("shared"), "line-pairs")
     ends = pairs.select(F.col("a_key").alias("set_key"), F.col("a_n").alias("n")).union(pairs.select("b_key", "b_n")).groupBy(*CLASS).agg(F.lit(1).alias("one"))
     wanted = classes.join(ends, CLASS).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), *CLASS)).alias("wanted"))
@@ -94,12 +100,14 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     lines = line_sets(docs, id_col, text_col)
     classes, links = line_links(docs, lines, id_col, text_col)
+    slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
+    drop_stage(lines)
     ways = links.union(links.select("b_key", "b_n", "a_key", "a_n")).toDF("set_key", "n", "other_key", "other_n")
     rank = classes.select(*CLASS, F.struct("first.last", "first.id", "first.row", "first.place").alias("rank"))
     theirs = rank.select(F.col("set_key").alias("other_key"), F.col("n").alias("other_n"), F.col("rank").alias("other_rank"))
     partners = stage(ways.join(theirs, ["other_key", "other_n"]).groupBy(*CLASS).agg(F.min("other_rank").alias("earliest"), F.count("*").alias("n_links")), "line-partners")
     known = stage(rank.join(partners, CLASS, "left").select(*CLASS, "rank", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("rank"), F.lit(False)).alias("later")), "line-decisions")
-    met = lines.select("row", "id", "place", *CLASS).join(known, CLASS, "left")
+    met = slim.join(known, CLASS, "left")
     is_first = (F.col("row") == F.col("rank.row")) & (F.col("place") == F.col("rank.place"))
     removed = F.coalesce(F.col("later") | ~is_first, F.lit(False))
     return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), F.col("rank.id").alias("class_id"), F.col("rank.place").alias("class_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed"))
