@@ -1,6 +1,127 @@
+"""Audit operators applied to whole tables, with the SQL that gives the same rows.
+
+Thresholds are chosen so that the tables have findings.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from corpusloom.functions import text as T
+from corpusloom.operators import audit as O
+from corpusloom.plans.staging import table
+
+ENTRIES: dict[str, tuple] = {}
+HREF = r'href="([^"]+)"'
+
+
+def _query(sql: str | None):
+    def keep(f):
+        ENTRIES[f.__name__] = (f, sql)
+        return f
+
+    return keep
+
+
+@_query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS raw, generate_subscripts(string_split(regexp_replace(text, '\n$', ''), chr(10)), 1) AS pos FROM documents WHERE text <> ''),
+k AS (SELECT doc_id, pos, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM l),
+c AS (SELECT doc_id, lower(line) AS folded, count(*) AS repeats, arg_min(line, pos) AS line FROM k WHERE length(line) >= 40 GROUP BY ALL HAVING count(*) >= 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY repeats DESC, folded) AS rank FROM c)
+SELECT doc_id, line, repeats, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5
+""")
+def repeated_line_top5(spark, d) -> DataFrame:
+    return O.repeated_lines(table(spark, d, "documents"), ["doc_id"], 2, content="text")
+
+
+@_query(r"""
+WITH n AS (SELECT CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split(regexp_replace(text, '\n$', ''), chr(10))) END AS n FROM documents)
+SELECT CASE WHEN n >= 60 THEN 'failure' WHEN n >= 30 THEN 'feature_freeze' WHEN n >= 15 THEN 'warning' ELSE 'ok' END AS tier, count(*) AS n_docs, CAST(max(n) AS INTEGER) AS most FROM n GROUP BY 1
+""")
+def size_tiers(spark, d) -> DataFrame:
+    limits = F.struct(F.lit(15).alias("warning"), F.lit(30).alias("freeze"), F.lit(60).alias("failure"))
+    sized = table(spark, d, "documents").select(F.coalesce(F.size(T.lines("text")), F.lit(0)).alias("n"))
+    return sized.groupBy(O.tier("n", limits).alias("tier")).agg(F.count("*").alias("n_docs"), F.max("n").alias("most"))
+
+
+@_query(r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '\bthe\b')) + len(regexp_extract_all(text, '\bque\b')) + len(regexp_extract_all(text, '\. ')) AS INTEGER) AS placeholders
+FROM documents WHERE len(regexp_extract_all(text, '\bthe\b')) + len(regexp_extract_all(text, '\bque\b')) + len(regexp_extract_all(text, '\. ')) >= 3
+""")
+def token_density(spark, d) -> DataFrame:
+    # ASCII word boundaries, as the SQL engine has them
+    count = sum(F.regexp_count("text", F.lit(p)) for p in (r"(?<![0-9A-Za-z_])the(?![0-9A-Za-z_])", r"(?<![0-9A-Za-z_])que(?![0-9A-Za-z_])", r"\. "))
+    return table(spark, d, "documents").select("doc_id", count.alias("placeholders")).filter("placeholders >= 3")
+
+
+@_query(r"""
+WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS ref FROM pages)
+SELECT page_id, ref FROM r WHERE ref NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)
+""")
+def broken_links(spark, d) -> DataFrame:
+    pages = table(spark, d, "pages")
+    refs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("ref"))
+    return refs.join(pages.select(F.col("url").alias("ref")).distinct(), "ref", "left_anti").select("page_id", "ref")
+
+
+@_query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@_query("""
+WITH p AS (SELECT *, CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS priority FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY priority, ts, event_id) AS k FROM p)
+SELECT user_id, event_id, event_type FROM r WHERE k = 1
+""")
+def first_by_priority(spark, d) -> DataFrame:
+    kind = F.col("event_type")
+    priority = F.when(kind == "purchase", 0).when(kind == "signup", 1).when(kind == "click", 2).otherwise(3)
+    return O.first_by_priority(table(spark, d, "events"), ["user_id"], [priority, "ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@_query("""
+WITH l AS (SELECT user_id, max(ts) AS value FROM events GROUP BY user_id)
+SELECT user_id, CAST(round_even((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(value)) / 86400000000, 0) AS INTEGER) AS age_days FROM l WHERE value < TIMESTAMP '2024-01-30'
+""")
+def stale_users(spark, d) -> DataFrame:
+    last = table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("value"))
+    return O.stale(last, F.expr("timestamp_ntz '2024-01-31 00:00:00'"), 1).select("user_id", "age_days")
+
+
+@_query(r"""
+WITH r AS (SELECT unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS ref FROM pages)
+SELECT DISTINCT list_extract(string_split(ref, '/'), -1) AS name FROM r
+""")
+def distinct_link_names(spark, d) -> DataFrame:
+    refs = table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("ref"))
+    return refs.select(T.name("ref").alias("name")).distinct()
+
+
+@_query("""
+SELECT event_id, '[Events] ' || event_type || ' logged { event_id=' || event_id || '; user_id=' || user_id || ' }' AS line FROM events WHERE event_type = 'error'
+""")
+def event_log_lines(spark, d) -> DataFrame:
+    errors = table(spark, d, "events").filter("event_type = 'error'")
+    metadata = F.create_map(F.lit("user_id"), F.col("user_id").cast("string"), F.lit("event_id"), F.col("event_id").cast("string"))
+    return errors.select("event_id", T.event_line("Events", "event_type", F.lit("logged"), metadata).alias("line"))
+
+
+@_query("""
+SELECT source, count(*) FILTER (WHERE l.doc_id IS NULL) AS unlabelled, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality = 0) AS low_quality,
+       count(*) FILTER (WHERE toxic = 1) = 0 AS ok
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
+""")
+def source_summary(spark, d) -> DataFrame:
+    met = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
+    toxic = F.count_if(F.col("toxic") == 1)
+    return met.groupBy("source").agg(F.count_if(F.col("known").isNull()).alias("unlabelled"), toxic.alias("toxic"), F.count_if(F.col("quality") == 0).alias("low_quality"), (toxic == 0).alias("ok"))
+
+
 def queries():
-    return {}
+    return {name: f for name, (f, _) in ENTRIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ENTRIES.items() if sql}

@@ -1,0 +1 @@
+"""The reference has no streams; audits are batches over tables."""
