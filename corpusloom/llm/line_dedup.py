@@ -33,8 +33,8 @@ SPACE = "[ \\t-\\r]+"
 
 
 def _hashes(line: Column | str) -> Column:
-    words = F.filter(F.split(F.lower(line), SPACE), lambda w: w != "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.transform(F.split(F.lower(line), SPACE), lambda w: F.xxhash64(w))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -62,55 +62,84 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return stage(sets.select("row", "id", "place", F.xxhash64("tokens").alias("set_key"), n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * ABOVE / BELOW).cast("int") + 1).alias("prefix"), parity.alias("parity")), "line-sets")
 
 
-def line_links(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, links): each class with its first line, and all verified pairs of classes (a_key, a_n, b_key, b_n)."""
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place", "prefix", "parity")).alias("first")
-    classes = stage(lines.filter("n > 0").groupBy(*CLASS).agg(first, F.count("*").alias("lines")), "line-classes")
-    # sets of up to BELOW - 2 words have no partner but themselves
-    index = classes.filter(F.col("n") > BELOW - 2).select(*CLASS, F.col("first.parity").alias("parity"), F.posexplode("first.prefix").alias("at", "token"))
-    a = index.select(F.col("token").alias("token"), F.col("set_key").alias("a_key"), F.col("n").alias("a_n"), F.col("at").alias("a_at"), F.col("parity").alias("a_parity"))
-    b = index.select(F.col("token").alias("token"), F.col("set_key").alias("b_key"), F.col("n").alias("b_n"), F.col("at").alias("b_at"), F.col("parity").alias("b_parity"))
+def _class(prefix: str) -> list[Column]:
+    return [F.col(x).alias(f"{prefix}_{x}") for x in (*CLASS, "parity", "at")]
+
+
+def _passes() -> Column:
+    """Length, positional and parity filter of two different classes that share an indexed word."""
     both = F.col("a_n") + F.col("b_n")
-    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a_key") < F.col("b_key")))
-    long_enough = F.col("a_n") * BELOW >= F.col("b_n") * ABOVE
+    long_enough = F.least("a_n", "b_n") * BELOW >= F.greatest("a_n", "b_n") * ABOVE
     reachable = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (ABOVE + BELOW) >= both * ABOVE
     # similar sets have (both - 2 x shared) words in one only, and shared x (ABOVE + BELOW) >= both x ABOVE
     even = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) * (ABOVE + BELOW) <= both * (BELOW - ABOVE)
-    met = a.join(b, "token").filter(ordered & long_enough & reachable & even)
-    pairs = stage(met.groupBy("a_key", "a_n", "b_key", "b_n").agg(F.count("*").alias("shared")).drop("shared"), "line-pairs")
-    ends = pairs.select(F.col("a_key").alias("set_key"), F.col("a_n").alias("n")).union(pairs.select("b_key", "b_n")).groupBy(*CLASS).agg(F.lit(1).alias("one"))
-    wanted = classes.join(ends, CLASS).groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), *CLASS)).alias("wanted"))
-    wanted = stage(wanted, "wanted-lines")
+    return ((F.col("a_set_key") != F.col("b_set_key")) | (F.col("a_n") != F.col("b_n"))) & long_enough & reachable & even
+
+
+def _verified(docs: DataFrame, met: DataFrame, ranks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set_key, n, match), staged: the classes b of ``met`` that match one of their classes a, and the earliest such."""
+    pairs = stage(met.groupBy("b_set_key", "b_n", "a_set_key", "a_n").agg(F.count("*").alias("shared")).drop("shared"), "line-pairs")
+    ranked = lambda k: ranks.select(F.col("set_key").alias(f"{k}_set_key"), F.col("n").alias(f"{k}_n"), F.col("rank").alias(f"{k}_rank"))
+    pairs = pairs.join(ranked("a"), ["a_set_key", "a_n"]).join(ranked("b"), ["b_set_key", "b_n"]).filter("a_rank < b_rank")
+    pairs = stage(pairs.select("a_set_key", "a_n", "a_rank", "b_set_key", "b_n", "b_rank"), "line-pairs-ranked")
+    end = lambda k: pairs.select(F.col(f"{k}_set_key").alias("set_key"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_rank").alias("rank"))
+    ends = end("a").union(end("b")).groupBy(*CLASS, "rank").agg(F.lit(1).alias("one"))
+    wanted = stage(ends.groupBy(F.col("rank.row").alias("row")).agg(F.collect_list(F.struct(F.col("rank.place").alias("place"), *CLASS)).alias("wanted")), "wanted-lines")
     found = _numbered(docs, id_col, text_col).select("row", "text").join(wanted, "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
     words = stage(found.select(F.col("x.set_key").alias("set_key"), F.col("x.n").alias("n"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words")
-    of = lambda k: words.select(F.col("set_key").alias(f"{k}_key"), F.col("n").alias(f"{k}_n"), F.col("words").alias(f"{k}_words"))
-    full = pairs.join(of("a"), ["a_key", "a_n"]).join(of("b"), ["b_key", "b_n"])
-    similar = F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= both * ABOVE
-    return classes, stage(full.filter(similar).select("a_key", "a_n", "b_key", "b_n"), "line-links")
+    of = lambda k: words.select(F.col("set_key").alias(f"{k}_set_key"), F.col("n").alias(f"{k}_n"), F.col("words").alias(f"{k}_words"))
+    full = pairs.drop("b_rank").join(of("a"), ["a_set_key", "a_n"]).join(of("b"), ["b_set_key", "b_n"])
+    similar = full.filter(F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= (F.col("a_n") + F.col("b_n")) * ABOVE)
+    matched = stage(similar.groupBy(F.col("b_set_key").alias("set_key"), F.col("b_n").alias("n")).agg(F.min("a_rank").alias("match")), "line-matches")
+    drop_stage(words)
+    return matched
+
+
+def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(ranks, matches): each class with the rank of its first line; each class that matches an earlier one, with that one's rank.
+
+    ``lines`` is dropped as soon as the classes are known.
+
+    A list of the index is not paired with itself. First every class meets the
+    earliest class of each of its lists. Only classes that match none of these
+    meet all earlier ones of their lists. In a group of near copies nearly all
+    are decided by the first step, so pairs do not grow with its square.
+    """
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place", "prefix", "parity")).alias("first")
+    classes = stage(lines.filter("n > 0").groupBy(*CLASS).agg(first), "line-classes")
+    rank = F.struct("first.last", "first.id", "first.row", "first.place").alias("rank")
+    ranks = stage(classes.select(*CLASS, rank), "line-ranks")
+    drop_stage(lines)
+    # sets of up to BELOW - 2 words have no partner but themselves
+    spread = lambda some, *more: some.filter(F.col("n") > BELOW - 2).select(*CLASS, F.col("first.parity").alias("parity"), *more, F.posexplode("first.prefix").alias("at", "token"))
+    lists = spread(classes, rank).groupBy("token").agg(F.min(F.struct("rank", *CLASS, "parity", "at")).alias("a"), F.count("*").alias("size")).filter("size > 1")
+    lists = stage(lists.select("token", *(F.col(f"a.{x}").alias(f"a_{x}") for x in (*CLASS, "parity", "at"))), "line-lists")
+    matches = _verified(docs, spread(classes).select("token", *_class("b")).join(lists, "token").filter(_passes()), ranks, id_col, text_col)
+    drop_stage(lists)
+    open_ = spread(classes.join(matches.select(*CLASS), CLASS, "left_anti")).select("token", *_class("b"))
+    more = _verified(docs, open_.join(spread(classes).select("token", *_class("a")), "token").filter(_passes()), ranks, id_col, text_col)
+    drop_stage(classes)
+    return ranks, matches.union(more)
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of ``docs``: row, id, line, n_words, class_id, class_line, n_links, removed.
+    """One row per line of ``docs``: row, id, line, n_words, class_id, class_line, match_id, match_line, removed.
 
-    The class is named by its first line; n_links counts the other classes that
-    match it. Blank lines have no class and are never removed. Null texts are
-    one blank line; lines end at line feeds only. ``docs`` has to be read from
+    The class is named by its first line. ``match``: an earlier line that the
+    class matches, null if there is none; the earliest of those it was compared
+    with. Blank lines have no class and are never removed. Null texts are one
+    blank line; lines end at line feeds only. ``docs`` has to be read from
     files, so that its rows keep their numbers; rows that repeat an id are
     ranked by these. An empty table gives no rows.
     """
     lines = line_sets(docs, id_col, text_col)
-    classes, links = line_links(docs, lines, id_col, text_col)
     slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
-    drop_stage(lines)
-    ways = links.union(links.select("b_key", "b_n", "a_key", "a_n")).toDF("set_key", "n", "other_key", "other_n")
-    rank = classes.select(*CLASS, F.struct("first.last", "first.id", "first.row", "first.place").alias("rank"))
-    theirs = rank.select(F.col("set_key").alias("other_key"), F.col("n").alias("other_n"), F.col("rank").alias("other_rank"))
-    partners = stage(ways.join(theirs, ["other_key", "other_n"]).groupBy(*CLASS).agg(F.min("other_rank").alias("earliest"), F.count("*").alias("n_links")), "line-partners")
-    known = stage(rank.join(partners, CLASS, "left").select(*CLASS, "rank", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("earliest") < F.col("rank"), F.lit(False)).alias("later")), "line-decisions")
+    ranks, matches = line_matches(docs, lines, id_col, text_col)
+    known = stage(ranks.join(matches, CLASS, "left"), "line-decisions")
     met = slim.join(known, CLASS, "left")
     is_first = (F.col("row") == F.col("rank.row")) & (F.col("place") == F.col("rank.place"))
-    removed = F.coalesce(F.col("later") | ~is_first, F.lit(False))
-    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), F.col("rank.id").alias("class_id"), F.col("rank.place").alias("class_line"), F.coalesce("n_links", F.lit(0)).alias("n_links"), removed.alias("removed"))
+    removed = F.coalesce(F.col("match").isNotNull() | ~is_first, F.lit(False))
+    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), F.col("rank.id").alias("class_id"), F.col("rank.place").alias("class_line"), F.col("match.id").alias("match_id"), F.col("match.place").alias("match_line"), removed.alias("removed"))
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
