@@ -21,12 +21,15 @@ whether or not that line stays itself.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans.staging import drop_stage, stage, table
 
 BUCKETS = 1 << 18
+SLICES = 4  # the index is joined in so many parts, whose shuffle files go before the next
 ABOVE, BELOW = 4, 5  # the threshold as a fraction
 CLASS = ["set_key", "n"]
 SPACE = "[ \\t-\\r]+"
@@ -117,7 +120,12 @@ def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text
     matches = _verified(docs, spread(classes).select("token", *_class("b")).join(lists, "token").filter(_passes()), ranks, id_col, text_col)
     drop_stage(lists)
     open_ = spread(classes.join(matches.select(*CLASS), CLASS, "left_anti")).select("token", *_class("b"))
-    more = _verified(docs, open_.join(spread(classes).select("token", *_class("a")), "token").filter(_passes()), ranks, id_col, text_col)
+    met, earlier = [], spread(classes).select("token", *_class("a"))
+    for k in range(SLICES):
+        of = lambda side: side.filter(F.pmod("token", F.lit(SLICES)) == k)  # noqa: B023, E731
+        some = of(open_).join(of(earlier), "token").filter(_passes())
+        met.append(stage(some.select("b_set_key", "b_n", "a_set_key", "a_n").distinct(), "line-pairs-slice"))
+    more = _verified(docs, reduce(DataFrame.union, met), ranks, id_col, text_col)
     drop_stage(classes)
     return ranks, matches.union(more)
 
