@@ -278,7 +278,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The counts that tasks look up themselves: those of the most frequent words, at most KNOWN, and the totals of all."""
+    """The counts that tasks look up themselves: of the end and the most frequent words, at most KNOWN, and the totals of all."""
     level = F.floor(F.log2("n") * 8)
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).orderBy(F.desc("level")).collect()  # 8 x 64 rows at most
     types, tokens, least, held = sum(r["types"] for r in levels), sum(r["tokens"] for r in levels), None, 0
@@ -286,7 +286,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         if (held := held + r["types"]) > KNOWN:
             break
         least = r["level"]
-    top = counts.filter(level >= least if least is not None else F.lit(False)).toArrow()
+    top = counts.filter((F.col("h") == END) | (level >= least if least is not None else F.lit(False))).toArrow()
     h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
     order = np.lexsort((h, -n))
     order = np.concatenate([order[h[order] == END], order[h[order] != END]])[:PLACES]  # the end first
@@ -305,7 +305,8 @@ def train(texts: DataFrame, words: Vocabulary, sample: int = 1500, max_bytes: in
     """A start from at most ``sample`` texts of at most ``max_bytes``, then one averaged pass over all of ``texts`` (id, text)."""
     spark = texts.sparkSession
     some = texts.filter(F.octet_length("text").between(1, max_bytes)).select("text", F.xxhash64("id", F.lit(1)).alias("rank"))
-    picked = [r["text"] for r in some.orderBy("rank", "text").limit(sample).collect()]
+    last = some.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    picked = sorted(r["text"] for r in some.filter(F.col("rank") <= last).limit(sample).collect()) if last is not None else []
     first = Trainer(Net.start(), rate)
     while picked and first.t < 1500:
         first.learn(_placed(number(picked, words)), 128)

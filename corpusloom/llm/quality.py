@@ -39,24 +39,21 @@ class Net:
         return np.stack([(f[j][:, None] + f[j + 1][None]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)])
 
 
-def join_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all texts, each padded for its last window; the first window of each chunk; the first chunk of each text)."""
-    parts, starts, firsts, at = [], [], [], 0
+def join_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all texts, each padded for its last window; the first window of each chunk; the first chunk of each text; windows of no text)."""
+    parts, starts, firsts, at, between = [], [], [], 0, []
     for text in texts:
         data = (text or "").encode() or b"\0"
         firsts.append(len(starts))
         starts.extend(range(at, at + len(data), WINDOWS))
         parts += [data, bytes(WIDTH - 1)]
         at += len(data) + WIDTH - 1
-    return np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(firsts)
+        between.append(np.arange(at - WIDTH + 1, at))
+    return np.frombuffer(b"".join(parts), np.uint8), np.array(starts), np.array(firsts), np.concatenate(between[:-1] or [np.array([], int)])
 
 
-def pooled(data: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Maximum of each filter over each chunk's windows; chunks x FILTERS.
-
-    The windows between two texts read the first one's padding; they belong to
-    its last chunk and see zero bytes beyond its end.
-    """
+def pooled(data: np.ndarray, starts: np.ndarray, between: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Maximum of each filter over each chunk's windows; chunks x FILTERS."""
     n = len(data) - WIDTH + 1
     both = data[:-1].astype(np.uint16) << 8 | data[1:]
     best = np.full((len(starts), FILTERS), -np.inf, np.float32)
@@ -67,6 +64,7 @@ def pooled(data: np.ndarray, starts: np.ndarray, pairs: np.ndarray) -> np.ndarra
         z = pairs[0].take(both[a:b], axis=0)
         for j in range(1, WIDTH // 2):
             z += pairs[j].take(both[a + 2 * j : b + 2 * j], axis=0)
+        z[between[np.searchsorted(between, a) : np.searchsorted(between, b)] - a] = -np.inf
         best[a_chunk:b_chunk] = np.maximum.reduceat(z, starts[a_chunk:b_chunk] - a, axis=0)
         a_chunk = b_chunk
     return best
@@ -78,8 +76,8 @@ def _describe(chunks: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 
 def probabilities(net: Net, pairs: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    data, starts, firsts = join_texts(texts)
-    hidden = np.maximum(pooled(data, starts, pairs) + net.bias, 0)
+    data, starts, firsts, between = join_texts(texts)
+    hidden = np.maximum(pooled(data, starts, between, pairs) + net.bias, 0)
     return 1 / (1 + np.exp(-np.clip(_describe(hidden, firsts) @ net.out + net.out_bias, -30, 30)))
 
 
@@ -99,11 +97,12 @@ def fit(texts: list[tuple[str, int]], epochs: int = 4, batch: int = 32, rate: fl
     t = 0
     for _ in range(epochs):
         for some in np.array_split(draw.permutation(len(texts)), -(-len(texts) // batch)):
-            data, starts, firsts = join_texts([texts[i][0] for i in some])
+            data, starts, firsts, between = join_texts([texts[i][0] for i in some])
             ends = np.append(starts[1:], len(data) - WIDTH + 1)
             z = theta[0][0].take(data[: len(data) - WIDTH + 1], axis=0)
             for j in range(1, WIDTH):
                 z += theta[0][j].take(data[j : len(data) - WIDTH + 1 + j], axis=0)
+            z[between] = -np.inf
             top = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])  # chunks x FILTERS
             pre = np.take_along_axis(z, top, axis=0) + theta[1]
             hidden = np.maximum(pre, 0)
