@@ -29,25 +29,31 @@ from pyspark.sql import functions as F
 from corpusloom.plans.staging import drop_stage, stage, table
 
 BUCKETS = 1 << 18
-SLICES = 4  # the index is joined in so many parts, whose shuffle files go before the next
+SLICES = 3  # the index is joined in so many parts, whose shuffle files go before the next
 ABOVE, BELOW = 4, 5  # the threshold as a fraction
 CLASS = ["set_key", "n"]
-SPACE = "[ \\t-\\r]+"
+
+
+def _words(line: Column | str) -> Column:
+    return F.array_remove(F.split(F.lower(line), " "), "")
 
 
 def _hashes(line: Column | str) -> Column:
-    words = F.transform(F.split(F.lower(line), SPACE), lambda w: F.xxhash64(w))
-    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))
+    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    """(row, id, text); the white space of a text other than line feeds is blanks, null texts are empty."""
+    text = F.coalesce(text_col, F.lit(""))
+    for sign in "\t\v\f\r":
+        text = F.replace(text, F.lit(sign), F.lit(" "))
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
 
 
 def _rarity(lines: DataFrame) -> Column:
     """Level of the frequency of every hash bucket, as a constant of BUCKETS small numbers."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    counts = lines.select(F.explode(F.split(F.lower("line"), SPACE)).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
+    counts = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
     levels = ["0"] * BUCKETS
     for r in counts.select("bucket", F.floor(4 * F.log2("count")).cast("int").alias("level")).collect():  # BUCKETS rows at most
         levels[r["bucket"]] = str(r["level"])
@@ -65,68 +71,79 @@ def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return stage(sets.select("row", "id", "place", F.xxhash64("tokens").alias("set_key"), n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * ABOVE / BELOW).cast("int") + 1).alias("prefix"), parity.alias("parity")), "line-sets")
 
 
-def _class(prefix: str) -> list[Column]:
-    return [F.col(x).alias(f"{prefix}_{x}") for x in (*CLASS, "parity", "at")]
+def _passes(a: str, b: str) -> Column:
+    """Length, positional and parity filter of two classes that share an indexed word."""
+    n_a, n_b, at_a, at_b = F.col(f"{a}_n"), F.col(f"{b}_n"), F.col(f"{a}_at"), F.col(f"{b}_at")
+    both = n_a + n_b
+    long_enough = F.least(n_a, n_b) * BELOW >= F.greatest(n_a, n_b) * ABOVE
+    reachable = F.least(n_a - at_a, n_b - at_b) * (ABOVE + BELOW) >= both * ABOVE
+    # similar sets have (both - 2 x shared) words in one only, and shared x (ABOVE + BELOW) >= both x ABOVE
+    even = F.bit_count(F.col(f"{a}_parity").bitwiseXOR(F.col(f"{b}_parity"))) * (ABOVE + BELOW) <= both * (BELOW - ABOVE)
+    return long_enough & reachable & even
 
 
-def _passes() -> Column:
-    """Length, positional and parity filter of two different classes that share an indexed word."""
-    both = F.col("a_n") + F.col("b_n")
-    long_enough = F.least("a_n", "b_n") * BELOW >= F.greatest("a_n", "b_n") * ABOVE
-    reachable = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) * (ABOVE + BELOW) >= both * ABOVE
-    # similar sets have (both - 2 x shared) words in one only, and shared x (ABOVE + BELOW) >= both x ABOVE
-    even = F.bit_count(F.col("a_parity").bitwiseXOR(F.col("b_parity"))) * (ABOVE + BELOW) <= both * (BELOW - ABOVE)
-    return ((F.col("a_set_key") != F.col("b_set_key")) | (F.col("a_n") != F.col("b_n"))) & long_enough & reachable & even
-
-
-def _verified(docs: DataFrame, met: DataFrame, ranks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(set_key, n, match), staged: the classes b of ``met`` that match one of their classes a, and the earliest such."""
-    pairs = stage(met.groupBy("b_set_key", "b_n", "a_set_key", "a_n").agg(F.count("*").alias("shared")).drop("shared"), "line-pairs")
-    ranked = lambda k: ranks.select(F.col("set_key").alias(f"{k}_set_key"), F.col("n").alias(f"{k}_n"), F.col("rank").alias(f"{k}_rank"))
-    pairs = pairs.join(ranked("a"), ["a_set_key", "a_n"]).join(ranked("b"), ["b_set_key", "b_n"]).filter("a_rank < b_rank")
-    pairs = stage(pairs.select("a_set_key", "a_n", "a_rank", "b_set_key", "b_n", "b_rank"), "line-pairs-ranked")
-    end = lambda k: pairs.select(F.col(f"{k}_set_key").alias("set_key"), F.col(f"{k}_n").alias("n"), F.col(f"{k}_rank").alias("rank"))
-    ends = end("a").union(end("b")).groupBy(*CLASS, "rank").agg(F.lit(1).alias("one"))
-    wanted = stage(ends.groupBy(F.col("rank.row").alias("row")).agg(F.collect_list(F.struct(F.col("rank.place").alias("place"), *CLASS)).alias("wanted")), "wanted-lines")
+def _postings(classes: DataFrame, name: str, k: int, prefix: str | Column = "prefix", *more: str) -> DataFrame:
+    """One row per indexed word of slice ``k``: token, and ord, n, parity, at and ``more`` of its class under ``name``."""
+    # sets of up to BELOW - 2 words have no partner but themselves
+    rows = classes.filter(F.col("n") > BELOW - 2).select("ord", "n", "parity", *more, F.posexplode(prefix).alias("at", "token")).filter(F.pmod("token", F.lit(SLICES)) == k)
+    return rows.select("token", *(F.col(x).alias(f"{name}_{x}") for x in ("ord", "n", "parity", "at", *more)))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(ord, match), staged: the later classes of ``pairs`` (a, b with a < b) that match their a, and the earliest such a."""
+    ends = pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct()
+    wanted = stage(ends.join(ranks.select("ord", "row", "place"), "ord").groupBy("row").agg(F.collect_list(F.struct("place", "ord")).alias("wanted")), "wanted-lines")
     found = _numbered(docs, id_col, text_col).select("row", "text").join(wanted, "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
-    words = stage(found.select(F.col("x.set_key").alias("set_key"), F.col("x.n").alias("n"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words")
-    of = lambda k: words.select(F.col("set_key").alias(f"{k}_set_key"), F.col("n").alias(f"{k}_n"), F.col("words").alias(f"{k}_words"))
-    full = pairs.drop("b_rank").join(of("a"), ["a_set_key", "a_n"]).join(of("b"), ["b_set_key", "b_n"])
-    similar = full.filter(F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= (F.col("a_n") + F.col("b_n")) * ABOVE)
-    matched = stage(similar.groupBy(F.col("b_set_key").alias("set_key"), F.col("b_n").alias("n")).agg(F.min("a_rank").alias("match")), "line-matches")
+    words = stage(found.select(F.col("x.ord").alias("ord"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words")
+    of = lambda k: words.select(F.col("ord").alias(k), F.col("words").alias(f"{k}_words"))
+    similar = F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= (F.size("a_words") + F.size("b_words")) * ABOVE
+    matched = pairs.join(of("a"), "a").join(of("b"), "b").filter(similar).groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("match"))
+    matched = stage(matched, "line-matches")
     drop_stage(words)
     return matched
 
 
 def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(ranks, matches): each class with the rank of its first line; each class that matches an earlier one, with that one's rank.
+    """(ranks, matches): each class with its place in the order of first lines, ``ord``, and its first line; (ord, match) of those that match an earlier one.
 
     ``lines`` is dropped as soon as the classes are known.
 
     A list of the index is not paired with itself. First every class meets the
     earliest class of each of its lists. Only classes that match none of these
     meet all earlier ones of their lists. In a group of near copies nearly all
-    are decided by the first step, so pairs do not grow with its square.
+    are decided by the first step, so pairs do not grow with its square. In the
+    second step the shorter set of a pair, whose partner is no shorter, needs
+    n - ceil(2 t n / (1 + t)) + 1 words in the index only.
     """
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place", "prefix", "parity")).alias("first")
-    classes = stage(lines.filter("n > 0").groupBy(*CLASS).agg(first), "line-classes")
-    rank = F.struct("first.last", "first.id", "first.row", "first.place").alias("rank")
-    ranks = stage(classes.select(*CLASS, rank), "line-ranks")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place")).alias("first")
+    ranks = stage(lines.filter("n > 0").groupBy(*CLASS).agg(first).select(*CLASS, "first.*"), "line-firsts")
+    order = ["last", "id", "row", "place"]
+    # ranges in order, sorted: the numbers grow with the rank
+    ranks = stage(ranks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()).drop("last"), "line-ranks")
+    classes = stage(lines.select("row", "place", "n", "prefix", "parity").join(ranks.select("row", "place", "ord"), ["row", "place"]).select("ord", "n", "parity", "prefix"), "line-classes")
     drop_stage(lines)
-    # sets of up to BELOW - 2 words have no partner but themselves
-    spread = lambda some, *more: some.filter(F.col("n") > BELOW - 2).select(*CLASS, F.col("first.parity").alias("parity"), *more, F.posexplode("first.prefix").alias("at", "token"))
-    lists = spread(classes, rank).groupBy("token").agg(F.min(F.struct("rank", *CLASS, "parity", "at")).alias("a"), F.count("*").alias("size")).filter("size > 1")
-    lists = stage(lists.select("token", *(F.col(f"a.{x}").alias(f"a_{x}") for x in (*CLASS, "parity", "at"))), "line-lists")
-    matches = _verified(docs, spread(classes).select("token", *_class("b")).join(lists, "token").filter(_passes()), ranks, id_col, text_col)
-    drop_stage(lists)
-    open_ = spread(classes.join(matches.select(*CLASS), CLASS, "left_anti")).select("token", *_class("b"))
-    met, earlier = [], spread(classes).select("token", *_class("a"))
+    pairs = []
     for k in range(SLICES):
-        of = lambda side: side.filter(F.pmod("token", F.lit(SLICES)) == k)  # noqa: B023, E731
-        some = of(open_).join(of(earlier), "token").filter(_passes())
-        met.append(stage(some.select("b_set_key", "b_n", "a_set_key", "a_n").distinct(), "line-pairs-slice"))
-    more = _verified(docs, reduce(DataFrame.union, met), ranks, id_col, text_col)
+        of = lambda x: F.min_by(f"a_{x}", "a_ord").alias(f"a_{x}")
+        lists = _postings(classes, "a", k).groupBy("token").agg(F.min("a_ord").alias("a_ord"), of("n"), of("parity"), of("at"), F.count("*").alias("size")).filter("size > 1")
+        lists = stage(lists.drop("size"), "line-lists")
+        met = _postings(classes, "b", k).join(lists, "token").filter((F.col("a_ord") != F.col("b_ord")) & _passes("a", "b"))
+        pairs.append(stage(met.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "line-pairs-first"))
+        drop_stage(lists)
+    tried = reduce(DataFrame.union, pairs).distinct()
+    tried = stage(tried, "line-pairs")
+    matches = _verified(docs, tried, ranks, id_col, text_col)
+    marked = stage(classes.join(matches.select("ord", F.lit(False).alias("open")), "ord", "left").withColumn("open", F.coalesce("open", F.lit(True))), "line-classes-open")
     drop_stage(classes)
+    pairs, short = [], F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * 2 * ABOVE / (ABOVE + BELOW)).cast("int") + 1)
+    for k in range(SLICES):
+        s_first = F.col("s_ord") < F.col("l_ord")
+        ordered = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & s_first)
+        met = _postings(marked, "s", k, short, "open").join(_postings(marked, "l", k, "prefix", "open"), "token").filter(ordered & F.when(s_first, F.col("l_open")).otherwise(F.col("s_open")) & _passes("s", "l"))
+        pairs.append(stage(met.select(F.least("s_ord", "l_ord").alias("a"), F.greatest("s_ord", "l_ord").alias("b")).distinct(), "line-pairs-slice"))
+    drop_stage(marked)
+    rest = stage(reduce(DataFrame.union, pairs).distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
+    more = _verified(docs, rest, ranks, id_col, text_col)
     return ranks, matches.union(more)
 
 
@@ -143,11 +160,13 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = line_sets(docs, id_col, text_col)
     slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
     ranks, matches = line_matches(docs, lines, id_col, text_col)
-    known = stage(ranks.join(matches, CLASS, "left"), "line-decisions")
-    met = slim.join(known, CLASS, "left")
-    is_first = (F.col("row") == F.col("rank.row")) & (F.col("place") == F.col("rank.place"))
-    removed = F.coalesce(F.col("match").isNotNull() | ~is_first, F.lit(False))
-    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), F.col("rank.id").alias("class_id"), F.col("rank.place").alias("class_line"), F.col("match.id").alias("match_id"), F.col("match.place").alias("match_line"), removed.alias("removed"))
+    to = ranks.select(F.col("ord").alias("match"), F.col("id").alias("match_id"), F.col("place").alias("match_place"))
+    matched = stage(matches.join(to, "match").drop("match"), "line-matched")
+    known = ranks.join(matched, "ord", "left").select(*CLASS, F.col("id").alias("class_id"), F.col("row").alias("class_row"), F.col("place").alias("class_place"), "match_id", "match_place")
+    met = slim.join(stage(known, "line-decisions"), CLASS, "left")
+    is_first = (F.col("row") == F.col("class_row")) & (F.col("place") == F.col("class_place"))
+    removed = F.coalesce(F.col("match_place").isNotNull() | ~is_first, F.lit(False))
+    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), "class_id", F.col("class_place").alias("class_line"), "match_id", F.col("match_place").alias("match_line"), removed.alias("removed"))
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
