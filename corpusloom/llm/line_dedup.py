@@ -11,8 +11,9 @@ with equal sets form a class, and classes are joined with each other:
   one of their rarest n - ceil(t n) + 1 words, so only these are indexed;
 * length filter: neither set may be shorter than t times the other;
 * positional filter: what is left behind the shared word must still suffice;
-* parity filter: a set's words flip the bits of one long; two sets differ in
-  at least as many words as their longs in bits;
+* parity filter: a set's words flip the bits of one long, those of a long set
+  the bits of four, which added bit by bit give what one long would hold; two
+  sets differ in at least as many words as their parities in bits;
 * candidates are verified on the words of both lines.
 
 A line is removed if an earlier line (by document id, then place) matches it,
@@ -31,6 +32,8 @@ from corpusloom.plans.staging import drop_stage, stage, table
 BUCKETS = 1 << 18
 SLICES = 3  # the index is joined in so many parts, whose shuffle files go before the next
 ABOVE, BELOW = 4, 5  # the threshold as a fraction
+LONG = 80  # sets of more words have four longs of parities
+PARITIES = ["parity0", "parity1", "parity2", "parity3"]
 CLASS = ["set_key", "n"]
 
 
@@ -61,14 +64,17 @@ def _rarity(lines: DataFrame) -> Column:
 
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, id, place, set_key, n, prefix, parity) of every line, staged; blank lines have n = 0."""
+    """(row, id, place, set_key, n, prefix, parities) of every line, staged; blank lines have n = 0."""
     lines = _numbered(docs, id_col, text_col).select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     levels = _rarity(lines)
     token = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     sets = lines.select("row", "id", "place", F.sort_array(F.transform(_hashes("line"), token)).alias("tokens"))
     n = F.size("tokens")
-    parity = F.aggregate("tokens", F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
-    return stage(sets.select("row", "id", "place", F.xxhash64("tokens").alias("set_key"), n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * ABOVE / BELOW).cast("int") + 1).alias("prefix"), parity.alias("parity")), "line-sets")
+    flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
+    parity = lambda tokens: F.aggregate(tokens, F.lit(0).cast("long"), flip)
+    part = lambda i: F.filter("tokens", lambda t: F.shiftright(t, 6).bitwiseAND(3) == i)
+    parities = [F.when(n > LONG, parity(part(i))).otherwise(F.lit(0).cast("long") if i else parity("tokens")).alias(x) for i, x in enumerate(PARITIES)]
+    return stage(sets.select("row", "id", "place", F.xxhash64("tokens").alias("set_key"), n.alias("n"), F.slice("tokens", F.lit(1), n - F.ceil(n * ABOVE / BELOW).cast("int") + 1).alias("prefix"), *parities), "line-sets")
 
 
 def _passes(a: str, b: str) -> Column:
@@ -78,28 +84,34 @@ def _passes(a: str, b: str) -> Column:
     long_enough = F.least(n_a, n_b) * BELOW >= F.greatest(n_a, n_b) * ABOVE
     reachable = F.least(n_a - at_a, n_b - at_b) * (ABOVE + BELOW) >= both * ABOVE
     # similar sets have (both - 2 x shared) words in one only, and shared x (ABOVE + BELOW) >= both x ABOVE
-    even = F.bit_count(F.col(f"{a}_parity").bitwiseXOR(F.col(f"{b}_parity"))) * (ABOVE + BELOW) <= both * (BELOW - ABOVE)
-    return long_enough & reachable & even
+    flips = [F.col(f"{a}_{x}").bitwiseXOR(F.col(f"{b}_{x}")) for x in PARITIES]
+    bits = F.when((n_a > LONG) == (n_b > LONG), sum(map(F.bit_count, flips))).otherwise(F.bit_count(reduce(Column.bitwiseXOR, flips)))
+    return long_enough & reachable & (bits * (ABOVE + BELOW) <= both * (BELOW - ABOVE))
 
 
 def _postings(classes: DataFrame, name: str, k: int, prefix: str | Column = "prefix", *more: str) -> DataFrame:
-    """One row per indexed word of slice ``k``: token, and ord, n, parity, at and ``more`` of its class under ``name``."""
+    """One row per indexed word of slice ``k``: token, and ord, n, at, parities and ``more`` of its class under ``name``."""
     # sets of up to BELOW - 2 words have no partner but themselves
-    rows = classes.filter(F.col("n") > BELOW - 2).select("ord", "n", "parity", *more, F.posexplode(prefix).alias("at", "token")).filter(F.pmod("token", F.lit(SLICES)) == k)
-    return rows.select("token", *(F.col(x).alias(f"{name}_{x}") for x in ("ord", "n", "parity", "at", *more)))
+    rows = classes.filter(F.col("n") > BELOW - 2).select("ord", "n", *PARITIES, *more, F.posexplode(prefix).alias("at", "token")).filter(F.pmod("token", F.lit(SLICES)) == k)
+    return rows.select("token", *(F.col(x).alias(f"{name}_{x}") for x in ("ord", "n", "at", *PARITIES, *more)))
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(ord, match), staged: the later classes of ``pairs`` (a, b with a < b) that match their a, and the earliest such a."""
     ends = pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct()
     wanted = stage(ends.join(ranks.select("ord", "row", "place"), "ord").groupBy("row").agg(F.collect_list(F.struct("place", "ord")).alias("wanted")), "wanted-lines")
-    found = _numbered(docs, id_col, text_col).select("row", "text").join(wanted, "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
-    words = stage(found.select(F.col("x.ord").alias("ord"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words")
+    parts = []
+    for k in range(SLICES):  # texts travel to their wanted lines, so one slice of them at a time
+        of_slice = lambda x: x.filter(F.pmod("row", F.lit(SLICES)) == k)  # noqa: B023, E731
+        found = of_slice(_numbered(docs, id_col, text_col).select("row", "text")).join(of_slice(wanted).hint("merge"), "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
+        parts.append(stage(found.select(F.col("x.ord").alias("ord"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words"))
+    words = reduce(DataFrame.union, parts)
     of = lambda k: words.select(F.col("ord").alias(k), F.col("words").alias(f"{k}_words"))
     similar = F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= (F.size("a_words") + F.size("b_words")) * ABOVE
     matched = pairs.join(of("a"), "a").join(of("b"), "b").filter(similar).groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("match"))
     matched = stage(matched, "line-matches")
-    drop_stage(words)
+    for part in parts:
+        drop_stage(part)
     return matched
 
 
@@ -120,12 +132,12 @@ def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text
     order = ["last", "id", "row", "place"]
     # ranges in order, sorted: the numbers grow with the rank
     ranks = stage(ranks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()).drop("last"), "line-ranks")
-    classes = stage(lines.select("row", "place", "n", "prefix", "parity").join(ranks.select("row", "place", "ord"), ["row", "place"]).select("ord", "n", "parity", "prefix"), "line-classes")
+    classes = stage(lines.select("row", "place", "n", "prefix", *PARITIES).join(ranks.select("row", "place", "ord"), ["row", "place"]).select("ord", "n", "prefix", *PARITIES), "line-classes")
     drop_stage(lines)
     pairs = []
     for k in range(SLICES):
         of = lambda x: F.min_by(f"a_{x}", "a_ord").alias(f"a_{x}")
-        lists = _postings(classes, "a", k).groupBy("token").agg(F.min("a_ord").alias("a_ord"), of("n"), of("parity"), of("at"), F.count("*").alias("size")).filter("size > 1")
+        lists = _postings(classes, "a", k).groupBy("token").agg(F.min("a_ord").alias("a_ord"), of("n"), of("at"), *map(of, PARITIES), F.count("*").alias("size")).filter("size > 1")
         lists = stage(lists.drop("size"), "line-lists")
         met = _postings(classes, "b", k).join(lists, "token").filter((F.col("a_ord") != F.col("b_ord")) & _passes("a", "b"))
         pairs.append(stage(met.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "line-pairs-first"))
