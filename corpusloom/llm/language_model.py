@@ -84,7 +84,7 @@ def number(texts: list[str | None], vocabulary: Vocabulary) -> Batch:
 class Net:
     """Parameters in one flat vector, so that they can be averaged."""
 
-    SHAPES = {"x": (PLACES + 1, 3 * STATE), "u": (STATE, 3 * STATE), "wc": (STATE, CLASSES + 1), "bc": (CLASSES + 1,), "wo": (CLASSES, STATE, PER_CLASS), "bo": (CLASSES, PER_CLASS)}
+    SHAPES = {"x": (3, PLACES + 1, STATE), "u": (3, STATE, STATE), "wc": (STATE, CLASSES + 1), "bc": (CLASSES + 1,), "wo": (CLASSES, STATE, PER_CLASS), "bo": (CLASSES, PER_CLASS)}
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray):
@@ -141,33 +141,61 @@ def lanes(docs: list[np.ndarray], width: int, lead: np.ndarray | None = None) ->
     return Lanes(tokens, before, first, doc, (doc >= 0).sum(axis=1))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _logits(s: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits of states ``s``, less their maximum if they could overflow; no state is beyond 1."""
+    x = s @ weights
+    x += bias
+    if np.abs(weights).sum(axis=0).max() + np.abs(bias).max() > 80:
+        x -= x.max(axis=1, keepdims=True)
+    return x
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def _log_of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log-softmax of logits ``x`` at one place of each row."""
+    found = x[np.arange(len(x)), at]
+    return found - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
+
+
+def _softmax_error(x: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
+    """(softmax of ``x``, less 1 at one place of each row) x ``scale``, in place."""
+    np.exp(x, out=x)
+    x *= (scale / (x @ np.ones(x.shape[1], np.float32)))[:, None]
+    x[np.arange(len(x)), at] -= scale
+    return x
 
 
 def _forward(net: Net, run: Lanes, a: int, b: int, n: int, h: np.ndarray, keep: bool):
-    """States of steps a to b for the first n lanes; what the backward pass needs, if ``keep``."""
-    states, kept = np.empty((b - a, n, STATE), np.float32), []
-    for t in range(a, b):
-        h = np.where(run.first[t, :n, None], np.float32(0), h)
-        x, y = net.x[run.before[t, :n]], h @ net.u
-        gates = _sigmoid(x[:, : 2 * STATE] + y[:, : 2 * STATE])
-        r, z = gates[:, :STATE], gates[:, STATE:]
-        new = np.tanh(x[:, 2 * STATE :] + r * y[:, 2 * STATE :])
+    """States of steps a to b for the first n lanes; what the backward pass needs, if ``keep``: states before, gates, inner, where texts go on."""
+    goes_on = (~run.first[a:b, :n, None]).astype(np.float32)
+    gates = np.empty((3, b - a if keep else 1, n, STATE), np.float32)  # reset, update and new state
+    states, y = np.empty((b - a, n, STATE), np.float32), np.empty((3, n, STATE), np.float32)
+    before, inner = (np.empty_like(states), np.empty_like(states)) if keep else (np.empty((1, n, STATE), np.float32),) * 2
+    for t in range(b - a):
+        h0 = np.multiply(h, goes_on[t], out=before[t if keep else 0])
+        np.matmul(h0, net.u, out=y)
+        now = gates[:, t if keep else 0]
+        for table, gate in zip(net.x, now, strict=True):
+            np.take(table, run.before[a + t, :n], axis=0, out=gate, mode="clip")
+        both = now[:2]
+        both += y[:2]
+        np.negative(both, out=both)
+        np.exp(both, out=both)
+        both += 1
+        np.reciprocal(both, out=both)
         if keep:
-            kept.append((h, r, z, new, y[:, 2 * STATE :]))
-        h = new + z * (h - new)
-        states[t - a] = h
-    return states, kept, h
+            inner[t] = y[2]
+        y[2] *= now[0]
+        new = now[2]
+        new += y[2]
+        np.tanh(new, out=new)
+        h = np.subtract(h0, new, out=states[t])
+        h *= now[1]
+        h += new
+    return states, (before, gates, inner, goes_on), h
 
 
 def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes.astype(np.uint8), kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
     for c in range(CLASSES):
         if bounds[c] < bounds[c + 1]:
@@ -184,9 +212,9 @@ def log_likelihoods(net: Net, docs: list[np.ndarray], width: int = 256, window:
         valid = run.doc[a:b, :n] >= 0
         s, word, doc = states[valid], run.tokens[a:b, :n][valid], run.doc[a:b, :n][valid]
         cls = word // PER_CLASS
-        found = np.take_along_axis(_log_softmax(s @ net.wc + net.bc), cls[:, None], axis=1)[:, 0]
+        found = _log_of(_logits(s, net.wc, net.bc), cls)
         for c, at in _by_class(cls):
-            found[at] += np.take_along_axis(_log_softmax(s[at] @ net.wo[c] + net.bo[c]), word[at, None] % PER_CLASS, axis=1)[:, 0]
+            found[at] += _log_of(_logits(s[at], net.wo[c], net.bo[c]), word[at] % PER_CLASS)
         total += np.bincount(doc, found, len(docs))
     return total
 
@@ -207,42 +235,56 @@ class Trainer:
         h = np.zeros((run.tokens.shape[1], STATE), np.float32)
         for a in range(0, len(run.tokens), window):
             b, n = min(a + window, len(run.tokens)), int(run.active[a])
-            states, kept, h = _forward(net, run, a, b, n, h[:n], True)
+            states, (before, gates, inner, goes_on), h = _forward(net, run, a, b, n, h[:n], True)
             valid = run.doc[a:b, :n] >= 0
             s, word = states[valid], run.tokens[a:b, :n][valid]
             grad, scale = Net(np.zeros(Net.SIZE, np.float32)), np.float32(1 / max(len(word), 256))
             cls = word // PER_CLASS
-            p = np.exp(_log_softmax(s @ net.wc + net.bc))
-            p[np.arange(len(p)), cls] -= 1
-            p *= scale
+            p = _softmax_error(_logits(s, net.wc, net.bc), cls, scale)
             grad.wc[:], grad.bc[:] = s.T @ p, p.sum(axis=0)
             back = p @ net.wc.T
             for c, at in _by_class(cls):
-                q = np.exp(_log_softmax(s[at] @ net.wo[c] + net.bo[c]))
-                q[np.arange(len(q)), word[at] % PER_CLASS] -= 1
-                q *= scale
-                grad.wo[c], grad.bo[c] = s[at].T @ q, q.sum(axis=0)
+                mine = s[at]
+                q = _softmax_error(_logits(mine, net.wo[c], net.bo[c]), word[at] % PER_CLASS, scale)
+                grad.wo[c], grad.bo[c] = mine.T @ q, q.sum(axis=0)
                 back[at] += q @ net.wo[c].T
             outer = np.zeros_like(states)
             outer[valid] = back
-            into_x, into_u = np.empty((b - a, n, 3 * STATE), np.float32), np.empty((b - a, n, 3 * STATE), np.float32)
-            dh = np.zeros((n, STATE), np.float32)
+            into_x, into_inner, dh = np.empty((3, b - a, n, STATE), np.float32), np.empty_like(states), np.zeros((n, STATE), np.float32)
             for t in range(b - a - 1, -1, -1):
-                before, r, z, new, inner = kept[t]
-                dh = dh + outer[t]
-                dn = dh * (1 - z) * (1 - new * new)
-                dx = into_x[t]
-                dx[:, :STATE] = dn * inner * r * (1 - r)
-                dx[:, STATE : 2 * STATE] = dh * (before - new) * z * (1 - z)
-                dx[:, 2 * STATE :] = dn
-                into_u[t] = dx
-                into_u[t, :, 2 * STATE :] = dn * r
-                dh = np.where(run.first[a + t, :n, None], np.float32(0), dh * z + into_u[t] @ net.u.T)
-            grad.u[:] = np.concatenate([k[0] for k in kept]).T @ into_u.reshape(-1, 3 * STATE)
-            came = run.before[a:b, :n].ravel()
+                r, z, new = gates[:, t]
+                dr, dz, dn = into_x[:, t]
+                dh += outer[t]
+                other = 1 - z
+                np.multiply(new, new, out=dn)
+                np.subtract(1, dn, out=dn)
+                dn *= other
+                dn *= dh
+                np.subtract(before[t], new, out=dz)
+                dz *= z
+                dz *= other
+                dz *= dh
+                np.subtract(1, r, out=dr)
+                dr *= r
+                dr *= inner[t]
+                dr *= dn
+                np.multiply(dn, r, out=into_inner[t])
+                dh *= z
+                for d, u in zip((dr, dz, into_inner[t]), net.u, strict=True):
+                    dh += d @ u.T
+                dh *= goes_on[t]
+            came = run.before[a:b, :n].ravel().astype(np.uint16)
             order = np.argsort(came, kind="stable")
-            starts = np.flatnonzero(np.diff(came[order], prepend=-1))
-            grad.x[came[order][starts]] = np.add.reduceat(into_x.reshape(-1, 3 * STATE)[order], starts, axis=0)
+            came = came[order]
+            many = int(np.searchsorted(came, PLACES))
+            starts = np.flatnonzero(np.diff(came[:many].astype(np.int32), prepend=-1))
+            held = before.reshape(-1, STATE).T
+            for k, d in enumerate((into_x[0], into_x[1], into_inner)):
+                np.matmul(held, d.reshape(-1, STATE), out=grad.u[k])
+                rows = into_x[k].reshape(-1, STATE).take(order, axis=0)
+                np.matmul(np.ones(len(rows) - many, np.float32), rows[many:], out=grad.x[k, PLACES])  # the most frequent place
+                if many:
+                    grad.x[k, came[starts]] = np.add.reduceat(rows[:many], starts, axis=0)
             self._step(grad.flat)
             self.tokens += len(word)
 
