@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm.line_dedup import drop_similar_lines
 from corpusloom.llm.mixing import mix
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.rows import stored_row
 from corpusloom.llm.simhash import simhash_components
 from corpusloom.llm.toxicity import reject_toxic
 from corpusloom.plans.staging import stage, table
@@ -33,7 +34,7 @@ def near_dedup(spark, docs, sf_dir):
 
 def mixing(spark, docs, sf_dir):
     """Each document as often as the mix takes it: not at all, once or twice."""
-    numbered = docs.select(*COLUMNS).withColumn("row__", F.monotonically_increasing_id())
+    numbered = docs.select(*COLUMNS).withColumn("row__", stored_row())
     taken = mix(numbered, keep=("row__",)).filter("copies > 0").select("row__", "copies")
     return numbered.join(taken, "row__").withColumn("copy__", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 

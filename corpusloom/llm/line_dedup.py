@@ -27,6 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.rows import stored_row
 from corpusloom.plans.staging import drop_stage, stage, table
 
 BUCKETS = 1 << 18
@@ -50,7 +51,7 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(text_col, F.lit(""))
     for sign in "\t\v\f\r":
         text = F.replace(text, F.lit(sign), F.lit(" "))
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    return docs.select(stored_row().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
 
 
 def _rarity(lines: DataFrame) -> Column:
@@ -102,7 +103,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str,
     wanted = stage(ends.join(ranks.select("ord", "row", "place"), "ord").groupBy("row").agg(F.collect_list(F.struct("place", "ord")).alias("wanted")), "wanted-lines")
     parts = []
     for k in range(SLICES):  # texts travel to their wanted lines, so one slice of them at a time
-        of_slice = lambda x: x.filter(F.pmod("row", F.lit(SLICES)) == k)  # noqa: B023, E731
+        of_slice = lambda x: x.filter(F.pmod("row.at", F.lit(SLICES)) == k)  # noqa: B023, E731
         found = of_slice(_numbered(docs, id_col, text_col).select("row", "text")).join(of_slice(wanted).hint("merge"), "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
         parts.append(stage(found.select(F.col("x.ord").alias("ord"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words"))
     words = reduce(DataFrame.union, parts)
@@ -166,8 +167,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     class matches, null if there is none; the earliest of those it was compared
     with. Blank lines have no class and are never removed. Null texts are one
     blank line; lines end at line feeds only. ``docs`` has to be read from
-    files, so that its rows keep their numbers; rows that repeat an id are
-    ranked by these. An empty table gives no rows.
+    Parquet and at most filtered or projected, as its rows are known by file
+    and place; rows that repeat an id are ranked by these. An empty table
+    gives no rows.
     """
     lines = line_sets(docs, id_col, text_col)
     slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
@@ -186,7 +188,7 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = similar_lines(docs.select(id_col, text_col), id_col, text_col).filter("removed")
     gone = stage(found.groupBy(F.col("row").alias("row__")).agg(F.collect_set("line").alias("gone__")), "removed-lines")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("gone__", i)), "\n")
-    joined = docs.withColumn("row__", F.monotonically_increasing_id()).join(gone, "row__", "left")
+    joined = docs.withColumn("row__", stored_row()).join(gone, "row__", "left")
     return joined.withColumn(text_col, F.when(F.col("gone__").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
 
 

@@ -12,6 +12,7 @@ import pytest
 from xxhash import xxh64_intdigest
 
 from corpusloom.llm import components, exact_dedup, language_model, line_dedup, media, mixing, packing, quality, simhash, substring, toxicity
+from corpusloom.llm.rows import stored_row
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, n long, label int"
 WORDS = [a + b for a in "ka lo mi ne ru sa ti vo".split() for b in "bel dor fin gam hul".split()]
@@ -125,6 +126,35 @@ def test_line_dedup(docs, empty, odd):
     assert line_dedup.similar_lines(odd).filter("removed").count() == 4
 
 
+def test_rows_keep_their_names(spark, docs):
+    """Line dedup and the pipeline's mix read a table more than once; its splits may differ, as they do when executors come or go."""
+    import corpus_pipeline as P
+
+    names = lambda: {r["doc_id"]: r["row"] for r in docs.select("doc_id", stored_row().alias("row")).collect()}
+    want, before = names(), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert len(set(want.values())) == docs.count()
+    removed = sorted(map(str, line_dedup.similar_lines(docs).drop("row").collect()))
+    calls, stage = [], line_dedup.stage
+
+    def other_splits(*args):
+        calls.append(1)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str([2_000, 500_000_000, 30_000][len(calls) % 3]))
+        return stage(*args)
+
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        assert names() == want
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(line_dedup, "stage", other_splits)
+            assert sorted(map(str, line_dedup.similar_lines(docs).drop("row").collect())) == removed
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "stage", other_splits)
+            got = Counter(r["doc_id"] for r in P.mixing(spark, docs, None).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]}
+
+
 def test_fit_budget():
     draw = np.random.default_rng(0)
     for _ in range(40):
