@@ -17,7 +17,9 @@ with equal sets form a class, and classes are joined with each other:
 * candidates are verified on the words of both lines.
 
 A line is removed if an earlier line (by document id, then place) matches it,
-whether or not that line stays itself.
+whether or not that line stays itself. All pairs of classes that match are
+found, counted and listed. What only asks which lines go (``removed_lines``)
+stops comparing a class once it has an earlier match.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ def _postings(classes: DataFrame, name: str, k: int, prefix: str | Column = "pre
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(ord, match), staged: the later classes of ``pairs`` (a, b with a < b) that match their a, and the earliest such a."""
+    """(a, b), staged: the pairs of ``pairs`` (a < b) that match, compared on the words of both lines."""
     ends = pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct()
     wanted = stage(ends.join(ranks.select("ord", "row", "place"), "ord").groupBy("row").agg(F.collect_list(F.struct("place", "ord")).alias("wanted")), "wanted-lines")
     parts = []
@@ -109,25 +111,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str,
     words = reduce(DataFrame.union, parts)
     of = lambda k: words.select(F.col("ord").alias(k), F.col("words").alias(f"{k}_words"))
     similar = F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= (F.size("a_words") + F.size("b_words")) * ABOVE
-    matched = pairs.join(of("a"), "a").join(of("b"), "b").filter(similar).groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("match"))
-    matched = stage(matched, "line-matches")
+    matched = []
+    for k in range(SLICES):  # words travel with their pairs
+        some = pairs.filter(F.pmod(F.xxhash64("a"), F.lit(SLICES)) == k)
+        matched.append(stage(some.join(of("a"), "a").join(of("b"), "b").filter(similar).select("a", "b"), "line-links"))
     for part in parts:
         drop_stage(part)
-    return matched
+    return reduce(DataFrame.union, matched)
 
 
-def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(ranks, matches): each class with its place in the order of first lines, ``ord``, and its first line; (ord, match) of those that match an earlier one.
+def _earliest(links: DataFrame) -> DataFrame:
+    """(ord, match), staged: the later classes of ``links`` with their earliest other."""
+    return stage(links.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("match")), "line-matches")
 
-    ``lines`` is dropped as soon as the classes are known.
 
-    A list of the index is not paired with itself. First every class meets the
-    earliest class of each of its lists. Only classes that match none of these
-    meet all earlier ones of their lists. In a group of near copies nearly all
-    are decided by the first step, so pairs do not grow with its square. In the
-    second step the shorter set of a pair, whose partner is no shorter, needs
-    n - ceil(2 t n / (1 + t)) + 1 words in the index only.
-    """
+def _ranked(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ranks, classes): each class with its place in the order of first lines, ``ord``, and its first line; each with its index. ``lines`` is dropped."""
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "place")).alias("first")
     ranks = stage(lines.filter("n > 0").groupBy(*CLASS).agg(first).select(*CLASS, "first.*"), "line-firsts")
     order = ["last", "id", "row", "place"]
@@ -135,6 +134,49 @@ def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text
     ranks = stage(ranks.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("ord", F.monotonically_increasing_id()).drop("last"), "line-ranks")
     classes = stage(lines.select("row", "place", "n", "prefix", *PARITIES).join(ranks.select("row", "place", "ord"), ["row", "place"]).select("ord", "n", "prefix", *PARITIES), "line-classes")
     drop_stage(lines)
+    return ranks, classes
+
+
+def _met(classes: DataFrame, *more: str) -> DataFrame:
+    """(a, b) with a < b, staged: all pairs of classes that share an indexed word and pass the filters, each once.
+
+    The shorter set of a pair, whose partner is no shorter, needs
+    n - ceil(2 t n / (1 + t)) + 1 words in the index only. With ``open`` as
+    ``more``, pairs whose later class is not open are left out.
+    """
+    pairs, short = [], F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * 2 * ABOVE / (ABOVE + BELOW)).cast("int") + 1)
+    for k in range(SLICES):
+        s_first = F.col("s_ord") < F.col("l_ord")
+        ordered = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & s_first)
+        wanted = F.when(s_first, F.col("l_open")).otherwise(F.col("s_open")) if more else F.lit(True)
+        met = _postings(classes, "s", k, short, *more).join(_postings(classes, "l", k, "prefix", *more), "token").filter(ordered & wanted & _passes("s", "l"))
+        pairs.append(stage(met.select(F.least("s_ord", "l_ord").alias("a"), F.greatest("s_ord", "l_ord").alias("b")).distinct(), "line-pairs-slice"))
+    return stage(reduce(DataFrame.union, pairs).distinct(), "line-pairs")
+
+
+def line_links(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(ranks, links): the classes by rank, as in ``line_matches``; all pairs of classes that match, (a, b) with a < b by ``ord``.
+
+    ``lines`` is dropped. Pairs grow with the square of a group of near copies.
+    """
+    ranks, classes = _ranked(lines)
+    pairs = _met(classes)
+    drop_stage(classes)
+    return ranks, _verified(docs, pairs, ranks, id_col, text_col)
+
+
+def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(ranks, matches): each class with its place in the order of first lines, ``ord``, and its first line; (ord, match) of those that match an earlier one.
+
+    ``lines`` is dropped as soon as the classes are known.
+
+    A list of the index is not paired with itself. First every class meets the
+    earliest class of each of its lists. Only classes that match none of these
+    meet all earlier ones of their lists. In a group of near copies nearly all
+    are decided by the first step, so pairs do not grow with its square. This
+    finds which lines go, not all links.
+    """
+    ranks, classes = _ranked(lines)
     pairs = []
     for k in range(SLICES):
         of = lambda x: F.min_by(f"a_{x}", "a_ord").alias(f"a_{x}")
@@ -145,47 +187,65 @@ def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text
         drop_stage(lists)
     tried = reduce(DataFrame.union, pairs).distinct()
     tried = stage(tried, "line-pairs")
-    matches = _verified(docs, tried, ranks, id_col, text_col)
+    matches = _earliest(_verified(docs, tried, ranks, id_col, text_col))
     marked = stage(classes.join(matches.select("ord", F.lit(False).alias("open")), "ord", "left").withColumn("open", F.coalesce("open", F.lit(True))), "line-classes-open")
     drop_stage(classes)
-    pairs, short = [], F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * 2 * ABOVE / (ABOVE + BELOW)).cast("int") + 1)
-    for k in range(SLICES):
-        s_first = F.col("s_ord") < F.col("l_ord")
-        ordered = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & s_first)
-        met = _postings(marked, "s", k, short, "open").join(_postings(marked, "l", k, "prefix", "open"), "token").filter(ordered & F.when(s_first, F.col("l_open")).otherwise(F.col("s_open")) & _passes("s", "l"))
-        pairs.append(stage(met.select(F.least("s_ord", "l_ord").alias("a"), F.greatest("s_ord", "l_ord").alias("b")).distinct(), "line-pairs-slice"))
+    pairs = _met(marked, "open")
     drop_stage(marked)
-    rest = stage(reduce(DataFrame.union, pairs).distinct().join(tried, ["a", "b"], "left_anti"), "line-pairs")
-    more = _verified(docs, rest, ranks, id_col, text_col)
-    return ranks, matches.union(more)
+    rest = stage(pairs.join(tried, ["a", "b"], "left_anti"), "line-pairs-rest")
+    return ranks, matches.union(_earliest(_verified(docs, rest, ranks, id_col, text_col)))
+
+
+def _placed(slim: DataFrame, known: DataFrame, id_col: str, *more: str) -> DataFrame:
+    """The lines ``slim`` with what is ``known`` of their classes."""
+    met = slim.join(stage(known, "line-decisions"), CLASS, "left")
+    is_first = F.coalesce((F.col("row") == F.col("class_row")) & (F.col("place") == F.col("class_place")), F.lit(False))
+    removed = F.col("class_row").isNotNull() & (F.col("match_place").isNotNull() | ~is_first)
+    links = [F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(is_first, F.col("links")).alias("links")] if more else []
+    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), "class_id", F.col("class_place").alias("class_line"), "match_id", F.col("match_place").alias("match_line"), *links, removed.alias("removed"))
+
+
+def _known(ranks: DataFrame, matched: DataFrame, *more: str) -> DataFrame:
+    """Each class with its first line and what ``matched`` says of it; ``match`` there is the ord of another class."""
+    to = ranks.select(F.col("ord").alias("match"), F.col("id").alias("match_id"), F.col("place").alias("match_place"))
+    matched = stage(matched.join(to, "match", "left").drop("match"), "line-matched")
+    return ranks.join(matched, "ord", "left").select(*CLASS, F.col("id").alias("class_id"), F.col("row").alias("class_row"), F.col("place").alias("class_place"), "match_id", "match_place", *more)
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of ``docs``: row, id, line, n_words, class_id, class_line, match_id, match_line, removed.
-
-    The class is named by its first line. ``match``: an earlier line that the
-    class matches, null if there is none; the earliest of those it was compared
-    with. Blank lines have no class and are never removed. Null texts are one
-    blank line; lines end at line feeds only. ``docs`` has to be read from
-    Parquet and at most filtered or projected, as its rows are known by file
-    and place; rows that repeat an id are ranked by these. An empty table
-    gives no rows.
+    """One row per line of ``docs``: row, id, line, n_words, class_id, class_line, match_id, match_line, n_links, links, removed.
+
+    The class is named by its first line. ``match``: the earliest line that the
+    class matches, null if there is none. ``n_links`` counts all other classes
+    that match it, earlier and later. ``links`` lists the earlier ones by their
+    first lines (id, line), in order; it stands on the first line of a class
+    only, so the lists hold each pair of classes once. Blank lines have no
+    class and are never removed. Null texts are one blank line; lines end at
+    line feeds only. ``docs`` has to be read from Parquet and at most filtered
+    or projected, as its rows are known by file and place; rows that repeat an
+    id are ranked by these. An empty table gives no rows.
     """
     lines = line_sets(docs, id_col, text_col)
     slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
+    ranks, links = line_links(docs, lines, id_col, text_col)
+    named = links.join(ranks.select(F.col("ord").alias("a"), F.col("id"), F.col("place").alias("line")), "a")
+    earlier = stage(named.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("match"), F.count("*").alias("n_earlier"), F.sort_array(F.collect_list(F.struct("a", "id", "line"))).alias("found")), "line-earlier")
+    later = links.groupBy(F.col("a").alias("ord")).agg(F.count("*").alias("n_later"))
+    both = earlier.join(later, "ord", "full").select("ord", "match", (F.coalesce("n_earlier", F.lit(0)) + F.coalesce("n_later", F.lit(0))).alias("n_links"), F.transform("found", lambda x: F.struct(x["id"].alias("id"), x["line"].alias("line"))).alias("links"))
+    return _placed(slim, _known(ranks, both, "n_links", "links"), id_col, "links")
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``similar_lines`` without the links: ``match`` is the earliest of the lines a class was compared with, and ``removed`` is the same."""
+    lines = line_sets(docs, id_col, text_col)
+    slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
     ranks, matches = line_matches(docs, lines, id_col, text_col)
-    to = ranks.select(F.col("ord").alias("match"), F.col("id").alias("match_id"), F.col("place").alias("match_place"))
-    matched = stage(matches.join(to, "match").drop("match"), "line-matched")
-    known = ranks.join(matched, "ord", "left").select(*CLASS, F.col("id").alias("class_id"), F.col("row").alias("class_row"), F.col("place").alias("class_place"), "match_id", "match_place")
-    met = slim.join(stage(known, "line-decisions"), CLASS, "left")
-    is_first = (F.col("row") == F.col("class_row")) & (F.col("place") == F.col("class_place"))
-    removed = F.coalesce(F.col("match_place").isNotNull() | ~is_first, F.lit(False))
-    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), "class_id", F.col("class_place").alias("class_line"), "match_id", F.col("match_place").alias("match_line"), removed.alias("removed"))
+    return _placed(slim, _known(ranks, matches), id_col)
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut out of ``text_col``; all rows and columns stay, a text may become empty."""
-    found = similar_lines(docs.select(id_col, text_col), id_col, text_col).filter("removed")
+    found = removed_lines(docs.select(id_col, text_col), id_col, text_col).filter("removed")
     gone = stage(found.groupBy(F.col("row").alias("row__")).agg(F.collect_set("line").alias("gone__")), "removed-lines")
     rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("gone__", i)), "\n")
     joined = docs.withColumn("row__", stored_row()).join(gone, "row__", "left")

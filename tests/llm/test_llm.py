@@ -126,6 +126,28 @@ def test_line_dedup(docs, empty, odd):
     assert line_dedup.similar_lines(odd).filter("removed").count() == 4
 
 
+def test_line_links(spark, docs, tmp_path):
+    """Every pair of similar lines is found and returned once, whatever else its lines match."""
+    base = WORDS[:20]
+    texts = [" ".join(base[:k] + [f"new{k}"] + base[k + 1 :]) for k in range(6)] + [" ".join(base), "a b c d e\na b c d e f\nE D C B A", "quite another line"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "near"))
+    for some in (spark.read.parquet(str(tmp_path / "near")), docs):
+        first = {}
+        for r in sorted(some.collect(), key=lambda r: r["doc_id"]):
+            for k, line in enumerate((r["text"] or "").split("\n")):
+                first.setdefault(frozenset(w for w in re.split(r"[ \t-\r]+", line.lower()) if w), (r["doc_id"], k))
+        links = {tuple(sorted((first[s], first[t]))) for s, t in combinations(first, 2) if s and t and 9 * len(s & t) >= 4 * (len(s) + len(t))}
+        rows = line_dedup.similar_lines(some).collect()
+        got = [((x["id"], x["line"]), (r["doc_id"], r["line"])) for r in rows for x in r["links"] or []]
+        assert set(got) == links and len(got) == len(links) > 0
+        degree = Counter(end for pair in links for end in pair)
+        for r in rows:
+            assert r["n_links"] == degree[r["class_id"], r["class_line"]]
+            assert (r["match_id"], r["match_line"]) == min((a for a, b in links if b == (r["class_id"], r["class_line"])), default=(None, None))
+        key = lambda r: (r["doc_id"], r["line"], r["removed"])
+        assert sorted(map(key, rows)) == sorted(map(key, line_dedup.removed_lines(some).collect()))
+
+
 def test_rows_keep_their_names(spark, docs):
     """Line dedup and the pipeline's mix read a table more than once; its splits may differ, as they do when executors come or go."""
     import corpus_pipeline as P
