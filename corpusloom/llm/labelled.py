@@ -32,3 +32,16 @@ def sample_texts(docs: DataFrame, known: DataFrame, per_label: int, max_bytes: i
     ids = stage(picked[0].unionByName(picked[1]).dropDuplicates(["id"]), "training-ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "id")
     return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))]
+
+
+def sample_unlabelled(docs: DataFrame, folds: int, held_out: int, n: int, max_bytes: int, seed: int) -> list[str]:
+    """Texts of ``n`` rows outside the held-out fold, in the order of a seeded hash, whether they have a label or not.
+
+    Labels are not read, so labelled rows of either kind are there in their
+    natural share. Rows without an id are left out, and texts over ``max_bytes``
+    once the ids are drawn.
+    """
+    some = docs.select(F.col("doc_id").cast("long").alias("id")).filter(F.col("id").isNotNull() & (fold("id", folds) != held_out))
+    ids = stage(some.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(n).dropDuplicates(["id"]), "unlabelled-ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "id")
+    return [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))]

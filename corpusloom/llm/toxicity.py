@@ -1,11 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; all other training rows, whatever
-their label says, are unlabelled. With the class prior p the negative risk is
+Confirmed toxic texts are the positives. The unlabelled rows are a sample of all
+training documents, drawn without a look at the labels: those with no label, with
+a 0 and with a 1 in their natural share. With the class prior p the negative risk is
 what the unlabelled rows show less p times what the positives show, and it may
 not fall below zero: where it would, a step climbs back instead. Several linear
 classifiers over word presence are fitted in numpy on different shares of the
 unlabelled rows, and their probabilities are averaged.
+
+The prior is a parameter or estimated from the same two samples. Unlabelled rows
+are p parts positives, so whatever set of texts is looked at, p is at most its
+share among them over its share among positives. The estimate is the least such
+ratio over the sets "scores at least t", with scores of classifiers that were
+fitted on the other half of the rows.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.labelled import fold, sample_texts, training_labels
+from corpusloom.llm.labelled import fold, sample_texts, sample_unlabelled, training_labels
 from corpusloom.plans.staging import table
 
 SLOTS = 1 << 18
@@ -77,7 +84,7 @@ def _fit_one(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, weight: n
 
 
 def fit(texts: list[tuple[str, int]], prior: float, classifiers: int = 3, features: int = 256, steps: int = 300, l2: float = 1e-5, seed: int = 11) -> Model:
-    """Fit on (text, 1 if confirmed toxic else 0 for unlabelled). Without either kind every score is ``prior``."""
+    """Fit on (text, 1 if confirmed toxic else 0 for unlabelled, positives in their share included). Without either kind every score is ``prior``."""
     positive = np.array([y for _, y in texts], float)
     prior = float(np.clip(prior, 1e-4, 0.9))
     flat = np.log(prior / (1 - prior))
@@ -99,21 +106,45 @@ def fit(texts: list[tuple[str, int]], prior: float, classifiers: int = 3, featur
     rows, cols = rows[use], place[cols[use]]
     draw = np.random.default_rng(seed)
     for k in range(classifiers):
-        # the unlabelled set holds positives in their natural share
-        w = np.where(positive > 0, prior / n_p, (1 - prior) / (n - n_p)) * (draw.random(n) < 0.8)
+        w = (positive == 0) * (draw.random(n) < 0.8)
         model.weights[k, chosen], model.bias[k] = _fit_one(rows, cols, positive, w, len(chosen), prior, steps, l2)
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes: int = 65536, seed: int = 11) -> Model:
-    """Learn from the labels outside the held-out fold: the prior from all of them, the classifiers from a bounded sample.
+def estimate_prior(texts: list[tuple[str, int]], start: float = 0.1, least: float = 0.5, seed: int = 11) -> float:
+    """Share of positives among the unlabelled of ``texts``: the least ratio of tails, cross-fitted in two halves.
 
-    The sample has at most ``per_label`` confirmed toxic rows and as many
-    others, of at most ``max_bytes`` each.
+    Tails hold at least ``least`` of the positives. One row is added to the
+    unlabelled ones of a tail, so an empty one gives no prior of zero.
+    """
+    half = np.array([zlib.crc32(f"{seed}{t}".encode()) & 1 for t, _ in texts])
+    truth, slots, found = np.array([y for _, y in texts]), _Slots(), []
+    for k in (0, 1):
+        model = fit([x for x, h in zip(texts, half, strict=True) if h != k], start, classifiers=1, seed=seed)
+        mine = half == k
+        scores = np.array([model.score(word_slots(t, slots)) for (t, _), m in zip(texts, mine, strict=True) if m])
+        confirmed, others = np.sort(scores[truth[mine] == 1]), np.sort(scores[truth[mine] == 0])
+        if not len(confirmed) or not len(others):
+            continue
+        tails = np.unique(confirmed)
+        share = 1 - np.searchsorted(confirmed, tails) / len(confirmed)
+        tail = (len(others) - np.searchsorted(others, tails) + 1) / (len(others) + 1)
+        found.append(float(np.min((tail / share)[share >= least])))
+    return min(1.0, float(np.mean(found))) if found else 0.0
+
+
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes: int = 65536, seed: int = 11, prior: float | None = None) -> Model:
+    """Learn from confirmed toxic rows and unlabelled ones outside the held-out fold; without ``prior`` it is estimated.
+
+    At most ``per_label`` confirmed toxic rows and as many unlabelled ones, of
+    at most ``max_bytes`` each. Labels other than 1 are not read.
     """
-    known = training_labels(labels, "toxic", FOLDS, HELD_OUT)
-    prior = known.agg(F.avg("label")).first()[0] or 0.0
-    return fit(sample_texts(docs, known, per_label, max_bytes, seed), prior, seed=seed)
+    known = training_labels(labels, "toxic", FOLDS, HELD_OUT).filter("label = 1")
+    positives = sample_texts(docs, known, per_label, max_bytes, seed)
+    if not positives:
+        return fit([], 0.0)
+    texts = positives + [(t, 0) for t in sample_unlabelled(docs, FOLDS, HELD_OUT, per_label, max_bytes, seed)]
+    return fit(texts, estimate_prior(texts, seed=seed) if prior is None else prior, seed=seed)
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

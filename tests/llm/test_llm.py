@@ -289,6 +289,17 @@ def test_toxicity(spark, docs, empty):
     assert np.array_equal(swapped.weights, toxicity.train(texts, labels).weights)  # held-out labels are not read
 
 
+def test_toxicity_from_positives_only(spark):
+    """Labels that hold confirmed toxic rows only, some of them: clean documents stay, other toxic ones go."""
+    rows = labelled(spark, random.Random(6), 900)
+    texts = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, 1) for i, _, y in rows if y and i % 2], "doc_id long, quality int, toxic int")
+    model = toxicity.train(texts, labels)
+    assert 0.15 < model.prior < 0.45  # 0.3 in truth
+    kept = {r["doc_id"] for r in toxicity.reject_toxic(texts, labels).collect()}
+    assert np.mean([i in kept for i, _, y in rows if not y]) > 0.97 and np.mean([i in kept for i, _, y in rows if y]) < 0.1
+
+
 def test_quality(spark, docs, empty):
     draw = random.Random(3)
     rows = [(i, sentence(draw, 60) if i % 3 else sentence(draw, 30).replace(" ", "$$ "), int(i % 3 > 0)) for i in range(500)]
