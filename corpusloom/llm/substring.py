@@ -5,20 +5,34 @@ space runs as one space) are hashed. Digests are grouped over the whole corpus
 with map-side partial minima, the occurrence of lowest rank (document id, then
 place) stays and all others are removed. Offsets are in characters of the
 original text.
+
+``repeated_passages`` does not depend on line breaks: its units are all windows
+of 50 words, wherever they start. A window that has an equal one of lower rank
+is repeated, and repeated windows that touch are joined into spans. Windows are
+not all shuffled. The anchor of a window is the least of the hashes of its runs
+of 25 words, so equal windows have equal anchors, and windows side by side
+mostly share theirs. Anchors are counted first, and only windows whose anchor
+stands at two places or more are hashed and grouped; no repeated window is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from corpusloom.plans.staging import stage, table
+from corpusloom.plans.staging import drop_stage, stage, table
 
 BREAK = {"line": "\n", "paragraph": "\n\n"}
+WORD = re.compile(r"[^\t-\r ]+")
+SLICES = 4  # windows are grouped in so many parts, whose shuffle files go before the next
 
 
 def units_of(text: str | None, unit: str = "line", min_words: int = 5) -> list[tuple[int, int, int, int, bytes]]:
@@ -82,6 +96,144 @@ def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = 5, id_c
     return numbered.join(spans, "row_id", "left").withColumn(text_col, cut(text_col, "removed_spans")).drop("row_id")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Bits of unsigned longs spread (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _rolled(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
+    """Hash of every run of ``n`` words: a polynomial modulo 2^64 of the words' hashes, mixed; by doubling, as sums of all runs."""
+    out, have = np.zeros(len(hashes) + 1, np.uint64), 0
+    size, run, run_power = 1, hashes, base
+    while True:  # ``run``: all runs of ``size`` words; ``out``: of the ``have`` words taken so far
+        if n & size:
+            m = len(hashes) - have - size + 1
+            out = out[:m] * np.uint64(run_power) + run[have : have + m]
+            have += size
+        if have == n:
+            return _mixed(out)
+        run = run[:-size] * np.uint64(run_power) + run[size:]
+        run_power, size = run_power * run_power % (1 << 64), 2 * size
+
+
+def _word_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
+    words = text.encode().lower().split()
+    for w in set(words).difference(known):
+        known[w] = xxh3_64_intdigest(w, 7)
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def windows_of(text: str | None, n: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors, hashes) of all windows of ``n`` words: anchors as places of runs in the text and hashes of these, two rows."""
+    hashes = _word_hashes(text or "", known)
+    if len(hashes) < n:
+        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
+    k = n // 2
+    runs = _rolled(hashes, k, 0x9E3779B97F4A7C15)
+    # an anchor is known by its place too, as two places with the same hash are a repeat
+    at = np.lib.stride_tricks.sliding_window_view(runs, n - k + 1).argmin(axis=1) + np.arange(len(hashes) - n + 1)
+    return np.stack([at, runs[at].view(np.int64)]), _rolled(hashes, n, 0xD6E8FEB86659FD93).view(np.int64)
+
+
+def _frames(frames: Iterator[pd.DataFrame], some, columns: list[str], same: list[str]) -> Iterator[pd.DataFrame]:
+    """Columns of arrays from ``some(known, row)`` for every row, after what is the ``same`` for the row, 200 rows at once."""
+    known: dict[bytes, int] = {}
+    for f in frames:
+        for at in range(0, len(f), 200):
+            if len(known) > 400_000:
+                known.clear()
+            g = f.iloc[at : at + 200]
+            found = [some(known, r) for r in g.itertuples(index=False)]
+            sizes = [len(x[0]) for x in found]
+            kept = {x: np.concatenate([y[i] for y in found]) for i, x in enumerate(columns)}
+            yield pd.DataFrame({x: np.repeat(g[x].to_numpy(), sizes) for x in same} | kept)
+
+
+def spans_of(text: str, at: list[int], kept: list[tuple[int | None, int, int]], row_id: int, n: int) -> list[tuple]:
+    """(start, end, words, kept_id, kept_row, kept_word) of maximal spans: joined windows at ``at`` (sorted), by what stays of each.
+
+    Words of the place that stays are not in a span, if a window overlaps the
+    place it repeats.
+    """
+    places, spans = [m.span() for m in WORD.finditer(text)], []
+    for a, (key, row, first) in zip(at, kept, strict=True):
+        begin, end = (max(a, first + n) if row == row_id else a), a + n
+        while spans and spans[-1][0] > begin:  # ends never fall, so it lies in this one
+            spans.pop()
+        if spans and begin <= spans[-1][1]:
+            spans[-1][1] = end
+        else:
+            spans.append([begin, end, key, row, first + begin - a])
+    return [(places[b][0], places[e - 1][1], e - b, key, row, first) for b, e, key, row, first in spans]
+
+
+def repeated_passages(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per repeated span of ``n`` words or more: row_id, id, start, end, n_words, kept_id, kept_word.
+
+    Words are compared, A-Z in lower case; white space and line breaks are not.
+    Every window of ``n`` words that also stands at a place of lower rank (id,
+    then row, then word; null ids last) is in a span, and nothing else. A span may
+    repeat several places; ``kept_id`` and ``kept_word`` (words before it) are
+    the first place of its first window. A window that overlaps the place it
+    repeats gives the words behind that place only, so such spans may be
+    shorter. Null texts and those with fewer words have no span. An empty table
+    gives no rows.
+    """
+    key = F.col(id_col).cast("long")  # no nulls in pandas, where they make floats of longs
+    rows = stage(docs.select(F.monotonically_increasing_id().alias("row_id"), key.isNull().alias("last"), F.coalesce(key, F.lit(0)).alias("id"), F.col(text_col).alias("text")), "passage-rows")
+
+    def anchors(frames):
+        def some(known, r):
+            (at, hashes), _ = windows_of(r.text, n, known)
+            new = np.flatnonzero(np.diff(at, prepend=-1))
+            return (hashes[new],)
+
+        yield from _frames(frames, some, ["anchor"], ["row_id"])
+
+    found = stage(rows.mapInPandas(anchors, "row_id long, anchor long"), "passage-anchors")
+    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "passage-often")
+    wanted = found.join(often, "anchor").groupBy("row_id").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = stage(wanted, "passage-wanted")
+
+    def windows(frames):
+        def some(known, r):
+            (_, hashes), full = windows_of(r.text, n, known)
+            at = np.flatnonzero(np.isin(hashes, np.asarray(r.anchors, np.int64)))
+            return full[at], at.astype(np.int32)
+
+        yield from _frames(frames, some, ["hash", "at"], ["row_id", "last", "id"])
+
+    pairs = stage(rows.join(wanted, "row_id").mapInPandas(windows, "row_id long, last boolean, id long, hash long, at int"), "passage-windows")
+    drop_stage(found)
+    parts = []
+    for k in range(SLICES):
+        some = pairs.filter(F.pmod("hash", F.lit(SLICES)) == k)
+        rank = F.min(F.struct("last", "id", "row_id", "at")).alias("first")
+        first = stage(some.groupBy("hash").agg(rank, F.count("*").alias("n")).filter("n > 1").select("hash", F.when(~F.col("first.last"), F.col("first.id")).alias("kept_id"), F.col("first.row_id").alias("kept_row"), F.col("first.at").alias("kept_at")), "passage-first")
+        met = some.drop("last", "id").join(first, "hash").filter("row_id <> kept_row or at <> kept_at").drop("hash")
+        parts.append(stage(met, "passage-repeats"))
+        drop_stage(first)
+    drop_stage(pairs)
+    of_row = stage(reduce(DataFrame.union, parts).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "kept_id", "kept_row", "kept_at"))).alias("met")), "passage-met")
+
+    def spans(frames):
+        for f in frames:
+            out = []
+            for r in f.itertuples(index=False):
+                kept = [(x["kept_id"], x["kept_row"], x["kept_at"]) for x in r.met]
+                out += [(r.row_id, None if r.last else r.id, a, b, m, key, at) for a, b, m, key, _, at in spans_of(r.text, [x["at"] for x in r.met], kept, r.row_id, n)]
+            names = ["row_id", id_col, "start", "end", "n_words", "kept_id", "kept_word"]
+            yield pd.DataFrame({x: pd.array([r[i] for r in out], "Int64") for i, x in enumerate(names)})
+
+    return rows.join(of_row, "row_id").mapInPandas(spans, f"row_id long, `{id_col}` long, start int, end int, n_words int, kept_id long, kept_word int")
+
+
+def op8_passages(spark, sf_dir):
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("row_id")
+
+
 def op8_substring(spark, sf_dir):
     return repeated_units(table(spark, sf_dir, "documents")).drop("row_id", "place")
 

@@ -374,6 +374,33 @@ def test_substring(docs, empty, odd):
     assert substring.without("a\nb\nc", [{"start": 2, "end": 3}]) == "a\nc" and substring.without("a\nb", [{"start": 2, "end": 3}]) == "a"
 
 
+def test_repeated_passages(spark, docs, empty, odd, tmp_path):
+    """Passages of 50 words are found wherever they start and end, whatever line breaks are in them."""
+    draw = random.Random(8)
+    passage, other = sentence(draw, 57), sentence(draw, 80).split()
+    texts = [f"é {sentence(draw, 9)} {passage} {sentence(draw, 9)}", passage, f"{sentence(draw, 4)}\n{passage.upper().replace(' ', chr(10) + ' ', 9)} {sentence(draw, 30)}", sentence(draw, 200), " ".join(other), " ".join(other[31:] + other[:49]), " ".join(other[5:55] + ["x"] + other[20:]), "a b " * 90, None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "passages"))
+    for some in (spark.read.parquet(str(tmp_path / "passages")), docs):
+        first, want = {}, defaultdict(set)
+        for r in sorted(some.collect(), key=lambda r: r["doc_id"]):
+            words = (r["text"] or "").encode().lower().split()
+            for k in range(len(words) - 49):
+                i, at = first.setdefault(tuple(words[k : k + 50]), (r["doc_id"], k))
+                if (i, at) != (r["doc_id"], k):
+                    want[r["doc_id"]].update(range(max(k, at + 50) if i == r["doc_id"] else k, k + 50))
+        got = defaultdict(list)
+        text = {r["doc_id"]: r["text"] for r in some.collect()}
+        for r in substring.repeated_passages(some).collect():
+            starts = [m.start() for m in substring.WORD.finditer(text[r["doc_id"]])]
+            covered = [k for k, x in enumerate(starts) if r["start"] <= x < r["end"]]
+            assert len(covered) == r["n_words"] and not text[r["doc_id"]][r["end"] : r["end"] + 1].strip()
+            kept = text[r["kept_id"]].encode().lower().split()[r["kept_word"] :][:40]
+            assert kept[: r["n_words"]] == text[r["doc_id"]][r["start"] : r["end"]].encode().lower().split()[: len(kept)][: r["n_words"]]
+            got[r["doc_id"]] += covered
+        assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x} and got
+    assert substring.repeated_passages(empty).count() == 0 and substring.repeated_passages(odd).count() == 0
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     spans = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
