@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: shuffle files of a write go when it ends; the driver keeps no long plan texts of it
+_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000", "spark.sql.debug.maxToStringFields": "8"}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,12 +42,14 @@ def stage(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _WRITE}
+    for k, v in _WRITE.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", codec).parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
     return staged
