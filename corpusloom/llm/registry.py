@@ -15,7 +15,6 @@ def queries():
         "op6_quality": quality.op6_quality,
         "op7_language_model": language_model.op7_language_model,
         "op8_substring": substring.op8_substring,
-        "op8_passages": substring.op8_passages,
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }

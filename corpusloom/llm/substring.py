@@ -1,261 +1,172 @@
-"""Substring deduplication by hashing lines or paragraphs.
-
-Every text is cut into units whose normalised forms (A-Z in lower case, white
-space runs as one space) are hashed. Digests are grouped over the whole corpus
-with map-side partial minima, the occurrence of lowest rank (document id, then
-place) stays and all others are removed. Offsets are in characters of the
-original text.
-
-``repeated_passages`` does not depend on line breaks: its units are all windows
-of 50 words, wherever they start. A window that has an equal one of lower rank
-is repeated, and repeated windows that touch are joined into spans. Windows are
-not all shuffled. The anchor of a window is the least of the hashes of its runs
-of 25 words, so equal windows have equal anchors, and windows side by side
-mostly share theirs. Anchors are counted first, and only windows whose anchor
-stands at two places or more are hashed and grouped; no repeated window is lost.
+"""Substring deduplication by hashing lines and paragraphs.
+
+Every text is cut into units: lines or paragraphs as they stand, or passages. A
+passage is a paragraph of at least ``min_words`` words that starts at any line
+or sentence: the shortest run of whole sentences from there that is long enough.
+Passages overlap, so a paragraph that was copied into another text is found
+whatever lines and sentences stand around it, but for a first or last sentence
+that was cut. Normalised forms (A-Z in lower case, white space runs as one
+space) are hashed, digests are grouped over the whole corpus with map-side
+partial minima, and the occurrence of lowest rank (id, then place) stays; all
+others are removed. Spans keep the offsets of the original text, in characters.
+
+Digests are BLAKE2b of 128 bits; units with equal digests count as equal.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from xxhash import xxh3_64_intdigest
 
+from corpusloom.llm.batches import map_column
 from corpusloom.plans.staging import drop_stage, stage, table
 
-BREAK = {"line": "\n", "paragraph": "\n\n"}
-WORD = re.compile(r"[^\t-\r ]+")
-SLICES = 4  # windows are grouped in so many parts, whose shuffle files go before the next
-
-
-def units_of(text: str | None, unit: str = "line", min_words: int = 5) -> list[tuple[int, int, int, int, bytes]]:
-    """(place, start, end, words, digest) of the units with at least ``min_words`` words."""
-    out, at, gap = [], 0, BREAK[unit]
-    for place, part in enumerate((text or "").split(gap)):
-        words = part.encode().lower().split()
-        if len(words) >= min_words:
-            out.append((place, at, at + len(part), len(words), hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-        at += len(part) + len(gap)
+# a unit ends behind such a sign
+BREAK = {"line": re.compile("\n"), "paragraph": re.compile("\n\n+"), "passage": re.compile("\n|[.!?][ \t]")}
+PASSAGE_WORDS = 30
+
+
+def units_of(text: str | None, unit: str = "passage", min_words: int = PASSAGE_WORDS) -> list[tuple[int, int, int, int, bytes]]:
+    """(start, end, words before it, words up to its end, digest) of the units with at least ``min_words`` words."""
+    text, parts, at, before = text or "", [], 0, 0
+    for end in [*(m.end() for m in BREAK[unit].finditer(text)), len(text)]:
+        words = text[at:end].encode().lower().split()
+        if words:
+            parts.append((at, end, before, before := before + len(words), b" ".join(words)))
+        at = end
+    out, to = [], 0
+    for k, (start, _, word, *_) in enumerate(parts):
+        to = max(to, k + 1)
+        while unit == "passage" and to < len(parts) and parts[to - 1][3] - word < min_words:
+            to += 1
+        if parts[to - 1][3] - word >= min_words:
+            out.append((start, parts[to - 1][1], word, parts[to - 1][3], hashlib.blake2b(b" ".join([p[4] for p in parts[k:to]]), digest_size=16).digest()))
     return out
 
 
-def without(text: str | None, spans: list | None, gap: str = "\n") -> str | None:
-    """``text`` less the units at ``spans`` (start, end), each with one line break beside it."""
+def without(text: str | None, spans: list | None) -> str | None:
+    """``text`` less its ``spans`` (start, end), which do not overlap."""
     if not text or spans is None or len(spans) == 0:
         return text
     out, at = [], 0
     for start, end in sorted((s["start"], s["end"]) for s in spans):
         out.append(text[at:start])
-        at = min(end + len(gap), len(text))
-    out.append(text[at:])
-    kept = "".join(out)
-    return kept[: -len(gap)] if at == len(text) and kept.endswith(gap) and not text.endswith(gap) else kept
-
-
-def repeated_units(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per removed unit: row_id, id, place, start, end, n_words, kept_id, kept_start, copies.
-
-    Units shorter than ``min_words`` words are never removed. A unit that
-    repeats within a document goes as well. Null texts have no units. Rows that
-    repeat an id are ranked in table order. An empty table gives no rows.
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number of the row, staged: the numbers are the same for all that reads them."""
+    return stage(docs.withColumn("number of row", F.monotonically_increasing_id()), "numbered-rows")
+
+
+def _spans(rows: DataFrame, unit: str, min_words: int) -> DataFrame:
+    """(row, id, start, end, n_words, kept_id, kept_start) from staged ``rows`` (row, id, text)."""
+
+    def make():
+        def cut(texts):
+            found = [units_of(t, unit, min_words) for t in texts]
+            flat = [u for units in found for u in units]
+            return [len(u) for u in found], *(zip(*flat, strict=True) if flat else [[]] * 5)
+
+        return cut
+
+    units = stage(map_column(rows, "text", make, "start int, end int, word int, word_to int, digest binary"), "units", "zstd")
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row", "word", "word_to", "start", "end")).alias("first")
+    groups = units.groupBy("digest").agg(first, F.count("*").alias("copies")).filter("copies > 1")
+    groups = stage(groups.select("digest", *(F.col(f"first.{x}").alias(f"kept_{x}") for x in ("id", "row", "word", "word_to", "start", "end"))), "repeated-units")
+    met = units.join(groups, "digest").filter("row <> kept_row or word <> kept_word").drop("digest")
+    # what stays is not removed, where a unit overlaps the one that it repeats
+    own = F.col("row") == F.col("kept_row")
+    over = own & (F.col("start") < F.col("kept_end"))
+    shifted = {"start": F.col("kept_end"), "word": F.col("kept_word_to"), "kept_start": F.col("kept_start")}
+    met = met.withColumns({k: F.when(over, v).otherwise(F.col(k)) for k, v in shifted.items()}).filter("start < end")
+    met = stage(met.select("row", "id", "start", "end", "word", "word_to", "kept_id", "kept_start"), "removed-units")
+    drop_stage(units)
+    by_row = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    island = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(by_row.rowsBetween(Window.unboundedPreceding, 0))
+    joined = met.withColumn("reach", reach).withColumn("island", island).groupBy("row", "id", "island")
+    source = F.min(F.struct("start", "end", "kept_id", "kept_start"))
+    return joined.agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("word_to") - F.min("word")).cast("int").alias("n_words"), source.alias("s")).select(
+        "row", "id", "start", "end", "n_words", F.col("s.kept_id").alias("kept_id"), F.col("s.kept_start").alias("kept_start")
+    )
+
+
+def repeated_units(docs: DataFrame, unit: str = "passage", min_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per removed span of neighbouring units: id, start, end, n_words, kept_id, kept_start.
+
+    A span is what removed units that touch or overlap cover. ``kept_id`` and
+    ``kept_start`` say where the first of them stays. A unit that repeats within
+    a document goes as well; if it overlaps the one that stays, only what lies
+    behind that. Units shorter than ``min_words`` words are never removed. Null
+    and empty texts have no units. Null ids rank last, rows that repeat an id
+    in the order in which the table was read. Other columns of ``docs`` are not
+    read. An empty table gives no rows.
     """
+    rows = _numbered(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    found = _spans(rows.withColumnRenamed("number of row", "row"), unit, min_words)
+    return found.select(F.col("id").alias(id_col), "start", "end", "n_words", "kept_id", "kept_start")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for at in range(0, len(f), 500):
-                g = f.iloc[at : at + 500]
-                rows = [(row, key, *u) for row, key, text in zip(g["row_id"], g["id"], g["text"], strict=True) for u in units_of(text, unit, min_words)]
-                yield pd.DataFrame(rows, columns=["row_id", "id", "place", "start", "end", "n_words", "digest"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    units = stage(rows.mapInPandas(run, "row_id long, id long, place int, start int, end int, n_words int, digest binary"), "units")
-    groups = units.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_id", "place", "start")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    groups = stage(groups.select("digest", "copies", F.col("first.id").alias("kept_id"), F.col("first.row_id").alias("kept_row"), F.col("first.place").alias("kept_place"), F.col("first.start").alias("kept_start")), "repeated-units")
-    met = units.join(groups, "digest").filter("row_id <> kept_row or place <> kept_place")
-    return met.select("row_id", F.col("id").alias(id_col), "place", "start", "end", "n_words", "kept_id", "kept_start", "copies")
 
+def remove_repeats(docs: DataFrame, unit: str = "passage", min_words: int = PASSAGE_WORDS, id_col: str = "doc_id", text_col: str = "text", spans_col: str = "removed_spans") -> DataFrame:
+    """``docs`` with the repeated units cut out of ``text_col`` and their original offsets in ``spans_col``; one row per row.
 
-def remove_repeats(docs: DataFrame, unit: str = "line", min_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated units cut out of ``text_col`` and their original offsets in ``removed_spans``; one row per row."""
-    gap = BREAK[unit]
-    numbered = stage(docs.withColumn("row_id", F.monotonically_increasing_id()), "numbered")
-    found = repeated_units(numbered.select(F.col("row_id").alias(id_col), F.col(text_col)), unit, min_words, id_col, text_col)
-    spans = stage(found.groupBy(F.col(id_col).alias("row_id")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("removed_spans")), "spans")
+    A column of ``docs`` of that name gives way to the new one; all others stay.
+    """
+    numbered = _numbered(docs.drop(spans_col))
+    found = _spans(numbered.select(F.col("number of row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), unit, min_words)
+    spans = stage(found.groupBy(F.col("row").alias("number of row")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(spans_col)), "spans")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([without(t, r, gap) for t, r in zip(texts, removed, strict=True)], dtype=object)
-
-    return numbered.join(spans, "row_id", "left").withColumn(text_col, cut(text_col, "removed_spans")).drop("row_id")
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Bits of unsigned longs spread (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _rolled(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
-    """Hash of every run of ``n`` words: a polynomial modulo 2^64 of the words' hashes, mixed; by doubling, as sums of all runs."""
-    out, have = np.zeros(len(hashes) + 1, np.uint64), 0
-    size, run, run_power = 1, hashes, base
-    while True:  # ``run``: all runs of ``size`` words; ``out``: of the ``have`` words taken so far
-        if n & size:
-            m = len(hashes) - have - size + 1
-            out = out[:m] * np.uint64(run_power) + run[have : have + m]
-            have += size
-        if have == n:
-            return _mixed(out)
-        run = run[:-size] * np.uint64(run_power) + run[size:]
-        run_power, size = run_power * run_power % (1 << 64), 2 * size
-
-
-def _word_hashes(text: str, known: dict[bytes, int]) -> np.ndarray:
-    words = text.encode().lower().split()
-    for w in set(words).difference(known):
-        known[w] = xxh3_64_intdigest(w, 7)
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def windows_of(text: str | None, n: int, known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(anchors, hashes) of all windows of ``n`` words: anchors as places of runs in the text and hashes of these, two rows."""
-    hashes = _word_hashes(text or "", known)
-    if len(hashes) < n:
-        return np.zeros((2, 0), np.int64), np.zeros(0, np.int64)
-    k = n // 2
-    runs = _rolled(hashes, k, 0x9E3779B97F4A7C15)
-    # an anchor is known by its place too, as two places with the same hash are a repeat
-    at = np.lib.stride_tricks.sliding_window_view(runs, n - k + 1).argmin(axis=1) + np.arange(len(hashes) - n + 1)
-    return np.stack([at, runs[at].view(np.int64)]), _rolled(hashes, n, 0xD6E8FEB86659FD93).view(np.int64)
-
-
-def _frames(frames: Iterator[pd.DataFrame], some, columns: list[str], same: list[str]) -> Iterator[pd.DataFrame]:
-    """Columns of arrays from ``some(known, row)`` for every row, after what is the ``same`` for the row, 200 rows at once."""
-    known: dict[bytes, int] = {}
-    for f in frames:
-        for at in range(0, len(f), 200):
-            if len(known) > 400_000:
-                known.clear()
-            g = f.iloc[at : at + 200]
-            found = [some(known, r) for r in g.itertuples(index=False)]
-            sizes = [len(x[0]) for x in found]
-            kept = {x: np.concatenate([y[i] for y in found]) for i, x in enumerate(columns)}
-            yield pd.DataFrame({x: np.repeat(g[x].to_numpy(), sizes) for x in same} | kept)
-
-
-def spans_of(text: str, at: list[int], kept: list[tuple[int | None, int, int]], row_id: int, n: int) -> list[tuple]:
-    """(start, end, words, kept_id, kept_row, kept_word) of maximal spans: joined windows at ``at`` (sorted), by what stays of each.
-
-    Words of the place that stays are not in a span, if a window overlaps the
-    place it repeats.
-    """
-    places, spans = [m.span() for m in WORD.finditer(text)], []
-    for a, (key, row, first) in zip(at, kept, strict=True):
-        begin, end = (max(a, first + n) if row == row_id else a), a + n
-        while spans and spans[-1][0] > begin:  # ends never fall, so it lies in this one
-            spans.pop()
-        if spans and begin <= spans[-1][1]:
-            spans[-1][1] = end
-        else:
-            spans.append([begin, end, key, row, first + begin - a])
-    return [(places[b][0], places[e - 1][1], e - b, key, row, first) for b, e, key, row, first in spans]
-
-
-def repeated_passages(docs: DataFrame, n: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per repeated span of ``n`` words or more: row_id, id, start, end, n_words, kept_id, kept_word.
-
-    Words are compared, A-Z in lower case; white space and line breaks are not.
-    Every window of ``n`` words that also stands at a place of lower rank (id,
-    then row, then word; null ids last) is in a span, and nothing else. A span may
-    repeat several places; ``kept_id`` and ``kept_word`` (words before it) are
-    the first place of its first window. A window that overlaps the place it
-    repeats gives the words behind that place only, so such spans may be
-    shorter. Null texts and those with fewer words have no span. An empty table
-    gives no rows.
-    """
-    key = F.col(id_col).cast("long")  # no nulls in pandas, where they make floats of longs
-    rows = stage(docs.select(F.monotonically_increasing_id().alias("row_id"), key.isNull().alias("last"), F.coalesce(key, F.lit(0)).alias("id"), F.col(text_col).alias("text")), "passage-rows")
-
-    def anchors(frames):
-        def some(known, r):
-            (at, hashes), _ = windows_of(r.text, n, known)
-            new = np.flatnonzero(np.diff(at, prepend=-1))
-            return (hashes[new],)
-
-        yield from _frames(frames, some, ["anchor"], ["row_id"])
-
-    found = stage(rows.mapInPandas(anchors, "row_id long, anchor long"), "passage-anchors")
-    often = stage(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "passage-often")
-    wanted = found.join(often, "anchor").groupBy("row_id").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = stage(wanted, "passage-wanted")
-
-    def windows(frames):
-        def some(known, r):
-            (_, hashes), full = windows_of(r.text, n, known)
-            at = np.flatnonzero(np.isin(hashes, np.asarray(r.anchors, np.int64)))
-            return full[at], at.astype(np.int32)
-
-        yield from _frames(frames, some, ["hash", "at"], ["row_id", "last", "id"])
-
-    pairs = stage(rows.join(wanted, "row_id").mapInPandas(windows, "row_id long, last boolean, id long, hash long, at int"), "passage-windows")
-    drop_stage(found)
-    parts = []
-    for k in range(SLICES):
-        some = pairs.filter(F.pmod("hash", F.lit(SLICES)) == k)
-        rank = F.min(F.struct("last", "id", "row_id", "at")).alias("first")
-        first = stage(some.groupBy("hash").agg(rank, F.count("*").alias("n")).filter("n > 1").select("hash", F.when(~F.col("first.last"), F.col("first.id")).alias("kept_id"), F.col("first.row_id").alias("kept_row"), F.col("first.at").alias("kept_at")), "passage-first")
-        met = some.drop("last", "id").join(first, "hash").filter("row_id <> kept_row or at <> kept_at").drop("hash")
-        parts.append(stage(met, "passage-repeats"))
-        drop_stage(first)
-    drop_stage(pairs)
-    of_row = stage(reduce(DataFrame.union, parts).groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "kept_id", "kept_row", "kept_at"))).alias("met")), "passage-met")
-
-    def spans(frames):
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                kept = [(x["kept_id"], x["kept_row"], x["kept_at"]) for x in r.met]
-                out += [(r.row_id, None if r.last else r.id, a, b, m, key, at) for a, b, m, key, _, at in spans_of(r.text, [x["at"] for x in r.met], kept, r.row_id, n)]
-            names = ["row_id", id_col, "start", "end", "n_words", "kept_id", "kept_word"]
-            yield pd.DataFrame({x: pd.array([r[i] for r in out], "Int64") for i, x in enumerate(names)})
-
-    return rows.join(of_row, "row_id").mapInPandas(spans, f"row_id long, `{id_col}` long, start int, end int, n_words int, kept_id long, kept_word int")
-
+        return pd.Series([without(t, r) for t, r in zip(texts, removed, strict=True)], dtype=object)
 
-def op8_passages(spark, sf_dir):
-    return repeated_passages(table(spark, sf_dir, "documents")).drop("row_id")
+    return numbered.join(spans, "number of row", "left").withColumn(text_col, cut(text_col, spans_col)).drop("number of row")
 
 
 def op8_substring(spark, sf_dir):
-    return repeated_units(table(spark, sf_dir, "documents")).drop("row_id", "place")
+    """The removed passages of all documents: doc_id, start, end, n_words, kept_id, kept_start."""
+    return repeated_units(table(spark, sf_dir, "documents"))
 
 
 SQL = r"""
-WITH parts AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+WITH cut AS (
+  SELECT doc_id, string_split(regexp_replace(text, '(\n|[.!?][ \t])', '\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text <> ''
 ), numbered AS (
-  SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS place FROM parts
-), placed AS (
-  SELECT doc_id, place, lines[place] AS line,
-         coalesce(list_sum(list_transform(lines[1:place - 1], lambda x: length(x) + 1)), 0) AS start FROM numbered
+  SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS place FROM cut
+), lengths AS (
+  SELECT doc_id, place, parts[place] AS part, sum(length(parts[place])) OVER (PARTITION BY doc_id ORDER BY place) AS until FROM numbered
 ), words AS (
-  SELECT *, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM placed
+  SELECT *, regexp_extract_all(translate(part, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lengths
+), units AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS k, until - length(part) AS "start", until AS "end",
+         array_to_string(w, ' ') AS norm, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY place) AS word_to,
+         sum(len(w)) OVER (PARTITION BY doc_id ORDER BY place) - len(w) AS word FROM words WHERE len(w) > 0
+), whole AS (
+  SELECT doc_id, list(norm ORDER BY k) AS norms FROM units GROUP BY doc_id
+), met AS (
+  SELECT s.doc_id, s.k, s.word, s.word + 30 AS least, s."start", e.k AS last, e.word_to, e."end" FROM units s
+  ASOF JOIN units e ON s.doc_id = e.doc_id AND s.word + 30 <= e.word_to
+), passages AS (
+  SELECT doc_id, "start", "end", word, word_to, array_to_string(norms[k:last], ' ') AS norm FROM met JOIN whole USING (doc_id)
 ), ranked AS (
-  SELECT doc_id, place, start, length(line) AS size, len(w) AS n_words, array_to_string(w, ' ') AS norm FROM words WHERE len(w) >= 5
-), grouped AS (
-  SELECT *, row_number() OVER byrank AS r, count(*) OVER (PARTITION BY norm) AS copies,
-         first_value(doc_id) OVER byrank AS kept_id, first_value(start) OVER byrank AS kept_start
-  FROM ranked WINDOW byrank AS (PARTITION BY norm ORDER BY doc_id, place)
+  SELECT *, count(*) OVER (PARTITION BY norm) AS copies, first_value(doc_id) OVER byrank AS kept_id, first_value("start") OVER byrank AS kept_start,
+         first_value("end") OVER byrank AS kept_end, first_value(word_to) OVER byrank AS kept_word_to, row_number() OVER byrank AS r
+  FROM passages WINDOW byrank AS (PARTITION BY norm ORDER BY doc_id, word)
+), removed AS (
+  SELECT doc_id, CASE WHEN doc_id = kept_id THEN greatest("start", kept_end) ELSE "start" END AS "start", "end",
+         CASE WHEN doc_id = kept_id THEN greatest(word, kept_word_to) ELSE word END AS word, word_to, kept_id, kept_start FROM ranked WHERE r > 1
+), reached AS (
+  SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM removed WHERE "start" < "end"
+), islands AS (
+  SELECT *, sum(CASE WHEN "start" <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY "start", "end" ROWS UNBOUNDED PRECEDING) AS island FROM reached
 )
-SELECT doc_id, CAST(start AS INTEGER) AS "start", CAST(start + size AS INTEGER) AS "end", CAST(n_words AS INTEGER) AS n_words,
-       kept_id, CAST(kept_start AS INTEGER) AS kept_start, copies
-FROM grouped WHERE r > 1
+SELECT doc_id, CAST(min("start") AS INTEGER) AS "start", CAST(max("end") AS INTEGER) AS "end", CAST(max(word_to) - min(word) AS INTEGER) AS n_words,
+       min({'s': "start", 'e': "end", 'id': kept_id, 'at': kept_start}).id AS kept_id, CAST(min({'s': "start", 'e': "end", 'id': kept_id, 'at': kept_start}).at AS INTEGER) AS kept_start
+FROM islands GROUP BY doc_id, island
 """
