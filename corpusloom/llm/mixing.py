@@ -33,7 +33,8 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int
 
     Proportional shares are rounded down; then longest lengths first close all
     but ``window`` words; a dynamic programme over the rest finds the largest
-    reachable sum up to what is left. ``window`` bounds its memory.
+    reachable sum up to what is left. ``window`` bounds its memory, not what can
+    be taken: a rest of more words is first filled with the longest texts left.
     """
     counts, take = counts.astype(np.int64), np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
@@ -103,8 +104,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     ``taken`` is copies x size. Null texts have size 0, null sources form one
     source. Documents of size 0 take part in whole passes only. Rows that tie
     in source, size and id may be exchanged for each other. An empty table
-    gives an empty result.
+    gives an empty result. A column of ``keep`` that is named like a new one
+    gives way to it.
     """
+    new = {id_col, "size", "source_size", "target", "copies", "taken"}
+    keep = tuple(c for c in keep if c not in new)
     salt, order = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(BUCKETS)).cast("int"), F.xxhash64(F.col(id_col), F.lit(seed + 1))
     base = docs.select(*(F.col(c).alias(f"kept_{c}") for c in keep), F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col), F.lit("")).alias("source_key"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), salt.alias("bucket"), order.alias("rank"))
     base = stage(base, "sizes")
@@ -123,13 +127,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEY, "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     chosen = cells.join(plan, [*KEY, "size"]).withColumn("here", F.least("n", F.col("take") - before)).filter("here > 0")
     chosen = stage(chosen.select(*KEY, "size", "bucket", "here", (F.col("here") == F.col("n")).alias("whole")), "bucket-plan")
-    marked = base.join(chosen, [*KEY, "size", "bucket"], "left")
+    marked = stage(base.join(chosen, [*KEY, "size", "bucket"], "left"), "bucket-rows")
     first = F.row_number().over(Window.partitionBy(*KEY, "size", "bucket").orderBy("rank", "id"))
-    extra = F.when(F.col("here").isNull(), 0).when(F.col("whole") | (first <= F.col("here")), 1).otherwise(0)
-    marked = stage(marked.withColumn("extra", extra).select(*(f"kept_{c}" for c in keep), "id", *KEY, "size", "extra"), "picked")
+    is_split = F.coalesce(~F.col("whole"), F.lit(False))
+    split = marked.filter(is_split).withColumn("extra", (first <= F.col("here")).cast("int"))
+    marked = marked.filter(~is_split).withColumn("extra", F.col("here").isNotNull().cast("int")).unionByName(split)
+    marked = marked.select(*(f"kept_{c}" for c in keep), "id", *KEY, "size", "extra")
     copies = (F.col("passes") + F.col("extra")).cast("long")
     return marked.join(targets, KEY).select(*(F.col(f"kept_{c}").alias(c) for c in keep), F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def op4_mixing(spark, sf_dir):
+    """doc_id, size, source_size, target and taken of every document."""
     return mix(table(spark, sf_dir, "documents")).drop("copies")
