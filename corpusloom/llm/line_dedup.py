@@ -61,7 +61,7 @@ def _rarity(lines: DataFrame) -> Column:
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
     counts = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
     levels = ["0"] * BUCKETS
-    for r in counts.select("bucket", F.floor(4 * F.log2("count")).cast("int").alias("level")).collect():  # BUCKETS rows at most
+    for r in counts.select("bucket", F.floor(2 * F.log2("count")).cast("int").alias("level")).collect():  # BUCKETS rows at most; a long count has a level below 127, which fits above 56 bits
         levels[r["bucket"]] = str(r["level"])
     return F.from_json(F.lit(f"[{','.join(levels)}]"), "array<int>")
 
@@ -253,4 +253,5 @@ def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op3_line_dedup(spark, sf_dir):
+    """The lines of all documents with their classes, matches and links."""
     return similar_lines(table(spark, sf_dir, "documents")).drop("row")
