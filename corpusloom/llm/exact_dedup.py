@@ -56,6 +56,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", runs: int = 16, fan_in:
 
 
 def op10_exact_dedup(spark, sf_dir):
+    """doc_id, keep_id, group_size, kept and text_sha256 of every document; the largest doc_id stays."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 

@@ -15,23 +15,29 @@ def fold(id_col: Column | str, folds: int) -> Column:
 
 
 def training_labels(labels: DataFrame, label_col: str, folds: int, held_out: int) -> DataFrame:
-    """(id, label) with a 0 or 1 as label and an id outside the held-out fold."""
+    """(id, label) with a 0 or 1 as label and an id outside the held-out fold; ids with both labels are left out."""
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    return known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold("id", folds) != held_out))
+    known = known.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold("id", folds) != held_out))
+    return known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame, n: int, max_bytes: int, seed: int) -> list:
+    """Rows of ``docs`` with their (id, ...) from ``ids``, staged and bounded; ``n`` at most, also if ids repeat."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "id")
+    return sorted(rows.orderBy(F.xxhash64("id", F.lit(seed)), "id", F.xxhash64("text")).limit(n).collect(), key=lambda r: (r["id"], r["text"]))
 
 
 def sample_texts(docs: DataFrame, known: DataFrame, per_label: int, max_bytes: int, seed: int) -> list[tuple[str, int]]:
     """(text, label) of at most ``per_label`` rows of each label, taken in the order of a seeded hash.
 
     Only rows up to ``max_bytes`` are fitted on, so the sample has a bound in
-    bytes as well. The ids are staged first: ``2 * per_label`` rows at most,
-    which is what makes them fit for a broadcast.
+    bytes as well: the driver gets ``2 * per_label * max_bytes`` at most. The
+    ids are staged first, and so few that they fit for a broadcast.
     """
     order = F.xxhash64("id", F.lit(seed))
     picked = [known.filter(F.col("label") == k).orderBy(order, "id").limit(per_label) for k in (0, 1)]
-    ids = stage(picked[0].unionByName(picked[1]).dropDuplicates(["id"]), "training-ids")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "id")
-    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))]
+    ids = stage(picked[0].unionByName(picked[1]), "training-ids")
+    return [(r["text"], r["label"]) for r in _texts_of(docs, ids, 2 * per_label, max_bytes, seed)]
 
 
 def sample_unlabelled(docs: DataFrame, folds: int, held_out: int, n: int, max_bytes: int, seed: int) -> list[str]:
@@ -43,5 +49,4 @@ def sample_unlabelled(docs: DataFrame, folds: int, held_out: int, n: int, max_by
     """
     some = docs.select(F.col("doc_id").cast("long").alias("id")).filter(F.col("id").isNotNull() & (fold("id", folds) != held_out))
     ids = stage(some.orderBy(F.xxhash64("id", F.lit(seed + 1)), "id").limit(n).dropDuplicates(["id"]), "unlabelled-ids")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter(F.octet_length("text").between(1, max_bytes)).join(F.broadcast(ids), "id")
-    return [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["id"], r["text"]))]
+    return [r["text"] for r in _texts_of(docs, ids, n, max_bytes, seed)]

@@ -7,7 +7,7 @@ the probability of a word is that of its class, given the state, times that of
 the word within the class. Training is truncated backpropagation through time:
 a bounded sample gives a starting point, then every task trains that model on
 all training texts of its partition and the results are averaged, weighted by
-tokens. Scoring carries the state from window to window, so that a document's
+tokens. Training and scoring carry the state from window to window, so that a document's
 log-likelihood is that of the complete document.
 """
 
@@ -20,10 +20,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from corpusloom.llm.batches import map_column, pieces_of
 from corpusloom.llm.labelled import fold
 from corpusloom.plans.staging import stage, table
 
@@ -33,6 +36,7 @@ KNOWN = 1 << 20  # words whose counts travel to the tasks; the others' counts ar
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 1024
 END = 0  # hash of the end, which is no word
+AT_ONCE = 10_000, 32 << 20  # rows and bytes of texts that are laid out in lanes together
 
 
 def word_hashes(words) -> np.ndarray:
@@ -68,11 +72,11 @@ class _Numbers(dict):
         return n
 
 
-def number(texts: list[str | None], vocabulary: Vocabulary) -> Batch:
+def number(texts: list[bytes | None], vocabulary: Vocabulary) -> Batch:
     numbers = _Numbers()
     ids = []
     for t in texts:
-        words = (t or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
+        words = (t or b"").lower().split()  # bytes: A-Z only, ASCII white space only
         ids.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
     hashes = word_hashes(numbers)
     at = np.minimum(np.searchsorted(vocabulary.hashes, hashes), max(0, len(vocabulary.hashes) - 1))
@@ -113,14 +117,16 @@ class Lanes:
     active: np.ndarray = field(default=None)
 
 
-def lanes(docs: list[np.ndarray], width: int, lead: np.ndarray | None = None) -> Lanes:
-    """``docs``: places; ``lead``: what stands before each, if not an end. The longest are dealt first, each to the shortest lane."""
+def lanes(docs: list[np.ndarray], width: int, draw: np.random.Generator | None = None) -> Lanes:
+    """``docs``: places. The longest are dealt first, each to the shortest lane; with ``draw`` every lane is shuffled."""
     width = max(1, min(width, len(docs)))
     heap, dealt = [(0, k) for k in range(width)], [[] for _ in range(width)]
     for d in sorted(range(len(docs)), key=lambda i: -len(docs[i])):
         n, k = heapq.heappop(heap)
         dealt[k].append(d)
         heapq.heappush(heap, (n + len(docs[d]), k))
+    for lane in dealt if draw else ():
+        draw.shuffle(lane)
     length = np.array([sum(len(docs[d]) for d in lane) for lane in dealt])
     order = np.argsort(-length, kind="stable")
     steps = int(length.max(initial=0))
@@ -134,10 +140,7 @@ def lanes(docs: list[np.ndarray], width: int, lead: np.ndarray | None = None) ->
             at += n
     before = np.zeros_like(tokens)
     before[1:] = tokens[:-1]
-    start = first & (doc >= 0)
     before[first] = 0  # a document starts after an end
-    if lead is not None:
-        before[start] = lead[doc[start]]
     return Lanes(tokens, before, first, doc, (doc >= 0).sum(axis=1))
 
 
@@ -202,7 +205,7 @@ def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[bounds[c] : bounds[c + 1]]
 
 
-def log_likelihoods(net: Net, docs: list[np.ndarray], width: int = 256, window: int = 32) -> np.ndarray:
+def log_likelihoods(net: Net, docs: list[np.ndarray], width: int = 512, window: int = 32) -> np.ndarray:
     """Natural log-likelihood of each document's places (for PLACES, of its class), the state carried across windows."""
     run, total = lanes(docs, width), np.zeros(len(docs))
     h = np.zeros((run.tokens.shape[1], STATE), np.float32)
@@ -226,12 +229,9 @@ class Trainer:
         self.net, self.rate, self.tokens, self.t = Net(net.flat.copy()), rate, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
-    def learn(self, docs: list[np.ndarray], width: int = 512, window: int = 16, part: int = 256) -> None:
-        """One pass over all of ``docs``, cut into parts that start from an empty state, so that no long text stands alone at the end."""
-        draw = np.random.default_rng(self.t)
-        parts = [(d[a : a + part], d[a - 1] if a else 0) for d in docs for a in range(0, len(d), part)]
-        parts = [parts[i] for i in draw.permutation(len(parts))]
-        run, net = lanes([p for p, _ in parts], width, np.array([x for _, x in parts], np.int32)), self.net
+    def learn(self, docs: list[np.ndarray], width: int = 512, window: int = 16) -> None:
+        """One pass over all of ``docs``; gradients stop at the bounds of a window, states go on to the end of the text."""
+        run, net = lanes(docs, width, np.random.default_rng(self.t)), self.net
         h = np.zeros((run.tokens.shape[1], STATE), np.float32)
         for a in range(0, len(run.tokens), window):
             b, n = min(a + window, len(run.tokens)), int(run.active[a])
@@ -348,29 +348,31 @@ def train(texts: DataFrame, words: Vocabulary, sample: int = 1500, max_bytes: in
     spark = texts.sparkSession
     some = texts.filter(F.octet_length("text").between(1, max_bytes)).select("text", F.xxhash64("id", F.lit(1)).alias("rank"))
     last = some.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
-    picked = sorted(r["text"] for r in some.filter(F.col("rank") <= last).limit(sample).collect()) if last is not None else []
+    picked = sorted(r["text"].encode() for r in some.filter(F.col("rank") <= last).limit(sample).collect()) if last is not None else []
     first = Trainer(Net.start(), rate)
     while picked and first.t < 1500:
         first.learn(_placed(number(picked, words)), 128)
     known, start = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(first.net.flat)  # KNOWN words at most
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, shard = Trainer(Net(start.value), rate / 3), 0
-        for f in frames:
-            if len(f):
-                shard = int(f["shard"].iloc[0])
-                trainer.learn(_placed(number(f["text"].tolist(), known.value)))
+        for batch in batches:
+            text, part = batch.columns
+            for a, b in pieces_of(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), *AT_ONCE):
+                shard = part[a].as_py()
+                trainer.learn(_placed(number(text.slice(a, b - a).to_pylist(), known.value)))
         if trainer.tokens:
             flat = trainer.net.flat
             blocks = [flat[a : a + BLOCK] for a in range(0, Net.SIZE, BLOCK)]
-            yield pd.DataFrame({"block": range(len(blocks)), "shard": shard, "tokens": float(trainer.tokens), "flat": [x.tolist() for x in blocks]})
+            columns = [pa.array(range(len(blocks)), pa.int32()), pa.array([shard] * len(blocks), pa.int32()), pa.array([float(trainer.tokens)] * len(blocks)), pa.array(blocks, pa.list_(pa.float32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "shard", "tokens", "flat"])
 
     def mean(f: pd.DataFrame) -> pd.DataFrame:
         flat = np.average(np.stack(f["flat"].to_numpy()), axis=0, weights=f["tokens"])
         return pd.DataFrame({"block": [f["block"].iloc[0]], "shard": [0], "tokens": [f["tokens"].sum()], "flat": [flat.tolist()]})
 
     schema = "block int, shard int, tokens double, flat array<float>"
-    trained = stage(texts.select("text", F.pmod(F.spark_partition_id(), F.lit(64)).alias("shard")).mapInPandas(run, schema), "trained")
+    trained = stage(texts.select(F.col("text").cast("binary"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("shard")).mapInArrow(run, schema), "trained")
     near = trained.groupBy("block", "shard").applyInPandas(mean, schema)  # two levels, so that no group has all tasks' rows
     rows = near.groupBy("block").applyInPandas(mean, schema).select("block", "flat").collect()  # one model
     if not rows:
@@ -383,7 +385,8 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
 
     The model learns from rows where ``held_out`` is false. Null texts count as
     empty: the end alone. Without any training rows every count is zero. Words
-    are told apart by 64-bit hashes.
+    are told apart by 64-bit hashes. Null ids and repeated rows are scored like
+    others; other columns of ``docs`` are not read. No rows: no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), held_out.alias("held"), F.col(text_col).alias("text"))
@@ -393,25 +396,23 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
     net = train(training.select("id", "text"), words)
     known, flat = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(net.flat)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         words, net = known.value, Net(flat.value)
         end = int(words.counts[np.searchsorted(words.hashes, END)]) if len(words.hashes) and END in words.hashes else 0
-        for f in frames:
-            batch = number(f["text"].tolist(), words)
-            logs = np.log10(batch.counts + 1.0)
-            away = batch.places == PLACES
-            out = {"row": f["row"], "id": f["id"], "held": f["held"], "n_tokens": [len(i) + 1 for i in batch.ids]}
-            out["known"] = [int(batch.found[i].sum()) + (end > 0) for i in batch.ids]
-            out["logs"] = [float(logs[i].sum()) + np.log10(end + 1.0) for i in batch.ids]
-            out["away"] = [int(away[i].sum()) for i in batch.ids]
-            out["away_logs"] = [float(logs[i][away[i]].sum()) for i in batch.ids]
-            out["model"] = log_likelihoods(net, _placed(batch)) / np.log(10) if len(f) else []
+
+        def measure(texts):
+            batch = number(texts, words)
+            logs, away = np.log10(batch.counts + 1.0), batch.places == PLACES
             rest = [np.unique(batch.hashes[i[~batch.found[i]]], return_counts=True) for i in batch.ids]
-            out["rest_h"], out["rest_n"] = [h.tolist() for h, _ in rest], [n.tolist() for _, n in rest]
-            yield pd.DataFrame(out)
+            return (
+                None, [len(i) + 1 for i in batch.ids], [int(batch.found[i].sum()) + (end > 0) for i in batch.ids], [float(logs[i].sum()) + np.log10(end + 1.0) for i in batch.ids],
+                [int(away[i].sum()) for i in batch.ids], [float(logs[i][away[i]].sum()) for i in batch.ids], log_likelihoods(net, _placed(batch)) / np.log(10), [h for h, _ in rest], [n for _, n in rest],
+            )
+
+        return measure
 
-    schema = "row long, id long, held boolean, n_tokens long, known long, logs double, away long, away_logs double, model double, rest_h array<long>, rest_n array<long>"
-    scored = stage(rows.mapInPandas(run, schema), "scored")
+    new = "n_tokens long, known long, logs double, away long, away_logs double, model double, rest_h array<long>, rest_n array<long>"
+    scored = stage(map_column(rows.withColumn("text", F.col("text").cast("binary")), "text", make, new, *AT_ONCE), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rest_h", "rest_n")).alias("x")).select("row", F.col("x.rest_h").alias("h"), F.col("x.rest_n").alias("k"))
     met = rare.join(counts, "h").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
     all_ = scored.drop("rest_h", "rest_n").join(stage(met, "rare-words"), "row", "left")
@@ -422,4 +423,5 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
 
 
 def op7_language_model(spark, sf_dir):
+    """The contract's columns of every document; null ids are in no fold and learnt from."""
     return score(table(spark, sf_dir, "documents"), fold("doc_id", FOLDS) == HELD_OUT)

@@ -6,16 +6,16 @@ import hashlib
 import io
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.staging import stage, table
+from corpusloom.llm.batches import map_column
+from corpusloom.plans.staging import drop_stage, stage, table
 
 ROW = 64
+BAND = 1 << 20  # samples of the integral image that are held at once
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
 
 
@@ -90,22 +90,37 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the covered area for every target cell (float64, grey), read off the integral image at its corners."""
-    grey = image if image.ndim == 2 else image.mean(axis=2)
-    h, w = grey.shape
-    sums = np.zeros((h + 1, w + 1))
-    np.cumsum(grey, axis=0, dtype=np.float64, out=sums[1:, 1:])
-    np.cumsum(sums[1:, 1:], axis=1, out=sums[1:, 1:])
+def _integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Rows ``wanted`` (sorted) of the integral image, which has one row and column more; summed in bands of rows."""
+    h, w = image.shape[:2]
+    out, above, step = np.zeros((len(wanted), w + 1)), np.zeros(w + 1), max(1, BAND // w)
+    for a in range(0, h, step):
+        some = image[a : a + step]
+        band = np.zeros((len(some) + 1, w + 1))
+        np.cumsum(some if some.ndim == 2 else some.mean(axis=2), axis=0, dtype=np.float64, out=band[1:, 1:])
+        np.cumsum(band[1:, 1:], axis=1, out=band[1:, 1:])
+        band += above
+        low, high = np.searchsorted(wanted, (a, a + len(some) + 1))
+        out[low:high], above = band[wanted[low:high] - a], band[-1]
+    return out
+
+
+def _between(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whole places below ``edges`` (the last of n leaves one above it) and how far the edges lie beyond them."""
+    low = np.minimum(edges.astype(np.int64), n - 1)
+    return low, (edges - low)[:, None]
 
-    def at(edges: np.ndarray, n: int, along: np.ndarray) -> np.ndarray:  # linear between the integral image's rows
-        low = np.minimum(edges.astype(np.int64), n - 1)
-        part = (edges - low)[:, None]
-        return along[low] * (1 - part) + along[low + 1] * part
 
-    corner = at(np.arange(height + 1) * h / height, h, sums)
-    corner = at(np.arange(width + 1) * w / width, w, corner.T).T
-    return np.diff(np.diff(corner, axis=0), axis=1) * (height * width / (h * w))
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean of the covered area for every target cell (float64, grey), read off the integral image at its corners."""
+    h, w = image.shape[:2]
+    low, part = _between(np.arange(height + 1) * h / height, h)
+    wanted = np.unique(np.concatenate([low, low + 1]))
+    rows = _integral_rows(image, wanted)
+    corner = rows[np.searchsorted(wanted, low)] * (1 - part) + rows[np.searchsorted(wanted, low + 1)] * part
+    low, part = _between(np.arange(width + 1) * w / width, w)
+    corner = corner.T[low] * (1 - part) + corner.T[low + 1] * part
+    return np.diff(np.diff(corner.T, axis=0), axis=1) * (height * width / (h * w))
 
 
 def difference_hash(image: np.ndarray, size: int = 8) -> str:
@@ -120,28 +135,27 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+FEATURES = "height int, width int, channels int, feature string, tile_npy binary, error string"
+
+
 def media_features(media: DataFrame, media_col: str = "media", keep: tuple[str, ...] = (), tile: int = 32) -> DataFrame:
     """Decode a binary column. Returns ``keep``, height, width, channels, feature, tile_npy, error; one row each.
 
     ``tile_npy`` is a tile x tile uint8 array in NPY format. Null and broken
-    media give null features and a text in ``error``. No rows: no rows.
+    media give null features and a text in ``error``. A column of ``keep`` that
+    is named like a new one gives way to it. No rows: no rows.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for data in f[media_col]:
-                try:
-                    image = decode(data or b"")
-                    rows.append((*image.shape[:2], 1 if image.ndim == 2 else 3, difference_hash(image), npy(np.rint(area_resize(image, tile, tile)).astype(np.uint8)), None))
-                except (ValueError, IndexError) as e:
-                    rows.append((None, None, None, None, None, str(e)))
-            new = pd.DataFrame(rows, columns=["height", "width", "channels", "feature", "tile_npy", "error"])
-            yield pd.concat([f[list(keep)].reset_index(drop=True), new], axis=1)
+    def one(data: bytes | None) -> tuple:
+        try:
+            image = decode(data or b"")
+        except (ValueError, IndexError) as e:
+            return None, None, None, None, None, str(e)
+        return *image.shape[:2], 1 if image.ndim == 2 else 3, difference_hash(image), npy(np.rint(area_resize(image, tile, tile)).astype(np.uint8)), None
 
-    kept = media.select(*keep, media_col)
-    schema = [f"`{x.name}` {x.dataType.simpleString()}" for x in kept.select(*keep).schema]
-    return kept.mapInPandas(run, ", ".join([*schema, "height int, width int, channels int, feature string, tile_npy binary, error string"]))
+    kept = [F.col(c) for c in keep if c not in {x.split()[0] for x in FEATURES.split(", ")}]
+    source = media.select(*kept, F.col(media_col).alias("media to decode"))
+    return map_column(source, "media to decode", lambda: lambda many: (None, *zip(*map(one, many), strict=True)), FEATURES)
 
 
 def write_tiles(features: DataFrame, path: str) -> None:
@@ -152,39 +166,37 @@ def write_tiles(features: DataFrame, path: str) -> None:
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, as rows of an 8-bit P5 image."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            size, media = [], []
-            for text in f["text"]:
-                data = (text or "").encode()
-                size.append(len(data))
-                data += bytes(max(ROW, -(-len(data) // ROW) * ROW) - len(data))
-                media.append(encode_pgm(np.frombuffer(data, np.uint8).reshape(-1, ROW)))
-            yield pd.DataFrame({"id": f["id"], "n_bytes": size, "media": media})
+    def one(data: bytes | None) -> tuple[int, bytes]:
+        data = data or b""
+        padded = data + bytes(max(ROW, -(-len(data) // ROW) * ROW) - len(data))
+        return len(data), encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, ROW))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_bytes long, media binary")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return map_column(source, "text", lambda: lambda texts: (None, *zip(*map(one, texts), strict=True)), "n_bytes long, media binary")
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as an image in the shared folder, read the images back and describe them; one row per row.
+    """Store every text as an image in the shared folder, read the images back, describe them and store their tiles; one row per row.
 
-    Null texts count as empty: 64 zero bytes. Equal texts give equal values.
+    Null texts count as empty: 64 zero bytes. Equal texts give equal values,
+    whatever their ids; null ids and repeated rows stay. Other columns of
+    ``docs`` are not read. No rows: no rows.
     """
     stored = stage(store_texts(docs, id_col, text_col), "media", "zstd")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for n, media in zip(f["n_bytes"], f["media"], strict=True):
-                image = decode(media)
-                payload = image.tobytes()
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy(np.rint(area_resize(image, 32, 32)).astype(np.uint8))))
-            yield pd.concat([f[["id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_npy"])], axis=1)
+    def one(media: bytes) -> tuple:
+        image = decode(media)
+        payload = image.tobytes()
+        tile = npy(np.rint(area_resize(image, 32, 32)).astype(np.uint8))
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), tile
 
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary"
-    return stored.mapInPandas(run, schema).withColumnRenamed("id", id_col)
+    new = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_npy binary"
+    tiles = stage(map_column(stored, "media", lambda: lambda many: (None, *zip(*map(one, many), strict=True)), new), "tiles", "zstd")
+    drop_stage(stored)
+    return tiles.withColumnRenamed("id", id_col)
 
 
 def op2_media(spark, sf_dir):
+    """The contract's columns of every document, and the SHA-256 of its stored tile."""
     found = text_media(table(spark, sf_dir, "documents"))
     return found.withColumn("tile_sha256", F.sha2("tile_npy", 256)).drop("tile_npy")

@@ -13,18 +13,18 @@ bucket counts, so no length, however common, is ranked in one task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
 
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import map_column
 from corpusloom.plans.staging import stage, table
 
 CAPACITY = 2048
@@ -33,9 +33,29 @@ CACHED = 600_000
 _LETTER = "a-zß-öø-ÿ"
 _PIECE = re.compile(rf"[{_LETTER}]+|[0-9]|[^\s0-9{_LETTER}]+")
 _PLAIN = re.compile(rf"[\t\n\r -&(-~À-Ö\u00d8-Þ{_LETTER}]*")
+# The cut of the tokenizer whose pre-tokens are made here; with another one all texts go to the tokenizer whole.
+_CUT = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "pattern": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+    "added": "<|",
+}
 _pieces: dict[str, _Pieces] = {}
 
 
+def _is_known_cut(tokenizer: str) -> bool:
+    """Does the tokenizer (as JSON) cut texts as ``_PIECE`` does where ``_PLAIN`` holds?"""
+    d = json.loads(tokenizer)
+    norm, pre = d["normalizer"] or {}, d["pre_tokenizer"] or {}
+    steps = norm.get("normalizers", [])
+    split, *levels = pre.get("pretokenizers") or [{}]
+    return (
+        [x["type"] for x in steps] == _CUT["normalizer"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and split.get("pattern") == {"Regex": _CUT["pattern"]} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in levels] == [("ByteLevel", False, False)]
+        and d["post_processor"] is None and d["model"]["type"] == "BPE" and all(x["content"].startswith(_CUT["added"]) for x in d["added_tokens"])
+    )
+
+
 def _byte_letters() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -51,7 +71,7 @@ class _Pieces(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.letters = Tokenizer.from_file(path), _byte_letters()
-        self.model = self.tokenizer.model
+        self.model, self.known = self.tokenizer.model, _is_known_cut(self.tokenizer.to_str())
         self.by_id = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def __missing__(self, piece: str) -> bytes:
@@ -62,6 +82,8 @@ class _Pieces(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if not self.known:
+            return b"".join([self.by_id[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join(map(self.__getitem__, _PIECE.findall(text.lower())))
         if " " in text or "\n" in text:
@@ -77,7 +99,8 @@ def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
     texts of plain Latin letters, digits and ASCII signs without apostrophes
     the cut is made here and each pre-token is merged by the tokenizer's model
     once while the bounded cache holds it. In other texts that holds for their
-    plain words; the rest goes through the tokenizer whole.
+    plain words; the rest goes through the tokenizer whole. A file that cuts in
+    another way is found by its settings, and all of its texts go through it whole.
     """
     if path not in _pieces:
         _pieces[path] = _Pieces(path)
@@ -90,19 +113,22 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     Null texts count as empty: one piece that holds ``end_id`` alone.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         size, end = 4 * capacity, end_id.to_bytes(4, "little")
-        for f in frames:
-            for at in range(0, len(f), 1000):
-                g, rows = f.iloc[at : at + 1000], []
-                for key, ids in zip(g["id"], encode_texts(g["text"].tolist(), tokenizer), strict=True):
-                    ids += end
-                    for k, a in enumerate(range(0, len(ids), size)):
-                        part = ids[a : a + size]
-                        rows.append((key, k, a // 4, len(part) // 4, zlib.crc32(part), part))
-                yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long, ids binary")
+        def cut(texts):
+            times, rows = [], []
+            for ids in encode_texts(texts, tokenizer):
+                ids += end
+                starts = range(0, len(ids), size)
+                times.append(len(starts))
+                rows += [(k, a // 4, ids[a : a + size]) for k, a in enumerate(starts)]
+            place, start, parts = zip(*rows, strict=True)
+            return times, place, start, [len(p) // 4 for p in parts], [zlib.crc32(p) for p in parts], parts
+
+        return cut
+
+    return map_column(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "text", make, "piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 class _Bins:
@@ -258,7 +284,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and ids (binary) if asked for.
 
     Null and empty texts are one piece of length 1. Repeated rows are packed as
-    often as they stand there.
+    often as they stand there; null ids are packed like others. Other columns of
+    ``docs`` are not read. No rows: no rows.
     """
     tokenizer = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     pieces = token_pieces(docs, tokenizer, capacity, end_id, id_col, text_col)
@@ -268,4 +295,5 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
 
 def op5_packing(spark, sf_dir):
+    """The pieces of all documents with their sequences and places there."""
     return pack_documents(table(spark, sf_dir, "documents"))

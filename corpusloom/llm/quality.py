@@ -9,14 +9,13 @@ turns that into one probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import map_column
 from corpusloom.llm.labelled import fold, sample_texts, training_labels
 from corpusloom.plans.staging import table
 
@@ -39,11 +38,11 @@ class Net:
         return np.stack([(f[j][:, None] + f[j + 1][None]).reshape(65536, FILTERS) for j in range(0, WIDTH, 2)])
 
 
-def join_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def join_texts(texts: list[str | bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(bytes of all texts, each padded for its last window; the first window of each chunk; the first chunk of each text; windows of no text)."""
     parts, starts, firsts, at, between = [], [], [], 0, []
     for text in texts:
-        data = (text or "").encode() or b"\0"
+        data = (text.encode() if isinstance(text, str) else text) or b"\0"
         firsts.append(len(starts))
         starts.extend(range(at, at + len(data), WINDOWS))
         parts += [data, bytes(WIDTH - 1)]
@@ -128,29 +127,31 @@ def fit(texts: list[tuple[str, int]], epochs: int = 4, batch: int = 32, rate: fl
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 1200, max_bytes: int = 32768, seed: int = 5) -> Net:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 1200, max_bytes: int = 16384, seed: int = 5) -> Net:
     """Learn from labels outside the held-out fold, on at most ``per_label`` rows of each label, of at most ``max_bytes`` each."""
     return fit(sample_texts(docs, training_labels(labels, "quality", FOLDS, HELD_OUT), per_label, max_bytes, seed), seed=seed)
 
 
 def score_texts(docs: DataFrame, net: Net, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and score (0 to 1) of every row, from all bytes of its text. Null and empty texts are scored as one zero byte."""
+    """``keep`` and score (0 to 1) of every row, from all bytes of its text. Null and empty texts are scored as one zero byte.
+
+    Null ids, repeated rows and other columns of ``docs`` make no difference; a
+    column of ``keep`` that is named score gives way to the new one. No rows: no
+    rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # of one size whatever the corpus
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         net = shared.value
         pairs = net.pairs()
-        for f in frames:
-            for at in range(0, len(f), 200):
-                g = f.iloc[at : at + 200]
-                yield g.drop(columns="text__").assign(score=probabilities(net, pairs, g["text__"].tolist()).astype(float))
+        return lambda texts: (None, probabilities(net, pairs, texts).astype(float))
 
-    picked = docs.select(*keep, F.col(text_col).alias("text__"))
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in picked.schema.fields[:-1])
-    return picked.mapInPandas(run, f"{schema}, score double")
+    kept = [F.col(c) for c in keep if c != "score"]
+    return map_column(docs.select(*kept, F.col(text_col).cast("binary").alias("text of score")), "text of score", make, "score double", 200, 2 << 20)
 
 
 def op6_quality(spark, sf_dir):
+    """doc_id, held_out, score and predicted of every document; null ids are in no fold and not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

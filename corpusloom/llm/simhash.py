@@ -20,15 +20,14 @@ differing bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from corpusloom.llm.batches import map_column
 from corpusloom.llm.components import components
 from corpusloom.plans.staging import stage, table
 
@@ -45,9 +44,9 @@ def cover() -> list[tuple[int, int, int]]:
     return inside + across
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of a whole text, repeats included; no words: 0."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z only, ASCII white space only
+def fingerprint(text: bytes | None, width: int = 4, seed: int = SEED) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of a whole text in UTF-8, repeats included; no words: 0."""
+    words = (text or b"").lower().split()  # bytes: A-Z only, ASCII white space only
     if not words:
         return 0
     joined, n = b" ".join(words), len(words)
@@ -65,11 +64,10 @@ def fingerprint(text: str | None, width: int = 4, seed: int = SEED) -> int:
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long. Null texts count as empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"id": f["id"], "fp": np.fromiter((fingerprint(t, width) for t in f["text"]), np.uint64, len(f)).view(np.int64)})
+    def make():
+        return lambda texts: (None, np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64))
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    return map_column(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")), "text", make, "fp long")
 
 
 def _near(a: F.Column, b: F.Column) -> F.Column:
@@ -113,4 +111,5 @@ def simhash_components(docs: DataFrame, width: int = 4, id_col: str = "doc_id",
 
 
 def op9_simhash(spark, sf_dir):
+    """doc_id, fingerprint and component_id of every document."""
     return simhash_components(table(spark, sf_dir, "documents"))

@@ -18,7 +18,6 @@ fitted on the other half of the rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.batches import map_column
 from corpusloom.llm.labelled import fold, sample_texts, sample_unlabelled, training_labels
 from corpusloom.plans.staging import table
 
@@ -45,9 +45,9 @@ class _Slots(dict):
         return slot
 
 
-def word_slots(text: str | None, slots: _Slots) -> np.ndarray:
-    """Distinct slots of the words of a whole text; A-Z in lower case, signs around words dropped."""
-    words = set((text or "").encode().lower().split())
+def word_slots(text: bytes | None, slots: _Slots) -> np.ndarray:
+    """Distinct slots of the words of a whole text in UTF-8; A-Z in lower case, signs around words dropped."""
+    words = set((text or b"").lower().split())
     return np.unique(np.fromiter(map(slots.__getitem__, words), np.int64, len(words)))
 
 
@@ -92,7 +92,7 @@ def fit(texts: list[tuple[str, int]], prior: float, classifiers: int = 3, featur
     if not 0 < positive.sum() < len(texts):
         return model
     slots = _Slots()
-    sets = [word_slots(t, slots) for t, _ in texts]
+    sets = [word_slots(t.encode(), slots) for t, _ in texts]
     rows, cols = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
     seen, seen_positive = np.bincount(cols, minlength=SLOTS), np.bincount(cols, positive[rows], SLOTS)
     share, n_p, n = seen_positive / positive.sum(), positive.sum(), len(texts)
@@ -122,7 +122,7 @@ def estimate_prior(texts: list[tuple[str, int]], start: float = 0.1, least: floa
     for k in (0, 1):
         model = fit([x for x, h in zip(texts, half, strict=True) if h != k], start, classifiers=1, seed=seed)
         mine = half == k
-        scores = np.array([model.score(word_slots(t, slots)) for (t, _), m in zip(texts, mine, strict=True) if m])
+        scores = np.array([model.score(word_slots(t.encode(), slots)) for (t, _), m in zip(texts, mine, strict=True) if m])
         confirmed, others = np.sort(scores[truth[mine] == 1]), np.sort(scores[truth[mine] == 0])
         if not len(confirmed) or not len(others):
             continue
@@ -133,7 +133,7 @@ def estimate_prior(texts: list[tuple[str, int]], start: float = 0.1, least: floa
     return min(1.0, float(np.mean(found))) if found else 0.0
 
 
-def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes: int = 65536, seed: int = 11, prior: float | None = None) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes: int = 16384, seed: int = 11, prior: float | None = None) -> Model:
     """Learn from confirmed toxic rows and unlabelled ones outside the held-out fold; without ``prior`` it is estimated.
 
     At most ``per_label`` confirmed toxic rows and as many unlabelled ones, of
@@ -148,33 +148,41 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes:
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` and score (0 to 1) of every row; every whole text is read. Null and empty texts have a score too."""
+    """``keep`` and score (0 to 1) of every row; every whole text is read. Null and empty texts have a score too.
+
+    Null ids, repeated rows and other columns of ``docs`` make no difference; a
+    column of ``keep`` that is named score gives way to the new one. No rows: no
+    rows.
+    """
     weights = docs.sparkSession.sparkContext.broadcast(model)  # classifiers x 2^18 floats, whatever the corpus
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         slots, model = _Slots(), weights.value
-        for f in frames:
-            yield f.drop(columns="text__").assign(score=[model.score(word_slots(t, slots)) for t in f["text__"]])
+        return lambda texts: (None, [model.score(word_slots(t, slots)) for t in texts])
 
-    picked = docs.select(*keep, F.col(text_col).alias("text__"))
-    schema = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in picked.schema.fields[:-1])
-    return picked.mapInPandas(run, f"{schema}, score double")
+    kept = [F.col(c) for c in keep if c != "score"]
+    return map_column(docs.select(*kept, F.col(text_col).cast("binary").alias("text of score")), "text of score", make, "score double")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``cut``; columns as before, no labels: all stay."""
+    """``docs`` without the rows whose score reaches ``cut``; columns and their names as before.
+
+    No labels: all rows stay. Null and empty texts, null ids and repeated rows
+    are scored like any other.
+    """
     model = train(docs, labels)
     weights = docs.sparkSession.sparkContext.broadcast(model)
+    slots = _Slots()
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        slots = _Slots()
         return pd.Series([weights.value.score(word_slots(t, slots)) for t in texts], dtype=float)
 
-    return docs.filter(score("text") < cut)
+    return docs.filter(score(F.col("text").cast("binary")) < cut)
 
 
 def op1_toxicity(spark, sf_dir):
+    """doc_id, held_out, score and predicted of every document; null ids are in no fold and not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from xxhash import xxh64_intdigest
 
-from corpusloom.llm import components, exact_dedup, language_model, line_dedup, media, mixing, packing, quality, simhash, substring, toxicity
+from corpusloom.llm import batches, components, exact_dedup, language_model, line_dedup, media, mixing, packing, quality, simhash, substring, toxicity
 from corpusloom.llm.rows import stored_row
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, n long, label int"
@@ -319,6 +319,44 @@ def test_quality(spark, docs, empty):
         assert abs(p - 1 / (1 + np.exp(-want))) < 1e-4
 
 
+BIG = [(1 << 60) + 1, (1 << 60) + 3]
+
+
+@pytest.fixture(scope="module")
+def big(spark, tmp_path_factory):
+    """A null id beside large ones, repeated rows, and columns that are named like results."""
+    path = str(tmp_path_factory.mktemp("big"))
+    rows = [(i, t, "en", "s", 1, *["clash"] * 6) for i in (None, *BIG) for t in ("one two three four five six. " * 9, None)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string, row string, text__ string, score string, size string, feature string").repartition(1).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_large_and_null_ids(spark, big, name):
+    """One row per row (or more), under the ids as they are, whatever else the table holds."""
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    make = {
+        "op1": lambda d: toxicity.score_texts(d, toxicity.train(d, none), keep=("doc_id", "score", "id")),
+        "op2": media.text_media,
+        "op3": line_dedup.similar_lines,
+        "op4": lambda d: mixing.mix(d, keep=("doc_id", "size", "row")),
+        "op5": packing.pack_documents,
+        "op6": lambda d: quality.score_texts(d, quality.train(d, none), keep=("doc_id", "score", "id")),
+        "op7": lambda d: language_model.score(d, language_model.fold("doc_id", 7) == 2),
+        "op8": lambda d: substring.repeated_units(d, min_words=5),
+        "op9": simhash.simhash_components,
+        "op10": exact_dedup.exact_dedup,
+    }
+    found = make[name](big)
+    assert len(set(found.columns)) == len(found.columns)
+    got = Counter(r["doc_id"] for r in found.collect())
+    assert got == dict.fromkeys((None, *BIG), 2 if name == "op8" else 4)
+
+
+def test_pieces_of():
+    assert list(batches.pieces_of(np.array([5, 5, 50, 1, 1, 1]), 2, 10)) == [(0, 2), (2, 3), (3, 5), (5, 6)] and list(batches.pieces_of(np.array([], int), 2, 10)) == []
+
+
 def test_language_model(docs, empty):
     got = {r["doc_id"]: r for r in language_model.score(docs, language_model.fold("doc_id", 7) == 2).collect()}
     words = {r["doc_id"]: (r["text"] or "").encode().lower().split() + [b""] for r in docs.collect()}
@@ -355,50 +393,62 @@ def test_state_is_carried_and_gradient_is_right():
         assert abs(slope - steps["g"][at]) < 2e-5 + 0.03 * abs(slope)
 
 
-def test_substring(docs, empty, odd):
-    seen, want = {}, set()
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        at = 0
-        for part in (r["text"] or "").split("\n"):
-            words = part.encode().lower().split()
-            if len(words) >= 5:
-                if tuple(words) in seen:
-                    want.add((r["doc_id"], at, at + len(part), *seen[tuple(words)]))
-                seen.setdefault(tuple(words), (r["doc_id"], at))
-            at += len(part) + 1
-    got = substring.repeated_units(docs).collect()
-    assert {(r["doc_id"], r["start"], r["end"], r["kept_id"], r["kept_start"]) for r in got} == want and len(got) == len(want)
-    cleaned = substring.remove_repeats(docs)
-    assert cleaned.count() == docs.count() and substring.repeated_units(cleaned).count() == 0
-    assert substring.repeated_units(empty).count() == 0 and substring.repeated_units(odd).count() == 4
-    assert substring.without("a\nb\nc", [{"start": 2, "end": 3}]) == "a\nc" and substring.without("a\nb", [{"start": 2, "end": 3}]) == "a"
-
-
-def test_repeated_passages(spark, docs, empty, odd, tmp_path):
-    """Passages of 50 words are found wherever they start and end, whatever line breaks are in them."""
+def brute_passages(rows, least):
+    """(doc_id, start, end, kept_id) of the spans that repeat, from (doc_id, text) with distinct ids."""
+    first, removed = {}, defaultdict(list)
+    for i, text in sorted(rows):
+        units, at = [], 0
+        for part in re.split(r"(?<=\n)|(?<=[.!?][ \t])", text or ""):
+            if part.split():
+                units.append((at, at + len(part), part.encode().lower().split()))
+            at += len(part)
+        for k in range(len(units)):
+            to = next((j for j in range(k + 1, len(units) + 1) if sum(len(u[2]) for u in units[k:j]) >= least), None)
+            if to:
+                start, end = units[k][0], units[to - 1][1]
+                kept = first.setdefault(tuple(w for u in units[k:to] for w in u[2]), (i, start, end))
+                if kept != (i, start, end):
+                    start = max(start, kept[2]) if kept[0] == i else start
+                    if start < end:
+                        removed[i].append((start, end, kept[0]))
+    out = set()
+    for i, spans in removed.items():
+        have = None
+        for start, end, kept in sorted(spans):
+            if have and start <= have[2]:
+                have[2] = max(have[2], end)
+            else:
+                have and out.add(tuple(have))
+                have = [i, start, end, kept]
+        out.add(tuple(have))
+    return out
+
+
+def test_substring(spark, docs, empty, odd, tmp_path):
+    """Passages are found wherever they start and end, whatever line breaks are in them; what stays is the earliest."""
     draw = random.Random(8)
-    passage, other = sentence(draw, 57), sentence(draw, 80).split()
-    texts = [f"é {sentence(draw, 9)} {passage} {sentence(draw, 9)}", passage, f"{sentence(draw, 4)}\n{passage.upper().replace(' ', chr(10) + ' ', 9)} {sentence(draw, 30)}", sentence(draw, 200), " ".join(other), " ".join(other[31:] + other[:49]), " ".join(other[5:55] + ["x"] + other[20:]), "a b " * 90, None]
+    speech = [f"{sentence(draw, draw.randint(4, 12))}." for _ in range(9)]
+    passage, other = " ".join(speech), " ".join(f"{sentence(draw, 6)}." for _ in range(8))
+    texts = [
+        f"é {sentence(draw, 9)} x. {passage} {sentence(draw, 9)}", passage, f"{sentence(draw, 4)}\n{passage.upper().replace('. ', '.  ')} {sentence(draw, 30)}", sentence(draw, 200),
+        other, f"{other} {other} {other}", f"no. {' '.join(speech[1:])}", "on on on on on on. " * 30, None, "", "\n\n", "x. " * 200, " ".join(speech[:3]), f"{sentence(draw, 40)}\n{other}\n", sentence(draw, 3000),
+    ]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "passages"))
-    for some in (spark.read.parquet(str(tmp_path / "passages")), docs):
-        first, want = {}, defaultdict(set)
-        for r in sorted(some.collect(), key=lambda r: r["doc_id"]):
-            words = (r["text"] or "").encode().lower().split()
-            for k in range(len(words) - 49):
-                i, at = first.setdefault(tuple(words[k : k + 50]), (r["doc_id"], k))
-                if (i, at) != (r["doc_id"], k):
-                    want[r["doc_id"]].update(range(max(k, at + 50) if i == r["doc_id"] else k, k + 50))
-        got = defaultdict(list)
-        text = {r["doc_id"]: r["text"] for r in some.collect()}
-        for r in substring.repeated_passages(some).collect():
-            starts = [m.start() for m in substring.WORD.finditer(text[r["doc_id"]])]
-            covered = [k for k, x in enumerate(starts) if r["start"] <= x < r["end"]]
-            assert len(covered) == r["n_words"] and not text[r["doc_id"]][r["end"] : r["end"] + 1].strip()
-            kept = text[r["kept_id"]].encode().lower().split()[r["kept_word"] :][:40]
-            assert kept[: r["n_words"]] == text[r["doc_id"]][r["start"] : r["end"]].encode().lower().split()[: len(kept)][: r["n_words"]]
-            got[r["doc_id"]] += covered
-        assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x} and got
-    assert substring.repeated_passages(empty).count() == 0 and substring.repeated_passages(odd).count() == 0
+    for some, least in ((spark.read.parquet(str(tmp_path / "passages")), 30), (docs, 10)):
+        text = {r["doc_id"]: r["text"] or "" for r in some.collect()}
+        got = substring.repeated_units(some, min_words=least).collect()
+        assert {(r["doc_id"], r["start"], r["end"], r["kept_id"]) for r in got} == brute_passages(text.items(), least) and got
+        assert all(r["n_words"] == len(text[r["doc_id"]][r["start"] : r["end"]].encode().split()) for r in got)
+        cleaned = {r["doc_id"]: r for r in substring.remove_repeats(some.selectExpr("*", "1 as removed_spans", "2 as row_id"), min_words=least).collect()}
+        assert len(cleaned) == len(text) and all(r["row_id"] == 2 for r in cleaned.values())
+        for i, t in text.items():
+            spans = sorted((r["start"], r["end"]) for r in got if r["doc_id"] == i)
+            assert [(x["start"], x["end"]) for x in cleaned[i]["removed_spans"] or []] == spans
+            assert (cleaned[i]["text"] or "") == "".join(t[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(t)], strict=True))
+    found = substring.repeated_units(docs, "line", 5)
+    assert found.filter("start >= end").count() == 0 < found.count()
+    assert substring.repeated_units(empty).count() == 0 and substring.remove_repeats(empty).count() == 0
+    assert substring.repeated_units(odd, min_words=5).count() == 4 and substring.remove_repeats(odd, min_words=5).count() == odd.count()
 
 
 def brute_fingerprint(text):
