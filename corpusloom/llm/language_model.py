@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corpusloom.llm.batches import map_column, pieces_of
-from corpusloom.llm.labelled import fold
+from corpusloom.llm.labelled import fit_in_task, fold
 from corpusloom.plans.staging import stage, table
 
 STATE, PER_CLASS, CLASSES = 32, 64, 16
@@ -348,11 +348,17 @@ def train(texts: DataFrame, words: Vocabulary, sample: int = 1500, max_bytes: in
     spark = texts.sparkSession
     some = texts.filter(F.octet_length("text").between(1, max_bytes)).select("text", F.xxhash64("id", F.lit(1)).alias("rank"))
     last = some.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
-    picked = sorted(r["text"].encode() for r in some.filter(F.col("rank") <= last).limit(sample).collect()) if last is not None else []
-    first = Trainer(Net.start(), rate)
-    while picked and first.t < 1500:
-        first.learn(_placed(number(picked, words)), 128)
-    known, start = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(first.net.flat)  # KNOWN words at most
+    known = spark.sparkContext.broadcast(words)  # KNOWN words at most
+    picked = some.filter(F.col("rank") <= last).orderBy("rank", F.xxhash64("text")).limit(sample).select(F.col("rank").alias("id"), "text", F.lit(0).alias("label"))
+
+    def begin(rows: list[tuple[str, int]]) -> np.ndarray:
+        first, texts = Trainer(Net.start(), rate), [t.encode() for t, _ in rows]
+        while texts and first.t < 1500:
+            first.learn(_placed(number(texts, known.value)), 128)
+        return first.net.flat
+
+    begun = fit_in_task(picked, begin) if last is not None else Net.start().flat
+    start = spark.sparkContext.broadcast(begun)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, shard = Trainer(Net(start.value), rate / 3), 0
@@ -376,7 +382,7 @@ def train(texts: DataFrame, words: Vocabulary, sample: int = 1500, max_bytes: in
     near = trained.groupBy("block", "shard").applyInPandas(mean, schema)  # two levels, so that no group has all tasks' rows
     rows = near.groupBy("block").applyInPandas(mean, schema).select("block", "flat").collect()  # one model
     if not rows:
-        return first.net
+        return Net(begun)
     return Net(np.concatenate([np.array(r["flat"], np.float32) for r in sorted(rows, key=lambda r: r["block"])]))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import map_column
-from corpusloom.llm.labelled import fold, sample_texts, training_labels
+from corpusloom.llm.labelled import fit_in_task, fold, sample_texts, training_labels
 from corpusloom.plans.staging import table
 
 WIDTH, FILTERS, CHUNK = 8, 16, 512
@@ -129,7 +129,8 @@ def fit(texts: list[tuple[str, int]], epochs: int = 4, batch: int = 32, rate: fl
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 1200, max_bytes: int = 16384, seed: int = 5) -> Net:
     """Learn from labels outside the held-out fold, on at most ``per_label`` rows of each label, of at most ``max_bytes`` each."""
-    return fit(sample_texts(docs, training_labels(labels, "quality", FOLDS, HELD_OUT), per_label, max_bytes, seed), seed=seed)
+    sample = sample_texts(docs, training_labels(labels, "quality", FOLDS, HELD_OUT), per_label, max_bytes, seed)
+    return fit_in_task(sample, lambda texts: fit(texts, seed=seed))
 
 
 def score_texts(docs: DataFrame, net: Net, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.batches import map_column
-from corpusloom.llm.labelled import fold, sample_texts, sample_unlabelled, training_labels
+from corpusloom.llm.labelled import fit_in_task, fold, sample_texts, sample_unlabelled, training_labels
 from corpusloom.plans.staging import table
 
 SLOTS = 1 << 18
@@ -140,11 +140,14 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes:
     at most ``max_bytes`` each. Labels other than 1 are not read.
     """
     known = training_labels(labels, "toxic", FOLDS, HELD_OUT).filter("label = 1")
-    positives = sample_texts(docs, known, per_label, max_bytes, seed)
-    if not positives:
-        return fit([], 0.0)
-    texts = positives + [(t, 0) for t in sample_unlabelled(docs, FOLDS, HELD_OUT, per_label, max_bytes, seed)]
-    return fit(texts, estimate_prior(texts, seed=seed) if prior is None else prior, seed=seed)
+    sample = sample_texts(docs, known, per_label, max_bytes, seed).unionByName(sample_unlabelled(docs, FOLDS, HELD_OUT, per_label, max_bytes, seed))
+
+    def of(texts: list[tuple[str, int]]) -> Model:
+        if not any(y for _, y in texts):
+            return fit([], 0.0)
+        return fit(texts, estimate_prior(texts, seed=seed) if prior is None else prior, seed=seed)
+
+    return fit_in_task(sample, of)
 
 
 def score_texts(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
