@@ -5,12 +5,19 @@ Thresholds are chosen so that the tables have findings.
 
 from __future__ import annotations
 
+from dataclasses import fields
+from datetime import datetime
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom import trees_of_customers as C
 from corpusloom.functions import text as T
 from corpusloom.operators import audit as O
-from corpusloom.plans.staging import table
+from corpusloom.plans import audit as A
+from corpusloom.plans.staging import stage, table
+from corpusloom.sources.trees import change_times, folder, read_config
 
 ENTRIES: dict[str, tuple] = {}
 HREF = r'href="([^"]+)"'
@@ -46,28 +53,30 @@ def size_tiers(spark, d) -> DataFrame:
 
 
 @_query(r"""
-SELECT doc_id, CAST(len(regexp_extract_all(text, '\bthe\b')) + len(regexp_extract_all(text, '\bque\b')) + len(regexp_extract_all(text, '\. ')) AS INTEGER) AS placeholders
-FROM documents WHERE len(regexp_extract_all(text, '\bthe\b')) + len(regexp_extract_all(text, '\bque\b')) + len(regexp_extract_all(text, '\. ')) >= 3
+WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+') AS w FROM documents),
+c AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) + len(list_filter(w, lambda x: x = 'que')) + len(regexp_extract_all(text, '\. ')) AS n FROM w)
+SELECT doc_id, CAST(n AS INTEGER) AS placeholders FROM c WHERE n >= 3
 """)
 def token_density(spark, d) -> DataFrame:
-    # ASCII word boundaries, as the SQL engine has them
-    count = sum(F.regexp_count("text", F.lit(p)) for p in (r"(?<![0-9A-Za-z_])the(?![0-9A-Za-z_])", r"(?<![0-9A-Za-z_])que(?![0-9A-Za-z_])", r"\. "))
-    return table(spark, d, "documents").select("doc_id", count.alias("placeholders")).filter("placeholders >= 3")
+    return O.placeholder_density(table(spark, d, "documents"), ["the", "que", ". ", " "], 3, "text").select("doc_id", "placeholders")
 
 
 @_query(r"""
-WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS ref FROM pages)
-SELECT page_id, ref FROM r WHERE ref NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)
+WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS ref FROM pages),
+p AS (SELECT string_split(url, '/') AS parts FROM pages), q AS (SELECT parts, unnest(generate_series(1, len(parts))) AS n FROM p)
+SELECT page_id, ref FROM r WHERE ref NOT IN (SELECT array_to_string(parts[1:n], '/') FROM q)
 """)
 def broken_links(spark, d) -> DataFrame:
-    pages = table(spark, d, "pages")
-    refs = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("ref"))
-    return refs.join(pages.select(F.col("url").alias("ref")).distinct(), "ref", "left_anti").select("page_id", "ref")
+    pages = table(spark, d, "pages").withColumn("repo", F.lit(""))
+    refs = pages.select("repo", "page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), 1)).alias("path"))
+    return O.missing_references(refs, pages.select("repo", F.col("url").alias("path")).filter("path is not null")).select("page_id", F.col("path").alias("ref"))
 
 
 @_query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unlabelled_documents(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    listed = table(spark, d, "documents").select(F.lit("").alias("repo"), F.concat(F.lit("documents/"), F.col("doc_id")).alias("path"), "doc_id", "source")
+    known = table(spark, d, "labels").select(F.lit("").alias("repo"), F.col("doc_id").cast("string").alias("name"))
+    return O.unregistered(listed, listed, known).select("doc_id", "source")
 
 
 @_query("""
@@ -109,14 +118,261 @@ def event_log_lines(spark, d) -> DataFrame:
 
 
 @_query("""
-SELECT source, count(*) FILTER (WHERE l.doc_id IS NULL) AS unlabelled, count(*) FILTER (WHERE toxic = 1) AS toxic, count(*) FILTER (WHERE quality = 0) AS low_quality,
-       count(*) FILTER (WHERE toxic = 1) = 0 AS ok
+SELECT source AS repo, count(*) FILTER (WHERE toxic = 1) AS errors, count(*) FILTER (WHERE quality = 0) AS warnings, count(*) FILTER (WHERE toxic = 1) AS code_health_findings,
+       count(*) FILTER (WHERE quality = 0) AS maintenance_findings, count(*) FILTER (WHERE toxic = 1) = 0 AS ok
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY source
 """)
 def source_summary(spark, d) -> DataFrame:
-    met = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels").withColumn("known", F.lit(True)), "doc_id", "left")
-    toxic = F.count_if(F.col("toxic") == 1)
-    return met.groupBy("source").agg(F.count_if(F.col("known").isNull()).alias("unlabelled"), toxic.alias("toxic"), F.count_if(F.col("quality") == 0).alias("low_quality"), (toxic == 0).alias("ok"))
+    files = table(spark, d, "documents").select(F.col("source").alias("repo"), "doc_id")
+    met = files.join(table(spark, d, "labels"), "doc_id")
+    toxic = met.filter("toxic = 1").select("repo", F.lit("code-health-toxic").alias("check"), F.lit("failed").alias("status"))
+    return A.summary(files, toxic.unionByName(met.filter("quality = 0").select("repo", F.lit("maintenance-quality").alias("check"), F.lit("warning").alias("status"))))
+
+
+# Below: one source tree for every customer (trees_of_customers.py), audited as a whole. The SQL derives what must come out from the customer's key.
+T_SQL = "WITH t AS (SELECT c_name AS repo, c_custkey AS k FROM customer)"
+REFS_SQL = """
+  SELECT repo, k, 'required-reading' AS "check", unnest([concat('docs/w', k % 3, '.md'), 'docs', concat('lost', k % 2, '.md')]) AS path FROM t
+  UNION ALL SELECT repo, k, 'docs-core-document', unnest(['docs/TESTING.md', concat('docs/w', k % 4, '.md'), concat('docs/w', k % 4, '.md')]) FROM t WHERE k % 5 <> 0
+  UNION ALL SELECT repo, k, 'harness-checklist', unnest(['.harness/checklists/a.md', '.harness/checklists/deep/B.md']) FROM t
+  UNION ALL SELECT repo, k, 'harness-prompt', concat('.harness/prompts/p', k % 3, '.md') FROM t
+"""
+GONE_SQL = "(path IN ('docs/w2.md', 'docs/w3.md', 'lost1.md', '.harness/prompts/p0.md', '.harness/prompts/p2.md') OR path = '.harness/checklists/deep/B.md' AND k % 2 = 1)"
+ROWS_SQL = "SELECT repo, k, CAST(i AS INTEGER) AS row_index, (k + i) % 4 AS kind FROM t, generate_series(0, 6) g(i) WHERE i < 5 + k % 3"
+CODE_SQL = """
+  SELECT repo, k, 'src/big.py' AS path, 3 + k % 12 AS n, 'default_code' AS category, [5, 9, 12] AS lim FROM t
+  UNION ALL SELECT repo, k, 'db/schema.sql', 3 + k % 12, 'migration_or_schema', [7, 11, 15] FROM t UNION ALL SELECT repo, k, 'web/page.tsx', 3 + k % 12, 'markup_or_component', [6, 10, 14] FROM t
+  UNION ALL SELECT repo, k, 'generated/root.py', 1, 'default_code', [5, 9, 12] FROM t UNION ALL SELECT repo, k, 'src/fun.py', 2 + k % 6, 'default_code', [5, 9, 12] FROM t
+  UNION ALL SELECT repo, k, 'src/rep.js', 2 + k % 4, 'default_code', [5, 9, 12] FROM t UNION ALL SELECT repo, k, 'src/gone.py', NULL, 'default_code', [5, 9, 12] FROM t WHERE k % 10 = 0
+"""
+TIER_SQL = "CASE WHEN n >= lim[3] THEN 'failure' WHEN n >= lim[2] THEN 'feature_freeze' WHEN n >= lim[1] THEN 'warning' ELSE 'ok' END"
+LONG_SQL = f"SELECT repo, k, path, n AS lines FROM ({CODE_SQL}) WHERE path IN ('web/page.tsx', 'src/fun.py') AND {TIER_SQL} IN ('ok', 'warning') AND n >= 5"
+CHANGED_SQL = """
+  SELECT repo, k, CASE WHEN k % 6 = 0 THEN TIMESTAMP '2024-01-31' - (k % 20) * INTERVAL 1 DAY ELSE TIMESTAMP '2024-01-31' - (24 * (k % 30) + 12 * (k % 2)) * INTERVAL 1 HOUR END AS value,
+         CASE WHEN k % 6 = 0 THEN 'git_log' ELSE 'fallback_last_write_time' END AS source FROM t WHERE k % 3 = 0
+"""
+DENSE_SQL = f"SELECT repo, 'docs/w0.md' AS path, 2 + k % 3 AS n FROM t UNION ALL SELECT repo, 'docs/TESTING.md', 1 + count(*) FILTER (WHERE kind = 0) FROM ({ROWS_SQL}) GROUP BY repo"
+COMMANDS_SQL = """
+  SELECT *, k % 2 = 0 AND k % 14 <> 0 AS node, k % 3 = 1 AS py, k % 5 = 0 AS rust, k % 7 = 0 AS go, CASE WHEN k % 6 = 1 THEN 'uv run' ELSE 'python -m' END AS runner,
+         CASE WHEN k % 3 = 0 THEN 'pnpm' WHEN k % 5 = 0 THEN 'yarn' ELSE 'npm' END AS pm, CASE WHEN k % 3 = 0 THEN 'pnpm ' WHEN k % 5 = 0 THEN 'yarn ' ELSE 'npm run ' END AS run FROM t
+"""
+MERGED_SQL = f"""
+  SELECT repo, k, 0 AS place, 'install' AS id, CASE WHEN node THEN pm || ' install' WHEN py AND k % 6 = 1 THEN 'uv sync' WHEN py THEN 'python -m pip install -e .' END AS command,
+         CASE WHEN node THEN 'package.json detected' WHEN py AND k % 6 = 1 THEN 'uv.lock detected' WHEN py THEN 'pyproject.toml detected' END AS note FROM ({COMMANDS_SQL})
+  UNION ALL SELECT repo, k, 1, 'dev', CASE WHEN node THEN run || 'start' END, CASE WHEN node THEN concat('package script ', chr(39), 'start', chr(39)) END FROM ({COMMANDS_SQL})
+  UNION ALL SELECT repo, k, 2, 'test', CASE WHEN py THEN runner || ' pytest' WHEN rust THEN 'cargo test' WHEN go THEN 'go test ./...' END,
+         CASE WHEN py THEN 'pytest detected' WHEN rust THEN 'Cargo.toml detected' WHEN go THEN 'go.mod detected' END FROM ({COMMANDS_SQL})
+  UNION ALL SELECT repo, k, 3, 'lint', CASE WHEN node THEN run || 'lint' WHEN py THEN runner || ' ruff check .' END, CASE WHEN node THEN concat('package script ', chr(39), 'lint', chr(39)) WHEN py THEN 'ruff detected' END FROM ({COMMANDS_SQL})
+  UNION ALL SELECT repo, k, 4, 'typecheck', CASE WHEN node AND k % 4 = 0 THEN run || 'tsc' WHEN rust THEN 'cargo check' END,
+         CASE WHEN node AND k % 4 = 0 THEN concat('package script ', chr(39), 'tsc', chr(39)) WHEN rust THEN 'Cargo.toml detected' END FROM ({COMMANDS_SQL})
+  UNION ALL SELECT repo, k, 5, 'build', CASE WHEN node AND k % 4 = 0 THEN run || 'build' WHEN rust THEN 'cargo build' WHEN go THEN 'go build ./...' END,
+         CASE WHEN node AND k % 4 = 0 THEN concat('package script ', chr(39), 'build', chr(39)) WHEN rust THEN 'Cargo.toml detected' WHEN go THEN 'go.mod detected' END FROM ({COMMANDS_SQL})
+"""
+#: (repo, check, kind) of all findings but the event of the threshold
+FOUND_SQL = f"""
+  SELECT repo, "check", 'failure' AS kind FROM ({REFS_SQL}) WHERE {GONE_SQL}
+  UNION ALL SELECT repo, 'testing-command-row', 'failure' FROM t WHERE k % 3 = 0 UNION ALL SELECT repo, 'testing-command-row', 'failure' FROM ({ROWS_SQL}) WHERE k % 3 > 0 AND row_index < 6 AND kind >= 2
+  UNION ALL SELECT DISTINCT repo, 'testing-todo', 'todo' FROM ({ROWS_SQL}) WHERE kind = 0
+  UNION ALL SELECT repo, 'maintenance-unregistered-checklist', 'drift' FROM t WHERE k % 7 = 0 UNION ALL SELECT repo, 'maintenance-unregistered-prompt', 'drift' FROM t WHERE k % 3 <> 1
+  UNION ALL SELECT repo, 'maintenance-stale-active-plan', 'drift' FROM ({CHANGED_SQL}) WHERE value < TIMESTAMP '2024-01-17'
+  UNION ALL SELECT repo, 'maintenance-generated-todo', 'drift' FROM t WHERE k % 3 < 2
+  UNION ALL SELECT repo, 'maintenance-placeholder-density', 'drift' FROM ({DENSE_SQL}) WHERE n >= 3
+  UNION ALL SELECT repo, 'maintenance-exec-plan-usage', 'drift' FROM t WHERE k % 3 > 0 AND k % 4 > 0
+  UNION ALL SELECT repo, 'code-health-read-file', 'drift' FROM t WHERE k % 10 = 0
+  UNION ALL SELECT repo, 'code-health-large-file', CASE WHEN n >= lim[3] THEN 'drift' ELSE 'notice' END FROM ({CODE_SQL}) WHERE n >= lim[1]
+  UNION ALL SELECT repo, 'code-health-long-function', 'notice' FROM ({LONG_SQL}) UNION ALL SELECT repo, 'code-health-repeated-line', 'notice' FROM t WHERE k % 4 >= 2
+"""
+ALL_SQL = f"""
+  SELECT * FROM ({FOUND_SQL}) UNION ALL SELECT repo, 'maintenance-finding-threshold', 'drift' FROM ({FOUND_SQL}) WHERE "check" LIKE 'maintenance-%' GROUP BY repo HAVING count(*) >= 5
+"""
+IN_TEMPLATE, IN_PROJECT = "CASE kind WHEN 'failure' THEN 'failed' ELSE 'warning' END", "CASE WHEN kind IN ('failure', 'drift', 'todo') THEN 'failed' ELSE 'warning' END"
+
+
+def _audit(spark, d, **asked) -> tuple[DataFrame, DataFrame]:
+    files = stage(C.trees(spark, d), "trees")  # every check reads its own paths of it
+    return files, A.audit(files, C.CONFIG, datetime.fromisoformat(C.AS_OF), maintenance=True, code_health=True, commits=C.commits(files), **asked)
+
+
+@_query(f'{T_SQL} SELECT repo, "check", path FROM ({REFS_SQL}) WHERE {GONE_SQL}')
+def missing_references(spark, d) -> DataFrame:
+    files = C.trees(spark, d)
+    found = [O.missing_references(O.references(files, source, heading, below), files).select("repo", F.lit(check).alias("check"), "path") for check, source, heading, below in A.REFERENCES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query(f'{T_SQL} SELECT repo, "check", path FROM ({REFS_SQL}) WHERE NOT {GONE_SQL}')
+def present_references(spark, d) -> DataFrame:
+    files = C.trees(spark, d)
+    found = [O.present_references(O.references(files, source, heading, below), files).select("repo", F.lit(check).alias("check"), "path") for check, source, heading, below in A.REFERENCES]
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query(f"{T_SQL} SELECT repo, row_index, CAST(row_index + 6 AS INTEGER) AS line_index, CASE kind WHEN 0 THEN '`TODO`' WHEN 1 THEN concat('`run ', row_index, '`') WHEN 2 THEN concat('run ', row_index) END AS command FROM ({ROWS_SQL})")
+def command_rows(spark, d) -> DataFrame:
+    return O.command_rows(C.trees(spark, d).filter(F.col("path") == A.COMMANDS)).select("repo", "row_index", "line_index", F.get("cells", F.lit(1)).alias("command"))
+
+
+@_query(f"""{T_SQL} SELECT repo, CAST(NULL AS INTEGER) AS row_index, 'missing_command_rows' AS reason, '5' AS value FROM t WHERE k % 3 = 0
+UNION ALL SELECT repo, row_index, CASE kind WHEN 2 THEN 'command_cell_must_be_backticked' ELSE 'malformed_command_row' END, CASE kind WHEN 2 THEN concat('run ', row_index) END FROM ({ROWS_SQL}) WHERE k % 3 > 0 AND row_index < 6 AND kind >= 2""")
+def bad_command_rows(spark, d) -> DataFrame:
+    files = C.trees(spark, d).filter(F.col("path") == A.COMMANDS)
+    return O.bad_command_rows(files, O.command_rows(files)).select("repo", "row_index", "reason", "value")
+
+
+@_query(f"{T_SQL} SELECT repo, count(*) AS n FROM ({ROWS_SQL}) WHERE kind = 0 GROUP BY repo")
+def todo_commands(spark, d) -> DataFrame:
+    return O.todo_rows(O.command_rows(C.trees(spark, d).filter(F.col("path") == A.COMMANDS)))
+
+
+@_query(f"{T_SQL} SELECT repo, '.harness/checklists/c.md' AS path FROM t WHERE k % 7 = 0 UNION ALL SELECT repo, '.harness/prompts/p1.md' FROM t WHERE k % 3 <> 1")
+def unregistered_files(spark, d) -> DataFrame:
+    files = C.trees(spark, d)
+    found = [O.unregistered(files, folder(files, below), O.registered_names(files, ".harness/README.md", heading)).select("repo", "path") for _, heading, below in A.REGISTERS]
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query(f"{T_SQL} SELECT repo, unnest(['a.md', 'b.md']) AS name FROM t")
+def registered_names(spark, d) -> DataFrame:
+    return O.registered_names(C.trees(spark, d), ".harness/README.md", "Checklists")
+
+
+@_query(f"""{T_SQL} SELECT repo, source, CAST(round_even((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(value)) / 86400000000, 0) AS INTEGER) AS age_days FROM ({CHANGED_SQL}) WHERE value < TIMESTAMP '2024-01-17'""")
+def stale_plans(spark, d) -> DataFrame:
+    files = C.trees(spark, d)
+    return O.stale(change_times(folder(files, A.ACTIVE), C.commits(files)), F.to_timestamp(F.lit(C.AS_OF)), 14).select("repo", "source", "age_days")
+
+
+@_query(f"{T_SQL} SELECT repo, 'docs/generated/g.md' AS path FROM t WHERE k % 3 < 2")
+def generated_todo(spark, d) -> DataFrame:
+    return O.generated_todo(folder(C.trees(spark, d), A.GENERATED)).select("repo", "path")
+
+
+@_query(f"{T_SQL} SELECT repo, path, CAST(n AS INTEGER) AS placeholders FROM ({DENSE_SQL}) WHERE n >= 3")
+def placeholder_density(spark, d) -> DataFrame:
+    return O.placeholder_density(folder(C.trees(spark, d), "", recursive=True), list(C.CONFIG.placeholder_patterns), 3).select("repo", "path", "placeholders")
+
+
+@_query(f"{T_SQL} SELECT repo, CAST(k % 3 = 0 AS BIGINT) AS active, CAST(k % 4 = 0 AS BIGINT) AS completed FROM t")
+def plan_usage(spark, d) -> DataFrame:
+    return O.plan_usage(C.trees(spark, d), A.ACTIVE, A.COMPLETED)
+
+
+@_query(f"{T_SQL} SELECT repo, path FROM ({CODE_SQL})")
+def code_candidates(spark, d) -> DataFrame:
+    return O.code_files(C.trees(spark, d), C.CONFIG).select("repo", "path")
+
+
+@_query(f"{T_SQL} SELECT repo, path, CAST(n AS INTEGER) AS n_lines, category, {TIER_SQL} AS tier FROM ({CODE_SQL}) WHERE n IS NOT NULL")
+def code_tiers(spark, d) -> DataFrame:
+    return O.sized(O.code_files(C.trees(spark, d), C.CONFIG), C.CONFIG).select("repo", "path", "n_lines", F.col("limits.category").alias("category"), "tier")
+
+
+@_query(f"{T_SQL} SELECT repo, path, CASE path WHEN 'src/fun.py' THEN concat('def f', k, '(') ELSE 'function g' END AS name, 1 AS start_line, CAST(lines AS INTEGER) AS lines FROM ({LONG_SQL})")
+def long_functions(spark, d) -> DataFrame:
+    sized = O.sized(O.code_files(C.trees(spark, d), C.CONFIG), C.CONFIG)
+    return O.long_functions(O.looked_into(sized), C.CONFIG.long_function_lines)
+
+
+@_query(f"{T_SQL} SELECT repo, 'src/rep.js' AS path, '{C.LINE}' AS line, 2 + k % 4 AS repeats, 1 AS rank FROM t WHERE k % 4 >= 2")
+def repeated_code_lines(spark, d) -> DataFrame:
+    sized = O.sized(O.code_files(C.trees(spark, d), C.CONFIG), C.CONFIG)
+    return O.repeated_lines(O.looked_into(sized), O.KEY, C.CONFIG.repeated_line_threshold)
+
+
+@_query(f"{T_SQL} SELECT repo, id, coalesce(command, 'TODO') AS command, coalesce(note, 'no command detected') AS note FROM ({MERGED_SQL})")
+def merged_commands(spark, d) -> DataFrame:
+    return O.merged_commands(C.trees(spark, d)).select("repo", "id", "command", "note")
+
+
+@_query(f"""{T_SQL} SELECT repo, CAST(6 + place AS INTEGER) AS line_index, concat('| c', place, ' | `', coalesce(command, 'TODO'), '` | ', coalesce(note, 'no command detected'), ' |') AS proposed FROM ({MERGED_SQL}) WHERE k % 3 > 0""")
+def proposed_rows(spark, d) -> DataFrame:
+    return O.proposed_rows(C.trees(spark, d), A.COMMANDS).select("repo", "line_index", "proposed")
+
+
+@_query(f"""{T_SQL}, r AS (SELECT repo, k, string_agg(concat('| c', place, ' | `', coalesce(command, 'TODO'), '` | ', coalesce(note, 'no command detected'), ' |' || chr(10)), '' ORDER BY place) AS rows FROM ({MERGED_SQL}) WHERE k % 3 > 0 GROUP BY ALL),
+s AS (SELECT repo, k, rows || CASE WHEN k % 3 = 2 THEN CASE (k + 6) % 4 WHEN 0 THEN '| c6 | `TODO` | n |' WHEN 1 THEN '| c6 | `run 6` | n |' WHEN 2 THEN '| c6 | run 6 | n |' ELSE '| c6 |' END || chr(10) ELSE '' END AS rows FROM r)
+SELECT repo, replace('# T@@## commands@@| Purpose | Command | Note |@|---|---|---|@', '@', chr(10)) || rows || replace('@## Other@| z | `TODO` | n |@', '@', chr(10)) AS content FROM s""")
+def applied_commands(spark, d) -> DataFrame:
+    return O.applied_commands(C.trees(spark, d), A.COMMANDS).select("repo", "content")
+
+
+@_query(f"""{T_SQL} SELECT repo, concat('[Bootstrap] testing-bootstrap ', CASE WHEN command IS NULL THEN 'not_detected' ELSE 'detected' END, ' {{ command=', coalesce(command, 'TODO'), '; id=', id, '; note=', coalesce(note, 'no command detected'), ' }}') AS line FROM ({MERGED_SQL})""")
+def command_log(spark, d) -> DataFrame:
+    return A.log_lines(A.command_events(C.trees(spark, d)), "Bootstrap")
+
+
+@_query(f"""{T_SQL}, f AS (SELECT repo, "check", {IN_TEMPLATE} AS status FROM ({ALL_SQL})) SELECT repo, "check", status, count(*) AS n FROM f GROUP BY ALL""")
+def audit_in_template_mode(spark, d) -> DataFrame:
+    return _audit(spark, d)[1].groupBy("repo", "check", "status").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{T_SQL}, f AS (SELECT repo, "check", {IN_PROJECT} AS status FROM ({ALL_SQL})) SELECT repo, "check", status, count(*) AS n FROM f GROUP BY ALL""")
+def audit_in_strict_mode(spark, d) -> DataFrame:
+    return _audit(spark, d, strict=True)[1].groupBy("repo", "check", "status").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{T_SQL}, f AS (SELECT repo, CASE kind WHEN 'failure' THEN 'failed' ELSE 'warning' END AS status FROM ({FOUND_SQL}) WHERE "check" NOT LIKE 'maintenance-%') SELECT repo, status, count(*) AS n FROM f WHERE repo IS NOT NULL GROUP BY ALL""")
+def audit_of_code_only(spark, d) -> DataFrame:
+    found = A.audit(stage(C.trees(spark, d), "trees"), C.CONFIG, code_health=True)
+    return found.groupBy("repo", "status").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{T_SQL}, f AS (SELECT repo, "check", {IN_PROJECT} AS status FROM ({ALL_SQL}))
+SELECT repo, count(*) FILTER (WHERE status = 'failed') AS errors, count(*) FILTER (WHERE status = 'warning') AS warnings, count(*) FILTER (WHERE "check" LIKE 'maintenance-%' AND "check" <> 'maintenance-finding-threshold') AS maintenance_findings,
+       count(*) FILTER (WHERE "check" LIKE 'code-health-%') AS code_health_findings, count(*) FILTER (WHERE status = 'failed') = 0 AS ok FROM t LEFT JOIN f USING (repo) GROUP BY repo""")
+def audit_summary(spark, d) -> DataFrame:
+    return A.summary(*_audit(spark, d, project=True))
+
+
+@_query(f"""{T_SQL}, f AS (SELECT repo, "check", {IN_TEMPLATE} AS status FROM ({ALL_SQL})), o AS (
+  SELECT repo, k, count(*) FILTER (WHERE status = 'failed') AS errors, count(*) FILTER (WHERE status = 'warning') AS warnings, count(*) FILTER (WHERE "check" LIKE 'maintenance-%' AND "check" <> 'maintenance-finding-threshold') AS m,
+         count(*) FILTER (WHERE "check" LIKE 'code-health-%') AS c, count(*) FILTER (WHERE "check" = 'maintenance-stale-active-plan') AS stale, count(*) FILTER (WHERE "check" = 'maintenance-placeholder-density') AS dense,
+         count(*) FILTER (WHERE "check" = 'testing-todo') AS todo FROM t LEFT JOIN f USING (repo) GROUP BY ALL), refs AS ({REFS_SQL})
+SELECT repo, '[Audit] validation start {{ codeHealth=True; effectiveMode=Template; maintenance=True; mode=Template; strict=False }}' AS line FROM t
+UNION ALL SELECT repo, concat('[Audit] ', "check", ' success {{ path=', path, ' }}') FROM refs WHERE NOT {GONE_SQL}
+UNION ALL SELECT repo, concat('[Audit] required-reading-summary success {{ count=3 }}') FROM t UNION ALL SELECT repo, concat('[Audit] docs-core-document-summary success {{ count=', CASE WHEN k % 5 = 0 THEN 0 ELSE 3 END, ' }}') FROM t
+UNION ALL SELECT repo, '[Audit] harness-checklist-summary success {{ count=2 }}' FROM t UNION ALL SELECT repo, '[Audit] harness-prompt-summary success {{ count=1 }}' FROM t
+UNION ALL SELECT repo, '[Audit] testing-todo success {{ count=0; mode=Template; strict=False }}' FROM o WHERE todo = 0
+UNION ALL SELECT repo, '[Audit] maintenance start {{ mode=Template; strict=False }}' FROM t
+UNION ALL SELECT repo, '[Audit] maintenance-unregistered-checklist success {{ count=2 }}' FROM t WHERE k % 7 <> 0 UNION ALL SELECT repo, '[Audit] maintenance-unregistered-prompt success {{ count=1 }}' FROM t WHERE k % 3 = 1
+UNION ALL SELECT repo, concat('[Audit] maintenance-stale-active-plan success {{ count=', CAST(k % 3 = 0 AS INTEGER), '; thresholdDays=14 }}') FROM o WHERE stale = 0
+UNION ALL SELECT repo, '[Audit] maintenance-generated-todo success {{ count=1 }}' FROM t WHERE k % 3 = 2
+UNION ALL SELECT repo, concat('[Audit] maintenance-placeholder-density success {{ scanned=', 11 + CAST(k % 7 = 0 AS INTEGER) + CAST(k % 2 = 0 AS INTEGER) + CAST(k % 3 = 0 AS INTEGER) + CAST(k % 4 = 0 AS INTEGER), '; threshold=3 }}') FROM o WHERE dense = 0
+UNION ALL SELECT repo, concat('[Audit] maintenance-exec-plan-usage success {{ active=', CAST(k % 3 = 0 AS INTEGER), '; completed=', CAST(k % 4 = 0 AS INTEGER), ' }}') FROM t WHERE k % 3 = 0 OR k % 4 = 0
+UNION ALL SELECT repo, concat('[Audit] maintenance complete {{ findings=', m, ' }}') FROM o
+UNION ALL SELECT repo, '[Audit] code-health start {{ failureThreshold=12; featureFreezeThreshold=9; mode=Template; strict=False; warningThreshold=5 }}' FROM t
+UNION ALL SELECT repo, concat('[Audit] code-health-large-file success {{ failureThreshold=12; featureFreezeThreshold=9; scanned=', 6 + CAST(k % 10 = 0 AS INTEGER), '; warningThreshold=5 }}') FROM o WHERE c = 0
+UNION ALL SELECT repo, concat('[Audit] code-health complete {{ findings=', c, '; scanned=', 6 + CAST(k % 10 = 0 AS INTEGER), ' }}') FROM o
+UNION ALL SELECT repo, concat('[Audit] validation ', CASE WHEN errors = 0 THEN 'success' ELSE 'failed' END, ' {{ effectiveMode=Template; errors=', errors, '; warnings=', warnings, ' }}') FROM o""")
+def audit_events(spark, d) -> DataFrame:
+    files, found = _audit(spark, d)
+    return A.log_lines(A.events(files, stage(found, "audit-findings"), C.CONFIG, maintenance=True, code_health=True))
+
+
+@_query("""
+SELECT * FROM (VALUES ('maintenance_finding_threshold', '5'), ('stale_active_plan_days', '7'), ('placeholder_todo_threshold', '3'), ('placeholder_patterns', 'A,B'), ('require_exec_plan_usage', 'False'),
+ ('warning_lines', '9'), ('feature_freeze_lines', '800'), ('failure_lines', '1200'), ('markup_warning_lines', '800'), ('markup_feature_freeze_lines', '1200'), ('markup_failure_lines', '1800'),
+ ('migration_warning_lines', '1200'), ('migration_feature_freeze_lines', '1800'), ('migration_failure_lines', '2400'), ('long_function_lines', '120'), ('repeated_line_threshold', '6'),
+ ('excluded_paths', 'x'), ('excluded_patterns', '**/generated/**,**/vendor/**,**/*.lock,**/*.generated.*,**/migrations/**'),
+ ('finding', 'placeholder_todo_threshold invalid_positive_integer'), ('finding', 'failure_lines invalid_positive_integer')) v("key", value)
+""")
+def settings(spark, d) -> DataFrame:
+    text = '{"validation": {"staleActivePlanDays": "7", "placeholderTodoThreshold": 0, "requireExecPlanUsage": "FALSE", "placeholderPatterns": ["A", " ", "B"], "codeHealth": {"warningLines": 9, "failureLines": "5.0", "excludedPaths": ["x", ""]}}}'
+    config, found = read_config(spark, text)
+    rows = [(f.name, ",".join(v) if isinstance(v := getattr(config, f.name), tuple) else str(v)) for f in fields(config)]
+    bad = found.select(F.lit("finding").alias("key"), F.concat_ws(" ", "metadata.key", "metadata.reason").alias("value"))
+    return spark.createDataFrame(rows, "key string, value string").unionByName(bad)
+
+
+@_query(r"""
+SELECT page_id, list_extract(string_split(url, '/'), -1) AS name, lower(regexp_extract(list_extract(string_split(url, '/'), -1), '(\.[^.]*)$', 1)) AS extension, regexp_matches(url, '(?is)^.*/[ab].*$') AS fits,
+       coalesce(regexp_replace(html, '\s', '', 'g'), '') = '' AS blank, length(trim(regexp_replace(html, '[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS squeezed, substring(html, 1, 80) AS head FROM pages
+""")
+def page_texts(spark, d) -> DataFrame:
+    return table(spark, d, "pages").select(
+        "page_id", T.name("url").alias("name"), T.extension("url").alias("extension"), F.col("url").rlike(T.wildcard("*/[ab]*")).alias("fits"), T.blank("html").alias("blank"),
+        F.length(T.squeeze("html")).cast("long").alias("squeezed"), F.substring("html", 1, 80).alias("head"),
+    )
 
 
 def queries():

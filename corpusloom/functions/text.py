@@ -62,6 +62,11 @@ def lines(content: Column | str) -> Column:
     return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))
 
 
+def slashes(path: Column | str) -> Column:
+    """Backslashes as slashes."""
+    return F.translate(col(path), "\\", "/")
+
+
 def name(path: Column | str) -> Column:
     return F.element_at(F.split(col(path), "/"), -1)
 

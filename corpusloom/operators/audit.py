@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.sources.trees import Config
+from corpusloom.sources.trees import Config, is_in_folder
 
-# Extensions whose files are code.
+# Extensions whose files are code, markup, migrations.
 CODE = (
-    ".astro .bash .c .cc .cjs .cpp .cs .css .fish .go .h .hh .hpp .html .java .js .jsx .kt .kts .m "
-    ".mjs .mm .php .ps1 .psd1 .psm1 .py .rb .rs .sass .scala .scss .sh .sql .svelte .swift .ts .tsx .vue .zsh"
-).split()
-MARKUP = ".astro .css .html .jsx .sass .scss .svelte .tsx .vue".split()
-MIGRATION = ".proto .sql".split()
-# Lock files.
-LOCKS = "package-lock.json pnpm-lock.yaml yarn.lock bun.lock bun.lockb Cargo.lock poetry.lock Pipfile.lock composer.lock Gemfile.lock go.sum uv.lock".split()
+    ".astro", ".bash", ".c", ".cc", ".cjs", ".cpp", ".cs", ".css", ".fish", ".go", ".h", ".hh", ".hpp", ".html", ".java", ".js", ".jsx", ".kt", ".kts", ".m",
+    ".mjs", ".mm", ".php", ".ps1", ".psd1", ".psm1", ".py", ".rb", ".rs", ".sass", ".scala", ".scss", ".sh", ".sql", ".svelte", ".swift", ".ts", ".tsx", ".vue", ".zsh",
+)
+MARKUP = (".astro", ".css", ".html", ".jsx", ".sass", ".scss", ".svelte", ".tsx", ".vue")
+MIGRATION = (".proto", ".sql")
+# Lock files, and the script that audits and is no candidate itself.
+LOCKS = ("package-lock.json", "pnpm-lock.yaml", "yarn.lock", "bun.lock", "bun.lockb", "Cargo.lock", "poetry.lock", "Pipfile.lock", "composer.lock", "Gemfile.lock", "go.sum", "uv.lock")
+AUDITOR = "scripts/validate-harness.ps1"
 # Fixed value: the pattern by which a function starts, for either engine.
 FUNCTION = r"^\s*(function\s+[\w-]+|(?:export\s+)?(?:async\s+)?function\s+\w+|(?:export\s+)?(?:const|let|var)\s+\w+\s*=\s*(?:async\s*)?\([^)]*\)\s*=>|def\s+\w+\s*\()"
 KEY = ["repo", "path"]
@@ -43,6 +44,10 @@ def missing_references(refs: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(places(files), KEY, "left_anti")
 
 
+def present_references(refs: DataFrame, files: DataFrame) -> DataFrame:
+    return refs.join(places(files), KEY, "left_semi")
+
+
 def registered_names(files: DataFrame, source: str, heading: str) -> DataFrame:
     """(repo, name): distinct base names that a section refers to, in lower case."""
     return references(files, source, heading).select("repo", F.lower(T.name("ref")).alias("name")).distinct()
@@ -63,7 +68,9 @@ def repeated_lines(texts: DataFrame, key: list[str], threshold: int, min_length:
     Lines are squeezed and told apart without case; short ones and ones of
     brackets and signs only do not count. Ties are ranked by the line.
     """
-    exploded = texts.select(*key, F.posexplode(T.lines(content)).alias("pos", "raw")).withColumn("line", T.squeeze("raw"))
+    # lines are squeezed inside the array, so once each; what is too short before cannot be long enough after
+    long_enough = F.filter(T.lines(content), lambda x: F.length(x) >= min_length)
+    exploded = texts.select(*key, F.posexplode(F.transform(long_enough, T.squeeze)).alias("pos", "line"))
     kept = exploded.filter((F.length("line") >= min_length) & ~F.col("line").rlike(r"^[{}\[\]();,]+$"))
     counted = kept.groupBy(*key, F.lower("line").alias("folded")).agg(F.count("*").alias("repeats"), F.min_by("line", "pos").alias("line")).filter(F.col("repeats") >= threshold)
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("repeats"), "folded"))
@@ -74,8 +81,8 @@ def thresholds(path: Column | str, config: Config) -> Column:
     """STRUCT<category, warning, freeze, failure> by extension or folder; the first that fits."""
     level = lambda category, kind: F.struct(F.lit(category).alias("category"), *(F.lit(getattr(config, f"{kind}{x}_lines")).alias(y) for x, y in (("warning", "warning"), ("feature_freeze", "freeze"), ("failure", "failure"))))
     ext = T.extension(path)
-    migration = ext.isin(MIGRATION) | T.col(path).rlike(T.wildcard("*/migrations/*"))
-    return F.when(migration, level("migration_or_schema", "migration_")).when(ext.isin(MARKUP), level("markup_or_component", "markup_")).otherwise(level("code", ""))
+    migration = ext.isin(*MIGRATION) | T.col(path).rlike(T.wildcard("*/migrations/*"))
+    return F.when(migration, level("migration_or_schema", "migration_")).when(ext.isin(*MARKUP), level("markup_or_component", "markup_")).otherwise(level("default_code", ""))
 
 
 def tier(n: Column | str, limits: Column) -> Column:
@@ -84,18 +91,18 @@ def tier(n: Column | str, limits: Column) -> Column:
 
 
 def is_excluded(path: Column | str, config: Config) -> Column:
-    """Excluded by path, path segment, wildcard or lock-file name."""
-    path = T.col(path)
-    low, found = F.lower(path), F.lower(T.name(path)).isin([x.lower() for x in LOCKS])
+    """Excluded by path, path segment, wildcard or lock-file name; slashes at the start do not count."""
+    path = F.ltrim(T.slashes(path), F.lit("/"))
+    low, found = F.lower(path), F.lower(T.name(path)).isin([x.lower() for x in LOCKS]) | (F.lower(path) == AUDITOR)
     for x in (x.replace("\\", "/").strip("/") for x in config.excluded_paths if x.strip()):
         found |= (low == x.lower()) | path.startswith(f"{x}/") | F.array_contains(F.split(low, "/"), x.lower())
-    for p in (p.replace("\\", "/") for p in config.excluded_patterns if p.strip()):
+    for p in (p.replace("\\", "/").lstrip("/") for p in config.excluded_patterns if p.strip(" /\\")):
         found |= path.rlike(T.wildcard(p))
     return found
 
 
 def code_files(files: DataFrame, config: Config) -> DataFrame:
-    return files.filter(T.extension("path").isin(CODE) & ~is_excluded("path", config))
+    return files.filter(T.extension("path").isin(*CODE) & ~is_excluded("path", config))
 
 
 def sized(files: DataFrame, config: Config) -> DataFrame:
@@ -104,6 +111,11 @@ def sized(files: DataFrame, config: Config) -> DataFrame:
     return n.withColumn("tier", tier("n_lines", F.col("limits")))
 
 
+def looked_into(sized: DataFrame) -> DataFrame:
+    """Files below the freeze and failure tiers: larger ones are reported and not looked into."""
+    return sized.filter(F.col("tier").isin("ok", "warning"))
+
+
 def functions_of(content: str | None) -> list[tuple[str, int, int]]:
     """(name, start line, lines) of the functions of one file, by braces or indentation.
 
@@ -141,6 +153,16 @@ def long_functions(files: DataFrame, threshold: int) -> DataFrame:
     return files.select(*KEY, "content").mapInPandas(run, "repo string, path string, name string, start_line int, lines int")
 
 
+def generated_todo(files: DataFrame) -> DataFrame:
+    return files.filter(F.col("content").rlike(r"(?i)Generated at:\s*`?TODO`?"))
+
+
+def plan_usage(files: DataFrame, active: str, completed: str) -> DataFrame:
+    """(repo, active, completed): plans of either kind in every tree."""
+    of = lambda p: F.count_if(is_in_folder(p)).alias
+    return files.groupBy("repo").agg(of(active)("active"), of(completed)("completed"))
+
+
 def stale(changes: DataFrame, as_of: Column, days: int, at: str = "value") -> DataFrame:
     """Rows that changed strictly before ``days`` days ago, with their age."""
     cutoff = as_of - F.make_dt_interval(F.lit(days))
@@ -166,6 +188,11 @@ def command_rows(files: DataFrame, heading: str = "Commands") -> DataFrame:
     return kept.select(*KEY, (F.row_number().over(by_line) - 1).alias("row_index"), "line_index", "line", T.cells("line").alias("cells"))
 
 
+def todo_rows(rows: DataFrame) -> DataFrame:
+    """(repo, n): table rows of each tree whose command is still a TODO, all of them, not the first six only."""
+    return rows.filter(F.get("cells", F.lit(1)).rlike("(?i)^`TODO`$")).groupBy("repo").agg(F.count("*").alias("n"))
+
+
 def bad_command_rows(files: DataFrame, rows: DataFrame, required: int = 6) -> DataFrame:
     """(repo, path, row_index, reason, value): too few rows (nothing else is reported then), arity below 3, command without backticks."""
     counts = files.select(*KEY).join(rows.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left").fillna(0, ["n"])
@@ -180,6 +207,7 @@ def first_by_priority(rows: DataFrame, key: list[str], order: list[Column | str]
     return rows.withColumn("rank__", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("rank__ = 1").drop("rank__")
 
 
+# Fixed values, here and in the notes of ``detected_commands``: command ids, commands and what is said of them.
 COMMANDS = ("install", "dev", "test", "lint", "typecheck", "build")
 # Script names by command, in order of preference.
 SCRIPTS = (("dev", "dev"), ("dev", "start"), ("test", "test"), ("lint", "lint"), ("typecheck", "typecheck"), ("typecheck", "type-check"), ("typecheck", "tsc"), ("build", "build"))
@@ -232,3 +260,12 @@ def proposed_rows(files: DataFrame, path: str) -> DataFrame:
     enough = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n >= 6").select(*KEY)
     met = rows.join(enough, KEY).join(merged_commands(files).withColumnRenamed("place", "row_index"), ["repo", "row_index"])
     return met.select(*KEY, "line_index", "line", F.format_string("| %s | `%s` | %s |", F.get("cells", F.lit(0)), "command", "note").alias("proposed"))
+
+
+def applied_commands(files: DataFrame, path: str) -> DataFrame:
+    """(repo, path, content): the files at ``path`` with the proposed rows written into their tables; the rest of their lines as before."""
+    rows = files.filter(F.col("path") == path).select(*KEY, F.posexplode(T.lines("content")).alias("line_index", "line"))
+    met = rows.join(proposed_rows(files, path).select(*KEY, "line_index", "proposed"), [*KEY, "line_index"], "left")
+    line = F.struct("line_index", F.coalesce("proposed", "line").alias("line"))
+    whole = met.groupBy(*KEY).agg(F.sort_array(F.collect_list(line)).alias("all"), F.count("proposed").alias("n")).filter("n > 0")
+    return whole.select(*KEY, F.concat(F.array_join("all.line", "\n"), F.lit("\n")).alias("content"))

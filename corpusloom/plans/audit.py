@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
@@ -13,72 +14,119 @@ from corpusloom.functions import text as T
 from corpusloom.operators import audit as O
 from corpusloom.sources.trees import Config, change_times, folder
 
-FINDINGS = "repo string, check string, kind string, metadata map<string,string>"
+EVENTS = "repo string, check string, status string, metadata map<string,string>"
 #: kind of a finding -> its status in template mode, in project mode
 SEVERITY = {"failure": ("failed", "failed"), "drift": ("warning", "failed"), "notice": ("warning", "warning")}
+# Check ids and the paths and headings that they look at.
+REFERENCES = (
+    ("required-reading", "AGENTS.md", "Required Reading", ""),
+    ("docs-core-document", "docs/README.md", "Core Documents", "docs"),
+    ("harness-checklist", ".harness/README.md", "Checklists", ".harness/checklists"),
+    ("harness-prompt", ".harness/README.md", "Prompts", ".harness/prompts"),
+)
+REGISTERS = (("maintenance-unregistered-checklist", "Checklists", ".harness/checklists"), ("maintenance-unregistered-prompt", "Prompts", ".harness/prompts"))
+COMMANDS, ACTIVE, COMPLETED, GENERATED = "docs/TESTING.md", "docs/exec-plans/active", "docs/exec-plans/completed", "docs/generated"
 
 
-def _findings(rows: DataFrame, check: str, kind: str | Column, **metadata: Column | str) -> DataFrame:
-    pairs = [x for k, v in metadata.items() for x in (F.lit(k), T.col(v).cast("string"))]
-    return rows.select("repo", F.lit(check).alias("check"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.create_map(*pairs).alias("metadata"))
+@dataclass(frozen=True)
+class Run:
+    """What an audit is asked for; ``strict`` implies ``project``."""
 
+    config: Config
+    as_of: datetime | None = None
+    maintenance: bool = False
+    code_health: bool = False
+    project: bool = False
+    strict: bool = False
+    commits: DataFrame | None = None
 
-def reference_checks(files: DataFrame, config: Config, **_) -> list[DataFrame]:
-    found = []
-    for check, source, heading, below in (
-        ("required-reading", "AGENTS.md", "Required Reading", ""),
-        ("docs-core-document", "docs/README.md", "Core Documents", "docs"),
-        ("harness-checklist", ".harness/README.md", "Checklists", ".harness/checklists"),
-        ("harness-prompt", ".harness/README.md", "Prompts", ".harness/prompts"),
-    ):
-        found.append(_findings(O.missing_references(O.references(files, source, heading, below), files), check, "failure", path="path"))
-    return found
+    @property
+    def in_project(self) -> bool:
+        return self.project or self.strict
+
+    @property
+    def mode(self) -> dict[str, str]:
+        return {"mode": "Project" if self.in_project else "Template", "strict": str(self.strict)}
+
+
+def _map(metadata: dict) -> Column:
+    """Text by key; absent values leave no key."""
+    pairs = [x for k, v in metadata.items() for x in (F.lit(k), (v if isinstance(v, Column) else F.lit(v)).cast("string"))]
+    return F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
+
+
+def _findings(rows: DataFrame, check: str, kind: str | Column, **metadata) -> DataFrame:
+    return rows.select("repo", F.lit(check).alias("check"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), _map(metadata).alias("metadata"))
 
 
-def command_checks(files: DataFrame, config: Config, code_health_only: bool = False, **_) -> list[DataFrame]:
-    table = files.filter(F.col("path") == "docs/TESTING.md")
+def reference_checks(files: DataFrame, run: Run) -> list[DataFrame]:
+    return [_findings(O.missing_references(O.references(files, source, heading, below), files), check, "failure", path=F.col("path"), reason="missing") for check, source, heading, below in REFERENCES]
+
+
+def command_checks(files: DataFrame, run: Run) -> list[DataFrame]:
+    table = files.filter(F.col("path") == COMMANDS)
     rows = O.command_rows(table)
-    todo = rows.filter(F.get("cells", F.lit(1)).rlike("(?i)^`TODO`$")).groupBy("repo").agg(F.count("*").alias("n"))
+    few, bad = F.col("row_index").isNull(), O.bad_command_rows(table, rows)
+    row = {"path": COMMANDS, "rowIndex": F.col("row_index"), "reason": F.col("reason"), "value": F.when(F.col("reason") == "command_cell_must_be_backticked", F.col("value"))}
     return [
-        _findings(O.bad_command_rows(table, rows), "testing-command-row", "failure", path="path", row="row_index", reason="reason", value="value"),
-        _findings(todo, "testing-todo", "notice" if code_health_only else "drift", count="n"),
+        _findings(bad, "testing-command-row", "failure", **row, count=F.when(few, F.col("value")), expected=F.when(few, 6)),
+        _findings(O.todo_rows(rows), "testing-todo", "notice" if run.code_health and not run.maintenance else "drift", count=F.col("n"), path=COMMANDS, **run.mode),
     ]
 
 
-def maintenance_checks(files: DataFrame, config: Config, as_of: Column, commits: DataFrame | None = None, **_) -> list[DataFrame]:
-    found = []
-    for check, heading, below in (("checklist", "Checklists", ".harness/checklists"), ("prompt", "Prompts", ".harness/prompts")):
+def maintenance_checks(files: DataFrame, run: Run) -> list[DataFrame]:
+    config, found, strict = run.config, [], {"strict": str(run.strict)}
+    for check, heading, below in REGISTERS:
         own = O.unregistered(files, folder(files, below), O.registered_names(files, ".harness/README.md", heading))
-        found.append(_findings(own, f"maintenance-unregistered-{check}", "drift", path="path"))
-    plans = folder(files, "docs/exec-plans/active")
+        found.append(_findings(own, check, "drift", path=F.col("path"), reason="not_registered", **strict))
+    plans = folder(files, ACTIVE)
     none = files.select("repo", "path", F.lit(None).cast("timestamp").alias("committed")).limit(0)
-    old = O.stale(change_times(plans, none if commits is None else commits), as_of, config.stale_active_plan_days)
-    found.append(_findings(old, "maintenance-stale-active-plan", "drift", path="path", ageDays="age_days", source="source"))
-    generated = folder(files, "docs/generated").filter(F.col("content").rlike(r"(?i)Generated at:\s*`?TODO`?"))
-    found.append(_findings(generated, "maintenance-generated-todo", "drift", path="path"))
+    old = O.stale(change_times(plans, none if run.commits is None else run.commits), F.lit(run.as_of).cast("timestamp"), config.stale_active_plan_days)
+    found.append(_findings(old, "maintenance-stale-active-plan", "drift", path=F.col("path"), days=F.col("age_days"), source=F.col("source"), thresholdDays=config.stale_active_plan_days, **strict))
+    found.append(_findings(O.generated_todo(folder(files, GENERATED)), "maintenance-generated-todo", "drift", path=F.col("path"), reason="generated_at_todo", **strict))
     dense = O.placeholder_density(folder(files, "", recursive=True), list(config.placeholder_patterns), config.placeholder_todo_threshold)
-    found.append(_findings(dense, "maintenance-placeholder-density", "drift", path="path", count="placeholders"))
+    found.append(_findings(dense, "maintenance-placeholder-density", "drift", path=F.col("path"), count=F.col("placeholders"), patterns=",".join(config.placeholder_patterns), threshold=config.placeholder_todo_threshold, **strict))
     if config.require_exec_plan_usage:
-        used = folder(files, "docs/exec-plans/active").unionByName(folder(files, "docs/exec-plans/completed")).select("repo").distinct()
-        found.append(_findings(files.select("repo").distinct().join(used, "repo", "left_anti"), "maintenance-exec-plan-usage", "drift", activeAndCompleted=F.lit(0)))
+        unused = O.plan_usage(files, ACTIVE, COMPLETED).filter("active + completed = 0")
+        found.append(_findings(unused, "maintenance-exec-plan-usage", "drift", active=F.col("active"), completed=F.col("completed"), reason="no_exec_plans_found", **strict))
     return found
 
 
-def code_checks(files: DataFrame, config: Config, **_) -> list[DataFrame]:
-    code = O.code_files(files, config)
+def code_checks(files: DataFrame, run: Run) -> list[DataFrame]:
+    config, code = run.config, O.code_files(files, run.config)
     sized = O.sized(code, config)
+    t = F.col("tier")
     large = sized.filter("tier <> 'ok'")
-    kind = F.when(F.col("tier") == "failure", "drift").otherwise("notice")
-    looked_into = sized.filter(F.col("tier").isin("ok", "warning"))  # larger files are not looked into
+    size = {"category": F.col("limits.category"), "lines": F.col("n_lines"), "threshold": F.when(t == "failure", F.col("limits.failure")).when(t == "feature_freeze", F.col("limits.freeze")).otherwise(F.col("limits.warning"))}
+    reason = F.when(t == "failure", "file_size_failure_candidate").when(t == "feature_freeze", "feature_freeze_candidate").otherwise("large_file_candidate")
+    looked_into = O.looked_into(sized)
     return [
-        _findings(code.filter("content is null"), "code-health-read-file", "drift", path="path"),
-        _findings(large, "code-health-large-file", kind, path="path", lines="n_lines", tier="tier", category="limits.category"),
-        _findings(O.long_functions(looked_into, config.long_function_lines), "code-health-long-function", "notice", path="path", name="name", startLine="start_line", lines="lines"),
-        _findings(O.repeated_lines(looked_into, O.KEY, config.repeated_line_threshold), "code-health-repeated-line", "notice", path="path", count="repeats", line=F.substring("line", 1, 80)),
+        _findings(code.filter("content is null"), "code-health-read-file", "drift", path=F.col("path"), reason="read_failed", **run.mode),
+        _findings(large, "code-health-large-file", F.when(t == "failure", "drift").otherwise("notice"), path=F.col("path"), **size, reason=reason, **run.mode),
+        _findings(O.long_functions(looked_into, config.long_function_lines), "code-health-long-function", "notice", path=F.col("path"), name=F.col("name"), startLine=F.col("start_line"), lines=F.col("lines"), threshold=config.long_function_lines, **run.mode),
+        _findings(O.repeated_lines(looked_into, O.KEY, config.repeated_line_threshold), "code-health-repeated-line", "notice", path=F.col("path"), count=F.col("repeats"), threshold=config.repeated_line_threshold, sample=F.substring("line", 1, 80), **run.mode),
     ]
 
 
-CHECKS: dict[str, list[Callable[..., list[DataFrame]]]] = {"always": [reference_checks, command_checks], "maintenance": [maintenance_checks], "code_health": [code_checks]}
+CHECKS: dict[str, list[Callable[[DataFrame, Run], list[DataFrame]]]] = {"always": [reference_checks, command_checks], "maintenance": [maintenance_checks], "code_health": [code_checks]}
+
+
+def _is_counted(prefix: str) -> Column:
+    """Findings of a group; the event that there are enough of them is none."""
+    return F.col("check").startswith(prefix) & (F.col("check") != "maintenance-finding-threshold")
+
+
+def with_threshold(found: DataFrame, run: Run) -> DataFrame:
+    """``found`` (repo, check, kind, metadata) and, for trees with enough maintenance findings, one event more that says so."""
+    least = run.config.maintenance_finding_threshold
+    count = found.filter(_is_counted("maintenance-")).groupBy("repo").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return found.unionByName(_findings(count, "maintenance-finding-threshold", "drift", count=F.col("n"), threshold=least, **run.mode))
+
+
+def with_status(found: DataFrame, run: Run) -> DataFrame:
+    """(repo, check, status, metadata): the severity of each kind in the mode of the run."""
+    status = reduce(lambda w, k: w.when(F.col("kind") == k, SEVERITY[k][run.in_project]), SEVERITY, F)
+    return found.select("repo", "check", status.alias("status"), "metadata")
 
 
 def audit(files: DataFrame, config: Config | None = None, as_of: datetime | None = None, maintenance: bool = False, code_health: bool = False, project: bool = False, strict: bool = False, commits: DataFrame | None = None) -> DataFrame:
@@ -89,23 +137,74 @@ def audit(files: DataFrame, config: Config | None = None, as_of: datetime | None
     """
     if maintenance and as_of is None:
         raise ValueError("maintenance needs as_of")
-    config, project = config or Config(), project or strict
+    run = Run(config or Config(), as_of, maintenance, code_health, project, strict, commits)
     groups = ["always"] + ["maintenance"] * maintenance + ["code_health"] * code_health
-    about = {"as_of": F.lit(as_of).cast("timestamp") if as_of else None, "commits": commits, "code_health_only": code_health and not maintenance and not strict}
-    found = reduce(DataFrame.unionByName, [df for g in groups for check in CHECKS[g] for df in check(files, config, **about)])
-    if maintenance:
-        count = found.filter(F.col("check").startswith("maintenance-")).groupBy("repo").agg(F.count("*").alias("n")).filter(F.col("n") >= config.maintenance_finding_threshold)
-        found = found.unionByName(_findings(count, "maintenance-finding-threshold", "drift", findings="n"))
-    status = reduce(lambda w, k: w.when(F.col("kind") == k, SEVERITY[k][project]), SEVERITY, F)
-    return found.select("repo", "check", status.alias("status"), "metadata")
+    found = reduce(DataFrame.unionByName, [df for g in groups for check in CHECKS[g] for df in check(files, run)])
+    return with_status(with_threshold(found, run) if maintenance else found, run)
 
 
 def summary(files: DataFrame, findings: DataFrame) -> DataFrame:
     """One row per tree: errors, warnings, maintenance and code_health findings, ok."""
-    like = lambda p: F.count_if(F.col("check").startswith(p) & (F.col("check") != "maintenance-finding-threshold"))
+    like = lambda p: F.count_if(_is_counted(p))
     counts = findings.groupBy("repo").agg(F.count_if(F.col("status") == "failed").alias("errors"), F.count_if(F.col("status") == "warning").alias("warnings"), like("maintenance-").alias("maintenance_findings"), like("code-health-").alias("code_health_findings"))
     return files.select("repo").distinct().join(counts, "repo", "left").fillna(0).withColumn("ok", F.col("errors") == 0)
 
 
-def log_lines(findings: DataFrame, component: str = "Audit") -> DataFrame:
-    return findings.select("repo", T.event_line(component, "check", "status", "metadata").alias("line"))
+def _per_tree(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(repo, n): rows of every tree, 0 where there are none."""
+    return files.select("repo").distinct().join(rows.groupBy("repo").agg(F.count("*").alias("n")), "repo", "left").fillna(0)
+
+
+def events(files: DataFrame, findings: DataFrame, config: Config | None = None, maintenance: bool = False, code_health: bool = False, project: bool = False, strict: bool = False) -> DataFrame:
+    """(repo, check, status, metadata) of all that is no finding: start, present references, totals, success and outcome of every tree.
+
+    A check without a finding in a tree says success with what it looked at, so
+    that "clean" differs from "not run".
+    """
+    run = Run(config or Config(), None, maintenance, code_health, project, strict)
+    config, trees, out = run.config, files.select("repo").distinct(), []
+
+    def say(rows: DataFrame, check: str, status: str | Column = "success", **metadata) -> None:
+        out.append(rows.select("repo", F.lit(check).alias("check"), (F.lit(status) if isinstance(status, str) else status).alias("status"), _map(metadata).alias("metadata")))
+
+    def clean(rows: DataFrame, check: str, prefix: str | None = None) -> DataFrame:
+        seen = findings.filter(F.col("check").startswith(prefix) if prefix else F.col("check") == check).select("repo").distinct()
+        return _per_tree(files, rows).join(seen, "repo", "left_anti")
+
+    say(trees, "validation", "start", codeHealth=str(code_health), effectiveMode=run.mode["mode"], maintenance=str(maintenance), mode="Project" if project else "Template", strict=str(strict))
+    for check, source, heading, below in REFERENCES:
+        refs = O.references(files, source, heading, below)
+        say(O.present_references(refs, files), check, path=F.col("path"))
+        say(_per_tree(files, refs), f"{check}-summary", count=F.col("n"))
+    say(clean(files.limit(0), "testing-todo"), "testing-todo", count=0, **run.mode)
+    outcome = summary(files, findings)
+    if maintenance:
+        say(trees, "maintenance", "start", **run.mode)
+        for check, _, below in REGISTERS:
+            say(clean(folder(files, below), check), check, count=F.col("n"))
+        say(clean(folder(files, ACTIVE), "maintenance-stale-active-plan"), "maintenance-stale-active-plan", count=F.col("n"), thresholdDays=config.stale_active_plan_days)
+        say(clean(folder(files, GENERATED), "maintenance-generated-todo"), "maintenance-generated-todo", count=F.col("n"))
+        say(clean(folder(files, "", recursive=True), "maintenance-placeholder-density"), "maintenance-placeholder-density", scanned=F.col("n"), threshold=config.placeholder_todo_threshold)
+        if config.require_exec_plan_usage:
+            say(O.plan_usage(files, ACTIVE, COMPLETED).filter("active + completed > 0"), "maintenance-exec-plan-usage", active=F.col("active"), completed=F.col("completed"))
+        else:
+            say(trees, "maintenance-exec-plan-usage", enabled="False")
+        say(outcome, "maintenance", "complete", findings=F.col("maintenance_findings"))
+    if code_health:
+        limits = {"warningThreshold": config.warning_lines, "featureFreezeThreshold": config.feature_freeze_lines, "failureThreshold": config.failure_lines}
+        code = O.code_files(files, config)
+        say(trees, "code-health", "start", **run.mode, **limits)
+        say(clean(code, "code-health-large-file", "code-health-"), "code-health-large-file", scanned=F.col("n"), **limits)
+        say(outcome.join(_per_tree(files, code), "repo"), "code-health", "complete", scanned=F.col("n"), findings=F.col("code_health_findings"))
+    say(outcome, "validation", F.when(F.col("ok"), "success").otherwise("failed"), effectiveMode=run.mode["mode"], errors=F.col("errors"), warnings=F.col("warnings"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def log_lines(found: DataFrame, component: str = "Audit") -> DataFrame:
+    return found.select("repo", T.event_line(component, "check", "status", "metadata").alias("line"))
+
+
+def command_events(files: DataFrame) -> DataFrame:
+    """(repo, check, status, metadata): what was detected for each command of every tree."""
+    status = F.when(F.col("command") == "TODO", "not_detected").otherwise("detected")
+    return O.merged_commands(files).select("repo", F.lit("testing-bootstrap").alias("check"), status.alias("status"), _map({"id": F.col("id"), "command": F.col("command"), "note": F.col("note")}).alias("metadata"))

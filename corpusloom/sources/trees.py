@@ -10,56 +10,89 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 from dataclasses import dataclass, field, fields
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FILES = "repo string, path string, size long, mtime timestamp, content string"
-PRUNED = (".git", "node_modules")
+PRUNED = (".git",)
 
 
 def manifest(spark: SparkSession, root: str, repo: str = "", hidden: bool = True, pruned: tuple[str, ...] = PRUNED) -> DataFrame:
-    """Files below ``root``; a file that cannot be read has null content. ``hidden``: also names that start with a dot."""
+    """Files below ``root``, a folder that the executors see too; a file that cannot be read has null content.
+
+    The driver lists paths and sizes, contents are read in tasks. ``hidden``:
+    also names that start with a dot.
+    """
     rows = []
     for folder, inner, names in os.walk(root):
         inner[:] = sorted(d for d in inner if d not in pruned and (hidden or d[0] != "."))
         for n in sorted(names):
             if hidden or n[0] != ".":
                 full = os.path.join(folder, n)
-                try:
-                    with open(full, encoding="utf-8", errors="replace") as f:
-                        content = f.read()
-                except OSError:
-                    content = None
                 about = os.lstat(full)
-                rows.append((repo, os.path.relpath(full, root).replace(os.sep, "/"), about.st_size, datetime.fromtimestamp(about.st_mtime, UTC), content))
-    return spark.createDataFrame(rows, FILES)
+                rows.append((repo, os.path.relpath(full, root).replace(os.sep, "/"), about.st_size, datetime.fromtimestamp(about.st_mtime, UTC), full))
 
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for at in range(0, len(f), 100):
+                g = f.iloc[at : at + 100]
+                yield g.assign(content=[_content(p) for p in g["content"]])
 
-def folder(files: DataFrame, below: str, suffix: str = ".md", recursive: bool = False) -> DataFrame:
-    """Files in a folder (or anywhere below it) whose name ends with ``suffix``."""
+    return spark.createDataFrame(rows, FILES).mapInPandas(read, FILES)
+
+
+def _content(full: str) -> str | None:
+    try:
+        with open(full, encoding="utf-8", errors="replace") as f:
+            return f.read()
+    except OSError:
+        return None
+
+
+def write_back(changed: DataFrame, root: str) -> int:
+    """Write the contents of (path, content) below ``root``; for the few files that a bootstrap changes. Their number."""
+    n = 0
+    for r in changed.select("path", "content").toLocalIterator():
+        with open(os.path.join(root, r["path"]), "w", encoding="utf-8", newline="") as f:
+            f.write(r["content"])
+        n += 1
+    return n
+
+
+def is_in_folder(below: str, suffix: str = ".md", recursive: bool = False) -> Column:
+    """Does ``path`` lie in a folder (or anywhere below it) and end with ``suffix``?"""
     inside = F.col("path").startswith(f"{below}/") if below else F.lit(True)
     flat = F.lit(True) if recursive else ~F.substring("path", len(below) + 2 if below else 1, 1 << 20).contains("/")
-    return files.filter(inside & flat & F.lower("path").endswith(suffix))
+    return inside & flat & F.lower("path").endswith(suffix)
+
+
+def folder(files: DataFrame, below: str, suffix: str = ".md", recursive: bool = False) -> DataFrame:
+    return files.filter(is_in_folder(below, suffix, recursive))
 
 
 def commit_times(spark: SparkSession, root: str, repo: str = "") -> DataFrame:
-    """(repo, path, committed): last commit of every path, from one pass over the log; empty where there is no repository."""
-    done = subprocess.run(["git", "-C", root, "log", "--format=%x00%ct", "--name-only", "--no-renames"], capture_output=True, text=True, check=False)
+    """(repo, path, committed): last commit of every path below ``root``, from one pass over the log; empty where there is no repository.
+
+    Paths are relative to ``root``, as in ``manifest``, and not quoted.
+    """
+    done = subprocess.run(["git", "-C", root, "log", "-z", "--format=%x01%ct", "--name-only", "--no-renames", "--relative"], capture_output=True, check=False)
     seen: dict[str, int] = {}
-    for block in done.stdout.split("\0")[1:] if done.returncode == 0 else []:
-        at, *paths = [x for x in block.split("\n") if x]
+    for block in done.stdout.split(b"\x01")[1:] if done.returncode == 0 else []:
+        at, *paths = [x for x in block.replace(b"\n", b"\0", 1).split(b"\0") if x]
         for p in paths:
-            seen.setdefault(p, int(at))
+            seen.setdefault(p.decode(errors="replace").removeprefix("\n"), int(at))
     return spark.createDataFrame([(repo, p, datetime.fromtimestamp(t, UTC)) for p, t in seen.items()], "repo string, path string, committed timestamp")
 
 
 def change_times(files: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo, path, value, source): commit time, or else the file's own."""
     met = files.select("repo", "path", "mtime").join(commits, ["repo", "path"], "left")
-    source = F.when(F.col("committed").isNull(), "last_write_time").otherwise("git_log")
+    source = F.when(F.col("committed").isNull(), "fallback_last_write_time").otherwise("git_log")
     return met.select("repo", "path", F.coalesce("committed", "mtime").alias("value"), source.alias("source"))
 
 

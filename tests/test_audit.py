@@ -63,17 +63,19 @@ def test_functions_of(content, want):
 def test_valid_tree_and_missing_reference(spark):
     assert checks(A.audit(tree(spark))) == {("testing-todo", "warning")}
     assert ("testing-todo", "failed") in checks(A.audit(tree(spark), strict=True))
+    assert checks(A.audit(tree(spark), strict=True, code_health=True)) == {("testing-todo", "warning")}
+    assert ("testing-todo", "failed") in checks(A.audit(tree(spark), None, NOW, strict=True, code_health=True, maintenance=True))
     files = tree(spark, {"docs/WORKFLOW.md": None})
     found = A.audit(files)
     assert checks(found) == {("testing-todo", "warning"), ("required-reading", "failed"), ("docs-core-document", "failed")}
     got = A.summary(files, found).first()
     assert (got["errors"], got["warnings"], got["ok"]) == (2, 1, False)
-    assert any(r["line"].startswith("[Audit] required-reading failed { path=docs/WORKFLOW.md }") for r in A.log_lines(found).collect())
+    assert any(r["line"].startswith("[Audit] required-reading failed { path=docs/WORKFLOW.md; reason=missing }") for r in A.log_lines(found).collect())
 
 
 def test_command_table(spark):
     bad = TABLE.replace("| install | `TODO` |", "| install | TODO |").replace("| dev | `TODO` | n |", "| dev |")
-    rows = [(r["metadata"]["row"], r["metadata"]["reason"]) for r in A.audit(tree(spark, {"docs/TESTING.md": bad})).filter("check = 'testing-command-row'").collect()]
+    rows = [(r["metadata"]["rowIndex"], r["metadata"]["reason"]) for r in A.audit(tree(spark, {"docs/TESTING.md": bad})).filter("check = 'testing-command-row'").collect()]
     assert sorted(rows) == [("0", "command_cell_must_be_backticked"), ("1", "malformed_command_row")]
     few = A.audit(tree(spark, {"docs/TESTING.md": "## Commands\n|a|\n"})).filter("check = 'testing-command-row'").collect()
     assert [r["metadata"]["reason"] for r in few] == ["missing_command_rows"]
@@ -88,7 +90,7 @@ def test_maintenance(spark):
     names = {c for c, _ in checks(found)}
     assert {"maintenance-unregistered-checklist", "maintenance-stale-active-plan", "maintenance-generated-todo", "maintenance-placeholder-density", "maintenance-finding-threshold"} <= names
     ages = found.filter("check = 'maintenance-stale-active-plan'").first()["metadata"]
-    assert ages["source"] == "last_write_time" and ages["ageDays"] == "152"
+    assert ages["source"] == "fallback_last_write_time" and ages["days"] == "152" and ages["thresholdDays"] == "14"
     assert "maintenance-exec-plan-usage" in {c for c, _ in checks(A.audit(tree(spark, {"docs/exec-plans/active/p.md": None}), None, NOW, maintenance=True))}
     with pytest.raises(ValueError):
         A.audit(files, maintenance=True)
@@ -130,11 +132,41 @@ def test_manifest_and_commits(spark, tmp_path):
     (tmp_path / ".hidden").write_text("")
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules/z.js").write_text("")
-    assert {r["path"] for r in S.manifest(spark, str(tmp_path)).collect()} == {"docs/a.md", ".hidden"}
-    assert {r["path"] for r in S.manifest(spark, str(tmp_path), hidden=False).collect()} == {"docs/a.md"}
+    (tmp_path / "docs/é x.md").write_text("y")
+    assert {r["path"]: r["content"] for r in S.manifest(spark, str(tmp_path)).collect()} == {"docs/a.md": "x", "docs/é x.md": "y", ".hidden": "", "node_modules/z.js": ""}
+    assert {r["path"] for r in S.manifest(spark, str(tmp_path), hidden=False, pruned=("node_modules",)).collect()} == {"docs/a.md", "docs/é x.md"}
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True, env={"GIT_COMMITTER_DATE": "2020-01-01T00:00:00Z", "PATH": "/usr/bin:/bin"})
     git("init")
     git("add", "docs")
     git("commit", "-m", "x")
     got = S.change_times(S.manifest(spark, str(tmp_path)), S.commit_times(spark, str(tmp_path))).collect()
-    assert {r["path"]: r["source"] for r in got if not r["path"].startswith(".git/")} == {"docs/a.md": "git_log", ".hidden": "last_write_time"}
+    assert {r["path"]: r["source"] for r in got if not r["path"].startswith(".git/")} == {"docs/a.md": "git_log", "docs/é x.md": "git_log", ".hidden": "fallback_last_write_time", "node_modules/z.js": "fallback_last_write_time"}
+    assert {r["path"] for r in S.commit_times(spark, str(tmp_path / "docs")).collect()} == {"a.md", "é x.md"}
+    assert S.commit_times(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_events(spark):
+    """Clean checks say so, with what they looked at."""
+    files = tree(spark)
+    found = A.audit(files, None, NOW, maintenance=True, code_health=True)
+    got = {(r["check"], r["status"]): r["metadata"] for r in A.events(files, found, maintenance=True, code_health=True).collect()}
+    assert got["required-reading-summary", "success"] == {"count": "1"} and got["docs-core-document-summary", "success"] == {"count": "2"} and got["harness-prompt-summary", "success"] == {"count": "0"}
+    assert got["required-reading", "success"] == {"path": "docs/WORKFLOW.md"} and got["maintenance-stale-active-plan", "success"] == {"count": "1", "thresholdDays": "14"}
+    assert got["maintenance-exec-plan-usage", "success"] == {"active": "1", "completed": "0"} and got["maintenance", "complete"] == {"findings": "1"}
+    assert got["code-health", "complete"] == {"scanned": "0", "findings": "0"} and ("testing-todo", "success") not in got
+    assert got["validation", "success"] == {"effectiveMode": "Template", "errors": "0", "warnings": "2"} and ("validation", "start") in got
+
+
+def test_applied_commands(spark, tmp_path):
+    files = tree(spark, {"go.mod": "module m"})
+    (tmp_path / "docs").mkdir()
+    assert S.write_back(O.applied_commands(files, "docs/TESTING.md"), str(tmp_path)) == 1
+    want = TABLE.replace("| test | `TODO` | n |", "| test | `go test ./...` | go.mod detected |").replace("| build | `TODO` | n |", "| build | `go build ./...` | go.mod detected |")
+    assert (tmp_path / "docs/TESTING.md").read_text() == want.replace("`TODO` | n |", "`TODO` | no command detected |")
+    assert {(r["metadata"]["id"], r["status"]) for r in A.command_events(files).collect()} >= {("test", "detected"), ("lint", "not_detected")}
+
+
+def test_excluded_leading_slash(spark):
+    paths = spark.createDataFrame([("/src/a.py",), ("x\\gen\\a.py",), ("scripts/validate-harness.ps1",), ("src/b.py",)], "path string")
+    config = S.Config(excluded_paths=("/gen/",), excluded_patterns=("/src/a*", "/"))
+    assert [r[0] for r in paths.select(O.is_excluded("path", config)).collect()] == [True, True, True, False]
