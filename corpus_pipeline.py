@@ -26,8 +26,8 @@ def line_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each SimHash component: the one with the smallest doc_id. Rows that repeat that id all stay."""
-    found = simhash_components(docs)
+    """One document of each SimHash component over shingles of five words: the one with the smallest doc_id. Rows that repeat that id all stay."""
+    found = simhash_components(docs, width=5)
     keep = stage(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "near-dedup-keep")
     return docs.select(*COLUMNS).join(keep.withColumnRenamed("doc_id", "kept"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
 
