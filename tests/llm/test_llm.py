@@ -289,6 +289,26 @@ def test_toxicity(spark, docs, empty):
     assert np.array_equal(swapped.weights, toxicity.train(texts, labels).weights)  # held-out labels are not read
 
 
+def test_risk_is_non_negative_and_its_gradient_right():
+    """One step of the fit moves against the gradient of the corrected risk, or of its negative part where that is below zero."""
+    draw = np.random.default_rng(5)
+    x, positive, prior = draw.integers(0, 2, (40, 6)).astype(float), (np.arange(40) < 12).astype(float), 0.3
+    rows, cols = np.nonzero(x)
+
+    def parts(theta):
+        z = x @ theta[:-1] + theta[-1]
+        up, down = np.logaddexp(0, -z), np.logaddexp(0, z)
+        return prior * up[positive == 1].mean(), down[positive == 0].mean() - prior * down[positive == 1].mean()
+
+    start = np.zeros(7)
+    start[-1] = np.log(prior / (1 - prior))
+    one = np.append(*toxicity._fit_one(rows, cols, positive, 1 - positive, 6, prior, 1, 0.0))
+    slope = np.array([(sum(parts(start + 1e-5 * e)) - sum(parts(start - 1e-5 * e))) / 2e-5 for e in np.eye(7)])
+    assert parts(start)[1] >= 0 and np.allclose(one - start, -0.05 * np.sign(slope), atol=1e-3)
+    long = np.append(*toxicity._fit_one(rows, cols, positive, 1 - positive, 6, prior, 400, 0.0))
+    assert sum(parts(long)) < sum(parts(start)) and parts(long)[1] > -0.02
+
+
 def test_toxicity_from_positives_only(spark):
     """Labels that hold confirmed toxic rows only, some of them: clean documents stay, other toxic ones go."""
     rows = labelled(spark, random.Random(6), 900)
@@ -529,7 +549,7 @@ def test_pipeline(spark, tmp_path):
             seen.append(docs.collect())
         if some:
             assert len(seen[0]) == len(seen[1]) == len(rows)
-            near = {r["component_id"] for r in simhash.simhash_components(spark.read.parquet(str(tmp_path / name / "1"))).collect()}
+            near = {r["component_id"] for r in simhash.simhash_components(spark.read.parquet(str(tmp_path / name / "1")), 5).collect()}
             assert {r["doc_id"] for r in seen[2]} == near and all((r["n_chars"] or 0) == len(r["text"] or "") for r in seen[2])
             assert max(Counter(r["doc_id"] for r in seen[3]).values()) <= 2
             assert sorted(map(str, P.run(spark, str(tmp_path / name)).select("doc_id", "piece", "length").collect())) == sorted(str(r) for r in docs.select("doc_id", "piece", "length").collect())
