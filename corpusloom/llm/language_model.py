@@ -229,7 +229,7 @@ class Trainer:
         self.net, self.rate, self.tokens, self.t = Net(net.flat.copy()), rate, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
 
-    def learn(self, docs: list[np.ndarray], width: int = 512, window: int = 16) -> None:
+    def learn(self, docs: list[np.ndarray], width: int = 384, window: int = 16) -> None:
         """One pass over all of ``docs``; gradients stop at the bounds of a window, states go on to the end of the text."""
         run, net = lanes(docs, width, np.random.default_rng(self.t)), self.net
         h = np.zeros((run.tokens.shape[1], STATE), np.float32)
@@ -302,21 +302,21 @@ class Trainer:
 def word_counts(texts: DataFrame) -> DataFrame:
     """(h, n): how often each word, by its 64-bit hash, and the end occur in the column ``text``, null as empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"h": word_hashes(seen), "n": np.fromiter(seen.values(), np.int64, len(seen))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(h, n) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
         seen: Counter = Counter()
-        for f in frames:
-            for t in f["text"]:
-                seen.update((t or "").encode().lower().split())
+        for batch in batches:
+            for t in batch.column(0):
+                seen.update((t.as_py() or b"").lower().split())
             if len(seen) > 500_000:
-                yield out()
+                yield out(word_hashes(seen), list(seen.values()))
                 seen = Counter()
-            yield pd.DataFrame({"h": [END], "n": [len(f)]})
-        yield out()
+            yield out([END], [batch.num_rows])
+        yield out(word_hashes(seen), list(seen.values()))
 
-    return texts.select("text").mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return texts.select(F.col("text").cast("binary")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
