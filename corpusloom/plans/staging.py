@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-#: shuffle files of a write go when it ends; the driver keeps no long plan texts of it
-_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000", "spark.sql.debug.maxToStringFields": "8"}
+#: shuffle files of a write go when it ends; the driver keeps no long plan texts of it; joins whose partitions
+#: all prove to be small need no sort
+_WRITE = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxPlanStringLength": "4000", "spark.sql.debug.maxToStringFields": "8"}
 
 
 def shared_dir(spark: SparkSession) -> str:
