@@ -56,10 +56,11 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(stored_row().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
 
 
-def _rarity(lines: DataFrame) -> Column:
+def _rarity(texts: DataFrame) -> Column:
     """Level of the frequency of every hash bucket, as a constant of BUCKETS small numbers."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    counts = lines.select(F.explode(F.split(F.lower("line"), " ")).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
+    words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")  # of whole texts, as lines do not matter here
+    counts = texts.select(F.explode(words).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
     levels = ["0"] * BUCKETS
     for r in counts.select("bucket", F.floor(2 * F.log2("count")).cast("int").alias("level")).collect():  # BUCKETS rows at most; a long count has a level below 127, which fits above 56 bits
         levels[r["bucket"]] = str(r["level"])
@@ -68,9 +69,11 @@ def _rarity(lines: DataFrame) -> Column:
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, place, set_key, n, prefix, parities) of every line, staged; blank lines have n = 0."""
-    lines = _numbered(docs, id_col, text_col).select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    levels = _rarity(lines)
-    token = lambda h: F.shiftleft(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    texts = _numbered(docs, id_col, text_col)
+    lines = texts.select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
+    levels = _rarity(texts.select("text"))
+    level = lambda h: F.coalesce(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")), F.lit(0))  # never null: so Spark sorts plain longs
+    token = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
     sets = lines.select("row", "id", "place", F.sort_array(F.transform(_hashes("line"), token)).alias("tokens"))
     n = F.size("tokens")
     flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
@@ -104,9 +107,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str,
     ends = pairs.select(F.col("a").alias("ord")).union(pairs.select("b")).distinct()
     wanted = stage(ends.join(ranks.select("ord", "row", "place"), "ord").groupBy("row").agg(F.collect_list(F.struct("place", "ord")).alias("wanted")), "wanted-lines")
     parts = []
-    for k in range(SLICES):  # texts travel to their wanted lines, so one slice of them at a time
+    for k in range(SLICES):  # texts travel to their wanted lines, so one slice of them at a time; the hash table holds the wanted places, texts are not sorted
         of_slice = lambda x: x.filter(F.pmod("row.at", F.lit(SLICES)) == k)  # noqa: B023, E731
-        found = of_slice(_numbered(docs, id_col, text_col).select("row", "text")).join(of_slice(wanted).hint("merge"), "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
+        found = of_slice(_numbered(docs, id_col, text_col).select("row", "text")).join(of_slice(wanted).hint("shuffle_hash"), "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
         parts.append(stage(found.select(F.col("x.ord").alias("ord"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words"))
     words = reduce(DataFrame.union, parts)
     of = lambda k: words.select(F.col("ord").alias(k), F.col("words").alias(f"{k}_words"))
