@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import exact_dedup, filter_audit, language_model, line_dedup, media, mixing, packing, quality, simhash, source_divergence, substring, toxicity
+from corpusloom.llm import exact_dedup, filter_audit, jaccard_join, language_model, line_dedup, media, mixing, packing, quality, simhash, source_divergence, substring, toxicity
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_substring": substring.op8_substring,
         "op9_simhash": simhash.op9_simhash,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_jaccard_join": jaccard_join.op11_jaccard_join,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_source_divergence": source_divergence.op13_source_divergence,
     }
