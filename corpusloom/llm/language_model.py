@@ -36,6 +36,7 @@ KNOWN = 1 << 20  # words whose counts travel to the tasks; the others' counts ar
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 1024
 END = 0  # hash of the end, which is no word
+STEP_TOKENS = 4096  # tokens, at least, that a step of training is taken over
 AT_ONCE = 10_000, 32 << 20  # rows and bytes of texts that are laid out in lanes together
 
 
@@ -223,11 +224,17 @@ def log_likelihoods(net: Net, docs: list[np.ndarray], width: int = 512, window:
 
 
 class Trainer:
-    """Truncated backpropagation through time with Adam."""
+    """Truncated backpropagation through time with Adam.
+
+    Gradients of windows are summed until STEP_TOKENS tokens have been read, so
+    that every token has the same say: long texts, which go on alone when the
+    others have ended, do not take steps of their own.
+    """
 
     def __init__(self, net: Net, rate: float):
         self.net, self.rate, self.tokens, self.t = Net(net.flat.copy()), rate, 0, 0
         self.m, self.v = np.zeros_like(net.flat), np.zeros_like(net.flat)
+        self.held, self.waiting = Net(np.zeros(Net.SIZE, np.float32)), 0
 
     def learn(self, docs: list[np.ndarray], width: int = 384, window: int = 16) -> None:
         """One pass over all of ``docs``; gradients stop at the bounds of a window, states go on to the end of the text."""
@@ -238,15 +245,17 @@ class Trainer:
             states, (before, gates, inner, goes_on), h = _forward(net, run, a, b, n, h[:n], True)
             valid = run.doc[a:b, :n] >= 0
             s, word = states[valid], run.tokens[a:b, :n][valid]
-            grad, scale = Net(np.zeros(Net.SIZE, np.float32)), np.float32(1 / max(len(word), 256))
+            grad, scale = self.held, np.float32(1)
             cls = word // PER_CLASS
             p = _softmax_error(_logits(s, net.wc, net.bc), cls, scale)
-            grad.wc[:], grad.bc[:] = s.T @ p, p.sum(axis=0)
+            grad.wc += s.T @ p
+            grad.bc += p.sum(axis=0)
             back = p @ net.wc.T
             for c, at in _by_class(cls):
                 mine = s[at]
                 q = _softmax_error(_logits(mine, net.wo[c], net.bo[c]), word[at] % PER_CLASS, scale)
-                grad.wo[c], grad.bo[c] = mine.T @ q, q.sum(axis=0)
+                grad.wo[c] += mine.T @ q
+                grad.bo[c] += q.sum(axis=0)
                 back[at] += q @ net.wo[c].T
             outer = np.zeros_like(states)
             outer[valid] = back
@@ -280,13 +289,21 @@ class Trainer:
             starts = np.flatnonzero(np.diff(came[:many].astype(np.int32), prepend=-1))
             held = before.reshape(-1, STATE).T
             for k, d in enumerate((into_x[0], into_x[1], into_inner)):
-                np.matmul(held, d.reshape(-1, STATE), out=grad.u[k])
+                grad.u[k] += held @ d.reshape(-1, STATE)
                 rows = into_x[k].reshape(-1, STATE).take(order, axis=0)
-                np.matmul(np.ones(len(rows) - many, np.float32), rows[many:], out=grad.x[k, PLACES])  # the most frequent place
+                grad.x[k, PLACES] += np.ones(len(rows) - many, np.float32) @ rows[many:]  # the most frequent place
                 if many:
-                    grad.x[k, came[starts]] = np.add.reduceat(rows[:many], starts, axis=0)
-            self._step(grad.flat)
+                    grad.x[k, came[starts]] += np.add.reduceat(rows[:many], starts, axis=0)
             self.tokens += len(word)
+            self.waiting += len(word)
+            if self.waiting >= STEP_TOKENS:
+                self.step()
+
+    def step(self) -> None:
+        """Take the step that is due for the gradients since the last one; too few tokens make a smaller one."""
+        if self.waiting:
+            self._step(self.held.flat / np.float32(max(self.waiting, STEP_TOKENS)))
+            self.held.flat[:], self.waiting = 0, 0
 
     def _step(self, g: np.ndarray) -> None:
         norm = float(np.sqrt(g @ g))
