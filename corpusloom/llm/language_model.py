@@ -7,7 +7,7 @@ the probability of a word is that of its class, given the state, times that of
 the word within the class. Training is truncated backpropagation through time:
 a bounded sample gives a starting point, then every task trains that model on
 all training texts of its partition and the results are averaged, weighted by
-tokens. Training and scoring carry the state from window to window, so that a document's
+tokens (so scores depend a little on how the table is split). Training and scoring carry the state from window to window, so that a document's
 log-likelihood is that of the complete document.
 """
 
@@ -36,7 +36,7 @@ KNOWN = 1 << 20  # words whose counts travel to the tasks; the others' counts ar
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 1024
 END = 0  # hash of the end, which is no word
-STEP_TOKENS = 4096  # tokens, at least, that a step of training is taken over
+STEP_TOKENS = 2048  # tokens, at least, that a step of training is taken over
 AT_ONCE = 10_000, 32 << 20  # rows and bytes of texts that are laid out in lanes together
 
 
@@ -372,6 +372,7 @@ def train(texts: DataFrame, words: Vocabulary, sample: int = 1500, max_bytes: in
         first, texts = Trainer(Net.start(), rate), [t.encode() for t, _ in rows]
         while texts and first.t < 1500:
             first.learn(_placed(number(texts, known.value)), 128)
+        first.step()
         return first.net.flat
 
     begun = fit_in_task(picked, begin) if last is not None else Net.start().flat
@@ -384,6 +385,7 @@ def train(texts: DataFrame, words: Vocabulary, sample: int = 1500, max_bytes: in
             for a, b in pieces_of(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), *AT_ONCE):
                 shard = part[a].as_py()
                 trainer.learn(_placed(number(text.slice(a, b - a).to_pylist(), known.value)))
+        trainer.step()
         if trainer.tokens:
             flat = trainer.net.flat
             blocks = [flat[a : a + BLOCK] for a in range(0, Net.SIZE, BLOCK)]
