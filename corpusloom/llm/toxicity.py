@@ -8,11 +8,16 @@ not fall below zero: where it would, a step climbs back instead. Several linear
 classifiers over word presence are fitted in numpy on different shares of the
 unlabelled rows, and their probabilities are averaged.
 
+Features are the word slots that confirmed rows hold clearly more often than
+unlabelled ones: by ``least_z`` standard errors, and in ``support`` of them, three at
+least. So few confirmed rows give few features, many give more, and rare words
+that two of them share by chance are none.
+
 The prior is a parameter or estimated from the same two samples. Unlabelled rows
 are p parts positives, so whatever set of texts is looked at, p is at most its
 share among them over its share among positives. The estimate is the least such
 ratio over the sets "scores at least t", with scores of classifiers that were
-fitted on the other half of the rows.
+fitted on the other parts of the rows.
 """
 
 from __future__ import annotations
@@ -83,8 +88,20 @@ def _fit_one(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, weight: n
     return theta[:-1], float(theta[-1])
 
 
-def fit(texts: list[tuple[str, int]], prior: float, classifiers: int = 3, features: int = 256, steps: int = 300, l2: float = 1e-5, seed: int = 11) -> Model:
-    """Fit on (text, 1 if confirmed toxic else 0 for unlabelled, positives in their share included). Without either kind every score is ``prior``."""
+def features(sets: list[np.ndarray], positive: np.ndarray, support: float, least_z: float) -> np.ndarray:
+    """Slots that occur clearly more often in the positive ``sets`` than in all, in order."""
+    cols, own = np.concatenate(sets), np.concatenate([s for s, y in zip(sets, positive, strict=True) if y])
+    seen, seen_positive = np.bincount(cols, minlength=SLOTS), np.bincount(own, minlength=SLOTS)
+    n_p, expected = positive.sum(), seen / len(sets)
+    z = (seen_positive / n_p - expected) / np.sqrt(expected * (1 - expected) / n_p + 1e-9)
+    return np.flatnonzero((seen_positive >= max(3, support * n_p)) & (z >= least_z))
+
+
+def fit(texts: list[tuple[str, int]], prior: float, classifiers: int = 3, support: float = 0.01, least_z: float = 4, steps: int = 300, l2: float = 0.003, seed: int = 11) -> Model:
+    """Fit on (text, 1 if confirmed toxic else 0 for unlabelled, positives in their share included). Without either kind every score is ``prior``.
+
+    ``l2`` is the weight of the squares in terms of one confirmed row.
+    """
     positive = np.array([y for _, y in texts], float)
     prior = float(np.clip(prior, 1e-4, 0.9))
     flat = np.log(prior / (1 - prior))
@@ -93,44 +110,39 @@ def fit(texts: list[tuple[str, int]], prior: float, classifiers: int = 3, featur
         return model
     slots = _Slots()
     sets = [word_slots(t.encode(), slots) for t, _ in texts]
+    chosen = features(sets, positive, support, least_z)
     rows, cols = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets)
-    seen, seen_positive = np.bincount(cols, minlength=SLOTS), np.bincount(cols, positive[rows], SLOTS)
-    share, n_p, n = seen_positive / positive.sum(), positive.sum(), len(texts)
-    expected = seen / n
-    z = (share - expected) / np.sqrt(expected * (1 - expected) / n_p + 1e-9)
-    z[seen < 4] = 0
-    chosen = np.sort(np.argsort(-np.abs(z), kind="stable")[:features])
     place = np.full(SLOTS, -1)
     place[chosen] = np.arange(len(chosen))
     use = place[cols] >= 0
     rows, cols = rows[use], place[cols[use]]
     draw = np.random.default_rng(seed)
     for k in range(classifiers):
-        w = (positive == 0) * (draw.random(n) < 0.8)
-        model.weights[k, chosen], model.bias[k] = _fit_one(rows, cols, positive, w, len(chosen), prior, steps, l2)
+        w = (positive == 0) * (draw.random(len(texts)) < 0.8)
+        if w.any():
+            model.weights[k, chosen], model.bias[k] = _fit_one(rows, cols, positive, w, len(chosen), prior, steps, l2 / positive.sum())
     return model
 
 
-def estimate_prior(texts: list[tuple[str, int]], start: float = 0.1, least: float = 0.5, seed: int = 11) -> float:
-    """Share of positives among the unlabelled of ``texts``: the least ratio of tails, cross-fitted in two halves.
+def estimate_prior(texts: list[tuple[str, int]], start: float = 0.1, least: float = 0.5, parts: int = 4, seed: int = 11) -> float:
+    """Share of positives among the unlabelled of ``texts``: the least ratio of tails of cross-fitted scores.
 
     Tails hold at least ``least`` of the positives. One row is added to the
     unlabelled ones of a tail, so an empty one gives no prior of zero.
     """
-    half = np.array([zlib.crc32(f"{seed}{t}".encode()) & 1 for t, _ in texts])
-    truth, slots, found = np.array([y for _, y in texts]), _Slots(), []
-    for k in (0, 1):
-        model = fit([x for x, h in zip(texts, half, strict=True) if h != k], start, classifiers=1, seed=seed)
-        mine = half == k
-        scores = np.array([model.score(word_slots(t.encode(), slots)) for (t, _), m in zip(texts, mine, strict=True) if m])
-        confirmed, others = np.sort(scores[truth[mine] == 1]), np.sort(scores[truth[mine] == 0])
-        if not len(confirmed) or not len(others):
-            continue
-        tails = np.unique(confirmed)
-        share = 1 - np.searchsorted(confirmed, tails) / len(confirmed)
-        tail = (len(others) - np.searchsorted(others, tails) + 1) / (len(others) + 1)
-        found.append(float(np.min((tail / share)[share >= least])))
-    return min(1.0, float(np.mean(found))) if found else 0.0
+    part = np.array([zlib.crc32(f"{seed}{t}".encode()) % parts for t, _ in texts])
+    truth, slots, scores = np.array([y for _, y in texts]), _Slots(), np.zeros(len(texts))
+    for k in range(parts):
+        model = fit([x for x, h in zip(texts, part, strict=True) if h != k], start, classifiers=1, seed=seed)
+        for i in np.flatnonzero(part == k):
+            scores[i] = model.score(word_slots(texts[i][0].encode(), slots))
+    confirmed, others = np.sort(scores[truth == 1]), np.sort(scores[truth == 0])
+    if not len(confirmed) or not len(others):
+        return 0.0
+    tails = np.unique(confirmed)
+    share = 1 - np.searchsorted(confirmed, tails) / len(confirmed)
+    tail = (len(others) - np.searchsorted(others, tails) + 1) / (len(others) + 1)
+    return min(1.0, float(np.min((tail / share)[share >= least])))
 
 
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 4000, max_bytes: int = 16384, seed: int = 11, prior: float | None = None) -> Model:
