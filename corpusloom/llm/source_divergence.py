@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from corpusloom.plans.staging import stage, table
 
 SCALE, PRIOR, LEAST_DOCS, SHOWN = 1_000_000_000, 5, 30, 50
+RANGE = 5_000  # paths that a task has, about
 HELD = 500_000  # entries that a task counts before it hands its counts on
 #: bytes of terms (letters, in lower case, and all of UTF-8 beyond ASCII); others become blanks
 TERMS = bytes(c if c >= 128 or 97 <= c < 123 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
@@ -163,7 +164,8 @@ def tree_corrections(shares: DataFrame) -> DataFrame:
         if of is not None:
             yield out()
 
-    sorted_rows = rows.repartitionByRange("lang", "path").sortWithinPartitions("lang", "path")
+    # so many ranges as the rows need: their bounds are found from samples of paths on the driver
+    sorted_rows = rows.repartitionByRange(-(-rows.count() // RANGE) or 1, "lang", "path").sortWithinPartitions("lang", "path")
     return sorted_rows.mapInArrow(run, "lang string, a long, b long, fix long").groupBy("lang", "a", "b").agg(F.sum("fix").alias("fix"))
 
 
