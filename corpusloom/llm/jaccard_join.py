@@ -285,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     distinct = docs.select(text.alias("text")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]")).groupBy("text").agg(F.lit(1).alias("one"))
     texts = stage(distinct.select(F.monotonically_increasing_id().alias("ord"), "text", *key), "distinct-texts", "zstd")
-    found = shared_signatures(texts, max(1, -(-total // BUCKET_BYTES)))
+    found = shared_signatures(texts, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES)))
     lists = found.filter("kind = 0").select(F.col("a").alias("list"), F.col("b").alias("ord"))
     sets = wanted_sets(texts, stage(lists.select("ord").distinct(), "wanted-texts"))
     labels = joined(lists, sets)
