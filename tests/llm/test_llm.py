@@ -320,6 +320,21 @@ def test_toxicity_from_positives_only(spark):
     assert np.mean([i in kept for i, _, y in rows if not y]) > 0.97 and np.mean([i in kept for i, _, y in rows if y]) < 0.1
 
 
+def test_toxicity_of_few_positives(spark):
+    """30 confirmed rows among long texts of many rare words: nearly all clean documents stay."""
+    draw = random.Random(9)
+    rare = lambda n: " ".join("".join(draw.choice("aeioubdfgklmnprst") for _ in range(draw.randint(3, 7))) for _ in range(n))
+    insults = ["vile", "awful", "nasty", "rotten", "foul"]
+    rows = [(i, i % 10 == 0) for i in range(900)]
+    texts = [(i, " ".join([rare(40), sentence(draw, 40), *(draw.sample(insults, 2) if bad else [])])) for i, bad in rows]
+    seen = [i for i, bad in rows if bad and zlib.crc32(str(i).encode()) % 3 != 1][:30]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, 1) for i in seen], "doc_id long, quality int, toxic int")
+    assert len(seen) == 30
+    kept = {r["doc_id"] for r in toxicity.reject_toxic(docs, labels).collect()}
+    assert np.mean([i in kept for i, bad in rows if not bad]) >= 0.95 and np.mean([i in kept for i, bad in rows if bad]) <= 0.4
+
+
 def test_quality(spark, docs, empty):
     draw = random.Random(3)
     rows = [(i, sentence(draw, 60) if i % 3 else sentence(draw, 30).replace(" ", "$$ "), int(i % 3 > 0)) for i in range(500)]
@@ -389,6 +404,23 @@ def test_language_model(docs, empty):
     assert language_model.score(empty, language_model.fold("doc_id", 7) == 2).count() == 0
 
 
+def test_language_model_beats_its_base(spark):
+    """A small table of texts whose words follow from the last, with one text of 20,000 words that goes on alone."""
+    draw = random.Random(12)
+    after = {w: draw.sample(WORDS, 3) for w in WORDS}
+
+    def text(n):
+        words = [draw.choice(WORDS)]
+        while len(words) < n:
+            words.append(draw.choice(after[words[-1]]) if draw.random() < 0.9 else draw.choice(WORDS))
+        return " ".join(words)
+
+    rows = [(i, text(draw.randint(20, 120))) for i in range(250)] + [(900, text(20_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = [r for r in language_model.score(docs, language_model.fold("doc_id", 7) == 2).collect() if r["held_out"]]
+    assert len(got) > 20 and np.mean([r["score"] > r["base_score"] for r in got]) >= 0.95
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     want = sorted(map(str, language_model.score(docs, language_model.fold("doc_id", 7) == 2).select("doc_id", "n_known").collect()))
     monkeypatch.setattr(language_model, "KNOWN", 5)
@@ -405,12 +437,14 @@ def test_state_is_carried_and_gradient_is_right():
     trainer = language_model.Trainer(net, 0.0)
     trainer._step = lambda g: steps.setdefault("g", g.copy())
     trainer.learn([doc[:12]], window=16)
+    assert not steps  # too few tokens for a step
+    trainer.step()
     for at in (5 * 96 + 3, (language_model.PLACES + 1) * 96 + 40, (language_model.PLACES + 1) * 96 + 32 * 96 + 9, int(np.argmax(np.abs(steps["g"])))):
         up, down = net.flat.astype(np.float32).copy(), net.flat.astype(np.float32).copy()
         up[at] += 1e-2
         down[at] -= 1e-2
-        slope = -(language_model.log_likelihoods(language_model.Net(up), [doc[:12]])[0] - language_model.log_likelihoods(language_model.Net(down), [doc[:12]])[0]) / 2e-2 / 256
-        assert abs(slope - steps["g"][at]) < 2e-5 + 0.03 * abs(slope)
+        slope = -(language_model.log_likelihoods(language_model.Net(up), [doc[:12]])[0] - language_model.log_likelihoods(language_model.Net(down), [doc[:12]])[0]) / 2e-2 / language_model.STEP_TOKENS
+        assert abs(slope - steps["g"][at]) < 3e-6 + 0.03 * abs(slope)
 
 
 def brute_passages(rows, least):
