@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom import trees_of_customers as C
 from corpusloom.functions import text as T
 from corpusloom.operators import audit as O
+from corpusloom.operators.settings import matches
+from corpusloom.operators.settings import settings as settings_of_trees
 from corpusloom.plans import audit as A
 from corpusloom.plans.staging import stage, table
 from corpusloom.sources.trees import change_times, folder, read_config
@@ -188,6 +190,46 @@ ALL_SQL = f"""
 IN_TEMPLATE, IN_PROJECT = "CASE kind WHEN 'failure' THEN 'failed' ELSE 'warning' END", "CASE WHEN kind IN ('failure', 'drift', 'todo') THEN 'failed' ELSE 'warning' END"
 
 
+#: settings of every tree: all default, or by its configuration file
+PLAIN_SQL = "SELECT repo, k, 14 AS days, 3 AS dense_min, false AS own, true AS usage, 5 AS maint_min, 5 AS warn, 5 AS long_min, 4 AS rep_min, false AS no_src, 'missing' AS state, 'TODO,FIXME,TBD,XXX,???' AS patterns FROM t"
+CONFIGURED_SQL = """
+  WITH c AS (SELECT c_name AS repo, c_custkey AS k, c_nationkey AS nation, c_mktsegment AS segment, c_custkey % 11 <> 0 AND c_custkey % 7 <> 0 AS read, c_custkey % 5 = 0 AS bad FROM customer)
+  SELECT repo, k, CASE WHEN read AND NOT bad THEN nation + 1 ELSE 14 END AS days, CASE WHEN read THEN 1 + k % 4 ELSE 3 END AS dense_min, read AS own, CASE WHEN read AND NOT bad THEN k % 2 = 0 ELSE true END AS usage,
+         CASE WHEN read THEN 2 ELSE 5 END AS maint_min, CASE WHEN read THEN 4 + k % 3 ELSE 5 END AS warn, CASE WHEN read THEN 3 + k % 5 ELSE 5 END AS long_min, CASE WHEN read THEN 2 + k % 3 ELSE 4 END AS rep_min, read AND k % 3 = 0 AS no_src,
+         CASE WHEN k % 11 = 0 THEN 'missing' WHEN NOT read THEN 'invalid' WHEN bad THEN 'faulty' ELSE 'ok' END AS state, CASE WHEN read THEN 'TODO,' || segment ELSE 'TODO,FIXME,TBD,XXX,???' END AS patterns FROM c
+"""
+
+
+def _lines_sql(settings: str, mode: str = "Project", strict: str = "True") -> str:
+    """(repo, check, kind, about): all findings with their metadata as text, with the settings of each tree."""
+    run, name = f"mode={mode}", f"strict={strict}"
+    code = f"SELECT c.repo, c.k, path, n, category, CASE WHEN category = 'default_code' THEN [warn, 9, 12] ELSE lim END AS lim, long_min, rep_min FROM ({CODE_SQL}) c JOIN s USING (repo) WHERE NOT (no_src AND path LIKE 'src/%')"
+    found = f"""
+      SELECT repo, "check", 'failure' AS kind, concat('path=', path, '; reason=missing') AS about FROM ({REFS_SQL}) WHERE {GONE_SQL}
+      UNION ALL SELECT repo, 'config', 'failure', 'path=.harness/config.json; reason=invalid_json' FROM s WHERE state = 'invalid'
+      UNION ALL SELECT repo, 'config', 'failure', unnest(['key=staleActivePlanDays; path=.harness/config.json; reason=invalid_positive_integer; value=0', 'key=requireExecPlanUsage; path=.harness/config.json; reason=invalid_boolean; value=maybe']) FROM s WHERE state = 'faulty'
+      UNION ALL SELECT repo, 'testing-command-row', 'failure', 'count=5; expected=6; path=docs/TESTING.md; reason=missing_command_rows' FROM t WHERE k % 3 = 0
+      UNION ALL SELECT repo, 'testing-command-row', 'failure', concat('path=docs/TESTING.md; reason=', CASE kind WHEN 2 THEN concat('command_cell_must_be_backticked; rowIndex=', row_index, '; value=run ', row_index) ELSE concat('malformed_command_row; rowIndex=', row_index) END) FROM ({ROWS_SQL}) WHERE k % 3 > 0 AND row_index < 6 AND kind >= 2
+      UNION ALL SELECT repo, 'testing-todo', 'drift', concat('count=', count(*), '; {run}; path=docs/TESTING.md; {name}') FROM ({ROWS_SQL}) WHERE kind = 0 GROUP BY repo
+      UNION ALL SELECT repo, 'maintenance-unregistered-checklist', 'drift', 'path=.harness/checklists/c.md; reason=not_registered; {name}' FROM t WHERE k % 7 = 0 UNION ALL SELECT repo, 'maintenance-unregistered-prompt', 'drift', 'path=.harness/prompts/p1.md; reason=not_registered; {name}' FROM t WHERE k % 3 <> 1
+      UNION ALL SELECT repo, 'maintenance-stale-active-plan', 'drift', concat('days=', CAST(round_even((epoch_us(TIMESTAMP '2024-01-31') - epoch_us(value)) / 86400000000, 0) AS INTEGER), '; path=docs/exec-plans/active/plan.md; source=', source, '; {name}; thresholdDays=', days)
+        FROM ({CHANGED_SQL}) JOIN s USING (repo) WHERE value < TIMESTAMP '2024-01-31' - days * INTERVAL 1 DAY
+      UNION ALL SELECT repo, 'maintenance-generated-todo', 'drift', 'path=docs/generated/g.md; reason=generated_at_todo; {name}' FROM t WHERE k % 3 < 2
+      UNION ALL SELECT repo, 'maintenance-placeholder-density', 'drift', concat('count=', n, '; path=', path, '; patterns=', patterns, '; {name}; threshold=', dense_min) FROM (
+        SELECT repo, 'docs/w0.md' AS path, CASE WHEN own THEN 1 ELSE 2 + k % 3 END AS n, dense_min, patterns FROM s UNION ALL SELECT repo, 'docs/generated/g.md', CAST(k % 3 = 0 AS INTEGER), dense_min, patterns FROM s
+        UNION ALL SELECT s.repo, 'docs/TESTING.md', 1 + count(*) FILTER (WHERE kind = 0), dense_min, patterns FROM s JOIN ({ROWS_SQL}) USING (repo) GROUP BY ALL) WHERE n >= dense_min
+      UNION ALL SELECT repo, 'maintenance-exec-plan-usage', 'drift', 'active=0; completed=0; reason=no_exec_plans_found; {name}' FROM s WHERE k % 3 > 0 AND k % 4 > 0 AND usage
+      UNION ALL SELECT repo, 'code-health-read-file', 'drift', '{run}; path=src/gone.py; reason=read_failed; {name}' FROM s WHERE k % 10 = 0 AND NOT no_src
+      UNION ALL SELECT repo, 'code-health-large-file', CASE WHEN n >= lim[3] THEN 'drift' ELSE 'notice' END, concat('category=', category, '; lines=', n, '; {run}; path=', path, '; reason=',
+        CASE WHEN n >= lim[3] THEN 'file_size_failure_candidate' WHEN n >= lim[2] THEN 'feature_freeze_candidate' ELSE 'large_file_candidate' END, '; {name}; threshold=', CASE WHEN n >= lim[3] THEN lim[3] WHEN n >= lim[2] THEN lim[2] ELSE lim[1] END) FROM ({code}) WHERE n >= lim[1]
+      UNION ALL SELECT repo, 'code-health-long-function', 'notice', concat('lines=', n, '; {run}; name=', CASE path WHEN 'src/fun.py' THEN concat('def f', k, '(') ELSE 'function g' END, '; path=', path, '; startLine=1; {name}; threshold=', long_min)
+        FROM ({code}) WHERE path IN ('web/page.tsx', 'src/fun.py') AND n < lim[2] AND n >= long_min
+      UNION ALL SELECT repo, 'code-health-repeated-line', 'notice', concat('count=', n, '; {run}; path=src/rep.js; sample={C.LINE}; {name}; threshold=', rep_min) FROM ({code}) WHERE path = 'src/rep.js' AND n < lim[2] AND n >= rep_min
+    """
+    return f"""{T_SQL}, s AS ({settings}), f AS ({found}), a AS (SELECT * FROM f UNION ALL
+      SELECT repo, 'maintenance-finding-threshold', 'drift', concat('count=', count(*), '; {run}; {name}; threshold=', maint_min) FROM f JOIN s USING (repo) WHERE "check" LIKE 'maintenance-%' GROUP BY repo, maint_min HAVING count(*) >= maint_min)"""
+
+
 def _audit(spark, d, **asked) -> tuple[DataFrame, DataFrame]:
     files = stage(C.trees(spark, d), "trees")  # every check reads its own paths of it
     return files, A.audit(files, C.CONFIG, datetime.fromisoformat(C.AS_OF), maintenance=True, code_health=True, commits=C.commits(files), **asked)
@@ -296,9 +338,10 @@ def applied_commands(spark, d) -> DataFrame:
     return O.applied_commands(C.trees(spark, d), A.COMMANDS).select("repo", "content")
 
 
-@_query(f"""{T_SQL} SELECT repo, concat('[Bootstrap] testing-bootstrap ', CASE WHEN command IS NULL THEN 'not_detected' ELSE 'detected' END, ' {{ command=', coalesce(command, 'TODO'), '; id=', id, '; note=', coalesce(note, 'no command detected'), ' }}') AS line FROM ({MERGED_SQL})""")
+@_query(f"""{T_SQL} SELECT repo, concat('[TestingBootstrap] ', CASE WHEN command IS NULL THEN 'not_detected' ELSE 'detected' END, ' {{ command=', coalesce(command, 'TODO'), '; id=', id, '; note=', coalesce(note, 'no command detected'), ' }}') AS line FROM ({MERGED_SQL})
+UNION ALL SELECT repo, '[TestingBootstrap] warning {{ path=package.json; reason=invalid_json }}' FROM t WHERE k % 14 = 0 UNION ALL SELECT repo, '[TestingBootstrap] dry_run {{ apply=use apply to update docs/TESTING.md }}' FROM t""")
 def command_log(spark, d) -> DataFrame:
-    return A.log_lines(A.command_events(C.trees(spark, d)), "Bootstrap")
+    return A.bootstrap_lines(A.command_events(C.trees(spark, d)))
 
 
 @_query(f"""{T_SQL}, f AS (SELECT repo, "check", {IN_TEMPLATE} AS status FROM ({ALL_SQL})) SELECT repo, "check", status, count(*) AS n FROM f GROUP BY ALL""")
@@ -329,6 +372,7 @@ def audit_summary(spark, d) -> DataFrame:
          count(*) FILTER (WHERE "check" LIKE 'code-health-%') AS c, count(*) FILTER (WHERE "check" = 'maintenance-stale-active-plan') AS stale, count(*) FILTER (WHERE "check" = 'maintenance-placeholder-density') AS dense,
          count(*) FILTER (WHERE "check" = 'testing-todo') AS todo FROM t LEFT JOIN f USING (repo) GROUP BY ALL), refs AS ({REFS_SQL})
 SELECT repo, '[Audit] validation start {{ codeHealth=True; effectiveMode=Template; maintenance=True; mode=Template; strict=False }}' AS line FROM t
+UNION ALL SELECT repo, '[Audit] config warning {{ path=.harness/config.json; reason=missing_using_defaults }}' FROM t
 UNION ALL SELECT repo, concat('[Audit] ', "check", ' success {{ path=', path, ' }}') FROM refs WHERE NOT {GONE_SQL}
 UNION ALL SELECT repo, concat('[Audit] required-reading-summary success {{ count=3 }}') FROM t UNION ALL SELECT repo, concat('[Audit] docs-core-document-summary success {{ count=', CASE WHEN k % 5 = 0 THEN 0 ELSE 3 END, ' }}') FROM t
 UNION ALL SELECT repo, '[Audit] harness-checklist-summary success {{ count=2 }}' FROM t UNION ALL SELECT repo, '[Audit] harness-prompt-summary success {{ count=1 }}' FROM t
@@ -349,6 +393,55 @@ def audit_events(spark, d) -> DataFrame:
     return A.log_lines(A.events(files, stage(found, "audit-findings"), C.CONFIG, maintenance=True, code_health=True))
 
 
+@_query(f"""{_lines_sql(PLAIN_SQL)} SELECT repo, concat('[Audit] ', "check", ' ', {IN_PROJECT}, ' {{ ', about, ' }}') AS line FROM a""")
+def finding_lines(spark, d) -> DataFrame:
+    """All findings with all that they say."""
+    return A.log_lines(_audit(spark, d, strict=True)[1])
+
+
+def _configured(spark, d, **asked) -> tuple[DataFrame, DataFrame]:
+    files = stage(C.configured(spark, d), "trees")
+    return files, A.audit(files, C.CONFIG, datetime.fromisoformat(C.AS_OF), maintenance=True, code_health=True, commits=C.commits(files), **asked)
+
+
+@_query(f"""{_lines_sql(CONFIGURED_SQL)} SELECT repo, concat('[Audit] ', "check", ' ', {IN_PROJECT}, ' {{ ', about, ' }}') AS line FROM a""")
+def finding_lines_by_settings(spark, d) -> DataFrame:
+    """The same with every tree measured by its own configuration file, and what is wrong with these files."""
+    return A.log_lines(_configured(spark, d, strict=True)[1])
+
+
+@_query(f"""{_lines_sql(CONFIGURED_SQL, "Template", "False")}, b AS (SELECT repo, "check", {IN_TEMPLATE} AS status FROM a)
+SELECT repo, count(*) FILTER (WHERE status = 'failed') AS errors, count(*) FILTER (WHERE status = 'warning') AS warnings, count(*) FILTER (WHERE "check" LIKE 'maintenance-%' AND "check" <> 'maintenance-finding-threshold') AS maintenance_findings,
+       count(*) FILTER (WHERE "check" LIKE 'code-health-%') AS code_health_findings, count(*) FILTER (WHERE status = 'failed') = 0 AS ok FROM t LEFT JOIN b USING (repo) GROUP BY repo""")
+def audit_summary_by_settings(spark, d) -> DataFrame:
+    return A.summary(*_configured(spark, d))
+
+
+@_query(f"""WITH t AS (SELECT 1), s AS ({CONFIGURED_SQL}) SELECT repo, state, CAST(days AS INTEGER) AS days, CAST(dense_min AS INTEGER) AS placeholders, patterns, usage, CAST(warn AS INTEGER) AS warning_lines, CAST(long_min AS INTEGER) AS long_function_lines,
+  CASE WHEN no_src THEN 'vendor,/src/' ELSE '.git,docs,.harness,vendor,dist,build,coverage,node_modules' END AS excluded, CASE WHEN no_src THEN 'vendor,src' ELSE '.git,docs,.harness,vendor,dist,build,coverage,node_modules' END AS prefixes,
+  CASE state WHEN 'faulty' THEN 2 WHEN 'invalid' THEN 1 ELSE 0 END AS n_findings FROM s""")
+def tree_settings(spark, d) -> DataFrame:
+    """The settings of every tree."""
+    own = lambda c: F.col(f"settings.{c}")
+    return settings_of_trees(C.configured(spark, d), C.CONFIG).select(
+        "repo", "state", own("stale_active_plan_days").alias("days"), own("placeholder_todo_threshold").alias("placeholders"), F.array_join(own("placeholder_patterns"), ",").alias("patterns"), own("require_exec_plan_usage").alias("usage"),
+        "settings.warning_lines", "settings.long_function_lines", F.array_join(own("excluded_paths"), ",").alias("excluded"), F.array_join(own("prefixes"), ",").alias("prefixes"), F.size("found").alias("n_findings"),
+    )
+
+
+@_query(f"""{T_SQL}, f AS (SELECT repo, CASE WHEN kind IN ('failure', 'drift') THEN 'failed' ELSE 'warning' END AS status FROM ({FOUND_SQL}) WHERE "check" NOT LIKE 'maintenance-%') SELECT repo, status, count(*) AS n FROM f GROUP BY ALL""")
+def audit_of_code_in_project(spark, d) -> DataFrame:
+    """Code only, in project mode: TODOs among the commands stay warnings."""
+    found = A.audit(stage(C.trees(spark, d), "trees"), C.CONFIG, code_health=True, project=True)
+    return found.groupBy("repo", "status").agg(F.count("*").alias("n"))
+
+
+@_query(f"""{T_SQL} SELECT repo, CASE WHEN k % 3 = 0 THEN '[TestingBootstrap] failed {{ count=5; expected=6; path=docs/TESTING.md; reason=missing_command_rows }}' ELSE '[TestingBootstrap] applied {{ path=docs/TESTING.md }}' END AS line FROM t""")
+def applied_log(spark, d) -> DataFrame:
+    """What came of writing the commands into each tree's table."""
+    return A.bootstrap_lines(A.command_events(C.trees(spark, d), apply=True).filter(F.col("status").isin("applied", "failed")))
+
+
 @_query("""
 SELECT * FROM (VALUES ('maintenance_finding_threshold', '5'), ('stale_active_plan_days', '7'), ('placeholder_todo_threshold', '3'), ('placeholder_patterns', 'A,B'), ('require_exec_plan_usage', 'False'),
  ('warning_lines', '9'), ('feature_freeze_lines', '800'), ('failure_lines', '1200'), ('markup_warning_lines', '800'), ('markup_feature_freeze_lines', '1200'), ('markup_failure_lines', '1800'),

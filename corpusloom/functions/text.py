@@ -32,6 +32,15 @@ def wildcard(pattern: str) -> str:
     return rf"(?isu)\A{out}\z"
 
 
+def wildcard_of(pattern: Column) -> Column:
+    """``wildcard`` of a column of patterns."""
+    signs = F.regexp_extract_all(pattern, F.lit(r"(?s)(\[.[^\]]*\]|.)"), 1)
+    literal = lambda x: F.regexp_replace(x, r"([\\.^$|+()\[\]{}\-&#~])", r"\\$1")
+    within = lambda x: F.concat(F.lit("["), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"([\\\[^&])", r"\\$1"), F.lit("]"))
+    one = lambda x: F.when(x == "*", ".*").when(x == "?", ".").when(F.length(x) > 2, within(x)).otherwise(literal(x))
+    return F.concat(F.lit(r"(?isu)\A"), F.array_join(F.transform(signs, one), ""), F.lit(r"\z"))
+
+
 def blank(c: Column | str) -> Column:
     return col(c).isNull() | ~col(c).rlike(r"(?U)\S")
 
@@ -75,8 +84,12 @@ def extension(path: Column | str) -> Column:
     return F.lower(F.regexp_extract(name(path), r"(\.[^.]*)$", 1))
 
 
-def placeholders(content: Column | str, patterns: list[str]) -> Column:
+def placeholders(content: Column | str, patterns: list[str] | Column) -> Column:
     """Occurrences of all patterns; those of word characters count as whole words only. Blank patterns count nothing. Case counts."""
+    if isinstance(patterns, Column):
+        quoted = lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        regex = lambda p: F.when(p.rlike(r"(?U)\A\w+\z"), F.concat(F.lit(r"(?U)\b"), quoted(p), F.lit(r"\b"))).otherwise(quoted(p))
+        return F.aggregate(F.filter(patterns, lambda p: ~blank(p)), F.lit(0), lambda n, p: n + F.regexp_count(col(content), regex(p)))
     one = lambda p: F.regexp_count(col(content), F.lit(rf"(?U)\b{escape(p)}\b" if re.fullmatch(r"\w+", p) else escape(p)))
     return sum((one(p) for p in patterns if p.strip()), F.lit(0))
 
@@ -91,7 +104,17 @@ def cells(row: Column | str) -> Column:
     return F.transform(F.split(F.regexp_replace(strip(row), r"^\|+|\|+$", ""), r"\|", -1), strip)
 
 
+def _pairs(metadata: Column | str) -> Column:
+    """``{ k=v; k=v }`` with sorted keys."""
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(col(metadata))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "; ")
+    return F.concat(F.lit("{ "), pairs, F.lit(" }"))
+
+
+def status_line(component: str, status: Column | str, metadata: Column | str) -> Column:
+    """``[component] status { k=v; k=v }`` with sorted keys."""
+    return F.concat(F.lit(f"[{component}] "), col(status), F.lit(" "), _pairs(metadata))
+
+
 def event_line(component: str, check: Column | str, status: Column | str, metadata: Column | str) -> Column:
     """``[component] check status { k=v; k=v }`` with sorted keys."""
-    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(col(metadata))), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "; ")
-    return F.concat(F.lit(f"[{component}] "), col(check), F.lit(" "), col(status), F.lit(" { "), pairs, F.lit(" }"))
+    return F.concat(F.lit(f"[{component}] "), col(check), F.lit(" "), col(status), F.lit(" "), _pairs(metadata))

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import audit as O
-from corpusloom.sources.trees import Config, change_times, folder
+from corpusloom.operators.settings import FOUND, settings, with_settings
+from corpusloom.operators.settings import PATH as CONFIG
+from corpusloom.plans.staging import stage
+from corpusloom.sources.trees import Config, change_times, folder, is_in_folder, known_json
 
 EVENTS = "repo string, check string, status string, metadata map<string,string>"
 #: kind of a finding -> its status in template mode, in project mode
@@ -25,6 +28,7 @@ REFERENCES = (
     ("harness-prompt", ".harness/README.md", "Prompts", ".harness/prompts"),
 )
 REGISTERS = (("maintenance-unregistered-checklist", "Checklists", ".harness/checklists"), ("maintenance-unregistered-prompt", "Prompts", ".harness/prompts"))
+INDEXES = ("AGENTS.md", "docs/README.md", ".harness/README.md", "docs/TESTING.md")
 COMMANDS, ACTIVE, COMPLETED, GENERATED = "docs/TESTING.md", "docs/exec-plans/active", "docs/exec-plans/completed", "docs/generated"
 
 
@@ -32,7 +36,7 @@ COMMANDS, ACTIVE, COMPLETED, GENERATED = "docs/TESTING.md", "docs/exec-plans/act
 class Run:
     """What an audit is asked for; ``strict`` implies ``project``."""
 
-    config: Config
+    known: DataFrame  # settings of every tree
     as_of: datetime | None = None
     maintenance: bool = False
     code_health: bool = False
@@ -59,56 +63,111 @@ def _findings(rows: DataFrame, check: str, kind: str | Column, **metadata) -> Da
     return rows.select("repo", F.lit(check).alias("check"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), _map(metadata).alias("metadata"))
 
 
-def reference_checks(files: DataFrame, run: Run) -> list[DataFrame]:
-    return [_findings(O.missing_references(O.references(files, source, heading, below), files), check, "failure", path=F.col("path"), reason="missing") for check, source, heading, below in REFERENCES]
+def _entry(check: str, kind: str | Column, **metadata) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.struct(F.lit(check).alias("check"), kind.alias("kind"), _map(metadata).alias("metadata"))
 
 
-def command_checks(files: DataFrame, run: Run) -> list[DataFrame]:
-    table = files.filter(F.col("path") == COMMANDS)
-    rows = O.command_rows(table)
-    few, bad = F.col("row_index").isNull(), O.bad_command_rows(table, rows)
-    row = {"path": COMMANDS, "rowIndex": F.col("row_index"), "reason": F.col("reason"), "value": F.when(F.col("reason") == "command_cell_must_be_backticked", F.col("value"))}
-    return [
-        _findings(bad, "testing-command-row", "failure", **row, count=F.when(few, F.col("value")), expected=F.when(few, 6)),
-        _findings(O.todo_rows(rows), "testing-todo", "notice" if run.code_health and not run.maintenance else "drift", count=F.col("n"), path=COMMANDS, **run.mode),
-    ]
+def all_references(files: DataFrame) -> DataFrame:
+    """(repo, check, path): what the sections of REFERENCES name, repeats kept, from one scan."""
+    at = [F.when(F.col("path") == source, F.transform(T.backticks(T.section("content", heading)), lambda r: F.struct(F.lit(check).alias("check"), O.reference_path(r, below).alias("path")))) for check, source, heading, below in REFERENCES]  # noqa: B023
+    rows = files.filter(F.col("path").isin(*{source for _, source, _, _ in REFERENCES}))
+    return rows.select("repo", F.explode(F.flatten(F.array_compact(F.array(*at)))).alias("x")).select("repo", "x.*")
 
 
-def maintenance_checks(files: DataFrame, run: Run) -> list[DataFrame]:
-    config, found, strict = run.config, [], {"strict": str(run.strict)}
-    for check, heading, below in REGISTERS:
-        own = O.unregistered(files, folder(files, below), O.registered_names(files, ".harness/README.md", heading))
-        found.append(_findings(own, check, "drift", path=F.col("path"), reason="not_registered", **strict))
+def reference_checks(files: DataFrame, run: Run) -> DataFrame:
+    missing = O.missing_references(all_references(files), files)
+    return missing.select("repo", "check", F.lit("failure").alias("kind"), _map({"path": F.col("path"), "reason": "missing"}).alias("metadata"))
+
+
+def index_checks(files: DataFrame, run: Run) -> DataFrame:
+    """Files that the checks read themselves: without them the audit of a tree cannot be complete."""
+    has = files.groupBy("repo").agg(*(F.max(F.col("path") == p).alias(f"has{k}") for k, p in enumerate(INDEXES)))
+    missing = F.array_compact(F.array(*(F.when(~F.col(f"has{k}"), F.lit(p)) for k, p in enumerate(INDEXES))))
+    return _findings(has.select("repo", F.explode(missing).alias("path")), "index-file", "failure", path=F.col("path"), reason="missing")
+
+
+def register_checks(files: DataFrame, run: Run) -> DataFrame:
+    """Files of a register's folder that its section does not name, of all registers at once."""
+    mine = [F.when((F.col("path") == ".harness/README.md"), F.transform(T.backticks(T.section("content", heading)), lambda r: F.struct(F.lit(check).alias("check"), F.lower(T.name(r)).alias("name")))) for check, heading, _ in REGISTERS]  # noqa: B023
+    registered = files.filter(F.col("path") == ".harness/README.md").select("repo", F.explode(F.flatten(F.array_compact(F.array(*mine)))).alias("x")).select("repo", "x.*")
+    which = reduce(lambda w, r: w.when(is_in_folder(r[2]), r[0]), REGISTERS, F)
+    listed = files.filter(reduce(Column.__or__, (is_in_folder(below) for _, _, below in REGISTERS))).select("repo", "path", which.alias("check"), F.lower(T.name("path")).alias("name"))
+    gone = listed.join(registered, ["repo", "check", "name"], "left_anti")
+    return gone.select("repo", "check", F.lit("drift").alias("kind"), _map({"path": F.col("path"), "reason": "not_registered", "strict": str(run.strict)}).alias("metadata"))
+
+
+def plan_checks(files: DataFrame, run: Run) -> DataFrame:
+    """Active plans that have not changed for as many days as their tree allows."""
     plans = folder(files, ACTIVE)
     none = files.select("repo", "path", F.lit(None).cast("timestamp").alias("committed")).limit(0)
-    old = O.stale(change_times(plans, none if run.commits is None else run.commits), F.lit(run.as_of).cast("timestamp"), config.stale_active_plan_days)
-    found.append(_findings(old, "maintenance-stale-active-plan", "drift", path=F.col("path"), days=F.col("age_days"), source=F.col("source"), thresholdDays=config.stale_active_plan_days, **strict))
-    found.append(_findings(O.generated_todo(folder(files, GENERATED)), "maintenance-generated-todo", "drift", path=F.col("path"), reason="generated_at_todo", **strict))
-    dense = O.placeholder_density(folder(files, "", recursive=True), list(config.placeholder_patterns), config.placeholder_todo_threshold)
-    found.append(_findings(dense, "maintenance-placeholder-density", "drift", path=F.col("path"), count=F.col("placeholders"), patterns=",".join(config.placeholder_patterns), threshold=config.placeholder_todo_threshold, **strict))
-    if config.require_exec_plan_usage:
-        unused = O.plan_usage(files, ACTIVE, COMPLETED).filter("active + completed = 0")
-        found.append(_findings(unused, "maintenance-exec-plan-usage", "drift", active=F.col("active"), completed=F.col("completed"), reason="no_exec_plans_found", **strict))
-    return found
-
-
-def code_checks(files: DataFrame, run: Run) -> list[DataFrame]:
-    config, code = run.config, O.code_files(files, run.config)
-    sized = O.sized(code, config)
-    t = F.col("tier")
-    large = sized.filter("tier <> 'ok'")
-    size = {"category": F.col("limits.category"), "lines": F.col("n_lines"), "threshold": F.when(t == "failure", F.col("limits.failure")).when(t == "feature_freeze", F.col("limits.freeze")).otherwise(F.col("limits.warning"))}
+    changed = change_times(plans, none if run.commits is None else run.commits).join(run.known.select("repo", F.col("settings.stale_active_plan_days").alias("allowed")), "repo")
+    old = O.stale(changed, F.lit(run.as_of).cast("timestamp"), F.col("allowed"))
+    return _findings(old, "maintenance-stale-active-plan", "drift", path=F.col("path"), days=F.col("age_days"), source=F.col("source"), thresholdDays=F.col("allowed"), strict=str(run.strict))
+
+
+def usage_checks(files: DataFrame, run: Run) -> DataFrame:
+    usage = O.plan_usage(files, ACTIVE, COMPLETED).join(run.known.filter("settings.require_exec_plan_usage").select("repo"), "repo")
+    return _findings(usage.filter("active + completed = 0"), "maintenance-exec-plan-usage", "drift", active=F.col("active"), completed=F.col("completed"), reason="no_exec_plans_found", strict=str(run.strict))
+
+
+def command_findings(run: Run) -> Column:
+    """Of the table of commands: too few rows (nothing else is reported of the rows then), rows without three cells or without a command in backticks, TODOs."""
+    rows, required = O.command_table("content"), len(O.COMMANDS)
+    command = lambda r: F.get(r["cells"], F.lit(1))
+    short = lambda r: F.size(r["cells"]) < 3
+    bare = lambda r: ~command(r).rlike("^`[^`]+`$")
+    few = _entry("testing-command-row", "failure", path=COMMANDS, reason="missing_command_rows", count=F.size(rows), expected=required)
+    bad = lambda r: _entry("testing-command-row", "failure", path=COMMANDS, rowIndex=r["row_index"], reason=F.when(short(r), "malformed_command_row").otherwise("command_cell_must_be_backticked"), value=F.when(~short(r), command(r)))
+    wrong = F.transform(F.filter(F.slice(rows, 1, required), lambda r: short(r) | bare(r)), bad)
+    todo = F.size(F.filter(rows, lambda r: O.is_todo_row(r["line"])))
+    todos = _entry("testing-todo", "notice" if run.code_health and not run.maintenance else "drift", count=todo, path=COMMANDS, **run.mode)
+    found = F.concat(F.when(F.size(rows) < required, F.array(few)).otherwise(wrong), F.when(todo > 0, F.array(todos)).otherwise(F.array().cast(FOUND)))
+    return F.when(F.col("path") == COMMANDS, found)
+
+
+def text_findings(run: Run) -> Column:
+    """Of documents: placeholders, and generated ones whose time is a TODO."""
+    own, count, strict = F.col("settings"), F.col("placeholders"), {"strict": str(run.strict)}
+    dense = _entry("maintenance-placeholder-density", "drift", path=F.col("path"), count=count, patterns=F.array_join(own["placeholder_patterns"], ","), threshold=own["placeholder_todo_threshold"], **strict)
+    todo = _entry("maintenance-generated-todo", "drift", path=F.col("path"), reason="generated_at_todo", **strict)
+    return F.array_compact(F.array(F.when(count >= own["placeholder_todo_threshold"], dense), F.when(is_in_folder(GENERATED) & O.is_generated_todo("content"), todo)))
+
+
+def code_findings(run: Run) -> Column:
+    """Of code files: not readable; large, by three tiers; and of smaller ones long functions and repeated lines."""
+    own, t, limits, n = F.col("settings"), F.col("tier"), F.col("limits"), F.col("n_lines")
+    size = {"category": limits["category"], "lines": n, "threshold": F.when(t == "failure", limits["failure"]).when(t == "feature_freeze", limits["freeze"]).otherwise(limits["warning"])}
     reason = F.when(t == "failure", "file_size_failure_candidate").when(t == "feature_freeze", "feature_freeze_candidate").otherwise("large_file_candidate")
-    looked_into = O.looked_into(sized)
-    return [
-        _findings(code.filter("content is null"), "code-health-read-file", "drift", path=F.col("path"), reason="read_failed", **run.mode),
-        _findings(large, "code-health-large-file", F.when(t == "failure", "drift").otherwise("notice"), path=F.col("path"), **size, reason=reason, **run.mode),
-        _findings(O.long_functions(looked_into, config.long_function_lines), "code-health-long-function", "notice", path=F.col("path"), name=F.col("name"), startLine=F.col("start_line"), lines=F.col("lines"), threshold=config.long_function_lines, **run.mode),
-        _findings(O.repeated_lines(looked_into, O.KEY, config.repeated_line_threshold), "code-health-repeated-line", "notice", path=F.col("path"), count=F.col("repeats"), threshold=config.repeated_line_threshold, sample=F.substring("line", 1, 80), **run.mode),
-    ]
+    unread = _entry("code-health-read-file", "drift", path=F.col("path"), reason="read_failed", **run.mode)
+    large = _entry("code-health-large-file", F.when(t == "failure", "drift").otherwise("notice"), path=F.col("path"), **size, reason=reason, **run.mode)
+    long = lambda f: _entry("code-health-long-function", "notice", path=F.col("path"), name=f["name"], startLine=f["start_line"], lines=f["lines"], threshold=own["long_function_lines"], **run.mode)
+    repeat = lambda r: _entry("code-health-repeated-line", "notice", path=F.col("path"), count=r["repeats"], threshold=own["repeated_line_threshold"], sample=F.substring(r["line"], F.lit(1), F.lit(80)), **run.mode)
+    inner = F.concat(F.transform(F.filter(O.functions("content"), lambda f: f["lines"] >= own["long_function_lines"]), long), F.transform(O.repeated("content", own["repeated_line_threshold"]), repeat))
+    outer = F.array_compact(F.array(F.when(F.col("content").isNull(), unread), F.when(t != "ok", large)))
+    return F.when(F.col("is_code"), F.when(t.isin("ok", "warning"), F.concat(outer, inner)).otherwise(outer))
+
+
+def file_checks(files: DataFrame, run: Run) -> DataFrame:
+    """Everything that follows from one file and its tree's settings: one scan, one array of findings a file, exploded once."""
+    rows, found = with_settings(files, run.known), [command_findings(run)]
+    if run.maintenance:
+        rows = rows.withColumn("placeholders", F.when(is_in_folder("", recursive=True), T.placeholders("content", F.col("settings.placeholder_patterns"))))
+        found.append(text_findings(run))
+    if run.code_health:
+        rows = rows.withColumn("is_code", O.is_code("path") & ~O.is_excluded("path", F.col("settings")))
+        rows = rows.withColumn("n_lines", F.when(F.col("is_code") & F.col("content").isNotNull(), F.size(T.lines("content")))).withColumn("limits", O.thresholds("path", F.col("settings")))
+        rows = rows.withColumn("tier", F.when(F.col("n_lines").isNotNull(), O.tier("n_lines", F.col("limits"))))
+        found.append(code_findings(run))
+    none = F.array().cast(FOUND)
+    return rows.select("repo", F.inline(F.concat(*(F.coalesce(x.cast(FOUND), none) for x in found))))
+
 
+def config_checks(files: DataFrame, run: Run) -> DataFrame:
+    return run.known.select("repo", F.inline("found"))
 
-CHECKS: dict[str, list[Callable[[DataFrame, Run], list[DataFrame]]]] = {"always": [reference_checks, command_checks], "maintenance": [maintenance_checks], "code_health": [code_checks]}
+
+CHECKS: dict[str, list[Callable[[DataFrame, Run], DataFrame]]] = {"always": [config_checks, index_checks, reference_checks, file_checks], "maintenance": [register_checks, plan_checks, usage_checks]}
 
 
 def _is_counted(prefix: str) -> Column:
@@ -118,9 +177,9 @@ def _is_counted(prefix: str) -> Column:
 
 def with_threshold(found: DataFrame, run: Run) -> DataFrame:
     """``found`` (repo, check, kind, metadata) and, for trees with enough maintenance findings, one event more that says so."""
-    least = run.config.maintenance_finding_threshold
-    count = found.filter(_is_counted("maintenance-")).groupBy("repo").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return found.unionByName(_findings(count, "maintenance-finding-threshold", "drift", count=F.col("n"), threshold=least, **run.mode))
+    count = found.filter(_is_counted("maintenance-")).groupBy("repo").agg(F.count("*").alias("n"))
+    enough = count.join(run.known.select("repo", F.col("settings.maintenance_finding_threshold").alias("least")), "repo").filter("n >= least")
+    return found.unionByName(_findings(enough, "maintenance-finding-threshold", "drift", count=F.col("n"), threshold=F.col("least"), **run.mode))
 
 
 def with_status(found: DataFrame, run: Run) -> DataFrame:
@@ -132,15 +191,19 @@ def with_status(found: DataFrame, run: Run) -> DataFrame:
 def audit(files: DataFrame, config: Config | None = None, as_of: datetime | None = None, maintenance: bool = False, code_health: bool = False, project: bool = False, strict: bool = False, commits: DataFrame | None = None) -> DataFrame:
     """(repo, check, status, metadata) of all checks that are asked for; ``strict`` implies ``project``.
 
-    ``as_of`` is the time that ages are measured at; maintenance needs it. In a
-    tree with enough maintenance findings one event more says so.
+    Every tree is measured by its own configuration file, laid over ``config``; what
+    is wrong with that file is a finding, and so is an index file that is not
+    there. ``as_of`` is the time that ages are measured at; maintenance needs it.
+    In a tree with enough maintenance findings one event more says so. What
+    follows from a single file is found in one pass over ``files``.
     """
     if maintenance and as_of is None:
         raise ValueError("maintenance needs as_of")
-    run = Run(config or Config(), as_of, maintenance, code_health, project, strict, commits)
-    groups = ["always"] + ["maintenance"] * maintenance + ["code_health"] * code_health
-    found = reduce(DataFrame.unionByName, [df for g in groups for check in CHECKS[g] for df in check(files, run)])
-    return with_status(with_threshold(found, run) if maintenance else found, run)
+    run = Run(stage(settings(files, config), "settings"), as_of, maintenance, code_health, project, strict, commits)
+    groups = ["always"] + ["maintenance"] * maintenance
+    found = [check(files, run) for g in groups for check in CHECKS[g]]
+    found = reduce(DataFrame.unionByName, (x.select("repo", "check", "kind", "metadata") for x in found))
+    return with_status(with_threshold(stage(found, "findings"), run) if maintenance else found, run)
 
 
 def summary(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -150,61 +213,95 @@ def summary(files: DataFrame, findings: DataFrame) -> DataFrame:
     return files.select("repo").distinct().join(counts, "repo", "left").fillna(0).withColumn("ok", F.col("errors") == 0)
 
 
-def _per_tree(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """(repo, n): rows of every tree, 0 where there are none."""
-    return files.select("repo").distinct().join(rows.groupBy("repo").agg(F.count("*").alias("n")), "repo", "left").fillna(0)
+def tree_counts(files: DataFrame, known: DataFrame) -> DataFrame:
+    """One row per tree: how many files of each kind a check looks at. Reads paths only."""
+    of = lambda below, recursive=False: F.count_if(is_in_folder(below, recursive=recursive))
+    counts = {"documents": of("", True), "active": of(ACTIVE), "completed": of(COMPLETED), "generated": of(GENERATED)} | {check: of(below) for check, _, below in REGISTERS}
+    code = F.count_if(O.is_code("path") & ~O.is_excluded("path", F.col("settings")))
+    return with_settings(files.select("repo", "path"), known).groupBy("repo").agg(*(c.alias(k) for k, c in counts.items()), code.alias("code"))
 
 
 def events(files: DataFrame, findings: DataFrame, config: Config | None = None, maintenance: bool = False, code_health: bool = False, project: bool = False, strict: bool = False) -> DataFrame:
-    """(repo, check, status, metadata) of all that is no finding: start, present references, totals, success and outcome of every tree.
+    """(repo, check, status, metadata) of all that is no finding: start, configuration, present references, totals, success and outcome of every tree.
 
     A check without a finding in a tree says success with what it looked at, so
-    that "clean" differs from "not run".
+    that "clean" differs from "not run". A tree's events are one array, from its
+    counts of files, references and findings.
     """
-    run = Run(config or Config(), None, maintenance, code_health, project, strict)
-    config, trees, out = run.config, files.select("repo").distinct(), []
-
-    def say(rows: DataFrame, check: str, status: str | Column = "success", **metadata) -> None:
-        out.append(rows.select("repo", F.lit(check).alias("check"), (F.lit(status) if isinstance(status, str) else status).alias("status"), _map(metadata).alias("metadata")))
-
-    def clean(rows: DataFrame, check: str, prefix: str | None = None) -> DataFrame:
-        seen = findings.filter(F.col("check").startswith(prefix) if prefix else F.col("check") == check).select("repo").distinct()
-        return _per_tree(files, rows).join(seen, "repo", "left_anti")
-
-    say(trees, "validation", "start", codeHealth=str(code_health), effectiveMode=run.mode["mode"], maintenance=str(maintenance), mode="Project" if project else "Template", strict=str(strict))
-    for check, source, heading, below in REFERENCES:
-        refs = O.references(files, source, heading, below)
-        say(O.present_references(refs, files), check, path=F.col("path"))
-        say(_per_tree(files, refs), f"{check}-summary", count=F.col("n"))
-    say(clean(files.limit(0), "testing-todo"), "testing-todo", count=0, **run.mode)
-    outcome = summary(files, findings)
+    known = stage(settings(files, config), "settings")
+    run = Run(known, None, maintenance, code_health, project, strict)
+    refs = all_references(files)
+    named = refs.groupBy("repo").agg(*(F.count_if(F.col("check") == r[0]).alias(f"{r[0]} refs") for r in REFERENCES))
+    checks = ["testing-todo", *(r[0] for r in REGISTERS), "maintenance-stale-active-plan", "maintenance-generated-todo", "maintenance-placeholder-density"]
+    like = {"all code": F.col("check").startswith("code-health-")}
+    seen = findings.groupBy("repo").agg(*(F.count_if(F.col("check") == c).alias(f"{c} found") for c in checks), *(F.count_if(c).alias(f"{k} found") for k, c in like.items()))
+    row = summary(files, findings).join(tree_counts(files, known), "repo").join(named, "repo", "left").join(seen, "repo", "left").fillna(0).join(known.select("repo", "settings", "state"), "repo")
+    own, out = F.col("settings"), []
+
+    def say(check: str, status: str | Column = "success", when: Column | None = None, **metadata) -> None:
+        event = F.struct(F.lit(check).alias("check"), (F.lit(status) if isinstance(status, str) else status).alias("status"), _map(metadata).alias("metadata"))
+        out.append(event if when is None else F.when(when, event))
+
+    count = lambda c: F.col(f"`{c}`")
+    clean = lambda c: count(f"{c} found") == 0
+    say("validation", "start", codeHealth=str(code_health), effectiveMode=run.mode["mode"], maintenance=str(maintenance), mode="Project" if project else "Template", strict=str(strict))
+    say("config", "warning", F.col("state") == "missing", path=CONFIG, reason="missing_using_defaults")
+    say("config", "success", F.col("state") == "ok", path=CONFIG, source="file")
+    for check, *_ in REFERENCES:
+        say(f"{check}-summary", count=count(f"{check} refs"))
+    say("testing-todo", "success", clean("testing-todo"), count=0, **run.mode)
     if maintenance:
-        say(trees, "maintenance", "start", **run.mode)
-        for check, _, below in REGISTERS:
-            say(clean(folder(files, below), check), check, count=F.col("n"))
-        say(clean(folder(files, ACTIVE), "maintenance-stale-active-plan"), "maintenance-stale-active-plan", count=F.col("n"), thresholdDays=config.stale_active_plan_days)
-        say(clean(folder(files, GENERATED), "maintenance-generated-todo"), "maintenance-generated-todo", count=F.col("n"))
-        say(clean(folder(files, "", recursive=True), "maintenance-placeholder-density"), "maintenance-placeholder-density", scanned=F.col("n"), threshold=config.placeholder_todo_threshold)
-        if config.require_exec_plan_usage:
-            say(O.plan_usage(files, ACTIVE, COMPLETED).filter("active + completed > 0"), "maintenance-exec-plan-usage", active=F.col("active"), completed=F.col("completed"))
-        else:
-            say(trees, "maintenance-exec-plan-usage", enabled="False")
-        say(outcome, "maintenance", "complete", findings=F.col("maintenance_findings"))
+        say("maintenance", "start", **run.mode)
+        for check, *_ in REGISTERS:
+            say(check, "success", clean(check), count=count(check))
+        say("maintenance-stale-active-plan", "success", clean("maintenance-stale-active-plan"), count=count("active"), thresholdDays=own["stale_active_plan_days"])
+        say("maintenance-generated-todo", "success", clean("maintenance-generated-todo"), count=count("generated"))
+        say("maintenance-placeholder-density", "success", clean("maintenance-placeholder-density"), scanned=count("documents"), threshold=own["placeholder_todo_threshold"])
+        used = own["require_exec_plan_usage"]
+        say("maintenance-exec-plan-usage", "success", used & (count("active") + count("completed") > 0), active=count("active"), completed=count("completed"))
+        say("maintenance-exec-plan-usage", "success", ~used, enabled="False")
+        say("maintenance", "complete", findings=F.col("maintenance_findings"))
     if code_health:
-        limits = {"warningThreshold": config.warning_lines, "featureFreezeThreshold": config.feature_freeze_lines, "failureThreshold": config.failure_lines}
-        code = O.code_files(files, config)
-        say(trees, "code-health", "start", **run.mode, **limits)
-        say(clean(code, "code-health-large-file", "code-health-"), "code-health-large-file", scanned=F.col("n"), **limits)
-        say(outcome.join(_per_tree(files, code), "repo"), "code-health", "complete", scanned=F.col("n"), findings=F.col("code_health_findings"))
-    say(outcome, "validation", F.when(F.col("ok"), "success").otherwise("failed"), effectiveMode=run.mode["mode"], errors=F.col("errors"), warnings=F.col("warnings"))
-    return reduce(DataFrame.unionByName, out)
+        limits = {"warningThreshold": own["warning_lines"], "featureFreezeThreshold": own["feature_freeze_lines"], "failureThreshold": own["failure_lines"]}
+        say("code-health", "start", **run.mode, **limits)
+        say("code-health-large-file", "success", clean("all code"), scanned=count("code"), **limits)
+        say("code-health", "complete", scanned=count("code"), findings=F.col("code_health_findings"))
+    say("validation", F.when(F.col("ok"), "success").otherwise("failed"), effectiveMode=run.mode["mode"], errors=F.col("errors"), warnings=F.col("warnings"))
+    whole = row.select("repo", F.inline(F.array_compact(F.array(*out))))
+    present = O.present_references(refs, files).select("repo", "check", F.lit("success").alias("status"), _map({"path": F.col("path")}).alias("metadata"))
+    return whole.unionByName(present)
 
 
 def log_lines(found: DataFrame, component: str = "Audit") -> DataFrame:
     return found.select("repo", T.event_line(component, "check", "status", "metadata").alias("line"))
 
 
-def command_events(files: DataFrame) -> DataFrame:
-    """(repo, check, status, metadata): what was detected for each command of every tree."""
+def bootstrap_lines(events: DataFrame) -> DataFrame:
+    """(repo, line) of the events of a bootstrap, which name no check."""
+    return events.select("repo", T.status_line("TestingBootstrap", "status", "metadata").alias("line"))
+
+
+def command_events(files: DataFrame, apply: bool = False) -> DataFrame:
+    """(repo, check, status, metadata) of a bootstrap of every tree: what was detected for each command, and what came of it.
+
+    A package file that is no JSON is a warning. Where the table of commands is
+    missing or too short to take the commands, ``apply`` has failed; otherwise it
+    is applied, or a dry run.
+    """
+    of = lambda rows, status, **metadata: rows.select("repo", F.lit("testing-bootstrap").alias("check"), (F.lit(status) if isinstance(status, str) else status).alias("status"), _map(metadata).alias("metadata"))
     status = F.when(F.col("command") == "TODO", "not_detected").otherwise("detected")
-    return O.merged_commands(files).select("repo", F.lit("testing-bootstrap").alias("check"), status.alias("status"), _map({"id": F.col("id"), "command": F.col("command"), "note": F.col("note")}).alias("metadata"))
+    found = of(O.merged_commands(files), status, id=F.col("id"), command=F.col("command"), note=F.col("note"))
+    broken = files.filter((F.col("path") == "package.json") & ~F.coalesce(known_json(F.when(F.trim("content") != "", F.col("content"))), F.lit(False)))
+    found = found.unionByName(of(broken, "warning", path=F.col("path"), reason="invalid_json"))
+    if not apply:
+        return found.unionByName(of(files.select("repo").distinct(), "dry_run", apply=f"use apply to update {COMMANDS}"))
+    rows = files.filter(F.col("path") == COMMANDS).select("repo", F.size(O.command_table("content")).alias("n"))
+    trees = files.select("repo").distinct().join(rows, "repo", "left")
+    need = len(O.COMMANDS)
+    done = F.when(F.col("n") >= need, "applied").otherwise("failed")
+    why = F.when(F.col("n").isNull(), "missing").when(F.col("n") < need, "missing_command_rows")
+    return found.unionByName(of(trees, done, path=COMMANDS, reason=why, count=F.when(F.col("n") < need, F.col("n")), expected=F.when(F.col("n") < need, need)))
+
+
+def log_lines(found: DataFrame, component: str = "Audit") -> DataFrame:
+    return found.select("repo", T.event_line(component, "check", "status", "metadata").alias("line"))

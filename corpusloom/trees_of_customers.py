@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.settings import PATH as CONFIG_PATH
 from corpusloom.plans.staging import table
 from corpusloom.sources.trees import Config
 
@@ -63,6 +64,20 @@ def trees(spark, sf_dir: str) -> DataFrame:
     return every.select("repo", "path", F.octet_length("content").cast("long").alias("size"), at.alias("mtime"), "content", "k")
 
 
+def configured(spark, sf_dir: str) -> DataFrame:
+    """``trees`` with a configuration file in most: none, broken, with two bad values, or with values that follow from the customer's columns."""
+    plain = F.concat(
+        F.lit('{"validation": {"staleActivePlanDays": '), F.when(_k(5) == 0, F.lit(0)).otherwise(F.col("c_nationkey") + 1), F.lit(', "placeholderTodoThreshold": "'), 1 + _k(4),
+        F.lit('", "placeholderPatterns": ["TODO", " ", "'), F.col("c_mktsegment"), F.lit('"], "requireExecPlanUsage": '), F.when(_k(5) == 0, '"maybe"').when(_k(2) == 0, "true").otherwise('" FALSE"'),
+        F.lit(', "maintenanceFindingThreshold": 2, "codeHealth": {"warningLines": '), 4 + _k(3), F.lit(', "longFunctionLines": '), 3 + _k(5), F.lit(', "repeatedLineThreshold": '), 2 + _k(3),
+        F.when(_k(3) == 0, ', "excludedPaths": ["vendor", "/src/", ""]').otherwise(""), F.lit("}}}\n"),
+    )
+    own = table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo"), F.col("c_custkey").alias("k"), "c_nationkey", "c_mktsegment").filter(_k(11) != 0)
+    text = F.when(_k(7) == 0, '{"validation": {').otherwise(plain)
+    more = own.select("repo", F.lit(CONFIG_PATH).alias("path"), F.octet_length(text).cast("long").alias("size"), F.to_timestamp(F.lit(AS_OF)).alias("mtime"), text.alias("content"), "k")
+    return trees(spark, sf_dir).unionByName(more)
+
+
 def commits(files: DataFrame) -> DataFrame:
     """(repo, path, committed) of the plans of every sixth tree."""
     at = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(days=(F.col("k") % 20).cast("int"))
