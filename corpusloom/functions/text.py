@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: the arguments of functions over arrays are computed anew wherever they stand."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def escape(literal: str) -> str:
     """A Java regular expression that matches ``literal``."""
     return re.sub(r"([\\.^$|?*+()\[\]{}\-&#~])", r"\\\1", literal)
@@ -66,9 +72,15 @@ def backticks(c: Column | str) -> Column:
 
 def lines(content: Column | str) -> Column:
     """Lines without their ends; a last line break adds no line, no content has no lines."""
-    text = F.regexp_replace(F.regexp_replace(col(content), "^﻿", ""), "\r\n?", "\n")
-    parts = F.split(F.regexp_replace(text, "\n\\z", ""), "\n", -1)
-    return F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))
+    text = F.replace(F.replace(col(content), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    none = F.array().cast("array<string>")
+
+    def cut(t: Column) -> Column:
+        first, n = F.when(t.startswith("\ufeff"), 2).otherwise(1), F.length(t)
+        last = F.when(t.endswith("\n"), n - 1).otherwise(n)
+        return F.when(n >= first, F.split(F.substring(t, first, last - first + 1), "\n", -1)).otherwise(none)
+
+    return F.coalesce(let(text, cut), none)
 
 
 def slashes(path: Column | str) -> Column:

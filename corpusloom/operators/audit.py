@@ -75,17 +75,17 @@ def repeated(content: Column | str, threshold: Column | int, min_length: int = 4
     # what is too short before it is squeezed cannot be long enough after
     squeezed = F.transform(F.filter(T.lines(content), lambda x: F.length(x) >= min_length), T.squeeze)
     kept = F.filter(squeezed, lambda x: (F.length(x) >= min_length) & ~x.rlike(r"^[{}\[\]();,]+$"))
-    placed = F.array_sort(F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("folded"), i.alias("at"), x.alias("line"))))
+    placed = F.transform(kept, lambda x, i: F.struct(F.lower(x).alias("folded"), i.alias("at"), x.alias("line")))
     run = lambda folded, n, line, out: F.struct(folded.alias("folded"), n.alias("n"), line.alias("line"), out.alias("out"))
     entry = lambda s: F.struct((-s["n"]).alias("order"), s["folded"].alias("folded"), s["line"].alias("line"))
     closed = lambda s: F.when(s["n"] >= least, F.array_append(s["out"], entry(s))).otherwise(s["out"])
     start = run(F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(None).cast("string"), F.array().cast("array<struct<order:bigint,folded:string,line:string>>"))
     step = lambda s, x: F.when(s["folded"] == x["folded"], run(s["folded"], s["n"] + 1, s["line"], s["out"])).otherwise(run(x["folded"], F.lit(1).cast("long"), x["line"], closed(s)))
-    found = F.slice(F.array_sort(F.aggregate(placed, start, step, closed)), 1, top)
-    ranked = F.transform(found, lambda x, i: F.struct(x["line"].alias("line"), (-x["order"]).alias("repeats"), (i + 1).alias("rank")))
+    none = F.array().cast("array<struct<order:bigint,folded:string,line:string>>")
     # most texts repeat nothing: there the count of distinct lines is that of all
-    many = F.size(placed) - F.size(F.array_distinct(F.transform(placed, lambda x: x["folded"]))) >= least - 1
-    return F.when(many, ranked).otherwise(F.array().cast("array<struct<line:string,repeats:bigint,rank:int>>"))
+    many = lambda x: F.size(x) - F.size(F.array_distinct(x["folded"])) >= least - 1
+    counted = T.let(placed, lambda x: F.when(many(x), F.aggregate(F.sort_array(x), start, step, closed)).otherwise(none))
+    return F.transform(F.slice(F.sort_array(counted), 1, top), lambda x, i: F.struct(x["line"].alias("line"), (-x["order"]).alias("repeats"), (i + 1).alias("rank")))
 
 
 def repeated_lines(texts: DataFrame, key: list[str], threshold: int, min_length: int = 40, top: int = 5, content: str = "content") -> DataFrame:
@@ -98,7 +98,7 @@ def thresholds(path: Column | str, config: Config | Column) -> Column:
     own = of(config)
     level = lambda category, kind: F.struct(F.lit(category).alias("category"), *(own[f"{kind}{x}_lines"].alias(y) for x, y in (("warning", "warning"), ("feature_freeze", "freeze"), ("failure", "failure"))))
     ext = T.extension(path)
-    migration = ext.isin(*MIGRATION) | T.col(path).rlike(T.wildcard("*/migrations/*"))
+    migration = ext.isin(*MIGRATION) | F.lower(T.col(path)).contains("/migrations/")
     return F.when(migration, level("migration_or_schema", "migration_")).when(ext.isin(*MARKUP), level("markup_or_component", "markup_")).otherwise(level("default_code", ""))
 
 
@@ -110,10 +110,14 @@ def tier(n: Column | str, limits: Column) -> Column:
 def is_excluded(path: Column | str, config: Config | Column) -> Column:
     """Excluded by path, path segment, wildcard or lock-file name; slashes at the start do not count."""
     own, path = of(config), F.ltrim(T.slashes(path), F.lit("/"))
-    low, segments = F.lower(path), F.split(F.lower(path), "/")
-    by_name = F.lower(T.name(path)).isin([x.lower() for x in LOCKS]) | (low == AUDITOR)
-    by_path = F.exists(own["prefixes"], lambda x: (low == F.lower(x)) | path.startswith(F.concat(x, F.lit("/"))) | F.array_contains(segments, F.lower(x)))
-    return by_name | by_path | F.exists(own["rules"], lambda r: matching(path, segments, r))
+
+    def fits(p: Column) -> Column:
+        whole, low, segments = p["path"], p["low"], p["segments"]
+        by_name = F.element_at(segments, -1).isin([x.lower() for x in LOCKS]) | (low == AUDITOR)
+        by_path = F.exists(own["prefixes"], lambda x: F.array_contains(segments, F.lower(x)) | (low == F.lower(x)) | whole.startswith(F.concat(x, F.lit("/"))))
+        return by_name | by_path | F.exists(own["rules"], lambda r: matching(whole, segments, r))
+
+    return T.let(F.struct(path.alias("path"), F.lower(path).alias("low"), F.split(F.lower(path), "/").alias("segments")), fits)
 
 
 def is_code(path: Column | str) -> Column:
@@ -145,11 +149,10 @@ def functions(content: Column | str) -> Column:
     sign = lambda x, c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
     width = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))
     one = lambda x, i: F.struct(i.alias("at"), (sign(x, "{") - sign(x, "}")).alias("balance"), width(x).alias("width"), (~T.blank(x)).alias("full"), F.regexp_extract(x, f"(?iU){FUNCTION}", 1).alias("name"), x.rlike(r"(?iU)^\s*def\s").alias("by_indent"))
-    lines = F.transform(T.lines(content), one)
     kinds = {"start": "int", "name": "string", "by_indent": "boolean", "width": "int", "depth": "int", "out": "array<struct<name:string,start_line:int,lines:int>>", "last": "int"}
     state = lambda **new: F.struct(*(new[k].cast(kind).alias(k) for k, kind in kinds.items()))
     none = {"start": F.lit(None), "name": F.lit(None), "by_indent": F.lit(False), "width": F.lit(0), "depth": F.lit(0)}
-    begin = state(**none, out=F.array(), last=F.size(T.lines(content)) - 1)
+    begin = lambda x: state(**none, out=F.array(), last=F.size(x) - 1)
 
     def step(s: Column, x: Column) -> Column:
         keep = {"out": s["out"], "last": s["last"]}
@@ -162,7 +165,7 @@ def functions(content: Column | str) -> Column:
         return F.when(s["start"].isNull(), F.when(x["name"] != "", opened).otherwise(s)).otherwise(F.when(ended, closed).otherwise(goes_on))
 
     # most texts start no function
-    return F.when(T.col(content).rlike(f"(?imU){FUNCTION}"), F.aggregate(lines, begin, step, lambda s: s["out"])).otherwise(F.array().cast(kinds["out"]))
+    return F.when(T.col(content).rlike(f"(?imU){FUNCTION}"), T.let(T.lines(content), lambda x: F.aggregate(F.transform(x, one), begin(x), step, lambda s: s["out"]))).otherwise(F.array().cast(kinds["out"]))
 
 
 def long_functions(files: DataFrame, threshold: int) -> DataFrame:

@@ -113,17 +113,20 @@ def usage_checks(files: DataFrame, run: Run) -> DataFrame:
 
 def command_findings(run: Run) -> Column:
     """Of the table of commands: too few rows (nothing else is reported of the rows then), rows without three cells or without a command in backticks, TODOs."""
-    rows, required = O.command_table("content"), len(O.COMMANDS)
+    required = len(O.COMMANDS)
     command = lambda r: F.get(r["cells"], F.lit(1))
     short = lambda r: F.size(r["cells"]) < 3
     bare = lambda r: ~command(r).rlike("^`[^`]+`$")
-    few = _entry("testing-command-row", "failure", path=COMMANDS, reason="missing_command_rows", count=F.size(rows), expected=required)
     bad = lambda r: _entry("testing-command-row", "failure", path=COMMANDS, rowIndex=r["row_index"], reason=F.when(short(r), "malformed_command_row").otherwise("command_cell_must_be_backticked"), value=F.when(~short(r), command(r)))
-    wrong = F.transform(F.filter(F.slice(rows, 1, required), lambda r: short(r) | bare(r)), bad)
-    todo = F.size(F.filter(rows, lambda r: O.is_todo_row(r["line"])))
-    todos = _entry("testing-todo", "notice" if run.code_health and not run.maintenance else "drift", count=todo, path=COMMANDS, **run.mode)
-    found = F.concat(F.when(F.size(rows) < required, F.array(few)).otherwise(wrong), F.when(todo > 0, F.array(todos)).otherwise(F.array().cast(FOUND)))
-    return F.when(F.col("path") == COMMANDS, found)
+
+    def found(rows: Column) -> Column:
+        few = _entry("testing-command-row", "failure", path=COMMANDS, reason="missing_command_rows", count=F.size(rows), expected=required)
+        wrong = F.transform(F.filter(F.slice(rows, 1, required), lambda r: short(r) | bare(r)), bad)
+        todo = F.size(F.filter(rows, lambda r: O.is_todo_row(r["line"])))
+        todos = _entry("testing-todo", "notice" if run.code_health and not run.maintenance else "drift", count=todo, path=COMMANDS, **run.mode)
+        return F.concat(F.when(F.size(rows) < required, F.array(few)).otherwise(wrong), F.when(todo > 0, F.array(todos)).otherwise(F.array().cast(FOUND)))
+
+    return F.when(F.col("path") == COMMANDS, T.let(O.command_table("content"), found))
 
 
 def text_findings(run: Run) -> Column:
@@ -156,7 +159,7 @@ def file_checks(files: DataFrame, run: Run) -> DataFrame:
         found.append(text_findings(run))
     if run.code_health:
         rows = rows.withColumn("is_code", O.is_code("path") & ~O.is_excluded("path", F.col("settings")))
-        rows = rows.withColumn("n_lines", F.when(F.col("is_code") & F.col("content").isNotNull(), F.size(T.lines("content")))).withColumn("limits", O.thresholds("path", F.col("settings")))
+        rows = rows.withColumn("n_lines", F.when(F.col("is_code") & F.col("content").isNotNull(), F.size(T.lines("content")))).withColumn("limits", F.when(F.col("is_code"), O.thresholds("path", F.col("settings"))))
         rows = rows.withColumn("tier", F.when(F.col("n_lines").isNotNull(), O.tier("n_lines", F.col("limits"))))
         found.append(code_findings(run))
     none = F.array().cast(FOUND)
