@@ -18,7 +18,7 @@ with equal sets form a class, and classes are joined with each other:
 
 A line is removed if an earlier line (by document id, then place) matches it,
 whether or not that line stays itself. All pairs of classes that match are
-found, counted and listed. What only asks which lines go (``removed_lines``)
+found and counted. What only asks which lines go (``removed_lines``)
 stops comparing a class once it has an earlier match.
 """
 
@@ -38,6 +38,7 @@ ABOVE, BELOW = 4, 5  # the threshold as a fraction
 LONG = 80  # sets of more words have four longs of parities
 PARITIES = ["parity0", "parity1", "parity2", "parity3"]
 CLASS = ["set_key", "n"]
+GONE = "lines that go"
 
 
 def _words(line: Column | str) -> Column:
@@ -200,12 +201,12 @@ def line_matches(docs: DataFrame, lines: DataFrame, id_col: str = "doc_id", text
 
 
 def _placed(slim: DataFrame, known: DataFrame, id_col: str, *more: str) -> DataFrame:
-    """The lines ``slim`` with what is ``known`` of their classes."""
+    """The lines ``slim`` with what is ``known`` of their classes; counts among ``more`` are 0 where nothing is."""
     met = slim.join(stage(known, "line-decisions"), CLASS, "left")
     is_first = F.coalesce((F.col("row") == F.col("class_row")) & (F.col("place") == F.col("class_place")), F.lit(False))
     removed = F.col("class_row").isNotNull() & (F.col("match_place").isNotNull() | ~is_first)
-    links = [F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(is_first, F.col("links")).alias("links")] if more else []
-    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), "class_id", F.col("class_place").alias("class_line"), "match_id", F.col("match_place").alias("match_line"), *links, removed.alias("removed"))
+    counts = [F.coalesce(x, F.lit(0)).alias(x) for x in more]
+    return met.select("row", F.col("id").alias(id_col), F.col("place").alias("line"), F.col("n").alias("n_words"), "class_id", F.col("class_place").alias("class_line"), "match_id", F.col("match_place").alias("match_line"), *counts, removed.alias("removed"))
 
 
 def _known(ranks: DataFrame, matched: DataFrame, *more: str) -> DataFrame:
@@ -216,13 +217,11 @@ def _known(ranks: DataFrame, matched: DataFrame, *more: str) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line of ``docs``: row, id, line, n_words, class_id, class_line, match_id, match_line, n_links, links, removed.
+    """One row per line of ``docs``: row, id, line, n_words, class_id, class_line, match_id, match_line, n_links, removed.
 
     The class is named by its first line. ``match``: the earliest line that the
     class matches, null if there is none. ``n_links`` counts all other classes
-    that match it, earlier and later. ``links`` lists the earlier ones by their
-    first lines (id, line), in order; it stands on the first line of a class
-    only, so the lists hold each pair of classes once. Blank lines have no
+    that match it, earlier and later; ``line_links`` has the pairs. Blank lines have no
     class and are never removed. Null texts are one blank line; lines end at
     line feeds only. ``docs`` has to be read from Parquet and at most filtered
     or projected, as its rows are known by file and place; rows that repeat an
@@ -231,11 +230,9 @@ def similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = line_sets(docs, id_col, text_col)
     slim = stage(lines.select("row", "id", "place", *CLASS), "line-classes-of")
     ranks, links = line_links(docs, lines, id_col, text_col)
-    named = links.join(ranks.select(F.col("ord").alias("a"), F.col("id"), F.col("place").alias("line")), "a")
-    earlier = stage(named.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("match"), F.count("*").alias("n_earlier"), F.sort_array(F.collect_list(F.struct("a", "id", "line"))).alias("found")), "line-earlier")
-    later = links.groupBy(F.col("a").alias("ord")).agg(F.count("*").alias("n_later"))
-    both = earlier.join(later, "ord", "full").select("ord", "match", (F.coalesce("n_earlier", F.lit(0)) + F.coalesce("n_later", F.lit(0))).alias("n_links"), F.transform("found", lambda x: F.struct(x["id"].alias("id"), x["line"].alias("line"))).alias("links"))
-    return _placed(slim, _known(ranks, both, "n_links", "links"), id_col, "links")
+    ends = links.select(F.col("b").alias("ord"), F.col("a").alias("match")).union(links.select("a", F.lit(None).cast("long")))
+    known = ends.groupBy("ord").agg(F.min("match").alias("match"), F.count("*").alias("n_links"))
+    return _placed(slim, _known(ranks, known, "n_links"), id_col, "n_links")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -247,14 +244,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_similar_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed lines cut out of ``text_col``; all rows and columns stay, a text may become empty."""
+    """``docs`` with the removed lines cut out of ``text_col``; all rows and columns stay, whatever their names, a text may become empty."""
     found = removed_lines(docs.select(id_col, text_col), id_col, text_col).filter("removed")
-    gone = stage(found.groupBy(F.col("row").alias("row__")).agg(F.collect_set("line").alias("gone__")), "removed-lines")
-    rest = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("gone__", i)), "\n")
-    joined = docs.withColumn("row__", stored_row()).join(gone, "row__", "left")
-    return joined.withColumn(text_col, F.when(F.col("gone__").isNull(), F.col(text_col)).otherwise(rest)).select(*docs.columns)
+    gone = stage(found.groupBy(F.col("row").alias(f"row of {GONE}")).agg(F.collect_set("line").alias(GONE)), "removed-lines")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all")  # names of its columns meet no others
+    joined = docs.select(row, stored_row().alias("row")).join(gone, F.col("row") == F.col(f"row of {GONE}"), "left")
+    text = F.col("all").getField(text_col)
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(GONE, i)), "\n")
+    return joined.select(*(F.when(F.col(GONE).isNull(), text).otherwise(rest).alias(c) if c == text_col else F.col("all").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark, sf_dir):
-    """The lines of all documents with their classes, matches and links."""
+    """The lines of all documents with their classes, matches and numbers of links."""
     return similar_lines(table(spark, sf_dir, "documents")).drop("row")
