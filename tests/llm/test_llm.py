@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from corpusloom.llm import batches, components, exact_dedup, language_model, line_dedup, media, mixing, packing, quality, simhash, substring, toxicity
@@ -138,7 +139,9 @@ def test_line_links(spark, docs, tmp_path):
                 first.setdefault(frozenset(w for w in re.split(r"[ \t-\r]+", line.lower()) if w), (r["doc_id"], k))
         links = {tuple(sorted((first[s], first[t]))) for s, t in combinations(first, 2) if s and t and 9 * len(s & t) >= 4 * (len(s) + len(t))}
         rows = line_dedup.similar_lines(some).collect()
-        got = [((x["id"], x["line"]), (r["doc_id"], r["line"])) for r in rows for x in r["links"] or []]
+        ranks, pairs = line_dedup.line_links(some, line_dedup.line_sets(some))
+        at = {r["ord"]: (r["id"], r["place"]) for r in ranks.collect()}
+        got = [(at[r["a"]], at[r["b"]]) for r in pairs.collect()]
         assert set(got) == links and len(got) == len(links) > 0
         degree = Counter(end for pair in links for end in pair)
         for r in rows:
@@ -148,6 +151,14 @@ def test_line_links(spark, docs, tmp_path):
         assert sorted(map(key, rows)) == sorted(map(key, line_dedup.removed_lines(some).collect()))
 
 
+def test_line_dedup_keeps_columns_of_any_name(docs):
+    odd = docs.select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in ("gone__", "row__", "row", "all", "place", line_dedup.GONE, "number of row", "a.b")))
+    got = {r["doc_id"]: r for r in line_dedup.drop_similar_lines(odd).collect()}
+    want = {r["doc_id"]: r["text"] for r in line_dedup.drop_similar_lines(docs).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r[c] == f"own {c}" for r in got.values() for c in odd.columns[2:])
+
+
 def test_rows_keep_their_names(spark, docs):
     """Line dedup and the pipeline's mix read a table more than once; its splits may differ, as they do when executors come or go."""
     import corpus_pipeline as P
