@@ -246,28 +246,37 @@ def _passes(a: str, b: str) -> Column:
     return (F.least(n_a, n_b) * BELOW >= F.greatest(n_a, n_b) * ABOVE) & (bits * (ABOVE + BELOW) <= (n_a + n_b) * (BELOW - ABOVE))
 
 
-def joined(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, label), staged: components of the links among ``lists`` (list, ord), for texts that have one."""
-    sizes = lists.groupBy("list").agg(F.count("*").alias("size"))
+def distinct_lists(rows: DataFrame) -> DataFrame:
+    """(list, ord, size, weight), staged: of lists that hold the same texts one, with their number."""
+    rows = stage(rows.distinct(), "lists")
+    members = [F.bit_xor(F.xxhash64("ord")).alias("x"), F.bit_xor(F.xxhash64("ord", F.lit(7))).alias("y")]
+    whole = rows.groupBy("list").agg(F.count("*").alias("size"), *members)
+    one = whole.groupBy("size", "x", "y").agg(F.min("list").alias("list"), F.count("*").alias("weight"))
+    return stage(rows.join(stage(one.select("list", "size", "weight"), "lists-one"), "list"), "lists-distinct")
+
+
+def joined(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, label), staged: components of the links among lists ``rows`` (list, ord), for texts that have one."""
+    lists = distinct_lists(rows)
     # how well a text is connected: the entries of its lists
-    degree = lists.join(stage(sizes, "list-sizes"), "list").groupBy("ord").agg(F.sum("size").alias("degree"))
+    degree = lists.groupBy("ord").agg(F.sum(F.col("size") * F.col("weight")).alias("degree"))
     known = stage(lists.join(degree, "ord"), "lists-ranked")
     centres = stage(known.groupBy("list").agg(F.max(F.struct("degree", "ord")).alias("c")).select("list", F.col("c.ord").alias("centre")), "list-centres")
-    shared = known.join(centres, "list").filter("ord <> centre").groupBy("ord", "centre").agg(F.count("*").alias("n"))
+    shared = known.join(centres, "list").filter("ord <> centre").groupBy("ord", "centre").agg(F.sum("weight").alias("n"))
     best = stage(shared.groupBy("ord").agg(F.max(F.struct("n", "centre")).alias("c")).select(F.col("c.centre").alias("a"), F.col("ord").alias("b")), "set-pairs-first")
     first = components(verified(best, sets))
-    tagged = stage(lists.distinct().join(first, F.col("ord") == F.col("node"), "left").select("list", "ord", F.coalesce("label", "ord").alias("part")), "lists-parts")
+    texts = stage(degree.select("ord").join(first, F.col("ord") == F.col("node"), "left").join(best.select(F.col("b").alias("ord"), F.col("a").alias("tried")), "ord", "left").select("ord", F.coalesce("label", "ord").alias("part"), F.coalesce("tried", "ord").alias("tried")), "set-parts")
+    tagged = stage(lists.select("list", "ord").join(texts, "ord"), "lists-parts")
     by_part = tagged.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
     mixed = stage(by_part.filter("parts > 1").select("list", F.col("most.part").alias("main")), "lists-mixed")
     live = stage(tagged.join(mixed, "list").join(sets.drop("features"), "ord"), "lists-live")
-    side = lambda k, rows: rows.select("list", *(F.col(c).alias(f"{k}_{c}") for c in ("ord", "part", "n", *PARITIES)), F.col("main").alias(f"{k}_main"))
-    differ = (F.col("a_part") != F.col("b_part")) & ((F.col("a_part") == F.col("a_main")) | (F.col("a_ord") < F.col("b_ord")))
+    side = lambda k, rows: rows.select("list", *(F.col(c).alias(f"{k}_{c}") for c in ("ord", "part", "tried", "n", *PARITIES)), F.col("main").alias(f"{k}_main"))
+    differ = (F.col("a_part") != F.col("b_part")) & ((F.col("a_part") == F.col("a_main")) | (F.col("a_ord") < F.col("b_ord"))) & (F.col("a_ord") != F.col("b_tried")) & (F.col("b_ord") != F.col("a_tried"))
     met = side("a", live).join(side("b", live.filter("part <> main")), "list").filter(differ & _passes("a", "b"))
     pairs = stage(met.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "set-pairs-rest")
-    part_of = lambda k, links: links.join(first.select(F.col("node").alias(k), F.col("label").alias(f"{k}_part")), k, "left").withColumn(k, F.coalesce(f"{k}_part", k)).drop(f"{k}_part")
+    part_of = lambda k, links: links.join(texts.select(F.col("ord").alias(k), F.col("part").alias(f"{k}_part")), k).drop(k).withColumnRenamed(f"{k}_part", k)
     between = components(part_of("b", part_of("a", verified(pairs, sets))))
-    nodes = lists.select("ord").distinct().join(first, F.col("ord") == F.col("node"), "left").select("ord", F.coalesce("label", "ord").alias("part"))
-    return stage(nodes.join(between, F.col("part") == F.col("node"), "left").select(F.col("ord").alias("node"), F.coalesce("label", "part").alias("label")), "set-components")
+    return stage(texts.join(between, F.col("part") == F.col("node"), "left").select(F.col("ord").alias("node"), F.coalesce("label", "part").alias("label")), "set-components")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
