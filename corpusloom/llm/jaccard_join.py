@@ -25,8 +25,8 @@ Lists are not paired with themselves. First each document is compared with the
 best connected one that it shares most lists with. Then, in lists that hold several
 components of these links, what is outside the list's largest component is compared
 with everything in other components: any link between components has an
-end there. Candidates are filtered by size and by the parities of 512 hash slots,
-and verified on the sets.
+end there. Candidates are filtered by size and by the parities of hash slots, and
+verified on the sets.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ ABOVE, BELOW = 4, 5  # the threshold as a fraction
 BUCKET_BYTES = 6 << 20  # of text, about a million signatures
 CROWD = 8  # texts of one task that send the same signature on
 PARITIES = [f"parity{i}" for i in range(8)]
+SLOTS, MOST_SLOTS = 512, 8192  # hash slots with a parity: of short sets, and of long ones, which have one for each feature up to so many
 _M = np.random.default_rng(5).integers(1, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)
 
 
@@ -208,18 +209,24 @@ def _list(sig: np.ndarray, buckets: int) -> np.ndarray:
     return (_bucket(sig, buckets) << 32) + sig.astype(np.uint32)
 
 
+def parities(s: np.ndarray, slots: int) -> np.ndarray:
+    """Of the features of ``s`` in each of ``slots`` hash slots: even or odd, in longs."""
+    return np.packbits(np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).view(">i8").astype(np.int64)
+
+
 def wanted_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(ord, n, parities, features), staged, of the ``texts`` whose ord is in ``wanted``; features are sorted 64-bit hashes."""
+    """(ord, n, parities, more, features), staged, of the ``texts`` whose ord is in ``wanted``; features are sorted 64-bit hashes, ``more`` the parities of long sets."""
 
     def make():
         def work(some):
             sets = shingle_sets(some)
-            bits = [np.packbits(np.bincount((s & np.uint64(511)).astype(np.int64), minlength=512) & 1).view(">i8").astype(np.int64) for s in sets]
-            return (None, [len(s) for s in sets], *(np.array([b[i] for b in bits], np.int64) for i in range(8)), [s.tobytes() for s in sets])
+            bits = [parities(s, SLOTS) for s in sets]
+            more = [parities(s, min(MOST_SLOTS, 1 << (len(s) - 1).bit_length())) if len(s) > SLOTS else [] for s in sets]
+            return (None, [len(s) for s in sets], *(np.array([b[i] for b in bits], np.int64) for i in range(8)), more, [s.tobytes() for s in sets])
 
         return work
 
-    new = f"n long, {', '.join(f'{p} long' for p in PARITIES)}, features binary"
+    new = f"n long, {', '.join(f'{p} long' for p in PARITIES)}, more array<long>, features binary"
     return stage(map_column(texts.join(wanted, "ord", "left_semi").select("ord", F.col("text").cast("binary").alias("text")), "text", make, new), "wanted-sets")
 
 
@@ -240,10 +247,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _passes(a: str, b: str) -> Column:
-    """Size and parity filter: similar sets differ in (n_a + n_b) (BELOW - ABOVE) / (BELOW + ABOVE) features at most, and in as many at least as parities."""
-    n_a, n_b = F.col(f"{a}_n"), F.col(f"{b}_n")
+    """Size and parity filter: similar sets differ in (n_a + n_b) (BELOW - ABOVE) / (BELOW + ABOVE) features at most, and in as many at least as parities.
+
+    The parities of two long sets are compared in as many slots as the one with
+    fewer has.
+    """
+    n_a, n_b, x, y = F.col(f"{a}_n"), F.col(f"{b}_n"), F.col(f"{a}_more"), F.col(f"{b}_more")
+    few = lambda bits: bits * (ABOVE + BELOW) <= (n_a + n_b) * (BELOW - ABOVE)
     bits = reduce(Column.__add__, (F.bit_count(F.col(f"{a}_{p}").bitwiseXOR(F.col(f"{b}_{p}"))) for p in PARITIES))
-    return (F.least(n_a, n_b) * BELOW >= F.greatest(n_a, n_b) * ABOVE) & (bits * (ABOVE + BELOW) <= (n_a + n_b) * (BELOW - ABOVE))
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    half = lambda x: xor(F.slice(x, F.lit(1), F.shiftright(F.size(x), 1)), F.slice(x, F.shiftright(F.size(x), 1) + 1, F.shiftright(F.size(x), 1)))
+    differ = F.when(F.size(x) == F.size(y), xor(x, y)).when(F.size(x) > F.size(y), xor(half(x), y)).otherwise(xor(x, half(y)))
+    more = F.aggregate(differ, F.lit(0), lambda n, p: n + F.bit_count(p))
+    return (F.least(n_a, n_b) * BELOW >= F.greatest(n_a, n_b) * ABOVE) & few(bits) & ((F.least(n_a, n_b) <= SLOTS) | few(more))
 
 
 def distinct_lists(rows: DataFrame) -> DataFrame:
@@ -270,7 +286,7 @@ def joined(rows: DataFrame, sets: DataFrame) -> DataFrame:
     by_part = tagged.groupBy("list", "part").agg(F.count("*").alias("n")).groupBy("list").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts"))
     mixed = stage(by_part.filter("parts > 1").select("list", F.col("most.part").alias("main")), "lists-mixed")
     live = stage(tagged.join(mixed, "list").join(sets.drop("features"), "ord"), "lists-live")
-    side = lambda k, rows: rows.select("list", *(F.col(c).alias(f"{k}_{c}") for c in ("ord", "part", "tried", "n", *PARITIES)), F.col("main").alias(f"{k}_main"))
+    side = lambda k, rows: rows.select("list", *(F.col(c).alias(f"{k}_{c}") for c in ("ord", "part", "tried", "n", "more", *PARITIES)), F.col("main").alias(f"{k}_main"))
     differ = (F.col("a_part") != F.col("b_part")) & ((F.col("a_part") == F.col("a_main")) | (F.col("a_ord") < F.col("b_ord"))) & (F.col("a_ord") != F.col("b_tried")) & (F.col("b_ord") != F.col("a_tried"))
     met = side("a", live).join(side("b", live.filter("part <> main")), "list").filter(differ & _passes("a", "b"))
     pairs = stage(met.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b")).distinct(), "set-pairs-rest")
