@@ -43,6 +43,9 @@ def near_copies(seed=2):
             for _ in range(draw.randint(0, 4)):
                 own[draw.randrange(len(own))] = "edit" + str(draw.randint(0, 99))
     texts += [" ".join(words(40) + passage + words(40)) for _ in range(30)]
+    for n in (600, 1020):  # sets that have more parities, of different numbers
+        own = words(n)
+        texts += [" ".join(own), " ".join([*own, *words(n // 25)]), " ".join([*own[: n * 3 // 4], *words(n // 4)])]
     long = words(9000)
     texts += [" ".join(long), "\n".join([*long[:-3], "other"]), texts[0].upper(), texts[0].replace(" ", " \t\n"), texts[0], None, "", " \n", "one", "ONE", "one two", "two one", "é ß 漢字 don't", "É ß 漢字 don't", " ".join(["same"] * 500)]
     return list(enumerate(texts))
