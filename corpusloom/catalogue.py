@@ -9,12 +9,14 @@ from dataclasses import fields
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom import trees_of_customers as C
 from corpusloom.functions import text as T
 from corpusloom.operators import audit as O
+from corpusloom.operators import drift as D
+from corpusloom.operators import graph as G
 from corpusloom.operators.settings import matches
 from corpusloom.operators.settings import settings as settings_of_trees
 from corpusloom.plans import audit as A
@@ -442,6 +444,96 @@ def applied_log(spark, d) -> DataFrame:
     return A.bootstrap_lines(A.command_events(C.trees(spark, d), apply=True).filter(F.col("status").isin("applied", "failed")))
 
 
+@_query(f"""{T_SQL} SELECT repo, unnest(['.harness/checklists/b.md', 'docs/generated/g.md']) AS path FROM t UNION ALL SELECT repo, '.harness/checklists/c.md' FROM t WHERE k % 7 = 0 UNION ALL SELECT repo, '.harness/prompts/p1.md' FROM t WHERE k % 3 <> 1
+UNION ALL SELECT repo, 'lost0.md' FROM t WHERE k % 2 = 1 UNION ALL SELECT repo, 'docs/w0.md' FROM t WHERE NOT (k % 3 = 0 OR k % 5 <> 0 AND k % 4 = 0) UNION ALL SELECT repo, 'docs/w1.md' FROM t WHERE NOT (k % 3 = 1 OR k % 5 <> 0 AND k % 4 = 1)
+UNION ALL SELECT repo, 'docs/TESTING.md' FROM t WHERE k % 5 = 0 UNION ALL SELECT repo, 'docs/exec-plans/active/plan.md' FROM t WHERE k % 3 = 0 UNION ALL SELECT repo, 'docs/exec-plans/completed/done.md' FROM t WHERE k % 4 = 0""")
+def unused_documents(spark, d) -> DataFrame:
+    return D.unused_documents(stage(C.trees(spark, d), "trees"))
+
+
+@_query(f"""{T_SQL} SELECT repo, unnest(['src/fun.py', 'web/page.tsx']) AS path, unnest([concat('f', k), 'g']) AS name FROM t""")
+def unused_functions(spark, d) -> DataFrame:
+    return D.unused_functions(stage(C.trees(spark, d), "trees"))
+
+
+def _orders(spark, d) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_custkey").alias("repo"), F.col("o_orderkey").alias("node"), "o_totalprice", "o_orderpriority", F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next"), F.lead("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("next_price"))
+
+
+@_query("""
+WITH RECURSIVE o AS (SELECT o_custkey AS repo, o_orderkey AS node, o_totalprice AS price, o_orderpriority AS priority, lead(o_orderkey) OVER w AS next, lead(o_totalprice) OVER w AS next_price FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+e AS (SELECT repo, node AS source, next AS target FROM o WHERE next_price > price / 2), r AS (SELECT repo, node FROM o WHERE priority LIKE '1%' UNION SELECT e.repo, e.target FROM r JOIN e ON e.repo = r.repo AND e.source = r.node)
+SELECT repo, node FROM r
+""")
+def reached_orders(spark, d) -> DataFrame:
+    """Orders that follow on an urgent one, each worth more than half of the one before."""
+    orders = _orders(spark, d)
+    edges = orders.filter("next_price > o_totalprice / 2").select("repo", F.col("node").alias("source"), F.col("next").alias("target"))
+    return G.reached(edges, orders.filter("o_orderpriority like '1%'").select("repo", "node"))
+
+
+TRADE_SQL = """
+  WITH n AS (SELECT c_nationkey AS source, s_nationkey AS target, max(l_extendedprice) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL)
+  SELECT source, target FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, target) AS k FROM n) WHERE k = 1 OR k = 2 AND source % 2 = 0
+"""
+
+
+def _trade(spark, d) -> DataFrame:
+    """(repo, source, target): from each nation to those where it made its dearest purchases."""
+    t = lambda name: table(spark, d, name)
+    bought = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    most = bought.groupBy(F.col("c_nationkey").alias("source"), F.col("s_nationkey").alias("target")).agg(F.max("l_extendedprice").alias("n"))
+    ranked = most.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "target")))
+    return ranked.filter("k = 1 or k = 2 and source % 2 = 0").select(F.lit("").alias("repo"), "source", "target")
+
+
+@_query(f"""WITH RECURSIVE e AS ({TRADE_SQL}), r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON e.source = r.target)
+SELECT a.source AS node, min(b.target) AS cycle FROM r a JOIN r b ON a.source = b.source AND a.target = a.source JOIN r c ON c.source = b.target AND c.target = b.source GROUP BY a.source""")
+def trade_cycles(spark, d) -> DataFrame:
+    """Nations that buy from each other in a circle."""
+    return G.cycles(_trade(spark, d)).select("node", "cycle")
+
+
+@_query(f"""WITH e AS ({TRADE_SQL}), r AS (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT source, target, a.r_name AS source_layer, b.r_name AS target_layer FROM e JOIN r a ON source = a.n_nationkey JOIN r b ON target = b.n_nationkey
+WHERE a.r_name <> b.r_name AND (a.r_name, b.r_name) NOT IN (('ASIA', 'EUROPE'), ('AFRICA', 'EUROPE'), ('AMERICA', 'ASIA'))""")
+def trade_against_direction(spark, d) -> DataFrame:
+    """The same trade where it leads from one region to another that it is not meant to lead to."""
+    regions = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    of = lambda end: regions.select(F.col("n_nationkey").alias(end), F.col("r_name").alias(f"{end}_layer"))
+    edges = _trade(spark, d).join(of("source"), "source").join(of("target"), "target")
+    return D.layer_violations(edges, (("ASIA", "EUROPE"), ("AFRICA", "EUROPE"), ("AMERICA", "ASIA"))).select("source", "target", "source_layer", "target_layer")
+
+
+@_query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), p AS (SELECT unnest(['License', 'licensed', 'MIT', '4.0', 'the', 'que']) AS pattern),
+c AS (SELECT DISTINCT doc_id, pattern, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS context FROM l, p
+  WHERE CASE WHEN pattern = '4.0' THEN contains(line, '4.0') ELSE list_contains(regexp_extract_all(line, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), pattern) END)
+SELECT pattern, context, count(*) AS n_texts, min(doc_id) AS first_doc FROM c GROUP BY pattern, context HAVING count(*) >= 2
+""")
+def shared_placeholders(spark, d) -> DataFrame:
+    found = D.shared_placeholders(table(spark, d, "documents"), ["doc_id"], ["License", "licensed", "MIT", "4.0", "the", "que"], 2, "text")
+    return found.select("pattern", "context", "n_texts", F.col("first.doc_id").alias("first_doc"))
+
+
+PATTERNS = "concat('*/', left(list_extract(string_split(url, '/'), 4), 2), '/', left(coalesce(list_extract(string_split(url, '/'), 5), ''), 1), '*')"
+
+
+@_query(f"""
+WITH u AS (SELECT page_id, url, list_extract(string_split(url, '/'), 3) AS host FROM pages),
+p AS (SELECT host, {PATTERNS} AS pattern FROM u WHERE page_id % 3 = 0 UNION SELECT host, concat('*', right(url, 3)) FROM u WHERE page_id % 5 = 0 UNION SELECT host, concat('*?page=', '[0-', page_id % 9, ']*') FROM u WHERE page_id % 7 = 0 UNION SELECT host, concat('*//', host, '/*') FROM u WHERE page_id % 11 = 0)
+SELECT page_id, pattern FROM u JOIN p USING (host) WHERE lower(url) GLOB lower(pattern)
+""")
+def patterns_of_hosts(spark, d) -> DataFrame:
+    """Pages with the wildcards of their host that fit their address; every host has its own, taken from some of its pages."""
+    u = table(spark, d, "pages").select("page_id", "url", F.get(F.split("url", "/"), F.lit(2)).alias("host"))
+    part = lambda i: F.coalesce(F.get(F.split("url", "/"), F.lit(i)), F.lit(""))
+    of = lambda n, pattern: u.filter(F.col("page_id") % n == 0).select("host", pattern.alias("pattern"))
+    own = of(3, F.concat(F.lit("*/"), F.substring(part(3), 1, 2), F.lit("/"), F.substring(part(4), 1, 1), F.lit("*")))
+    more = of(5, F.concat(F.lit("*"), F.right("url", F.lit(3)))).union(of(7, F.concat(F.lit("*?page=[0-"), F.col("page_id") % 9, F.lit("]*")))).union(of(11, F.concat(F.lit("*//"), "host", F.lit("/*"))))
+    return matches(u, own.union(more), ["host"], "url").select("page_id", "pattern")
+
+
 @_query("""
 SELECT * FROM (VALUES ('maintenance_finding_threshold', '5'), ('stale_active_plan_days', '7'), ('placeholder_todo_threshold', '3'), ('placeholder_patterns', 'A,B'), ('require_exec_plan_usage', 'False'),
  ('warning_lines', '9'), ('feature_freeze_lines', '800'), ('failure_lines', '1200'), ('markup_warning_lines', '800'), ('markup_feature_freeze_lines', '1200'), ('markup_failure_lines', '1800'),

@@ -123,15 +123,16 @@ def matches(paths: DataFrame, patterns: DataFrame, key: list[str], path: str = "
     expressions run on what meets there. Repeated rows of ``paths`` stay,
     repeated patterns of a key count once; null or blank patterns fit nothing.
     """
-    ruled = patterns.select(*key, pattern).distinct().select(*key, pattern, F.explode(rules(F.array(pattern))).alias("rule"))
+    # columns of either side may have one origin or share a name
+    own = patterns.select(*(F.col(k).alias(f"rule {k}") for k in key), F.col(pattern).alias("rule pattern")).distinct()
+    ruled = own.select("*", F.explode(rules(F.array("rule pattern"))).alias("rule"))
     extension = lambda c: F.regexp_extract(c, r"(\.[^.]*)$", 1)
     filed = F.when(F.col("rule.segment") != "", F.concat(F.lit("s"), "rule.segment")).when(extension("rule.ending") != "", F.concat(F.lit("e"), extension(F.col("rule.ending")))).otherwise("")
-    low = F.lower(F.ltrim(T.slashes(path), F.lit("/")))
+    whole = F.ltrim(T.slashes(path), F.lit("/"))
+    low = F.lower(whole)
     asked = F.array_distinct(F.concat(F.transform(F.split(low, "/"), lambda s: F.concat(F.lit("s"), s)), F.array(F.concat(F.lit("e"), extension(low)), F.lit(""))))
-    met = paths.withColumn("asked__", F.explode(asked)).join(ruled.withColumn("filed__", filed), [*(paths[k] == ruled[k] for k in key), F.col("asked__") == F.col("filed__")])
-    own = F.ltrim(T.slashes(paths[path]), F.lit("/"))
-    fit = matching(own, F.split(F.lower(own), "/"), F.col("rule"))
-    return met.filter(fit).select(*(paths[c] for c in paths.columns), ruled[pattern])
+    met = paths.withColumn("rule asked", F.explode(asked)).join(ruled.withColumn("rule filed", filed), [*(F.col(k) == F.col(f"rule {k}") for k in key), F.col("rule asked") == F.col("rule filed")])
+    return met.filter(matching(whole, F.split(low, "/"), F.col("rule"))).select(*paths.columns, F.col("rule pattern").alias(pattern))
 
 
 def with_settings(files: DataFrame, known: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "pages", "events", "customer"):
+    for t in ("documents", "labels", "pages", "events", "customer", "orders", "lineitem", "supplier", "nation", "region"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = catalogue.queries()[name](spark, SF)
     want = con.execute(catalogue.oracle_sql()[name])
