@@ -171,15 +171,15 @@ def _softmax_error(x: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarr
 def _forward(net: Net, run: Lanes, a: int, b: int, n: int, h: np.ndarray, keep: bool):
     """States of steps a to b for the first n lanes; what the backward pass needs, if ``keep``: states before, gates, inner, where texts go on."""
     goes_on = (~run.first[a:b, :n, None]).astype(np.float32)
-    gates = np.empty((3, b - a if keep else 1, n, STATE), np.float32)  # reset, update and new state
+    gates = np.empty((3, b - a, n, STATE), np.float32)  # reset, update and new state
+    for table, gate in zip(net.x, gates, strict=True):
+        np.take(table, run.before[a:b, :n], axis=0, out=gate, mode="clip")
     states, y = np.empty((b - a, n, STATE), np.float32), np.empty((3, n, STATE), np.float32)
     before, inner = (np.empty_like(states), np.empty_like(states)) if keep else (np.empty((1, n, STATE), np.float32),) * 2
     for t in range(b - a):
         h0 = np.multiply(h, goes_on[t], out=before[t if keep else 0])
         np.matmul(h0, net.u, out=y)
-        now = gates[:, t if keep else 0]
-        for table, gate in zip(net.x, now, strict=True):
-            np.take(table, run.before[a + t, :n], axis=0, out=gate, mode="clip")
+        now = gates[:, t]
         both = now[:2]
         both += y[:2]
         np.negative(both, out=both)
@@ -206,12 +206,21 @@ def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield c, order[bounds[c] : bounds[c + 1]]
 
 
+def _windows(run: Lanes, window: int, tokens: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, lanes) of windows of ``window`` steps, longer where few lanes go on: up to ``tokens`` tokens, 512 steps at most."""
+    a = 0
+    while a < len(run.tokens):
+        n = int(run.active[a])
+        b = min(len(run.tokens), a + max(window, min(512, tokens // n)))
+        yield a, b, n
+        a = b
+
+
 def log_likelihoods(net: Net, docs: list[np.ndarray], width: int = 512, window: int = 32) -> np.ndarray:
     """Natural log-likelihood of each document's places (for PLACES, of its class), the state carried across windows."""
     run, total = lanes(docs, width), np.zeros(len(docs))
     h = np.zeros((run.tokens.shape[1], STATE), np.float32)
-    for a in range(0, len(run.tokens), window):
-        b, n = min(a + window, len(run.tokens)), int(run.active[a])
+    for a, b, n in _windows(run, window, 4096):
         states, _, h = _forward(net, run, a, b, n, h[:n], False)
         valid = run.doc[a:b, :n] >= 0
         s, word, doc = states[valid], run.tokens[a:b, :n][valid], run.doc[a:b, :n][valid]
@@ -240,8 +249,7 @@ class Trainer:
         """One pass over all of ``docs``; gradients stop at the bounds of a window, states go on to the end of the text."""
         run, net = lanes(docs, width, np.random.default_rng(self.t)), self.net
         h = np.zeros((run.tokens.shape[1], STATE), np.float32)
-        for a in range(0, len(run.tokens), window):
-            b, n = min(a + window, len(run.tokens)), int(run.active[a])
+        for a, b, n in _windows(run, window, STEP_TOKENS):
             states, (before, gates, inner, goes_on), h = _forward(net, run, a, b, n, h[:n], True)
             valid = run.doc[a:b, :n] >= 0
             s, word = states[valid], run.tokens[a:b, :n][valid]
@@ -259,10 +267,12 @@ class Trainer:
                 back[at] += q @ net.wo[c].T
             outer = np.zeros_like(states)
             outer[valid] = back
-            into_x, into_inner, dh = np.empty((3, b - a, n, STATE), np.float32), np.empty_like(states), np.zeros((n, STATE), np.float32)
+            into, d_new, dh = np.empty((b - a, n, 3 * STATE), np.float32), np.empty_like(states), np.zeros((n, STATE), np.float32)
+            back_u = np.concatenate([u.T for u in net.u])
             for t in range(b - a - 1, -1, -1):
                 r, z, new = gates[:, t]
-                dr, dz, dn = into_x[:, t]
+                dr, dz, inner_d = into[t, :, :STATE], into[t, :, STATE : 2 * STATE], into[t, :, 2 * STATE :]
+                dn = d_new[t]
                 dh += outer[t]
                 other = 1 - z
                 np.multiply(new, new, out=dn)
@@ -277,10 +287,9 @@ class Trainer:
                 dr *= r
                 dr *= inner[t]
                 dr *= dn
-                np.multiply(dn, r, out=into_inner[t])
+                np.multiply(dn, r, out=inner_d)
                 dh *= z
-                for d, u in zip((dr, dz, into_inner[t]), net.u, strict=True):
-                    dh += d @ u.T
+                dh += into[t] @ back_u
                 dh *= goes_on[t]
             came = run.before[a:b, :n].ravel().astype(np.uint16)
             order = np.argsort(came, kind="stable")
@@ -288,9 +297,10 @@ class Trainer:
             many = int(np.searchsorted(came, PLACES))
             starts = np.flatnonzero(np.diff(came[:many].astype(np.int32), prepend=-1))
             held = before.reshape(-1, STATE).T
-            for k, d in enumerate((into_x[0], into_x[1], into_inner)):
-                grad.u[k] += held @ d.reshape(-1, STATE)
-                rows = into_x[k].reshape(-1, STATE).take(order, axis=0)
+            of_u = held @ into.reshape(-1, 3 * STATE)
+            for k, d in enumerate((into[..., :STATE], into[..., STATE : 2 * STATE], d_new)):
+                grad.u[k] += of_u[:, k * STATE : (k + 1) * STATE]
+                rows = d.reshape(-1, STATE).take(order, axis=0)
                 grad.x[k, PLACES] += np.ones(len(rows) - many, np.float32) @ rows[many:]  # the most frequent place
                 if many:
                     grad.x[k, came[starts]] += np.add.reduceat(rows[:many], starts, axis=0)
