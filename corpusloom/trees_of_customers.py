@@ -57,7 +57,8 @@ def trees(spark, sf_dir: str) -> DataFrame:
         ("pyproject.toml", F.lit("pytest Ruff\n"), _k(3) == 1), ("uv.lock", F.lit(""), _k(6) == 1), ("Cargo.toml", F.lit("[package]\n"), _k(5) == 0), ("go.mod", F.lit("module m\n"), _k(7) == 0),
     ]
     file = lambda path, content, when: F.when(F.lit(True) if when is None else when, F.struct(F.lit(path).alias("path"), content.alias("content")))
-    own = table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo"), F.col("c_custkey").alias("k"))
+    # a customer is a short row and many files: spread before they are made
+    own = table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo"), F.col("c_custkey").alias("k")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
     every = own.select("repo", "k", F.inline(F.filter(F.array(*(file(*x) for x in files)), lambda x: x.isNotNull())))
     hours = 24 * (F.col("k") % 30) + 12 * (F.col("k") % 2)
     at = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(hours=hours.cast("int"))
