@@ -1,21 +1,23 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 A 64-bit fingerprint has eight positional bytes. Two fingerprints that differ
-in at most ``max_bits`` = 4 bits differ in at most four bytes, so they share at
-least four of the eight positional bytes: the guaranteed minimum. An index on
-single positional bytes has lists of n/256 entries, whose pairs grow with the
-square of the corpus. Its entries are therefore keyed by three positions at
-once, for a cover of twenty triples such that any four positions hold at least
-one of them. No pair that reaches the minimum is missed.
+in at most ``max_bits`` bits differ in at most that many bytes, so they share at
+least ``8 - max_bits`` positional bytes: the guaranteed minimum (four of eight
+for the four bits of the default). An index on single positional bytes has lists
+of n/256 entries, whose pairs, once tallied, grow with the square of the corpus.
+Postings are therefore keyed by as many positional bytes at once as the minimum
+asks for, for every choice of positions. A pair that meets in a list has
+reached the minimum there, and a pair that meets nowhere has not: membership is
+the tally, no pair below the minimum is ever formed, and chance lists of 32 bits
+stay short when the corpus grows.
 
 Pairs are not enumerated within a list. First each entry is compared with the
 smallest fingerprint of its list only; components of these links are found.
 Then, in lists that still hold several components, the entries outside the
 list's most frequent component are compared with all others of the list. Any
 link between two components has an end outside the most frequent one, so no
-link that joins components is lost. Each comparison tallies the shared
-positional bytes, keeps pairs that reach the minimum, and verifies the number of
-differing bits.
+link that joins components is lost. Each pair that met is verified by its
+number of differing bits.
 """
 
 from __future__ import annotations
@@ -33,15 +35,14 @@ from corpusloom.plans.staging import stage, table
 
 SEED = 42
 MAX_BITS = 4
-MIN_SHARED = 8 - MAX_BITS
+LIST = ["at", "shared"]  # which positions, and their bytes in place
 
 
-def cover() -> list[tuple[int, int, int]]:
-    """Twenty triples of the positions 0 to 7; any four positions hold at least one (three cyclic groups)."""
-    groups = [(0, 1, 2), (3, 4, 5), (6, 7)]
-    inside = [t for g in groups for t in combinations(g, 3)]
-    across = [(*two, one) for i, g in enumerate(groups) for two in combinations(g, 2) for one in groups[(i + 1) % 3]]
-    return inside + across
+def cover(max_bits: int = MAX_BITS) -> list[tuple[int, ...]]:
+    """The sets of positions that key the index: every choice of the fewest that a link must share."""
+    if not 0 <= max_bits <= 7:
+        raise ValueError("max_bits must be 0 to 7: beyond that a link may share no byte")
+    return list(combinations(range(8), 8 - max_bits))
 
 
 def fingerprint(text: bytes | None, width: int = 4, seed: int = SEED) -> int:
@@ -70,41 +71,47 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
     return map_column(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")), "text", make, "fp long")
 
 
-def _near(a: F.Column, b: F.Column) -> F.Column:
-    same = sum((F.shiftrightunsigned(a.bitwiseXOR(b), 8 * i).bitwiseAND(255) == 0).cast("int") for i in range(8))
-    return (same >= MIN_SHARED) & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+def _near(a: F.Column, b: F.Column, max_bits: int) -> F.Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= max_bits
 
 
-def linked(nodes: DataFrame) -> DataFrame:
+def _postings(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, at, shared): one row for every set of positions, with the bytes at these positions and zeros elsewhere."""
+    masks = [sum(255 << 8 * i for i in at) for at in cover(max_bits)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    keys = [F.struct(F.lit(n).cast("short").alias("at"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("shared")) for n, m in enumerate(signed)]
+    return nodes.select("fp", F.explode(F.array(*keys)).alias("key")).select("fp", "key.at", "key.shared")
+
+
+def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(node, label): components of the fingerprints ``fp`` (distinct) that have a link; label is the component's smallest."""
-    byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(255)
-    keys = [F.shiftleft(byte(i), 16) + F.shiftleft(byte(j), 8) + byte(k) + F.lit(n << 24) for n, (i, j, k) in enumerate(cover())]
-    postings = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
-    lists = stage(postings.groupBy("key").agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").drop("last"), "simhash-lists")
-    live = stage(postings.join(lists, "key"), "simhash-postings")
-    stars = live.filter((F.col("fp") != F.col("first")) & _near(F.col("fp"), F.col("first"))).select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    postings = _postings(nodes, max_bits)
+    lists = stage(postings.groupBy(*LIST).agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").drop("last"), "simhash-lists")
+    live = stage(postings.join(lists, LIST), "simhash-postings")
+    stars = live.filter((F.col("fp") != F.col("first")) & _near(F.col("fp"), F.col("first"), max_bits)).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     known = components(stars)
-    live = stage(live.select("key", "fp").join(known, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("label", "fp").alias("part")), "simhash-parts")
-    mixed = live.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = stage(mixed.select("key", F.col("most.part").alias("main")), "simhash-mixed")
-    other = stage(live.join(mixed, "key").filter("part <> main").select("key", F.col("fp").alias("b"), F.col("part").alias("part_b")), "simhash-other")
-    met = live.join(other, "key").filter((F.col("part") != F.col("part_b")) & _near(F.col("fp"), F.col("b"))).select(F.col("part").alias("a"), F.col("part_b").alias("b"))
+    live = stage(live.select(*LIST, "fp").join(known, F.col("fp") == F.col("node"), "left").select(*LIST, "fp", F.coalesce("label", "fp").alias("part")), "simhash-parts")
+    mixed = live.groupBy(*LIST, "part").agg(F.count("*").alias("n")).groupBy(*LIST).agg(F.max(F.struct("n", "part")).alias("most"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = stage(mixed.select(*LIST, F.col("most.part").alias("main")), "simhash-mixed")
+    other = stage(live.join(mixed, LIST).filter("part <> main").select(*LIST, F.col("fp").alias("b"), F.col("part").alias("part_b")), "simhash-other")
+    met = live.join(other, LIST).filter((F.col("part") != F.col("part_b")) & _near(F.col("fp"), F.col("b"), max_bits)).select(F.col("part").alias("a"), F.col("part_b").alias("b"))
     joined = components(met)  # of components, by their smallest fingerprints
     reach = nodes.select("fp").join(known, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("part"))
     return stage(reach.join(joined, F.col("part") == F.col("node"), "left").select(F.col("fp").alias("node"), F.coalesce("label", "part").alias("label")), "simhash-linked")
 
 
-def simhash_components(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 4, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Null and empty texts have fingerprint zero and link like any other. A text
     with fewer words than ``width`` is one shingle. Equal fingerprints are
-    linked. Null ids take part but are never a component_id unless a component
-    has no other. An empty table gives an empty result.
+    linked, and so are those that differ in at most ``max_bits`` bits. Null ids
+    take part but are never a component_id unless a component has no other. An
+    empty table gives an empty result.
     """
     prints = stage(fingerprints(docs, width, id_col, text_col), "fingerprints")
     nodes = stage(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    found = linked(nodes).join(nodes, F.col("node") == F.col("fp"))
+    found = linked(nodes, max_bits).join(nodes, F.col("node") == F.col("fp"))
     best = stage(found.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-best")
     of = stage(found.select("fp", "label").join(best, "label").select("fp", "component_id"), "simhash-components")
     return prints.join(of, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

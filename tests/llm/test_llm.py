@@ -543,8 +543,11 @@ def test_simhash(docs, empty, odd):
 
 
 def test_cover_and_linked(spark):
-    triples = [set(t) for t in simhash.cover()]
-    assert len(triples) == 20 and all(any(t <= set(four) for t in triples) for four in combinations(range(8), 4))
+    for bits in range(8):
+        sets = [set(t) for t in simhash.cover(bits)]
+        assert all(any(t <= set(shared) for t in sets) for shared in combinations(range(8), 8 - bits)) and all(len(t) == 8 - bits for t in sets)
+    with pytest.raises(ValueError):
+        simhash.cover(8)
     draw = random.Random(9)
     prints = {0, (1 << 64) - 1}
     for _ in range(6):
@@ -554,19 +557,20 @@ def test_cover_and_linked(spark):
             for b in draw.sample(range(64), draw.randint(1, 5)):
                 chain ^= 1 << b
     prints = [p - (1 << 64) if p >> 63 else p for p in prints]
-    parent = {p: p for p in prints}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in combinations(prints, 2):
-        if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4:
-            a, b = sorted((find(a), find(b)))
-            parent[b] = a
-    got = {r["node"]: r["label"] for r in simhash.linked(spark.createDataFrame([(p,) for p in prints], "fp long")).collect()}
-    assert got == {p: find(p) for p in prints}
+    for bits in (4, 1, 6):
+        parent = {p: p for p in prints}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in combinations(prints, 2):
+            if ((a ^ b) & (1 << 64) - 1).bit_count() <= bits:
+                a, b = sorted((find(a), find(b)))
+                parent[b] = a
+        got = {r["node"]: r["label"] for r in simhash.linked(spark.createDataFrame([(p,) for p in prints], "fp long"), bits).collect()}
+        assert got == {p: find(p) for p in prints}
 
 
 def test_components(spark):
