@@ -3,10 +3,11 @@
 Documents become token ids in tasks. Only the table of piece lengths, at most
 ``capacity`` rows whatever the corpus, is planned on the driver: large lengths
 are put in groups of equal cardinality and rounded up to the largest of each
-group; configurations of the few rounded sizes are filled by a bounded
-knapsack, largest size first; the actual lengths, known by their rank, take
-the places of the rounded ones; small lengths then go, longest first, where
-they fit best, into what is left. A plan row covers a whole range of ranks
+group; the configuration program of the few rounded sizes is solved by column
+generation, a knapsack pricing each new configuration, and rounded down; what
+the rounding leaves is filled by a bounded knapsack, largest size first; the
+actual lengths, known by their rank, take the places of the rounded ones; small
+lengths then go, longest first, where they fit best, into what is left. A plan row covers a whole range of ranks
 of one length. Pieces learn their rank among those of equal length from
 bucket counts, so no length, however common, is ranked in one task.
 """
@@ -20,6 +21,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,7 +151,68 @@ class _Bins:
         self.used += k * length
 
 
+def _best_fill(sizes: list[int], worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size make the fullest worth within ``capacity``; any number of each may be taken."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for g, n in enumerate(sizes):
+        if worth[g] <= 0:
+            continue
+        for a in range(n, capacity + 1, n):  # a run of n sums builds on the run before it
+            b = min(a + n, capacity + 1)
+            more = best[a - n : b - n] + worth[g]
+            better = more > best[a:b] + 1e-12
+            best[a:b][better] = more[better]
+            last[a:b][better] = g
+    use, at = np.zeros(len(sizes)), capacity
+    while last[at] >= 0:
+        use[last[at]] += 1
+        at -= sizes[last[at]]
+    return use
+
+
+def configuration_program(sizes: list[int], counts: list[int], capacity: int) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """(times, {size's place: how many}) of the linear program with the fewest bins in all, and that number.
+
+    Minimise the sum of times, so that every size is placed ``counts`` times.
+    Columns are generated: the simplex basis starts with one size a
+    configuration, its prices ask the knapsack for a configuration worth more
+    than the bin it takes, and that one replaces the configuration which runs out
+    first. It ends when no configuration is worth more. Sizes without a count
+    are left out. Any basis on the way is a whole plan, so the limit on rounds
+    costs bins at worst, never rows.
+    """
+    live = [g for g in range(len(sizes)) if counts[g]]
+    if not live:
+        return [], 0.0
+    some, need = [sizes[g] for g in live], np.array([counts[g] for g in live], float)
+    basis = np.diag([float(capacity // n) for n in some])
+    for _ in range(50 * len(some)):
+        prices = np.linalg.solve(basis.T, np.ones(len(some)))
+        new = _best_fill(some, prices, capacity)
+        if prices @ new <= 1 + 1e-9:
+            break
+        times, move = np.linalg.solve(basis, np.column_stack([need, new])).T
+        may = move > 1e-9
+        share = np.where(may, np.maximum(times, 0) / np.where(may, move, 1), np.inf)
+        basis[:, int(share.argmin())] = new
+    times = np.maximum(np.linalg.solve(basis, need), 0)
+    columns = [(float(x), {live[i]: int(k) for i, k in enumerate(basis[:, j]) if k}) for j, x in enumerate(times)]
+    return [c for c in columns if c[0] > 1e-9], float(times.sum())
+
+
 def _configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(repeats, {group: how many}): the configuration program rounded down, then what is left over."""
+    left, out = list(counts), []
+    for x, use in configuration_program(sizes, counts, capacity)[0]:
+        times = min([int(x + 1e-6), *(left[g] // k for g, k in use.items())])
+        if times:
+            out.append((times, use))
+            for g, k in use.items():
+                left[g] -= times * k
+    return out + _fill_rest(sizes, left, capacity)
+
+
+def _fill_rest(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """(repeats, {group: how many}): the largest size left and the fullest knapsack beside it, as often as counts allow."""
     left, out = list(counts), []
     order = sorted(range(len(sizes)), key=lambda g: -sizes[g])
@@ -189,7 +252,7 @@ def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
     for n in large:  # a group: (length, first rank, how many), longest first
         rank = 0
         while rank < counts[n]:
-            if seen % each == 0:
+            if seen % each == 0 and not (sizes and sizes[-1] == n):  # groups of one length are one size
                 sizes.append(n)
                 members.append([])
             k = min(counts[n] - rank, each - seen % each)
@@ -252,9 +315,16 @@ def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
 
 
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[_Bins]:
-    """The fewest bins among a few numbers of groups and limits for small lengths."""
-    plans = [plan_lengths(counts, capacity, groups, max(1, capacity // part)) for groups in (24, 96) for part in (8, 4, 3)]
-    return min(plans, key=lambda p: sum(x.copies for x in p))
+    """The fewest bins among a few numbers of groups and limits for small lengths; the first plan that no other can beat."""
+    least, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
+    for groups in (24, 96):
+        for part in (8, 4, 3):
+            plan = plan_lengths(counts, capacity, groups, max(1, capacity // part))
+            if best is None or sum(x.copies for x in plan) < sum(x.copies for x in best):
+                best = plan
+            if sum(x.copies for x in best) == least:
+                return best
+    return best
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

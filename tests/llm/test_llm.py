@@ -258,6 +258,46 @@ def test_plan_lengths():
         assert used <= 1.1 * least + 2
 
 
+def test_configuration_program():
+    def all_configurations(sizes, room):
+        if not sizes:
+            yield ()
+            return
+        for k in range(room // sizes[0] + 1):
+            for rest in all_configurations(sizes[1:], room - k * sizes[0]):
+                yield (k, *rest)
+
+    # a textbook cutting-stock problem: 452.25 rolls by the linear program, 453 whole ones
+    sizes, counts = [45, 36, 31, 14], [97, 610, 395, 211]
+    columns, value = packing.configuration_program(sizes, counts, 100)
+    assert abs(value - 452.25) < 1e-6
+    assert all(sum(sizes[g] * k for g, k in use.items()) <= 100 for _, use in columns)
+    assert sum(x.copies for x in packing.best_plan(dict(zip(sizes, counts, strict=True)), 100)) == 453
+    assert packing.configuration_program([3, 2], [0, 0], 10) == ([], 0.0)
+
+    draw = random.Random(11)
+    for _ in range(20):
+        cap = draw.randint(20, 60)
+        sizes = sorted(draw.sample(range(cap // 6, cap + 1), 5), reverse=True)
+        counts = [draw.randint(0, 40) for _ in sizes]
+        columns, value = packing.configuration_program(sizes, counts, cap)
+        for g, n in enumerate(counts):
+            assert abs(sum(x * use.get(g, 0) for x, use in columns) - n) < 1e-6
+        # weak duality from every configuration: no prices that respect all of them exceed the value, and these reach it
+        every = [c for c in all_configurations(sizes, cap) if any(c)]
+        basis = [use for _, use in columns]
+        live = [g for g in range(5) if counts[g]]
+        rows = np.array([[use.get(g, 0) for g in live] for use in basis], float)
+        prices = np.linalg.lstsq(rows, np.ones(len(basis)), rcond=None)[0]
+        if len(basis) == len(live):  # a degenerate basis does not fix its prices
+            assert abs(prices @ [counts[g] for g in live] - value) < 1e-6
+            assert all(sum(p * c[g] for p, g in zip(prices, live, strict=True)) <= 1 + 1e-6 for c in every)
+        taken = packing._configurations(sizes, counts, cap)
+        for g, n in enumerate(counts):
+            assert sum(t * use.get(g, 0) for t, use in taken) == n
+        assert value - 1e-6 <= sum(t for t, _ in taken) <= value + 5
+
+
 def test_pack_documents(docs, empty, odd):
     path, cap = public_tokenizers.path("word_bpe_49k.json"), 128
     got = packing.pack_documents(docs, capacity=cap, with_ids=True).collect()
