@@ -317,13 +317,12 @@ def plan_lengths(counts: dict[int, int], capacity: int = CAPACITY, groups: int =
 def best_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[_Bins]:
     """The fewest bins among a few numbers of groups and limits for small lengths; the first plan that no other can beat."""
     least, best = -(-sum(n * c for n, c in counts.items()) // capacity), None
-    for groups in (24, 96):
-        for part in (8, 4, 3):
-            plan = plan_lengths(counts, capacity, groups, max(1, capacity // part))
-            if best is None or sum(x.copies for x in plan) < sum(x.copies for x in best):
-                best = plan
-            if sum(x.copies for x in best) == least:
-                return best
+    for groups, part in ((24, 8), (96, 4), (384, 3), (384, 2)):
+        plan = plan_lengths(counts, capacity, groups, max(1, capacity // part))
+        if best is None or sum(x.copies for x in plan) < sum(x.copies for x in best):
+            best = plan
+        if sum(x.copies for x in best) == least:
+            break
     return best
 
 
