@@ -85,8 +85,9 @@ def _postings(nodes: DataFrame, max_bits: int) -> DataFrame:
 
 def linked(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(node, label): components of the fingerprints ``fp`` (distinct) that have a link; label is the component's smallest."""
-    postings = _postings(nodes, max_bits)
-    lists = stage(postings.groupBy(*LIST).agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").drop("last"), "simhash-lists")
+    postings = _postings(nodes, max_bits).repartition(*LIST)  # one exchange, read by the lists and by the join with them
+    lists = postings.groupBy(*LIST).agg(F.min("fp").alias("first"), F.max("fp").alias("last")).filter("first <> last").drop("last")
+    lists = lists.hint("merge")  # their size is underestimated before the explode, so they must not be broadcast on that estimate
     live = stage(postings.join(lists, LIST), "simhash-postings")
     stars = live.filter((F.col("fp") != F.col("first")) & _near(F.col("fp"), F.col("first"), max_bits)).select(F.col("fp").alias("a"), F.col("first").alias("b"))
     known = components(stars)
