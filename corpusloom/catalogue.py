@@ -240,8 +240,7 @@ def _audit(spark, d, **asked) -> tuple[DataFrame, DataFrame]:
 @_query(f'{T_SQL} SELECT repo, "check", path FROM ({REFS_SQL}) WHERE {GONE_SQL}')
 def missing_references(spark, d) -> DataFrame:
     files = C.trees(spark, d)
-    found = [O.missing_references(O.references(files, source, heading, below), files).select("repo", F.lit(check).alias("check"), "path") for check, source, heading, below in A.REFERENCES]
-    return reduce(DataFrame.unionByName, found)
+    return O.missing_references(A.all_references(files), files).select("repo", "check", "path")
 
 
 @_query(f'{T_SQL} SELECT repo, "check", path FROM ({REFS_SQL}) WHERE NOT {GONE_SQL}')

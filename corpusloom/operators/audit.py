@@ -38,12 +38,13 @@ def reference_path(ref: Column | str, below: str = "") -> Column:
 
 def places(files: DataFrame) -> DataFrame:
     """(repo, path) of every file and of every folder that holds one, folders once for each of their files."""
-    up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))
+    up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda n: F.call_function("substring_index", F.col("path"), F.lit("/"), n))
     return files.select("repo", F.explode(up).alias("path"))
 
 
 def missing_references(refs: DataFrame, files: DataFrame) -> DataFrame:
-    return refs.join(places(files), KEY, "left_anti")
+    """Rows of ``refs`` whose path is no place. Places are many times what Spark expects of a table, so no join may broadcast them."""
+    return refs.join(places(files).hint("merge"), KEY, "left_anti")
 
 
 def present_references(refs: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,10 +58,12 @@ def trees(spark, sf_dir: str) -> DataFrame:
         ("package.json", package, _k(2) == 0), ("pnpm-lock.yaml", F.lit(""), _k(3) == 0), ("yarn.lock", F.lit(""), _k(5) == 0),
         ("pyproject.toml", F.lit("pytest Ruff\n"), _k(3) == 1), ("uv.lock", F.lit(""), _k(6) == 1), ("Cargo.toml", F.lit("[package]\n"), _k(5) == 0), ("go.mod", F.lit("module m\n"), _k(7) == 0),
     ]
-    file = lambda path, content, when: F.when(F.lit(True) if when is None else when, F.struct(F.lit(path).alias("path"), content.alias("content")))
+    # paths first, contents by path: what asks for some of the files, or for paths only, makes no other contents
+    paths = F.array_compact(F.array(*(F.lit(path) if when is None else F.when(when, path) for path, _, when in files)))
+    content = reduce(lambda found, x: found.when(F.col("path") == x[0], x[1]), files, F)
     # a customer is a short row and many files: spread before they are made
     own = table(spark, sf_dir, "customer").select(F.col("c_name").alias("repo"), F.col("c_custkey").alias("k")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
-    every = own.select("repo", "k", F.inline(F.filter(F.array(*(file(*x) for x in files)), lambda x: x.isNotNull())))
+    every = own.select("repo", "k", F.explode(paths).alias("path")).withColumn("content", content)
     hours = 24 * (F.col("k") % 30) + 12 * (F.col("k") % 2)
     at = F.to_timestamp(F.lit(AS_OF)) - F.make_dt_interval(hours=hours.cast("int"))
     return every.select("repo", "path", F.octet_length("content").cast("long").alias("size"), at.alias("mtime"), "content", "k")

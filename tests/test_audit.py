@@ -171,3 +171,17 @@ def test_excluded_leading_slash(spark):
     paths = spark.createDataFrame([("/src/a.py",), ("x\\gen\\a.py",), ("scripts/validate-harness.ps1",), ("src/b.py",)], "path string")
     config = S.Config(excluded_paths=("/gen/",), excluded_patterns=("/src/a*", "/"))
     assert [r[0] for r in paths.select(O.is_excluded("path", config)).collect()] == [True, True, True, False]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("found", [O.missing_references])
+def test_places_are_not_broadcast(spark, found):
+    """However small Spark thinks them: they went through the driver."""
+    files = tree(spark, {"a/b/c.md": "x"})
+    refs = spark.createDataFrame([("r", p) for p in ("a", "a/b", "a/b/c.md", "a/b/c", "b", "docs", "docs")], "repo string, path string")
+    got = sorted(r["path"] for r in found(refs, files).collect())
+    assert got == (["a/b/c", "b"] if found is O.missing_references else ["a", "a/b", "a/b/c.md", "docs", "docs"])
+    assert "Broadcast" not in plan(found(refs, files))
