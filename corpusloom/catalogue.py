@@ -246,8 +246,7 @@ def missing_references(spark, d) -> DataFrame:
 @_query(f'{T_SQL} SELECT repo, "check", path FROM ({REFS_SQL}) WHERE NOT {GONE_SQL}')
 def present_references(spark, d) -> DataFrame:
     files = C.trees(spark, d)
-    found = [O.present_references(O.references(files, source, heading, below), files).select("repo", F.lit(check).alias("check"), "path") for check, source, heading, below in A.REFERENCES]
-    return reduce(DataFrame.unionByName, found)
+    return O.present_references(A.all_references(files), files).select("repo", "check", "path")
 
 
 @_query(f"{T_SQL} SELECT repo, row_index, CAST(row_index + 6 AS INTEGER) AS line_index, CASE kind WHEN 0 THEN '`TODO`' WHEN 1 THEN concat('`run ', row_index, '`') WHEN 2 THEN concat('run ', row_index) END AS command FROM ({ROWS_SQL})")

@@ -48,7 +48,7 @@ def missing_references(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def present_references(refs: DataFrame, files: DataFrame) -> DataFrame:
-    return refs.join(places(files), KEY, "left_semi")
+    return refs.join(places(files).hint("merge"), KEY, "left_semi")
 
 
 def registered_names(files: DataFrame, source: str, heading: str) -> DataFrame:

@@ -177,7 +177,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("found", [O.missing_references])
+@pytest.mark.parametrize("found", [O.missing_references, O.present_references])
 def test_places_are_not_broadcast(spark, found):
     """However small Spark thinks them: they went through the driver."""
     files = tree(spark, {"a/b/c.md": "x"})
