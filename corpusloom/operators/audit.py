@@ -254,53 +254,79 @@ COMMANDS = ("install", "dev", "test", "lint", "typecheck", "build")
 SCRIPTS = (("dev", "dev"), ("dev", "start"), ("test", "test"), ("lint", "lint"), ("typecheck", "typecheck"), ("typecheck", "type-check"), ("typecheck", "tsc"), ("build", "build"))
 
 
-def detected_commands(files: DataFrame) -> DataFrame:
-    """(repo, id, priority, ord, command, note): every command that the files of each tree suggest."""
-    roots = files.filter(F.col("path").isin("package.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "bun.lock", "package-lock.json", "pyproject.toml", "uv.lock", "poetry.lock", "Cargo.toml", "go.mod"))
-    has = lambda p: F.count_if(F.col("path") == p) > 0
-    text = lambda p: F.max(F.when(F.col("path") == p, F.col("content")))
-    manager = F.when(has("pnpm-lock.yaml"), "pnpm").when(has("yarn.lock"), "yarn").when(has("bun.lockb") | has("bun.lock"), "bun").otherwise("npm")
-    own = roots.groupBy("repo").agg(
-        text("package.json").alias("package"), text("pyproject.toml").alias("py"), has("uv.lock").alias("uv"), has("poetry.lock").alias("poetry"),
-        has("Cargo.toml").alias("rust"), has("go.mod").alias("go"), manager.alias("manager"),
-    )
+ROOTS = ("package.json", "pnpm-lock.yaml", "yarn.lock", "bun.lockb", "bun.lock", "pyproject.toml", "uv.lock", "poetry.lock", "Cargo.toml", "go.mod")
+TOOLS = (("test", "pytest", ""), ("lint", "ruff", " check ."), ("typecheck", "mypy", " ."))
+
+
+def _clues(files: DataFrame) -> DataFrame:
+    """One row of truth values per tree: what its root files tell. Texts do not travel, and no sort is needed to group; of files that share a path all count."""
+    at = lambda p: F.col("path") == p
+    py = at("pyproject.toml") & F.col("content").isNotNull()
+    clues = {"node": F.col("package").isNotNull(), "py": py} | {p: at(p) for p in ROOTS if p not in ("package.json", "pyproject.toml")}
+    clues |= {f"script {x}": F.get_json_object("package", f"$.scripts['{x}']").isNotNull() for _, x in SCRIPTS} | {f"tool {x}": py & F.col("content").rlike(f"(?i){x}") for _, x, _ in TOOLS}
+    roots = files.filter(F.col("path").isin(*ROOTS)).withColumn("package", F.when(at("package.json") & F.try_parse_json("content").isNotNull(), F.col("content")))
+    # trees without any of these files have a row too
+    rows = roots.select("repo", *(c.alias(k) for k, c in clues.items())).unionByName(files.select("repo", *(F.lit(False).alias(k) for k in clues)))
+    return rows.groupBy("repo").agg(*(F.coalesce(F.max(F.col(f"`{k}`")), F.lit(False)).alias(k) for k in clues))
+
+
+def _suggestions() -> list[tuple[str, int, int, Column]]:
+    """(id, priority, ord, struct<command, note> or null) of all that the clues of a tree can suggest, the first choice first."""
+    has = lambda p: F.col(f"`{p}`")
     rows = []
 
     def add(priority: int, order: int, command_id: str, when: Column, command: Column, note: Column | str) -> None:
         note = F.lit(note) if isinstance(note, str) else note
-        rows.append(F.when(when, F.struct(F.lit(command_id).alias("id"), F.lit(priority).alias("priority"), F.lit(order).alias("ord"), command.alias("command"), note.alias("note"))))
+        rows.append((command_id, priority, order, F.when(when, F.struct(command.alias("command"), note.alias("note")))))
 
-    node = F.try_parse_json("package").isNotNull()
-    add(0, 0, "install", node, F.concat("manager", F.lit(" install")), "package.json detected")
+    manager = F.when(has("pnpm-lock.yaml"), "pnpm").when(has("yarn.lock"), "yarn").when(has("bun.lockb") | has("bun.lock"), "bun").otherwise("npm")
+    add(0, 0, "install", has("node"), F.concat(manager, F.lit(" install")), "package.json detected")
     for k, (command_id, script) in enumerate(SCRIPTS, 1):
-        run = F.concat(F.when(F.col("manager") == "npm", "npm run ").otherwise(F.concat("manager", F.lit(" "))), F.lit(script))
-        add(0, k, command_id, node & F.get_json_object("package", f"$.scripts['{script}']").isNotNull(), run, f"package script '{script}'")
-    py = F.col("py").isNotNull()
-    runner = F.when(F.col("uv"), "uv run").when(F.col("poetry"), "poetry run").otherwise("python -m")
-    add(1, 0, "install", py, F.when(F.col("uv"), "uv sync").when(F.col("poetry"), "poetry install").otherwise("python -m pip install -e ."), F.when(F.col("uv"), "uv.lock detected").when(F.col("poetry"), "poetry.lock detected").otherwise("pyproject.toml detected"))
-    for k, (command_id, tool, rest) in enumerate((("test", "pytest", ""), ("lint", "ruff", " check ."), ("typecheck", "mypy", " .")), 1):
-        add(1, k, command_id, py & F.col("py").rlike(f"(?i){tool}"), F.concat(runner, F.lit(f" {tool}{rest}")), f"{tool} detected")
+        run = F.concat(F.when(manager == "npm", "npm run ").otherwise(F.concat(manager, F.lit(" "))), F.lit(script))
+        add(0, k, command_id, has("node") & has(f"script {script}"), run, f"package script '{script}'")
+    uv, poetry = has("uv.lock"), has("poetry.lock")
+    runner = F.when(uv, "uv run").when(poetry, "poetry run").otherwise("python -m")
+    add(1, 0, "install", has("py"), F.when(uv, "uv sync").when(poetry, "poetry install").otherwise("python -m pip install -e ."), F.when(uv, "uv.lock detected").when(poetry, "poetry.lock detected").otherwise("pyproject.toml detected"))
+    for k, (command_id, tool, rest) in enumerate(TOOLS, 1):
+        add(1, k, command_id, has(f"tool {tool}"), F.concat(runner, F.lit(f" {tool}{rest}")), f"{tool} detected")
     for k, (command_id, command) in enumerate((("test", "cargo test"), ("typecheck", "cargo check"), ("build", "cargo build"))):
-        add(2, k, command_id, F.col("rust"), F.lit(command), "Cargo.toml detected")
+        add(2, k, command_id, has("Cargo.toml"), F.lit(command), "Cargo.toml detected")
     for k, (command_id, command) in enumerate((("test", "go test ./..."), ("build", "go build ./..."))):
-        add(3, k, command_id, F.col("go"), F.lit(command), "go.mod detected")
-    return own.select("repo", F.explode(F.filter(F.array(*rows), lambda x: x.isNotNull())).alias("x")).select("repo", "x.*")
+        add(3, k, command_id, has("go.mod"), F.lit(command), "go.mod detected")
+    return rows
+
+
+def detected_commands(files: DataFrame) -> DataFrame:
+    """(repo, id, priority, ord, command, note): every command that the files of each tree suggest."""
+    one = lambda i, p, o, x: F.when(x.isNotNull(), F.struct(F.lit(i).alias("id"), F.lit(p).alias("priority"), F.lit(o).alias("ord"), x["command"].alias("command"), x["note"].alias("note")))
+    return _clues(files).select("repo", F.inline(F.array_compact(F.array(*(one(*x) for x in _suggestions())))))
+
+
+def _commands(files: DataFrame) -> DataFrame:
+    """(repo, commands): the first suggestion for each of the six ids of every tree as one array, TODO where none is known."""
+    none = F.struct(F.lit("TODO").alias("command"), F.lit("no command detected").alias("note"))
+    first = [F.coalesce(*(x for i, _, _, x in _suggestions() if i == command_id), none) for command_id in COMMANDS]
+    named = [F.struct(F.lit(i).alias("id"), x["command"].alias("command"), x["note"].alias("note")) for i, x in zip(COMMANDS, first, strict=True)]
+    return _clues(files).select("repo", F.array(*named).alias("commands"))
 
 
 def merged_commands(files: DataFrame) -> DataFrame:
     """(repo, place, id, command, note): the first command for each of the six ids of every tree, TODO where none is known."""
-    first = first_by_priority(detected_commands(files), ["repo", "id"], ["priority", "ord"])
-    ids = files.select("repo").distinct().select("repo", F.posexplode(F.array(*map(F.lit, COMMANDS))).alias("place", "id"))
-    met = ids.join(first, ["repo", "id"], "left")
-    return met.select("repo", "place", "id", F.coalesce("command", F.lit("TODO")).alias("command"), F.coalesce("note", F.lit("no command detected")).alias("note"))
+    return _commands(files).select("repo", F.posexplode("commands").alias("place", "x")).select("repo", "place", "x.*")
+
+
+def _proposals(files: DataFrame, path: str) -> DataFrame:
+    """(repo, path, content, proposed) of the files at ``path`` whose table has six rows or more; proposed: array<struct<line_index, line, proposed>> of the first six."""
+    met = files.filter(F.col("path") == path).select(*KEY, "content").join(_commands(files).hint("merge"), "repo")
+    line = lambda r, x: F.format_string("| %s | `%s` | %s |", F.get(r["cells"], F.lit(0)), x["command"], x["note"])
+    one = lambda r: F.struct(r["line_index"].alias("line_index"), r["line"].alias("line"), line(r, F.get("commands", r["row_index"])).alias("proposed"))
+    rows = T.let(command_table("content"), lambda rows: F.when(F.size(rows) >= len(COMMANDS), F.transform(F.slice(rows, 1, len(COMMANDS)), one)))
+    return met.select(*KEY, "content", rows.alias("proposed")).filter("proposed is not null")
 
 
 def proposed_rows(files: DataFrame, path: str) -> DataFrame:
     """(repo, path, line_index, line, proposed): the first six table rows with the merged commands in their place; fewer than six: none."""
-    rows = command_rows(files.filter(F.col("path") == path))
-    enough = rows.groupBy(*KEY).agg(F.count("*").alias("n")).filter("n >= 6").select(*KEY)
-    met = rows.join(enough, KEY).join(merged_commands(files).withColumnRenamed("place", "row_index"), ["repo", "row_index"])
-    return met.select(*KEY, "line_index", "line", F.format_string("| %s | `%s` | %s |", F.get("cells", F.lit(0)), "command", "note").alias("proposed"))
+    return _proposals(files, path).select(*KEY, F.inline("proposed"))
 
 
 def applied_commands(files: DataFrame, path: str) -> DataFrame:

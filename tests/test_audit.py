@@ -1,3 +1,4 @@
+import re
 import subprocess
 from datetime import UTC, datetime, timedelta
 
@@ -185,3 +186,14 @@ def test_places_are_not_broadcast(spark, found):
     got = sorted(r["path"] for r in found(refs, files).collect())
     assert got == (["a/b/c", "b"] if found is O.missing_references else ["a", "a/b", "a/b/c.md", "docs", "docs"])
     assert "Broadcast" not in plan(found(refs, files))
+
+
+def test_proposals_are_made_in_the_row(spark):
+    """One join of rows per tree: no ranking of commands, no table of lines, nothing broadcast."""
+    files = tree(spark, {"package.json": '{"scripts": {"start": "x", "tsc": "z"}}', "bun.lock": "", "Cargo.toml": "[package]"}).unionByName(tree(spark, {"docs/TESTING.md": "## Commands\n|a|\n"}, "few"))
+    got = {(r["repo"], r["id"]): (r["command"], r["note"]) for r in O.merged_commands(files).collect()}
+    assert got["r", "typecheck"] == ("bun tsc", "package script 'tsc'") and got["r", "build"] == ("cargo build", "Cargo.toml detected") and got["few", "test"] == ("TODO", "no command detected")
+    every = sorted((r["id"], r["priority"], r["ord"]) for r in O.detected_commands(files).collect())
+    assert every == [("build", 2, 2), ("dev", 0, 2), ("install", 0, 0), ("test", 2, 0), ("typecheck", 0, 7), ("typecheck", 2, 1)]
+    rows = O.proposed_rows(files, "docs/TESTING.md")
+    assert {r["repo"] for r in rows.collect()} == {"r"} and not {"Window", "Broadcast"} & set(re.findall("Window|Broadcast", plan(rows)))
