@@ -207,13 +207,11 @@ def command_table(content: Column | str, heading: str = "Commands") -> Column:
 
     def step(s: Column, x: Column) -> Column:
         line = x["line"]
-        pipe, rule = line.startswith("|"), line.rlike(r"^\|\s*-")
         row = F.struct(x["at"].alias("line_index"), line.alias("line"))
-        return (
-            F.when(s["ended"], s).when(line.rlike(rf"(?i)^##\s+{T.escape(heading)}\s*$"), state(s, inside=F.lit(True))).when(~s["inside"], s)
-            .when(line.rlike(r"^##\s+"), state(s, ended=F.lit(True))).when(rule, state(s, ruled=F.lit(True)))
-            .when(pipe & s["ruled"], state(s, out=F.array_append(s["out"], row))).otherwise(s)
-        )
+        # most lines start like neither a heading nor a row, and need no expression
+        title = F.when(line.rlike(rf"(?i)^##\s+{T.escape(heading)}\s*$"), state(s, inside=F.lit(True))).when(s["inside"] & line.rlike(r"^##\s+"), state(s, ended=F.lit(True))).otherwise(s)
+        inner = F.when(line.rlike(r"^\|\s*-"), state(s, ruled=F.lit(True))).when(s["ruled"], state(s, out=F.array_append(s["out"], row))).otherwise(s)
+        return F.when(s["ended"], s).when(line.startswith("##"), title).when(s["inside"] & line.startswith("|"), inner).otherwise(s)
 
     found = F.aggregate(rows, begin, step, lambda s: s["out"])
     return F.transform(found, lambda x, i: F.struct(i.alias("row_index"), x["line_index"].alias("line_index"), x["line"].alias("line"), T.cells(x["line"]).alias("cells")))
@@ -320,8 +318,9 @@ def _proposals(files: DataFrame, path: str) -> DataFrame:
     met = files.filter(F.col("path") == path).select(*KEY, "content").join(_commands(files).hint("merge"), "repo")
     line = lambda r, x: F.format_string("| %s | `%s` | %s |", F.get(r["cells"], F.lit(0)), x["command"], x["note"])
     one = lambda r: F.struct(r["line_index"].alias("line_index"), r["line"].alias("line"), line(r, F.get("commands", r["row_index"])).alias("proposed"))
-    rows = T.let(command_table("content"), lambda rows: F.when(F.size(rows) >= len(COMMANDS), F.transform(F.slice(rows, 1, len(COMMANDS)), one)))
-    return met.select(*KEY, "content", rows.alias("proposed")).filter("proposed is not null")
+    # exploded, not filtered: a filter would make the table twice
+    rows = T.let(command_table("content"), lambda rows: F.when(F.size(rows) >= len(COMMANDS), F.array(F.transform(F.slice(rows, 1, len(COMMANDS)), one))))
+    return met.select(*KEY, "content", F.explode(rows).alias("proposed"))
 
 
 def proposed_rows(files: DataFrame, path: str) -> DataFrame:
@@ -331,8 +330,6 @@ def proposed_rows(files: DataFrame, path: str) -> DataFrame:
 
 def applied_commands(files: DataFrame, path: str) -> DataFrame:
     """(repo, path, content): the files at ``path`` with the proposed rows written into their tables; the rest of their lines as before."""
-    rows = files.filter(F.col("path") == path).select(*KEY, F.posexplode(T.lines("content")).alias("line_index", "line"))
-    met = rows.join(proposed_rows(files, path).select(*KEY, "line_index", "proposed"), [*KEY, "line_index"], "left")
-    line = F.struct("line_index", F.coalesce("proposed", "line").alias("line"))
-    whole = met.groupBy(*KEY).agg(F.sort_array(F.collect_list(line)).alias("all"), F.count("proposed").alias("n")).filter("n > 0")
-    return whole.select(*KEY, F.concat(F.array_join("all.line", "\n"), F.lit("\n")).alias("content"))
+    new = lambda i: F.get(F.filter("proposed", lambda p: p["line_index"] == i), F.lit(0))["proposed"]
+    lines = F.transform(T.lines("content"), lambda x, i: F.coalesce(new(i), x))
+    return _proposals(files, path).select(*KEY, F.concat(F.array_join(lines, "\n"), F.lit("\n")).alias("content"))

@@ -197,3 +197,10 @@ def test_proposals_are_made_in_the_row(spark):
     assert every == [("build", 2, 2), ("dev", 0, 2), ("install", 0, 0), ("test", 2, 0), ("typecheck", 0, 7), ("typecheck", 2, 1)]
     rows = O.proposed_rows(files, "docs/TESTING.md")
     assert {r["repo"] for r in rows.collect()} == {"r"} and not {"Window", "Broadcast"} & set(re.findall("Window|Broadcast", plan(rows)))
+
+
+def test_commands_are_applied_in_the_row(spark):
+    files = tree(spark, {"docs/TESTING.md": "\ufeffx\r\n" + TABLE}).unionByName(tree(spark, {"docs/TESTING.md": "## Commands\n|a|\n"}, "few"))
+    got = O.applied_commands(files, "docs/TESTING.md")
+    assert [(r["repo"], r["content"]) for r in got.collect()] == [("r", "x\n" + TABLE.replace("`TODO` | n |", "`TODO` | no command detected |"))]
+    assert not re.search("Window|Broadcast|collect_list|Aggregate.*line_index", plan(got))
