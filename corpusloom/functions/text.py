@@ -101,7 +101,8 @@ def placeholders(content: Column | str, patterns: list[str] | Column) -> Column:
     if isinstance(patterns, Column):
         quoted = lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
         regex = lambda p: F.when(p.rlike(r"(?U)\A\w+\z"), F.concat(F.lit(r"(?U)\b"), quoted(p), F.lit(r"\b"))).otherwise(quoted(p))
-        return F.aggregate(F.filter(patterns, lambda p: ~blank(p)), F.lit(0), lambda n, p: n + F.regexp_count(col(content), regex(p)))
+        # most texts hold none of the patterns: these need no expression, which would be compiled for each text
+        return F.aggregate(F.filter(patterns, lambda p: col(content).contains(p) & ~blank(p)), F.when(col(content).isNotNull(), 0), lambda n, p: n + F.regexp_count(col(content), regex(p)))
     one = lambda p: F.regexp_count(col(content), F.lit(rf"(?U)\b{escape(p)}\b" if re.fullmatch(r"\w+", p) else escape(p)))
     return sum((one(p) for p in patterns if p.strip()), F.lit(0))
 

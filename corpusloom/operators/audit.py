@@ -115,7 +115,8 @@ def is_excluded(path: Column | str, config: Config | Column) -> Column:
     def fits(p: Column) -> Column:
         whole, low, segments = p["path"], p["low"], p["segments"]
         by_name = F.element_at(segments, -1).isin([x.lower() for x in LOCKS]) | (low == AUDITOR)
-        by_path = F.exists(own["prefixes"], lambda x: F.array_contains(segments, F.lower(x)) | (low == F.lower(x)) | whole.startswith(F.concat(x, F.lit("/"))))
+        # what is one name is a segment wherever it is the whole path or its start
+        by_path = F.arrays_overlap(segments, F.transform(own["prefixes"], F.lower)) | F.exists(own["prefixes"], lambda x: x.contains("/") & ((low == F.lower(x)) | whole.startswith(F.concat(x, F.lit("/")))))
         return by_name | by_path | F.exists(own["rules"], lambda r: matching(whole, segments, r))
 
     return T.let(F.struct(path.alias("path"), F.lower(path).alias("low"), F.split(F.lower(path), "/").alias("segments")), fits)

@@ -13,6 +13,7 @@ from corpusloom.sources.trees import Config, known_json
 
 # Fixed value: where a tree keeps its configuration.
 PATH = ".harness/config.json"
+FEW = 1_000  # settings that a join may broadcast
 FOUND = "array<struct<check:string,kind:string,metadata:map<string,string>>>"
 
 
@@ -72,16 +73,22 @@ def of(config: Config | Column) -> Column:
 
 
 def settings(files: DataFrame, defaults: Config | None = None) -> DataFrame:
-    """(repo, settings, state, found) of every tree: missing, invalid, faulty or ok, and what is wrong.
+    """(repo, settings, state, found) of every tree: missing, invalid, faulty or ok, and what is wrong; see ``own_settings``."""
+    met = with_settings(files.select("repo").distinct(), own_settings(files, defaults), defaults or Config(), "state", "found")
+    return met.select("repo", "settings", F.coalesce("state", F.lit("missing")).alias("state"), F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+
+
+def own_settings(files: DataFrame, defaults: Config | None = None) -> DataFrame:
+    """(repo, settings, state, found) of the trees that have a configuration file: invalid, faulty or ok, and what is wrong.
 
     Absent keys keep their defaults; a bad value is a failure and keeps its
     default too; lists replace the default and lose blank entries, and one text
-    is a list of itself. Text that is no JSON is one failure. A tree without the
-    file has all defaults. Of files that share the path the last in order counts.
+    is a list of itself. Text that is no JSON is one failure. Of files that share
+    the path the last in order counts.
     """
     defaults = defaults or Config()
     own = files.filter(F.col("path") == PATH).groupBy("repo").agg(F.max(F.coalesce("content", F.lit(""))).alias("text"))
-    rows = files.select("repo").distinct().join(own, "repo", "left").withColumn("valid", known_json(F.when(F.trim("text") != "", F.col("text"))))
+    rows = own.withColumn("valid", known_json(F.when(F.trim("text") != "", F.col("text"))))
     rows = rows.withColumn("read", F.from_json(F.when(F.col("valid"), F.col("text")), _schema()))
     raw = {f.name: F.col(f"read.validation.{'codeHealth.' if f.metadata else ''}{json_name(f)}") for f in fields(Config)}
     columns, bad = {}, []
@@ -104,7 +111,7 @@ def settings(files: DataFrame, defaults: Config | None = None) -> DataFrame:
         bad.append(F.when(value.isNotNull() & ~fits, fault(reason, key=F.lit(key(f)), value=value)))
     invalid = F.col("text").isNotNull() & ~F.coalesce("valid", F.lit(False))
     found = F.when(invalid, F.array(fault("invalid_json"))).otherwise(F.array_compact(F.array(*bad))).cast(FOUND)
-    state = F.when(F.col("text").isNull(), "missing").when(invalid, "invalid").when(F.size("found") > 0, "faulty").otherwise("ok")
+    state = F.when(invalid, "invalid").when(F.size("found") > 0, "faulty").otherwise("ok")
     return rows.select("repo", struct_of(columns).alias("settings"), found.alias("found"), "text", "valid").withColumn("state", state).select("repo", "settings", "state", "found")
 
 
@@ -135,9 +142,16 @@ def matches(paths: DataFrame, patterns: DataFrame, key: list[str], path: str = "
     return met.filter(matching(whole, F.split(low, "/"), F.col("rule"))).select(*paths.columns, F.col("rule pattern").alias(pattern))
 
 
-def with_settings(files: DataFrame, known: DataFrame) -> DataFrame:
-    """``files`` with the settings of their trees."""
-    return files.join(known.select("repo", "settings"), "repo")
+def with_settings(rows: DataFrame, own: DataFrame, defaults: Config, *more: str, only: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with the settings of their trees (``only`` some) and ``more`` of ``own``, the settings of trees with a file; others have ``defaults``, made once.
+
+    Settings are many times the size of their Parquet files, so only few are broadcast.
+    """
+    some = F.struct(*(F.col(f"settings.{f}") for f in only)) if only else F.col("settings")
+    default = rows.sparkSession.range(1).select(literal(defaults).alias("settings")).select(some.alias("default settings"))
+    own, few = own.select("repo", some.alias("settings"), *more), own.limit(FEW + 1).count() <= FEW
+    met = rows.join(F.broadcast(own) if few else own.hint("merge"), "repo", "left").crossJoin(F.broadcast(default))
+    return met.withColumn("settings", F.coalesce("settings", "default settings")).drop("default settings")
 
 
 def union(columns: list[Column]) -> Column:

@@ -204,3 +204,15 @@ def test_commands_are_applied_in_the_row(spark):
     got = O.applied_commands(files, "docs/TESTING.md")
     assert [(r["repo"], r["content"]) for r in got.collect()] == [("r", "x\n" + TABLE.replace("`TODO` | n |", "`TODO` | no command detected |"))]
     assert not re.search("Window|Broadcast|collect_list|Aggregate.*line_index", plan(got))
+
+
+def test_settings_of_trees_without_a_file_are_not_made(spark):
+    """Only trees with a configuration file have settings of their own; the others share one row, and absent patterns need no expression."""
+    from corpusloom.operators import settings as X
+
+    files = tree(spark).unionByName(tree(spark, {X.PATH: '{"validation": {"staleActivePlanDays": 3}}'}, "own"))
+    own = X.own_settings(files)
+    assert [r["repo"] for r in own.collect()] == ["own"]
+    met = X.with_settings(files.select("repo").distinct(), own, S.Config(), only=("stale_active_plan_days",))
+    assert {r["repo"]: tuple(r["settings"]) for r in met.collect()} == {"r": (14,), "own": (3,)}
+    assert {r["repo"]: r["state"] for r in X.settings(files).collect()} == {"r": "missing", "own": "ok"}
