@@ -14,9 +14,9 @@ log-likelihood is that of the complete document.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,8 @@ STATE, PER_CLASS, CLASSES = 32, 64, 16
 PLACES = PER_CLASS * CLASSES  # place 0 is the end; place PLACES stands for all other words
 KNOWN = 1 << 20  # words whose counts travel to the tasks; the others' counts are joined
 FOLDS, HELD_OUT = 7, 2
-BLOCK = 1024
+BLOCK = 4096  # parameters that are averaged in one row
+SIGNS = np.array([-1, -1, -2], np.float32)  # of what is added up for the gates and the new state
 END = 0  # hash of the end, which is no word
 STEP_TOKENS = 2048  # tokens, at least, that a step of training is taken over
 AT_ONCE = 10_000, 32 << 20  # rows and bytes of texts that are laid out in lanes together
@@ -67,19 +68,22 @@ class Batch:
     places: np.ndarray
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def words_of(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words, the number of each word of all texts among them, where each text's words start, and the end); null as empty."""
+    as_text = pa.array(texts, pa.binary()).fill_null(b"").view(pa.string())  # bytes stay as they are: A-Z only, ASCII white space only
+    split = pc.ascii_split_whitespace(pc.ascii_lower(as_text))
+    flat, starts = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty word
+    if not there.all():
+        flat, starts = flat.filter(pa.array(there)), np.concatenate([[0], np.cumsum(there)])[starts]
+    encoded = flat.dictionary_encode()
+    return encoded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), encoded.indices.to_numpy(), starts
 
 
 def number(texts: list[bytes | None], vocabulary: Vocabulary) -> Batch:
-    numbers = _Numbers()
-    ids = []
-    for t in texts:
-        words = (t or b"").lower().split()  # bytes: A-Z only, ASCII white space only
-        ids.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-    hashes = word_hashes(numbers)
+    words, numbers, starts = words_of(texts)
+    ids = [numbers[i:j] for i, j in pairwise(starts.tolist())]
+    hashes = word_hashes(words)
     at = np.minimum(np.searchsorted(vocabulary.hashes, hashes), max(0, len(vocabulary.hashes) - 1))
     found = vocabulary.hashes[at] == hashes if len(vocabulary.hashes) else np.zeros(len(hashes), bool)
     pick = lambda x, other: np.where(found, x[at], other) if len(x) else np.full(len(hashes), other)
@@ -168,42 +172,59 @@ def _softmax_error(x: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarr
     return x
 
 
+def _starts(run: Lanes, a: int, b: int, n: int) -> list[np.ndarray]:
+    """For each of the steps a to b, which of the first n lanes start a text there, or are over."""
+    step, lane = np.nonzero(run.first[a:b, :n])
+    return np.split(lane, np.searchsorted(step, np.arange(1, b - a)))
+
+
 def _forward(net: Net, run: Lanes, a: int, b: int, n: int, h: np.ndarray, keep: bool):
-    """States of steps a to b for the first n lanes; what the backward pass needs, if ``keep``: states before, gates, inner, where texts go on."""
-    goes_on = (~run.first[a:b, :n, None]).astype(np.float32)
+    """States of steps a to b for the first n lanes; what the backward pass needs, if ``keep``: states before, gates, -2 x what
+    the reset gate lets through, states less new ones, where texts start.
+
+    Everything that a step touches is contiguous. A gate is 1 / (1 + exp(-x)), and tanh x is 2 / (1 + exp(-2 x)) - 1, which takes
+    less time than numpy's; the signs and the 2 are in the weights.
+    """
+    starts = _starts(run, a, b, n)
     gates = np.empty((3, b - a, n, STATE), np.float32)  # reset, update and new state
-    for table, gate in zip(net.x, gates, strict=True):
-        np.take(table, run.before[a:b, :n], axis=0, out=gate, mode="clip")
+    for table, factor, gate in zip(net.x, SIGNS, gates, strict=True):
+        np.take(table * factor, run.before[a:b, :n], axis=0, out=gate, mode="clip")
+    u = net.u * SIGNS[:, None, None]
     states, y = np.empty((b - a, n, STATE), np.float32), np.empty((3, n, STATE), np.float32)
-    before, inner = (np.empty_like(states), np.empty_like(states)) if keep else (np.empty((1, n, STATE), np.float32),) * 2
+    before, passed, moved = (np.empty((b - a if keep else 1, n, STATE), np.float32) for _ in range(3))
     for t in range(b - a):
-        h0 = np.multiply(h, goes_on[t], out=before[t if keep else 0])
-        np.matmul(h0, net.u, out=y)
-        now = gates[:, t]
-        both = now[:2]
+        k = t if keep else 0
+        h0, through, less = before[k], passed[k], moved[k]
+        h0[:] = h
+        if len(starts[t]):
+            h0[starts[t]] = 0
+        np.matmul(h0, u, out=y)
+        both = gates[:2, t]
         both += y[:2]
-        np.negative(both, out=both)
         np.exp(both, out=both)
         both += 1
         np.reciprocal(both, out=both)
-        if keep:
-            inner[t] = y[2]
-        y[2] *= now[0]
-        new = now[2]
-        new += y[2]
-        np.tanh(new, out=new)
-        h = np.subtract(h0, new, out=states[t])
-        h *= now[1]
-        h += new
-    return states, (before, gates, inner, goes_on), h
-
-
-def _by_class(classes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(classes.astype(np.uint8), kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+        new = gates[2, t]
+        np.multiply(y[2], both[0], out=through)
+        new += through
+        np.exp(new, out=new)
+        new += 1
+        np.divide(2, new, out=new)
+        new -= 1
+        np.subtract(h0, new, out=less)
+        less *= both[1]
+        h = np.add(less, new, out=states[t])
+    return states, (before, gates, passed, moved, starts), h
+
+
+def _by_class(run: Lanes, a: int, b: int, n: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(places in the window, words, (class, from, to)) of the tokens of a window, in the order of their classes."""
+    at = np.flatnonzero(run.doc[a:b, :n].ravel() >= 0)
+    word = run.tokens[a:b, :n].ravel()[at]
+    order = np.argsort((word // PER_CLASS).astype(np.uint8), kind="stable")
+    at, word = at[order], word[order]
+    bounds = np.searchsorted(word // PER_CLASS, np.arange(CLASSES + 1))
+    return at, word, [(c, i, j) for c, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if i < j]
 
 
 def _windows(run: Lanes, window: int, tokens: int) -> Iterator[tuple[int, int, int]]:
@@ -222,13 +243,12 @@ def log_likelihoods(net: Net, docs: list[np.ndarray], width: int = 512, window:
     h = np.zeros((run.tokens.shape[1], STATE), np.float32)
     for a, b, n in _windows(run, window, 4096):
         states, _, h = _forward(net, run, a, b, n, h[:n], False)
-        valid = run.doc[a:b, :n] >= 0
-        s, word, doc = states[valid], run.tokens[a:b, :n][valid], run.doc[a:b, :n][valid]
-        cls = word // PER_CLASS
-        found = _log_of(_logits(s, net.wc, net.bc), cls)
-        for c, at in _by_class(cls):
-            found[at] += _log_of(_logits(s[at], net.wo[c], net.bo[c]), word[at] % PER_CLASS)
-        total += np.bincount(doc, found, len(docs))
+        at, word, classes = _by_class(run, a, b, n)
+        s = states.reshape(-1, STATE).take(at, axis=0)
+        found = _log_of(_logits(s, net.wc, net.bc), word // PER_CLASS)
+        for c, i, j in classes:
+            found[i:j] += _log_of(_logits(s[i:j], net.wo[c], net.bo[c]), word[i:j] - c * PER_CLASS)
+        total += np.bincount(run.doc[a:b, :n].ravel()[at], found, len(docs))
     return total
 
 
@@ -250,60 +270,59 @@ class Trainer:
         run, net = lanes(docs, width, np.random.default_rng(self.t)), self.net
         h = np.zeros((run.tokens.shape[1], STATE), np.float32)
         for a, b, n in _windows(run, window, STEP_TOKENS):
-            states, (before, gates, inner, goes_on), h = _forward(net, run, a, b, n, h[:n], True)
-            valid = run.doc[a:b, :n] >= 0
-            s, word = states[valid], run.tokens[a:b, :n][valid]
+            states, (before, gates, passed, moved, starts), h = _forward(net, run, a, b, n, h[:n], True)
+            at, word, classes = _by_class(run, a, b, n)
+            s = states.reshape(-1, STATE).take(at, axis=0)
             grad, scale = self.held, np.float32(1)
-            cls = word // PER_CLASS
-            p = _softmax_error(_logits(s, net.wc, net.bc), cls, scale)
+            p = _softmax_error(_logits(s, net.wc, net.bc), word // PER_CLASS, scale)
             grad.wc += s.T @ p
-            grad.bc += p.sum(axis=0)
+            grad.bc += np.ones(len(p), np.float32) @ p
             back = p @ net.wc.T
-            for c, at in _by_class(cls):
-                mine = s[at]
-                q = _softmax_error(_logits(mine, net.wo[c], net.bo[c]), word[at] % PER_CLASS, scale)
-                grad.wo[c] += mine.T @ q
-                grad.bo[c] += q.sum(axis=0)
-                back[at] += q @ net.wo[c].T
+            for c, i, j in classes:
+                q = _softmax_error(_logits(s[i:j], net.wo[c], net.bo[c]), word[i:j] - c * PER_CLASS, scale)
+                grad.wo[c] += s[i:j].T @ q
+                grad.bo[c] += np.ones(j - i, np.float32) @ q
+                back[i:j] += q @ net.wo[c].T
             outer = np.zeros_like(states)
-            outer[valid] = back
-            into, d_new, dh = np.empty((b - a, n, 3 * STATE), np.float32), np.empty_like(states), np.zeros((n, STATE), np.float32)
-            back_u = np.concatenate([u.T for u in net.u])
+            outer.reshape(-1, STATE)[at] = back
+            halves = np.array([-0.5, 1, 1], np.float32)  # into[0] is made of -2 x what was let through
+            into, d_new, dh = np.empty_like(gates), np.empty_like(states), np.zeros((n, STATE), np.float32)
+            other, y, back_u = np.empty_like(dh), np.empty((3, n, STATE), np.float32), net.u.transpose(0, 2, 1) * halves[:, None, None]
             for t in range(b - a - 1, -1, -1):
                 r, z, new = gates[:, t]
-                dr, dz, inner_d = into[t, :, :STATE], into[t, :, STATE : 2 * STATE], into[t, :, 2 * STATE :]
+                dr, dz, inner_d = into[:, t]
                 dn = d_new[t]
                 dh += outer[t]
-                other = 1 - z
+                np.subtract(1, z, out=other)
                 np.multiply(new, new, out=dn)
                 np.subtract(1, dn, out=dn)
                 dn *= other
                 dn *= dh
-                np.subtract(before[t], new, out=dz)
-                dz *= z
-                dz *= other
+                np.multiply(moved[t], other, out=dz)
                 dz *= dh
                 np.subtract(1, r, out=dr)
-                dr *= r
-                dr *= inner[t]
+                dr *= passed[t]
                 dr *= dn
                 np.multiply(dn, r, out=inner_d)
                 dh *= z
-                dh += into[t] @ back_u
-                dh *= goes_on[t]
-            came = run.before[a:b, :n].ravel().astype(np.uint16)
-            order = np.argsort(came, kind="stable")
-            came = came[order]
-            many = int(np.searchsorted(came, PLACES))
-            starts = np.flatnonzero(np.diff(came[:many].astype(np.int32), prepend=-1))
-            held = before.reshape(-1, STATE).T
-            of_u = held @ into.reshape(-1, 3 * STATE)
-            for k, d in enumerate((into[..., :STATE], into[..., STATE : 2 * STATE], d_new)):
-                grad.u[k] += of_u[:, k * STATE : (k + 1) * STATE]
-                rows = d.reshape(-1, STATE).take(order, axis=0)
-                grad.x[k, PLACES] += np.ones(len(rows) - many, np.float32) @ rows[many:]  # the most frequent place
-                if many:
-                    grad.x[k, came[starts]] += np.add.reduceat(rows[:many], starts, axis=0)
+                np.matmul(into[:, t], back_u, out=y)
+                for part in y:
+                    dh += part
+                if len(starts[t]):
+                    dh[starts[t]] = 0
+            came = run.before[a:b, :n].ravel()
+            known = np.flatnonzero(came < PLACES)
+            known = known[np.argsort(came[known].astype(np.uint16), kind="stable")]
+            came = came[known]
+            first = np.flatnonzero(np.diff(came, prepend=-1))
+            held, one, ones = before.reshape(-1, STATE).T, np.ones((b - a) * n, np.float32), np.ones(len(known), np.float32)
+            for k, d in enumerate((into[0], into[1], d_new)):
+                grad.u[k] += (held @ into[k].reshape(-1, STATE)) * halves[k]
+                d = d.reshape(-1, STATE)
+                rows = d.take(known, axis=0)
+                grad.x[k, PLACES] += (one @ d - ones @ rows) * halves[k]  # the most frequent place: what the others leave
+                if len(known):
+                    grad.x[k, came[first]] += np.add.reduceat(rows, first, axis=0) * halves[k]
             self.tokens += len(word)
             self.waiting += len(word)
             if self.waiting >= STEP_TOKENS:
@@ -333,15 +352,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def out(h, n) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
-        seen: Counter = Counter()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, n = h[order], n[order]
+            first = np.flatnonzero(np.diff(h, prepend=h[0] - 1))
+            return h[first], np.add.reduceat(n, first)
+
         for batch in batches:
-            for t in batch.column(0):
-                seen.update((t.as_py() or b"").lower().split())
-            if len(seen) > 500_000:
-                yield out(word_hashes(seen), list(seen.values()))
-                seen = Counter()
-            yield out([END], [batch.num_rows])
-        yield out(word_hashes(seen), list(seen.values()))
+            text = batch.column(0)
+            for a, b in pieces_of(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False), *AT_ONCE):
+                words, numbers, _ = words_of(text.slice(a, b - a).to_pylist())
+                held.append((np.append(word_hashes(words), END), np.append(np.bincount(numbers, minlength=len(words)), b - a)))
+                if sum(len(h) for h, _ in held) > 1_000_000:
+                    held = [merged()]
+                    if len(held[0][0]) > 500_000:
+                        yield out(*held.pop())
+        if held:
+            yield out(*merged())
 
     return texts.select(F.col("text").cast("binary")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
@@ -366,6 +396,20 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[by_hash], n[by_hash], places[by_hash], tokens, types, float(np.log10(other)))
 
 
+def totals(batch: Batch) -> tuple:
+    """For each text: how many words are found, the sum of log10 (count + 1), how many words have no place and their sum; the hashes and numbers of words that are not found."""
+    n, w = len(batch.ids), max(1, len(batch.hashes))
+    flat = np.concatenate([np.empty(0, np.int32), *batch.ids])
+    doc = np.repeat(np.arange(n), [len(i) for i in batch.ids])
+    logs, away = np.log10(batch.counts + 1.0), batch.places == PLACES
+    total = lambda of_word: np.bincount(doc, of_word[flat], n)
+    there = np.flatnonzero(~batch.found[flat])
+    pairs, times = np.unique(doc[there] * w + flat[there], return_counts=True)
+    bounds, hashes = np.searchsorted(pairs, np.arange(n + 1) * w).tolist(), batch.hashes[pairs % w]
+    rest = [(hashes[i:j], times[i:j]) for i, j in pairwise(bounds)]
+    return total(batch.found).astype(np.int64), total(logs), total(away).astype(np.int64), total(np.where(away, logs, 0)), [h for h, _ in rest], [k for _, k in rest]
+
+
 def _placed(batch: Batch) -> list[np.ndarray]:
     return [np.append(batch.places[i], 0).astype(np.int32) for i in batch.ids]
 
@@ -437,12 +481,8 @@ def score(docs: DataFrame, held_out: F.Column, id_col: str = "doc_id", text_col:
 
         def measure(texts):
             batch = number(texts, words)
-            logs, away = np.log10(batch.counts + 1.0), batch.places == PLACES
-            rest = [np.unique(batch.hashes[i[~batch.found[i]]], return_counts=True) for i in batch.ids]
-            return (
-                None, [len(i) + 1 for i in batch.ids], [int(batch.found[i].sum()) + (end > 0) for i in batch.ids], [float(logs[i].sum()) + np.log10(end + 1.0) for i in batch.ids],
-                [int(away[i].sum()) for i in batch.ids], [float(logs[i][away[i]].sum()) for i in batch.ids], log_likelihoods(net, _placed(batch)) / np.log(10), [h for h, _ in rest], [n for _, n in rest],
-            )
+            known, logs, away, away_logs, rest_h, rest_n = totals(batch)
+            return None, [len(i) + 1 for i in batch.ids], known + (end > 0), logs + np.log10(end + 1.0), away, away_logs, log_likelihoods(net, _placed(batch)) / np.log(10), rest_h, rest_n
 
         return measure
 

@@ -478,6 +478,31 @@ def test_rare_words_are_joined(docs, monkeypatch):
     assert sorted(map(str, language_model.score(docs, language_model.fold("doc_id", 7) == 2).select("doc_id", "n_known").collect())) == want
 
 
+def test_words_are_those_of_the_bytes():
+    texts = [None, b"", b" ", b"\n a\x0bB\tc \r\n", b"\xff\xfe A\x85b \x1c c", b"x\x00y Z", "É Ab c".encode(), b"A  b"]
+    for some in (texts, texts[:1], []):
+        words, numbers, starts = language_model.words_of(some)
+        assert [[words[k] for k in numbers[i:j]] for i, j in zip(starts[:-1], starts[1:], strict=True)] == [(t or b"").lower().split() for t in some]
+        assert len(set(words)) == len(words)
+
+
+def test_totals_of_texts():
+    words = [b"a", b"b", b"c"]
+    hashes = np.sort(language_model.word_hashes(words))
+    vocabulary = language_model.Vocabulary(hashes, np.array([4, 9, 99]), np.array([1, language_model.PLACES, 2]), 112, 3, 0.0)
+    texts = [b"a b b new", None, b"new new c other", b"c a"]
+    batch = language_model.number(texts, vocabulary)
+    known, logs, away, away_logs, rest_h, rest_n = language_model.totals(batch)
+    count = dict(zip(hashes.tolist(), (4, 9, 99), strict=True))
+    for t, row in zip(texts, zip(known, logs, away, away_logs, rest_h, rest_n, strict=True), strict=True):
+        h = language_model.word_hashes((t or b"").split()).tolist()
+        off = [x for x in h if x not in count or x == hashes[1]]
+        assert row[0] == sum(x in count for x in h) and row[2] == len(off)
+        assert np.isclose(row[1], sum(np.log10(count.get(x, 0) + 1) for x in h)) and np.isclose(row[3], sum(np.log10(count.get(x, 0) + 1) for x in off))
+        assert dict(zip(row[4].tolist(), row[5].tolist(), strict=True)) == Counter(x for x in h if x not in count)
+    assert [len(x) for x in language_model.totals(language_model.number([], vocabulary))] == [0] * 6
+
+
 def test_state_is_carried_and_gradient_is_right():
     net = language_model.Net.start()
     doc = np.random.default_rng(0).integers(0, language_model.PLACES + 1, 70).astype(np.int32)
