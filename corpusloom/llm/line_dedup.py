@@ -9,7 +9,8 @@ with equal sets form a class, and classes are joined with each other:
   then hash;
 * prefix filter: two sets whose Jaccard similarity reaches the threshold share
   one of their rarest n - ceil(t n) + 1 words, so only these are indexed;
-* length filter: neither set may be shorter than t times the other;
+* length filter: neither set may be shorter than t times the other; lists of
+  the index are kept by bands of lengths, so most others are never met;
 * positional filter: what is left behind the shared word must still suffice;
 * parity filter: a set's words flip the bits of one long, those of a long set
   the bits of four, which added bit by bit give what one long would hold; two
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.rows import stored_row
 from corpusloom.plans.staging import drop_stage, stage, table
 
-BUCKETS = 1 << 18
-SLICES = 3  # the index is joined in so many parts, whose shuffle files go before the next
+BITS = 16  # of a hash, for its bucket: as many buckets as the first level of a hash aggregation holds
+SLICES = 3  # the index and texts are joined in so many parts, whose shuffle files go before the next
 ABOVE, BELOW = 4, 5  # the threshold as a fraction
 LONG = 80  # sets of more words have four longs of parities
 PARITIES = ["parity0", "parity1", "parity2", "parity3"]
@@ -41,40 +42,43 @@ CLASS = ["set_key", "n"]
 GONE = "lines that go"
 
 
-def _words(line: Column | str) -> Column:
-    return F.array_remove(F.split(F.lower(line), " "), "")
+def _blanks(text: Column | str) -> Column:
+    """White space other than line feeds as blanks."""
+    return reduce(lambda x, sign: F.replace(x, F.lit(sign), F.lit(" ")), "\t\v\f\r", F.col(text) if isinstance(text, str) else text)
 
 
 def _hashes(line: Column | str) -> Column:
-    return F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
+    """The different words of a line whose white space is blanks."""
+    return F.array_except(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row, id, text); the white space of a text other than line feeds is blanks, null texts are empty."""
-    text = F.coalesce(text_col, F.lit(""))
-    for sign in "\t\v\f\r":
-        text = F.replace(text, F.lit(sign), F.lit(" "))
-    return docs.select(stored_row().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
+    """(row, id, text); null texts are empty."""
+    return docs.select(stored_row().alias("row"), F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+
+
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - BITS).cast("int")
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """Level of the frequency of every hash bucket, as a constant of BUCKETS small numbers."""
-    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    """Level of the frequency of every hash bucket above 56 bits, as a constant of 2 ** BITS numbers."""
+    bucket = _bucket(F.xxhash64("w")).alias("bucket")
     words = F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")  # of whole texts, as lines do not matter here
     counts = texts.select(F.explode(words).alias("w")).groupBy(bucket).agg(F.count("*").alias("count"))
-    levels = ["0"] * BUCKETS
-    for r in counts.select("bucket", F.floor(2 * F.log2("count")).cast("int").alias("level")).collect():  # BUCKETS rows at most; a long count has a level below 127, which fits above 56 bits
-        levels[r["bucket"]] = str(r["level"])
-    return F.from_json(F.lit(f"[{','.join(levels)}]"), "array<int>")
+    levels = ["0"] * (1 << BITS)
+    for r in counts.select("bucket", F.floor(2 * F.log2("count")).cast("int").alias("level")).collect():  # a row a bucket at most; a long count has a level below 127, which fits above 56 bits
+        levels[r["bucket"]] = str(r["level"] << 56)
+    return F.from_json(F.lit(f"[{','.join(levels)}]"), "array<bigint>")
 
 
 def line_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, id, place, set_key, n, prefix, parities) of every line, staged; blank lines have n = 0."""
-    texts = _numbered(docs, id_col, text_col)
+    texts = _numbered(docs, id_col, text_col).withColumn("text", _blanks("text"))
     lines = texts.select("row", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     levels = _rarity(texts.select("text"))
-    level = lambda h: F.coalesce(F.get(levels, F.pmod(h, F.lit(BUCKETS)).cast("int")), F.lit(0))  # never null: so Spark sorts plain longs
-    token = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+    level = lambda h: F.coalesce(F.get(levels, _bucket(h)), F.lit(0).cast("long"))  # never null: so Spark sorts plain longs
+    token = lambda h: level(h).bitwiseOR(F.shiftrightunsigned(h, 8))
     sets = lines.select("row", "id", "place", F.sort_array(F.transform(_hashes("line"), token)).alias("tokens"))
     n = F.size("tokens")
     flip = lambda bits, t: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int")))
@@ -96,10 +100,16 @@ def _passes(a: str, b: str) -> Column:
     return long_enough & reachable & (bits * (ABOVE + BELOW) <= both * (BELOW - ABOVE))
 
 
-def _postings(classes: DataFrame, name: str, k: int, prefix: str | Column = "prefix", *more: str) -> DataFrame:
+def _band(n: Column | str) -> Column:
+    """Number of words (4 at least) as a length in bits and the two bits after the first: it grows with n, four bands an octave."""
+    bits = F.length(F.bin(n))
+    return bits * 4 + F.call_function("shiftright", n, bits - 3).bitwiseAND(3)
+
+
+def _postings(classes: DataFrame, name: str, k: int, slices: int = SLICES, prefix: str | Column = "prefix", *more: str) -> DataFrame:
     """One row per indexed word of slice ``k``: token, and ord, n, at, parities and ``more`` of its class under ``name``."""
     # sets of up to BELOW - 2 words have no partner but themselves
-    rows = classes.filter(F.col("n") > BELOW - 2).select("ord", "n", *PARITIES, *more, F.posexplode(prefix).alias("at", "token")).filter(F.pmod("token", F.lit(SLICES)) == k)
+    rows = classes.filter(F.col("n") > BELOW - 2).select("ord", "n", *PARITIES, *more, F.posexplode(prefix).alias("at", "token")).filter(F.pmod("token", F.lit(slices)) == k)
     return rows.select("token", *(F.col(x).alias(f"{name}_{x}") for x in ("ord", "n", "at", *PARITIES, *more)))
 
 
@@ -111,7 +121,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, ranks: DataFrame, id_col: str,
     for k in range(SLICES):  # texts travel to their wanted lines, so one slice of them at a time; the hash table holds the wanted places, texts are not sorted
         of_slice = lambda x: x.filter(F.pmod("row.at", F.lit(SLICES)) == k)  # noqa: B023, E731
         found = of_slice(_numbered(docs, id_col, text_col).select("row", "text")).join(of_slice(wanted).hint("shuffle_hash"), "row").select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("x"))
-        parts.append(stage(found.select(F.col("x.ord").alias("ord"), _hashes(F.get("parts", F.col("x.place"))).alias("words")), "line-words"))
+        parts.append(stage(found.select(F.col("x.ord").alias("ord"), _hashes(_blanks(F.get("parts", F.col("x.place")))).alias("words")), "line-words"))
     words = reduce(DataFrame.union, parts)
     of = lambda k: words.select(F.col("ord").alias(k), F.col("words").alias(f"{k}_words"))
     similar = F.size(F.array_intersect("a_words", "b_words")) * (ABOVE + BELOW) >= (F.size("a_words") + F.size("b_words")) * ABOVE
@@ -145,15 +155,24 @@ def _met(classes: DataFrame, *more: str) -> DataFrame:
     """(a, b) with a < b, staged: all pairs of classes that share an indexed word and pass the filters, each once.
 
     The shorter set of a pair, whose partner is no shorter, needs
-    n - ceil(2 t n / (1 + t)) + 1 words in the index only. With ``open`` as
-    ``more``, pairs whose later class is not open are left out.
+    n - ceil(2 t n / (1 + t)) + 1 words in the index only, and a shared word at
+    place ``at`` leaves partners of n to (n - (1 + t) at) / t words: the lists of
+    the longer ones are kept by bands of their lengths, and the shorter one looks
+    into these bands only. With ``open`` as ``more``, pairs whose later class is
+    not open are left out.
     """
     pairs, short = [], F.slice("prefix", F.lit(1), F.col("n") - F.ceil(F.col("n") * 2 * ABOVE / (ABOVE + BELOW)).cast("int") + 1)
-    for k in range(SLICES):
+    most = F.floor((F.col("s_n") * BELOW - F.col("s_at") * (ABOVE + BELOW)) / ABOVE)
+    bands = F.sequence(_band(F.col("s_n")), _band(F.greatest("s_n", most).cast("int")))
+    listed = F.xxhash64("token", "band")  # one long: lists that share it by chance are one, whose pairs are compared as any
+    slices = SLICES + bool(more)
+    for k in range(slices):
         s_first = F.col("s_ord") < F.col("l_ord")
         ordered = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & s_first)
         wanted = F.when(s_first, F.col("l_open")).otherwise(F.col("s_open")) if more else F.lit(True)
-        met = _postings(classes, "s", k, short, *more).join(_postings(classes, "l", k, "prefix", *more), "token").filter(ordered & wanted & _passes("s", "l"))
+        shorter = _postings(classes, "s", k, slices, short, *more).withColumn("band", F.explode(bands)).withColumn("list", listed).drop("token", "band")
+        longer = _postings(classes, "l", k, slices, "prefix", *more).withColumn("band", _band(F.col("l_n"))).withColumn("list", listed).drop("token", "band")
+        met = shorter.join(longer, "list").filter(ordered & wanted & _passes("s", "l"))
         pairs.append(stage(met.select(F.least("s_ord", "l_ord").alias("a"), F.greatest("s_ord", "l_ord").alias("b")).distinct(), "line-pairs-slice"))
     return stage(reduce(DataFrame.union, pairs).distinct(), "line-pairs")
 

@@ -151,6 +151,19 @@ def test_line_links(spark, docs, tmp_path):
         assert sorted(map(key, rows)) == sorted(map(key, line_dedup.removed_lines(some).collect()))
 
 
+def test_line_lists_are_kept_by_length(spark, tmp_path):
+    """Lines that share rare words meet in a list only if their lengths allow a link; those at the edge of a band still do."""
+    bands = [r["band"] for r in spark.range(4, 3000).select(line_dedup._band(F.col("id").cast("int")).alias("band")).orderBy("id").collect()]
+    assert bands == sorted(bands) and len(set(bands[:4])) == 4 and all(bands.count(b) <= 512 for b in set(bands))
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in range(4, 90)] + [" ".join([*(f"w{i}" for i in range(n)), f"own{n}"]) for n in range(4, 90)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "lengths"))
+    some = spark.read.parquet(str(tmp_path / "lengths"))
+    sets = [set(x.split()) for x in texts]
+    similar = lambda s, t: 9 * len(s & t) >= 4 * (len(s) + len(t))
+    got = {r["doc_id"]: (r["n_links"], r["match_id"]) for r in line_dedup.similar_lines(some).collect()}
+    assert got == {i: (sum(similar(s, t) for t in sets) - 1, next((j for j, t in enumerate(sets[:i]) if similar(s, t)), None)) for i, s in enumerate(sets)}
+
+
 def test_line_dedup_keeps_columns_of_any_name(docs):
     odd = docs.select("doc_id", "text", *(F.lit(f"own {c}").alias(c) for c in ("gone__", "row__", "row", "all", "place", line_dedup.GONE, "number of row", "a.b")))
     got = {r["doc_id"]: r for r in line_dedup.drop_similar_lines(odd).collect()}
